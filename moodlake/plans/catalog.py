@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from moodlake.operators import sentiment as S
 from moodlake.plans import overlays as O
@@ -105,3 +106,71 @@ def q_queue(spark, sf_dir):
 @register("recent_sample")
 def q_sample(spark, sf_dir):
     return V.recent_sample(O.posts_text(O.load(spark, sf_dir, "documents")), as_of=TEXT_AS_OF)
+
+
+# --- text, hashing and symbol linking -------------------------------------
+
+from moodlake.functions import text as TX  # noqa: E402
+from moodlake.operators import symbols as SY  # noqa: E402
+from moodlake.operators import text_ops as TO  # noqa: E402
+
+
+def _posts_text(spark, sf_dir):
+    return O.posts_text(O.load(spark, sf_dir, "documents"))
+
+
+def _o6_whitelist():
+    return {k: k for k in O.O6_WHITELIST}
+
+
+def _linked(spark, sf_dir):
+    p = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
+    return SY.extract_symbols(p, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
+
+
+@register("text_hash")
+def q_text_hash(spark, sf_dir):
+    return TO.with_text_hash(_posts_text(spark, sf_dir)).select("id", "txt_hash")
+
+
+@register("exact_duplicate_groups")
+def q_dup_groups(spark, sf_dir):
+    return TO.exact_duplicate_groups(TO.with_text_hash(_posts_text(spark, sf_dir)))
+
+
+@register("per_source_cap")
+def q_cap(spark, sf_dir):
+    return TO.per_source_cap(_posts_text(spark, sf_dir), "source", "id", 50).select("id", "source", "rank")
+
+
+@register("candidate_symbols")
+def q_candidates(spark, sf_dir):
+    d = O.load(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), TX.candidate_symbols("text").alias("candidates"))
+
+
+@register("extract_symbols")
+def q_extract(spark, sf_dir):
+    return _linked(spark, sf_dir).select("id", "tickers")
+
+
+@register("keyword_symbols")
+def q_keywords(spark, sf_dir):
+    d = O.load(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"),
+                    SY.finish(SY.keyword_hits(F.lower("text"), O.O6_KEYWORDS), 5).alias("tickers"))
+
+
+@register("symbol_fanout")
+def q_fanout(spark, sf_dir):
+    return SY.fan_out(_linked(spark, sf_dir), feed_engagement=True)
+
+
+@register("posts_with_symbol")
+def q_with_symbol(spark, sf_dir):
+    return SY.posts_with_symbol(_linked(spark, sf_dir), "NTI").select("id", "tickers")
+
+
+@register("symbol_keys")
+def q_symbol_keys(spark, sf_dir):
+    return SY.symbol_keys(O.symbols_from_parts(O.load(spark, sf_dir, "part")))

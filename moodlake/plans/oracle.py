@@ -80,3 +80,54 @@ SQL: dict[str, str] = {
     "recent_sample": f"""WITH {O3} SELECT id, coalesce(title, '') || ' ' || coalesce(body, '') AS text FROM pt
         WHERE created_at > {_ts(TEXT_AS_OF)} - INTERVAL 1 DAY ORDER BY id LIMIT 10000""",
 }
+
+
+# --- text, hashing and symbol linking -------------------------------------
+
+from moodlake.functions.dictionaries import WHITESPACE_CLASS  # noqa: E402
+from moodlake.plans.overlays import O6_KEYWORDS, O6_STOPLIST, O6_WHITELIST  # noqa: E402
+
+TEXT = "(coalesce(title, '') || ' ' || coalesce(body, ''))"
+HASH = f"md5(regexp_replace(lower({TEXT}), '{WHITESPACE_CLASS}', '', 'g'))"
+# DuckDB: no look-ahead and an ASCII \b, and upper('ß') keeps one code point.
+CANDS = "regexp_extract_all(upper(replace(@T, 'ß', 'ss')), '\\$?([A-Z]{1,5})(?:[^\\p{L}\\p{N}_]|$)', 1)"
+
+
+def _lst(vals) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in vals) + "]::VARCHAR[]"
+
+
+KW = "[" + ", ".join(f"{{'kw': '{k}', 'sym': '{s}'}}" for k, s in O6_KEYWORDS) + "]"
+WL_HITS = (f"list_filter({CANDS}, lambda c: list_contains({_lst(O6_WHITELIST)}, c) "
+           f"AND NOT list_contains({_lst(O6_STOPLIST)}, c))")
+KW_HITS = f"list_transform(list_filter({KW}, lambda p: contains(lower(@T), p.kw)), lambda p: p.sym)"
+
+
+def _link(t: str) -> str:
+    return (f"array_to_string(CASE WHEN {t} IS NULL OR length({t}) = 0 THEN []::VARCHAR[] ELSE "
+            f"list_slice(list_sort(list_distinct(list_concat({WL_HITS.replace('@T', t)}, {KW_HITS.replace('@T', t)}))), 1, 5) END, ',')")
+
+
+LINKED = f"""{O3}, lk AS (SELECT id, source, created_at, {_link(TEXT)} AS tickers FROM pt)"""
+
+SQL.update({
+    "text_hash": f"WITH {O3} SELECT id, {HASH} AS txt_hash FROM pt",
+    "exact_duplicate_groups": f"""WITH {O3}, h AS (SELECT id, {HASH} AS txt_hash FROM pt)
+        SELECT txt_hash, count(*) AS n, min(id) AS first_id FROM h GROUP BY txt_hash HAVING count(*) > 1""",
+    "per_source_cap": f"""WITH {O3} SELECT id, source, rank FROM (
+        SELECT id, source, row_number() OVER (PARTITION BY source ORDER BY id) AS rank FROM pt) WHERE rank <= 50""",
+    "candidate_symbols": f"""SELECT doc_id AS id, array_to_string(CASE WHEN text IS NULL OR length(text) = 0
+        THEN []::VARCHAR[] ELSE {CANDS.replace('@T', 'text')} END, ',') AS candidates FROM documents""",
+    "extract_symbols": f"WITH {LINKED} SELECT id, tickers FROM lk",
+    "keyword_symbols": f"""SELECT doc_id AS id, array_to_string(list_slice(list_sort(list_distinct(
+        {KW_HITS.replace('@T', 'text')})), 1, 5), ',') AS tickers FROM documents""",
+    "symbol_fanout": f"""WITH {LINKED} SELECT created_at, id AS post_id, unnest(string_split(tickers, ',')) AS ticker,
+        CAST(NULL AS INT) AS stance, 1 AS score, 0 AS comments FROM lk WHERE tickers <> ''""",
+    "posts_with_symbol": f"WITH {LINKED} SELECT id, tickers FROM lk WHERE list_contains(string_split(tickers, ','), 'NTI')",
+    "symbol_keys": """WITH s AS (SELECT DISTINCT p_brand AS symbol FROM part),
+        k AS (SELECT upper(symbol) AS key, symbol FROM s
+              UNION ALL
+              SELECT upper(part) AS key, symbol FROM (SELECT unnest(string_split_regex(trim(lower(symbol)), '\\s+')) AS part, symbol FROM s)
+              WHERE length(part) > 2)
+        SELECT key, min(symbol) AS symbol FROM k WHERE key IS NOT NULL AND length(key) > 0 GROUP BY key""",
+})
