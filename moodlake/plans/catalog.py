@@ -174,3 +174,127 @@ def q_with_symbol(spark, sf_dir):
 @register("symbol_keys")
 def q_symbol_keys(spark, sf_dir):
     return SY.symbol_keys(O.symbols_from_parts(O.load(spark, sf_dir, "part")))
+
+
+# --- ingest, sources and sinks --------------------------------------------
+
+from moodlake import schemas as SC  # noqa: E402
+from moodlake.operators import ingest as IG  # noqa: E402
+from moodlake.session import scratch_dir  # noqa: E402
+from moodlake.sources import files as FS  # noqa: E402
+from moodlake.sources.posts_store import PostsStore, write_partitioned  # noqa: E402
+
+ARRIVAL_COLS = ("id", "source", "external_id", "created_at", "k", "copy")
+RANGE_START = "2024-01-10 00:00:00"
+RANGE_END = "2024-01-12 12:00:00"
+
+
+def _arrivals(spark, sf_dir):
+    return O.arrivals(O.load(spark, sf_dir, "documents")).select(*ARRIVAL_COLS)
+
+
+@register("dedup_first_write")
+def q_dedup(spark, sf_dir):
+    return IG.first_write(_arrivals(spark, sf_dir), order=("k", "copy"))
+
+
+@register("insert_new_posts")
+def q_insert(spark, sf_dir):
+    arr = _arrivals(spark, sf_dir)
+    stored = arr.where(F.col("k") == 0)
+    batch = arr.where(F.col("k") > 0)
+    return IG.insert_new(stored, batch, order=("k", "copy"))
+
+
+_ARRIVAL_SCHEMA = "id long, source string, external_id string, created_at timestamp_ntz, k int, copy string"
+
+
+@register("replay_idempotent")
+def q_replay(spark, sf_dir):
+    from pyspark.sql.types import _parse_datatype_string
+    store = PostsStore(spark, scratch_dir(spark, "replay"), _parse_datatype_string(_ARRIVAL_SCHEMA))
+    arr = _arrivals(spark, sf_dir)
+    store.insert(arr, order=("k", "copy"))
+    again = store.insert(arr, order=("k", "copy"))  # replay: adds nothing
+    assert again.limit(1).count() == 0, "replay inserted rows twice"
+    return store.read().drop("created_date")
+
+
+@register("union_listings")
+def q_union_listings(spark, sf_dir):
+    new, hot = O.listings(O.load(spark, sf_dir, "conversations"))
+    return IG.union_listings(new, hot).select("channel", "id", "listing", "pos", "score")
+
+
+@register("union_sources")
+def q_union_sources(spark, sf_dir):
+    feed = _posts_text(spark, sf_dir).select(
+        F.lit("rss").alias("source"), "external_id", "created_at", "title", F.lit(1).alias("score"))
+    new, hot = O.listings(O.load(spark, sf_dir, "conversations"))
+    listing = IG.first_write(IG.union_listings(new, hot), key=("channel", "id"), order=("listing",))
+    lp = FS.listing_posts(listing).select("source", "external_id", "created_at", "title", "subreddit",
+                                          "score", "comments")
+    return IG.union_sources(feed, lp)
+
+
+@register("time_range_scan")
+def q_time_range(spark, sf_dir):
+    path = scratch_dir(spark, "posts_meta")
+    write_partitioned(_meta(spark, sf_dir), path)
+    store = PostsStore(spark, path, _meta(spark, sf_dir).schema)
+    return store.scan(RANGE_START, RANGE_END).select("id", "created_at", "stance")
+
+
+@register("symbol_seed")
+def q_symbol_seed(spark, sf_dir):
+    path = scratch_dir(spark, "symbols_csv")
+    dim = O.symbols_from_parts(O.load(spark, sf_dir, "part"))
+    (dim.select("symbol", F.concat(F.lit("Name of "), "symbol").alias("name"),
+                F.lower("symbol").alias("aliases"))
+     .write.option("header", True).csv(path))
+    return FS.read_symbols(spark, path).select("symbol")
+
+
+def _symbols(spark, sf_dir):
+    return O.symbols_from_parts(O.load(spark, sf_dir, "part"))
+
+
+@register("symbol_prefix")
+def q_symbol_prefix(spark, sf_dir):
+    return V.symbol_prefix(_symbols(spark, sf_dir), "Brand#1")
+
+
+@register("symbol_list")
+def q_symbol_list(spark, sf_dir):
+    return V.symbol_list(_symbols(spark, sf_dir))
+
+
+@register("feed_items")
+def q_feed_items(spark, sf_dir):
+    path = scratch_dir(spark, "feed_xml")
+    (O.feed_xml_items(O.load(spark, sf_dir, "documents"))
+     .write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path))
+    posts = FS.feed_posts(FS.read_feed_items(spark, path), ingested_at=TEXT_AS_OF)
+    return posts.select("source", "external_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                        "title", "url", "score", "txt_hash")
+
+
+def _landed_listings(spark, sf_dir):
+    path = scratch_dir(spark, "listing_json")
+    O.listing_json_lines(O.load(spark, sf_dir, "documents")).write.text(path)
+    return FS.split_quarantine(FS.read_listings(spark, path))
+
+
+@register("listing_posts")
+def q_listing_posts(spark, sf_dir):
+    good, _ = _landed_listings(spark, sf_dir)
+    return FS.listing_posts(good, ingested_at=TEXT_AS_OF).select(
+        "source", "external_id", "created_at", "subreddit", "score", "comments", "txt_hash")
+
+
+@register("quarantine_rows")
+def q_quarantine(spark, sf_dir):
+    good, bad = _landed_listings(spark, sf_dir)
+    return (good.select(F.lit(0).alias("bad"), F.lit(1).alias("ok"))
+            .unionByName(bad.select(F.lit(1).alias("bad"), F.lit(0).alias("ok")))
+            .agg(F.sum("bad").cast("long").alias("n_quarantined"), F.sum("ok").cast("long").alias("n_kept")))

@@ -131,3 +131,51 @@ SQL.update({
               WHERE length(part) > 2)
         SELECT key, min(symbol) AS symbol FROM k WHERE key IS NOT NULL AND length(key) > 0 GROUP BY key""",
 })
+
+
+# --- ingest, sources and sinks --------------------------------------------
+
+from moodlake.plans.catalog import RANGE_END, RANGE_START  # noqa: E402
+
+ARR = f"""{O3}, arr AS (
+  SELECT id, source, external_id, created_at, CAST(id % 3 AS INT) AS k, 'a' AS copy FROM pt
+  UNION ALL
+  SELECT id, source, external_id, created_at, CAST(3 - id % 3 AS INT) AS k, 'b' AS copy FROM pt)"""
+FIRST = """SELECT id, source, external_id, created_at, k, copy FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, external_id, created_at ORDER BY k, copy, id) AS rn FROM {src}) WHERE rn = 1"""
+LISTINGS = """lb AS (
+  SELECT CAST(conv_id AS VARCHAR) AS channel, CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id,
+         role AS title, text AS selftext, CAST(turn AS INT) AS pos, CAST(turn AS INT) AS score,
+         CAST(length(text) AS INT) AS num_comments, 1704067200.0 + conv_id * 60 + turn AS created_utc FROM conversations),
+  lst AS (SELECT *, 'new' AS listing FROM lb WHERE pos < 2 UNION ALL SELECT *, 'hot' AS listing FROM lb WHERE pos >= 1)"""
+FEED_HASH = "md5(regexp_replace(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '" + WHITESPACE_CLASS + "', '', 'g'))"
+
+SQL.update({
+    "dedup_first_write": f"WITH {ARR} {FIRST.format(src='arr')}",
+    "insert_new_posts": f"""WITH {ARR}, b AS ({FIRST.format(src='(SELECT * FROM arr WHERE k > 0)')})
+        SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM arr s WHERE s.k = 0 AND s.source = b.source
+          AND s.external_id = b.external_id AND s.created_at = b.created_at)""",
+    "replay_idempotent": f"WITH {ARR} {FIRST.format(src='arr')}",
+    "union_listings": f"WITH {LISTINGS} SELECT channel, id, listing, pos, score FROM lst",
+    "union_sources": f"""WITH {O3}, {LISTINGS},
+        l1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel, id ORDER BY listing) AS rn FROM lst) WHERE rn = 1)
+        SELECT 'rss' AS source, external_id, created_at, title, CAST(NULL AS VARCHAR) AS subreddit, 1 AS score,
+               CAST(NULL AS INT) AS comments FROM pt
+        UNION ALL
+        SELECT 'reddit', id, CAST(to_timestamp(created_utc) AT TIME ZONE 'UTC' AS TIMESTAMP), title, channel, score, num_comments FROM l1""",
+    "time_range_scan": f"""WITH {O2} SELECT id, created_at, stance FROM pm
+        WHERE created_at >= TIMESTAMP '{RANGE_START}' AND created_at < TIMESTAMP '{RANGE_END}'""",
+    "symbol_seed": "SELECT DISTINCT p_brand AS symbol FROM part",
+    "symbol_prefix": "SELECT symbol FROM (SELECT DISTINCT p_brand AS symbol FROM part) WHERE symbol LIKE 'Brand#1%' ORDER BY symbol LIMIT 20",
+    "symbol_list": "SELECT symbol FROM (SELECT DISTINCT p_brand AS symbol FROM part) ORDER BY symbol LIMIT 100",
+    "feed_items": f"""WITH {O3} SELECT 'rss' AS source,
+          CASE WHEN id % 5 <> 0 THEN 'urn:post:' || CAST(id AS VARCHAR) ELSE 'https://news.example/p/' || CAST(id AS VARCHAR) END AS external_id,
+          CASE WHEN id % 7 <> 0 THEN created_at ELSE TIMESTAMP '{TEXT_AS_OF}' END AS created_at,
+          coalesce(title, '') AS title, 'https://news.example/p/' || CAST(id AS VARCHAR) AS url, 1 AS score,
+          {FEED_HASH} AS txt_hash FROM pt""",
+    "listing_posts": f"""WITH {O3} SELECT 'reddit' AS source, CAST(id AS VARCHAR) AS external_id, created_at,
+          source AS subreddit, CAST(id % 97 AS INT) AS score, CAST(id % 13 AS INT) AS comments, {FEED_HASH} AS txt_hash
+        FROM pt WHERE id % 11 <> 10""",
+    "quarantine_rows": f"""WITH {O3} SELECT CAST(count(*) FILTER (WHERE id % 11 = 10) AS BIGINT) AS n_quarantined,
+          CAST(count(*) FILTER (WHERE id % 11 <> 10) AS BIGINT) AS n_kept FROM pt""",
+})

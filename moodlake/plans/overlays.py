@@ -83,6 +83,8 @@ def listings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("role").alias("title"),
         F.col("text").alias("selftext"),
+        F.concat(F.lit("https://forum.example/"), F.col("conv_id").cast("string"), F.lit("/"),
+                 F.col("turn").cast("string")).alias("url"),
         F.col("turn").cast("int").alias("pos"),
         F.col("turn").cast("int").alias("score"),
         F.length("text").cast("int").alias("num_comments"),
@@ -102,3 +104,40 @@ O6_KEYWORDS = (("nti", "NTI"), ("intel", "INTC"), ("étion", "ETN"))
 def symbols_from_parts(part: DataFrame) -> DataFrame:
     """O10: the symbol dimension (distinct brands)."""
     return part.select(F.col("p_brand").alias("symbol")).distinct()
+
+
+def feed_xml_items(documents: DataFrame) -> DataFrame:
+    """O8 rows as they are landed: one <item> per O3 post (every post; the
+    description is the whole body). guid is missing for every fifth post and
+    pubDate for every seventh; dates alternate numeric offset and zone name."""
+    p = posts_text(documents)
+    pid = F.col("id")
+    ts = F.col("created_at").cast("timestamp")
+    date = F.when(pid % 3 == 1, F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise(
+        F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss Z"))
+    return p.select(
+        F.col("title"),
+        F.concat(F.lit("https://news.example/p/"), pid.cast("string")).alias("link"),
+        F.when(pid % 5 != 0, F.concat(F.lit("urn:post:"), pid.cast("string"))).alias("guid"),
+        F.col("body").alias("description"),
+        F.when(pid % 7 != 0, date).alias("pubDate"),
+        F.lit(None).cast("string").alias("updated"),
+        F.col("source").alias("feed"),
+        pid.cast("int").alias("pos"),
+    )
+
+
+def listing_json_lines(documents: DataFrame) -> DataFrame:
+    """O9 landed lines: one JSON listing record per O3 post; every eleventh line
+    is cut in half (a torn write) and must be quarantined, not lost."""
+    p = posts_text(documents)
+    pid = F.col("id")
+    rec = F.to_json(F.struct(
+        pid.cast("string").alias("id"), F.col("title"), F.col("body").alias("selftext"),
+        F.concat(F.lit("https://forum.example/"), pid.cast("string")).alias("url"),
+        F.col("source").alias("channel"), (pid % 97).cast("int").alias("score"),
+        (pid % 13).cast("int").alias("num_comments"),
+        (F.unix_seconds(F.col("created_at").cast("timestamp"))).cast("double").alias("created_utc"),
+        F.lit("new").alias("listing"), pid.cast("int").alias("pos")))
+    line = F.when(pid % 11 == 10, F.substr(rec, F.lit(1), (F.length(rec) / 2).cast("int"))).otherwise(rec)
+    return p.select(line.alias("value"))
