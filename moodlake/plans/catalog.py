@@ -298,3 +298,85 @@ def q_quarantine(spark, sf_dir):
     return (good.select(F.lit(0).alias("bad"), F.lit(1).alias("ok"))
             .unionByName(bad.select(F.lit(1).alias("bad"), F.lit(0).alias("ok")))
             .agg(F.sum("bad").cast("long").alias("n_quarantined"), F.sum("ok").cast("long").alias("n_kept")))
+
+
+# --- similarity -------------------------------------------------------------
+
+from moodlake.operators import scoring as SCR  # noqa: E402
+from moodlake.operators import similarity as SIM  # noqa: E402
+
+QUERY_POST = 7
+BATCH_K = 5
+
+
+def _vec_posts(spark, sf_dir):
+    return O.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@register("similar_posts")
+def q_similar(spark, sf_dir):
+    return SIM.similar_posts(_vec_posts(spark, sf_dir), QUERY_POST, k=10).select("id", "label")
+
+
+@register("similar_posts_cosine")
+def q_similar_cos(spark, sf_dir):
+    return SIM.similar_posts(_vec_posts(spark, sf_dir), QUERY_POST, k=10, metric="cosine").select("id", "label")
+
+
+@register("similar_posts_batch")
+def q_similar_batch(spark, sf_dir):
+    p = _vec_posts(spark, sf_dir)
+    return SIM.similar_posts_batch(p, p, k=BATCH_K)
+
+
+@register("similar_posts_approx")
+def q_similar_approx(spark, sf_dir):
+    p = _vec_posts(spark, sf_dir)
+    return SIM.similar_posts_approx(p, p, k=10, n_cells=64, n_probe=8)
+
+
+@register("mean_pool")
+def q_mean_pool(spark, sf_dir):
+    return SIM.mean_pool_long(_vec_posts(spark, sf_dir), "label")
+
+
+# --- scoring ----------------------------------------------------------------
+
+WRITEBACK_AS_OF = "2024-02-01 00:00:00"
+
+
+def _decoded(spark, sf_dir):
+    return SCR.decode_logits(O.logits(O.load(spark, sf_dir, "embeddings"))).withColumn(
+        "model_ver", F.lit(SCR.MODEL_VER))
+
+
+@register("stance_decode")
+def q_decode(spark, sf_dir):
+    return _decoded(spark, sf_dir).select("id", "probs.neg", "probs.neu", "probs.pos", "stance")
+
+
+@register("stance_writeback")
+def q_writeback(spark, sf_dir):
+    posts = _meta(spark, sf_dir)
+    out = SCR.stance_writeback(posts, _decoded(spark, sf_dir), as_of=WRITEBACK_AS_OF)
+    return out.select("id", "stance", "model_ver", "classified_at")
+
+
+def _labelled_docs(spark, sf_dir):
+    d = O.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    lab = SCR.three_class_label(O.load(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "id")
+    return d, d.join(lab, "id")
+
+
+@register("score_posts")
+def q_score(spark, sf_dir):
+    docs, train = _labelled_docs(spark, sf_dir)
+    model = SCR.train_default_scorer(train)
+    return SCR.score_with_model(model, docs).select("id", "stance", "probs.neg", "probs.neu", "probs.pos")
+
+
+@register("embed_posts")
+def q_embed(spark, sf_dir):
+    docs, _ = _labelled_docs(spark, sf_dir)
+    model = SCR.train_embedder(docs, vector_size=64)
+    return SCR.embed_with_model(model, docs).select("id", "embedding")

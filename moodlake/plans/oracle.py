@@ -179,3 +179,43 @@ SQL.update({
     "quarantine_rows": f"""WITH {O3} SELECT CAST(count(*) FILTER (WHERE id % 11 = 10) AS BIGINT) AS n_quarantined,
           CAST(count(*) FILTER (WHERE id % 11 <> 10) AS BIGINT) AS n_kept FROM pt""",
 })
+
+
+# --- similarity and scoring -------------------------------------------------
+
+from moodlake.plans.catalog import BATCH_K, QUERY_POST, WRITEBACK_AS_OF  # noqa: E402
+
+L2 = "list_distance({a}::DOUBLE[], {b}::DOUBLE[])"
+COS = "(1 - list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]))"
+
+
+def _similar(dist: str) -> str:
+    d = dist.format(a="e.embedding", b="q.qv")
+    return f"""WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = {QUERY_POST} LIMIT 1)
+        SELECT e.vec_id AS id, e.label FROM embeddings e, q WHERE e.vec_id <> {QUERY_POST}
+        ORDER BY {d} NULLS LAST, e.vec_id LIMIT 10"""
+
+
+DEC = """lg AS (SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE)] AS x FROM embeddings),
+  ex AS (SELECT id, [exp(x[1] - list_max(x)), exp(x[2] - list_max(x)), exp(x[3] - list_max(x))] AS e FROM lg),
+  pr AS (SELECT id, [e[1] / list_sum(e), e[2] / list_sum(e), e[3] / list_sum(e)] AS p FROM ex),
+  dec AS (SELECT id, p[1] AS neg, p[2] AS neu, p[3] AS pos, CAST([-1, 0, 1][list_position(p, list_max(p))] AS SMALLINT) AS stance FROM pr)"""
+
+SQL.update({
+    "similar_posts": _similar(L2),
+    "similar_posts_cosine": _similar(COS),
+    "similar_posts_batch": f"""SELECT qid, id, round(distance, 9) AS distance, rank FROM (
+        SELECT q.vec_id AS qid, c.vec_id AS id, {L2.format(a='c.embedding', b='q.embedding')} AS distance,
+               row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2.format(a='c.embedding', b='q.embedding')}, c.vec_id) AS rank
+        FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id
+        WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL) WHERE rank <= {BATCH_K}""",
+    "mean_pool": """SELECT label, CAST(pos - 1 AS INT) AS dim, round(avg(v), 9) AS value FROM (
+        SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+        GROUP BY label, pos""",
+    "stance_decode": f"WITH {DEC} SELECT id, round(neg, 9) AS neg, round(neu, 9) AS neu, round(pos, 9) AS pos, CAST(stance AS INT) AS stance FROM dec",
+    "stance_writeback": f"""WITH {O2}, {DEC}
+        SELECT pm.id, CAST(CASE WHEN pm.stance IS NULL AND dec.stance IS NOT NULL THEN dec.stance ELSE pm.stance END AS INT) AS stance,
+               CASE WHEN pm.stance IS NULL AND dec.stance IS NOT NULL THEN 'finbert-onnx-v1' END AS model_ver,
+               CASE WHEN pm.stance IS NULL AND dec.stance IS NOT NULL THEN TIMESTAMP '{WRITEBACK_AS_OF}' ELSE pm.classified_at END AS classified_at
+        FROM pm LEFT JOIN dec ON pm.id = dec.id""",
+})
