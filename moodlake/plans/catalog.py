@@ -380,3 +380,77 @@ def q_embed(spark, sf_dir):
     docs, _ = _labelled_docs(spark, sf_dir)
     model = SCR.train_embedder(docs, vector_size=64)
     return SCR.embed_with_model(model, docs).select("id", "embedding")
+
+
+# --- streaming ----------------------------------------------------------------
+
+from moodlake.streaming import pipeline as ST  # noqa: E402
+
+EVENT_ORIGIN = "2024-01-01 00:00:00"
+EVENT_POLL_SECONDS = 6 * 86400
+TEXT_POLL_SECONDS = 4 * 3600
+
+
+def _stream_mentions(spark, sf_dir, late_rows: bool):
+    """Land O1 rows as re-delivering polls (plus, optionally, a final poll of rows
+    more than a day late), stream dedup + windowed sentiment into a changelog,
+    and return the current view."""
+    land = scratch_dir(spark, "landed_mentions")
+    rows = _mentions(spark, sf_dir)
+    ST.land_polls(rows, land, "created_at", EVENT_POLL_SECONDS, EVENT_ORIGIN)
+    if late_rows:
+        late = rows.select("created_at", (F.col("post_id") + F.lit(10_000_000_000)).alias("post_id"),
+                           F.concat(F.lit("late_"), "ticker").alias("ticker"), "stance", "score", "comments")
+        late.where(F.col("created_at") < F.lit("2024-01-07").cast("timestamp_ntz")).write.mode("append").parquet(land)
+    stream = (spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(land))
+    dedup = ST.dedup_stream(stream, ("post_id", "ticker", "created_at"))
+    agg = ST.sentiment_stream(dedup, with_watermark=False)
+    sink = scratch_dir(spark, "sentiment_changelog")
+    ST.run_available(agg.writeStream.outputMode("update").foreachBatch(ST.batch_dir_writer(sink)),
+                     scratch_dir(spark, "ckpt_sentiment"))
+    return ST.read_changelog(spark, sink).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
+@register("stream_sentiment")
+def q_stream_sentiment(spark, sf_dir):
+    return _stream_mentions(spark, sf_dir, late_rows=False).select(*_view10s(spark, sf_dir).columns)
+
+
+@register("stream_late_rows")
+def q_stream_late(spark, sf_dir):
+    return _stream_mentions(spark, sf_dir, late_rows=True).select(*_view10s(spark, sf_dir).columns)
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    ev = O.load(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    land = scratch_dir(spark, "landed_events")
+    ST.land_polls(ev, land, "ts", EVENT_POLL_SECONDS, EVENT_ORIGIN)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(land)
+    out = scratch_dir(spark, "events_dedup")
+    ST.run_available(ST.dedup_stream(stream, ("event_id", "ts"), time_col="ts")
+                     .writeStream.outputMode("append").foreachBatch(ST.batch_dir_writer(out)),
+                     scratch_dir(spark, "ckpt_dedup"))
+    return spark.read.parquet(out).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Landed feed posts -> dedup -> symbol linking -> posts + fan-out sinks."""
+    posts = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
+    land = scratch_dir(spark, "landed_posts")
+    ST.land_polls(posts, land, "created_at", TEXT_POLL_SECONDS, EVENT_ORIGIN, fmt="json")
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).json(land)
+    dedup = ST.dedup_stream(stream, ("source", "external_id", "created_at"))
+    linked = SY.extract_symbols(dedup, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
+    posts_sink, fan_sink = scratch_dir(spark, "posts"), scratch_dir(spark, "ticker_posts")
+
+    def write(batch, batch_id):
+        batch = batch.where(F.size("tickers") > 0).persist()
+        batch.drop("text").write.mode("overwrite").parquet(f"{posts_sink}/batch_id={batch_id}")
+        SY.fan_out(batch, feed_engagement=True).write.mode("overwrite").parquet(f"{fan_sink}/batch_id={batch_id}")
+        batch.unpersist()
+
+    ST.run_available(linked.writeStream.outputMode("append").foreachBatch(write), scratch_dir(spark, "ckpt_ingest"))
+    return (spark.read.parquet(fan_sink).drop("batch_id")
+            .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))

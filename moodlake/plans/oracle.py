@@ -219,3 +219,13 @@ SQL.update({
                CASE WHEN pm.stance IS NULL AND dec.stance IS NOT NULL THEN TIMESTAMP '{WRITEBACK_AS_OF}' ELSE pm.classified_at END AS classified_at
         FROM pm LEFT JOIN dec ON pm.id = dec.id""",
 })
+
+
+# --- streaming (batch equivalents) ---------------------------------------------
+
+SQL.update({
+    "stream_sentiment": SQL["sentiment_buckets_10s"],
+    "stream_late_rows": SQL["sentiment_buckets_10s"],
+    "stream_dedup": "SELECT event_id, ts, event_type, round(value, 9) AS value FROM events",
+    "stream_ingest": SQL["symbol_fanout"],
+})
