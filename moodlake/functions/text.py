@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from moodlake.functions.dictionaries import WHITESPACE_CLASS
+from moodlake.functions.dictionaries import WHITESPACE_CHARS
 
 # `$`-prefixed or bare run of 1-5 capitals followed by a Unicode word boundary.
 # There is no leading boundary: a longer word yields its last five letters.
@@ -22,8 +22,10 @@ def post_text(title="title", body="body") -> Column:
 
 
 def text_hash(text) -> Column:
-    """MD5 hex of the lower-cased text with every whitespace character removed."""
-    return F.md5(F.regexp_replace(F.lower(_c(text)), F.lit(WHITESPACE_CLASS), F.lit("")))
+    """MD5 hex of the lower-cased text with every whitespace character removed
+    (translate() with an empty replacement deletes the characters — a char
+    map, much cheaper than a Unicode regex)."""
+    return F.md5(F.translate(F.lower(_c(text)), WHITESPACE_CHARS, ""))
 
 
 def candidate_symbols(text) -> Column:

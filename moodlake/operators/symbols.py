@@ -111,9 +111,11 @@ def extract_symbols_join(df: DataFrame, text_col: str, tickers: DataFrame, stopl
 
 
 def fan_out(posts: DataFrame, feed_engagement: bool = False) -> DataFrame:
-    """One ticker_posts row per (post, linked symbol); posts without symbols drop out.
+    """One ticker_posts row per (post, linked symbol); posts without symbols drop out
+    (explode emits nothing for an empty list — no separate filter, which Catalyst
+    would push below the projection and so evaluate the linking twice).
     Feed posts carry score 1 / comments 0, listing posts their own engagement."""
-    p = posts.where(F.size("tickers") > 0)
+    p = posts
     score = F.lit(1).cast("int") if feed_engagement else F.col("score").cast("int")
     comments = F.lit(0).cast("int") if feed_engagement else F.col("comments").cast("int")
     stance = F.col("stance").cast("short") if "stance" in posts.columns else F.lit(None).cast("short")

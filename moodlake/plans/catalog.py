@@ -440,14 +440,15 @@ def q_stream_ingest(spark, sf_dir):
     posts = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
     land = scratch_dir(spark, "landed_posts")
     ST.land_polls(posts, land, "created_at", TEXT_POLL_SECONDS, EVENT_ORIGIN, fmt="json")
-    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).json(land)
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 8).json(land)
     dedup = ST.dedup_stream(stream, ("source", "external_id", "created_at"))
     linked = SY.extract_symbols(dedup, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
     posts_sink, fan_sink = scratch_dir(spark, "posts"), scratch_dir(spark, "ticker_posts")
 
     def write(batch, batch_id):
-        batch = batch.where(F.size("tickers") > 0).persist()
-        batch.drop("text").write.mode("overwrite").parquet(f"{posts_sink}/batch_id={batch_id}")
+        batch = batch.persist()
+        (batch.where(F.size("tickers") > 0).drop("text")
+         .write.mode("overwrite").parquet(f"{posts_sink}/batch_id={batch_id}"))
         SY.fan_out(batch, feed_engagement=True).write.mode("overwrite").parquet(f"{fan_sink}/batch_id={batch_id}")
         batch.unpersist()
 

@@ -91,11 +91,12 @@ def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origi
     re-sends the rows of the previous one (``redeliver``). Returns the poll count."""
     poll = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
                     - F.unix_micros(F.lit(origin).cast("timestamp"))) / F.lit(span_seconds * 1_000_000)).cast("long")
-    tagged = df.withColumn("__poll", poll)
+    tagged = df.withColumn("__poll", poll).persist()
     n = tagged.agg(F.max("__poll")).first()[0]
     n = 0 if n is None else int(n) + 1
     for i in range(n):
         cond = (F.col("__poll") == i) | ((F.col("__poll") == i - 1) if redeliver else F.lit(False))
         (tagged.where(cond).drop("__poll").repartition(files_per_poll)
          .write.mode("append").format(fmt).save(path))
+    tagged.unpersist()
     return n
