@@ -60,9 +60,14 @@ def whitelist_hits(cands: Column, whitelist, stoplist=STOPLIST) -> Column:
 
 
 def keyword_hits(lower_text: Column, keywords=KEYWORDS) -> Column:
-    """Symbols whose keyword occurs as a substring of the lower-cased text."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("kw"), F.lit(s).alias("sym")) for k, s in keywords])
-    return F.transform(F.filter(pairs, lambda p: F.contains(lower_text, p["kw"])), lambda p: p["sym"])
+    """Symbols whose keyword occurs as a substring of the lower-cased text.
+    One CASE per keyword inside array(), NULLs removed with array_except (not
+    array_compact, which is a lambda filter): no lambda, so the expression
+    stays inside whole-stage codegen."""
+    if not keywords:
+        return F.array().cast("array<string>")
+    hits = F.array(*[F.when(F.contains(lower_text, F.lit(k)), F.lit(s)) for k, s in keywords])
+    return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 
 def finish(symbols: Column, max_symbols: int = MAX_SYMBOLS) -> Column:
@@ -119,8 +124,12 @@ def fan_out(posts: DataFrame, feed_engagement: bool = False) -> DataFrame:
     score = F.lit(1).cast("int") if feed_engagement else F.col("score").cast("int")
     comments = F.lit(0).cast("int") if feed_engagement else F.col("comments").cast("int")
     stance = F.col("stance").cast("short") if "stance" in posts.columns else F.lit(None).cast("short")
-    return p.select(F.col("created_at"), F.col("id").alias("post_id"), F.explode("tickers").alias("ticker"),
-                    stance.alias("stance"), score.alias("score"), comments.alias("comments"))
+    # explode_outer + a filter on the generated column: a plain explode makes
+    # Catalyst infer size(tickers) > 0 and push it below the projection that
+    # computes tickers, evaluating the whole linking expression twice.
+    return (p.select(F.col("created_at"), F.col("id").alias("post_id"), F.explode_outer("tickers").alias("ticker"),
+                     stance.alias("stance"), score.alias("score"), comments.alias("comments"))
+            .where(F.col("ticker").isNotNull()))
 
 
 def posts_with_symbol(posts: DataFrame, symbols) -> DataFrame:
