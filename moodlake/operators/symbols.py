@@ -48,9 +48,7 @@ def whitelist_from(tickers: DataFrame, limit: int = MAX_LITERAL_KEYS) -> dict[st
 
 def whitelist_hits(cands: Column, whitelist, stoplist=STOPLIST) -> Column:
     """Distinct candidates that are whitelist keys and not stop words, mapped to symbols."""
-    wl = dict(whitelist) if not isinstance(whitelist, dict) else whitelist
-    if not isinstance(whitelist, dict):
-        wl = {k: k for k in whitelist}
+    wl = whitelist if isinstance(whitelist, dict) else {k: k for k in whitelist}
     keys = sorted(k for k in wl if k not in set(stoplist))
     hits = F.array_intersect(cands, _str_array(keys))
     if all(wl[k] == k for k in keys):
