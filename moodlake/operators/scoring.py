@@ -41,7 +41,7 @@ def three_class_label(labels: DataFrame) -> DataFrame:
 
 
 def train_default_scorer(texts: DataFrame, text_col: str = "text", label_col: str = "label",
-                         num_features: int = 1 << 18, max_iter: int = 50, reg: float = 0.01):
+                         num_features: int = 1 << 16, max_iter: int = 20, reg: float = 0.01):
     """Fit the default 3-class text scorer (distributed training)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -77,32 +77,43 @@ def batch_logits_udf(make_predict_fn, n_classes: int = 3, batch_size: int = BATC
                              batch_size=batch_size)
 
 
+def _ensure(df: DataFrame, name: str, dtype) -> DataFrame:
+    return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
+
+
 def stance_writeback(posts: DataFrame, scores: DataFrame, as_of=None) -> DataFrame:
     """Current posts view after a scoring pass: scores (id, stance, probs,
-    model_ver) fill only posts that are still unscored; classified_at is stamped."""
+    model_ver) fill only posts that are still unscored; classified_at is stamped.
+
+    Stance moves NULL -> value once, so already-scored posts pass straight
+    through (a plain scan, no shuffle); only the unscored rows — bounded by the
+    scoring horizon — are joined to the scores."""
     s = scores.select(F.col("id"), F.col("stance").alias("__st"), F.col("probs").alias("__pr"),
                       F.col("model_ver").alias("__mv"))
-    cols = posts.columns
-    j = posts.join(s, "id", "left").withColumn("__fill", F.col("stance").isNull() & F.col("__st").isNotNull())
-    fill = F.col("__fill")
-    out = (j.withColumn("stance", F.when(fill, F.col("__st")).otherwise(F.col("stance")).cast("short"))
-           .withColumn("classified_at", F.when(fill, as_of_col(as_of).cast("timestamp_ntz"))
-                       .otherwise(F.col("classified_at")) if "classified_at" in cols
-                       else F.when(fill, as_of_col(as_of).cast("timestamp_ntz")))
-           .withColumn("model_ver", F.when(fill, F.col("__mv")).otherwise(
-               F.col("model_ver") if "model_ver" in cols else F.lit(None).cast("string")))
-           .withColumn("probs", F.when(fill, F.col("__pr")).otherwise(
-               F.col("probs") if "probs" in cols else F.lit(None).cast(s.schema["__pr"].dataType))))
-    keep = list(dict.fromkeys(cols + ["stance", "classified_at", "model_ver", "probs"]))
-    return out.select(*keep)
+    base = posts
+    for name, dtype in (("classified_at", "timestamp_ntz"), ("model_ver", "string"),
+                        ("probs", s.schema["__pr"].dataType)):
+        base = _ensure(base, name, dtype)
+    cols = base.columns
+    done = base.where(F.col("stance").isNotNull())
+    todo = base.where(F.col("stance").isNull()).join(s, "id", "left")
+    hit = F.col("__st").isNotNull()
+    filled = (todo.withColumn("stance", F.col("__st").cast("short"))
+              .withColumn("classified_at", F.when(hit, as_of_col(as_of).cast("timestamp_ntz"))
+                          .otherwise(F.col("classified_at")))
+              .withColumn("model_ver", F.when(hit, F.col("__mv")).otherwise(F.col("model_ver")))
+              .withColumn("probs", F.when(hit, F.col("__pr")).otherwise(F.col("probs")))
+              .select(*cols))
+    return done.withColumn("stance", F.col("stance").cast("short")).select(*cols).unionByName(filled)
 
 
 def fanout_writeback(ticker_posts: DataFrame, scores: DataFrame) -> DataFrame:
-    """Stance of fan-out rows from the scores of their post."""
+    """Stance of fan-out rows from the scores of their post (unscored rows only)."""
     s = scores.select(F.col("id").alias("post_id"), F.col("stance").alias("__st"))
-    return (ticker_posts.join(s, "post_id", "left")
-            .withColumn("stance", F.coalesce(F.col("stance"), F.col("__st")).cast("short"))
-            .drop("__st"))
+    done = ticker_posts.where(F.col("stance").isNotNull())
+    todo = (ticker_posts.where(F.col("stance").isNull()).join(s, "post_id", "left")
+            .withColumn("stance", F.col("__st").cast("short")).drop("__st"))
+    return done.unionByName(todo.select(*ticker_posts.columns))
 
 
 def train_embedder(texts: DataFrame, text_col: str = "text", vector_size: int = 384,

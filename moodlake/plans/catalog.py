@@ -388,7 +388,7 @@ from moodlake.streaming import pipeline as ST  # noqa: E402
 
 EVENT_ORIGIN = "2024-01-01 00:00:00"
 EVENT_POLL_SECONDS = 6 * 86400
-TEXT_POLL_SECONDS = 4 * 3600
+TEXT_POLL_SECONDS = 8 * 3600
 
 
 def _stream_mentions(spark, sf_dir, late_rows: bool):
