@@ -100,3 +100,56 @@ def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origi
          .write.mode("append").format(fmt).save(path))
     tagged.unpersist()
     return n
+
+
+def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str,
+                        link_fn, score_fn=None, trigger: dict | None = None,
+                        landing_format: str = "json", max_files_per_trigger: int | None = None):
+    """The whole live path as two chained streaming queries.
+
+    1. ingest: landed posts -> dedup on (source, external_id, created_at) under
+       the watermark -> ``link_fn`` (adds ``tickers``) -> ``score_fn`` (adds
+       ``stance``/``probs``/``model_ver``; optional) -> foreachBatch writes the
+       posts that link to at least one symbol, and their fan-out, to
+       ``batch_id=N`` folders (idempotent);
+    2. aggregate: the fan-out folder as a file stream -> windowed sentiment in
+       update mode -> changelog (read the view with ``read_changelog``).
+
+    ``trigger`` is passed to ``DataStreamWriter.trigger`` (default: every 10 s,
+    the refresh interval of the reference; ``{"availableNow": True}`` in tests).
+    Returns (ingest_query, aggregate_query, paths)."""
+    from moodlake.operators.symbols import fan_out
+
+    trigger = trigger or {"processingTime": "10 seconds"}
+    paths = {k: f"{out_root}/{k}" for k in ("posts", "ticker_posts", "sentiment", "ckpt_ingest", "ckpt_agg")}
+    reader = spark.readStream.schema(landing_schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    posts = dedup_stream(reader.format(landing_format).load(landing), ("source", "external_id", "created_at"))
+    posts = link_fn(posts)
+    if score_fn is not None:
+        posts = score_fn(posts)
+    engagement = "score" in posts.columns and "comments" in posts.columns
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # link/score once; both sinks read the cached rows
+        (batch.where(F.size("tickers") > 0)
+         .write.mode("overwrite").parquet(f"{paths['posts']}/batch_id={batch_id}"))
+        (fan_out(batch, feed_engagement=not engagement)
+         .write.mode("overwrite").parquet(f"{paths['ticker_posts']}/batch_id={batch_id}"))
+        batch.unpersist()
+
+    q1 = (posts.writeStream.outputMode("append").foreachBatch(write)
+          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())
+    return q1, paths
+
+
+def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema, trigger: dict | None = None,
+                                width: str = "10 seconds"):
+    """Second stage of the live path: the fan-out folders as a stream -> windowed
+    sentiment (update mode) -> changelog sink."""
+    trigger = trigger or {"processingTime": "10 seconds"}
+    tp = spark.readStream.schema(fanout_schema).parquet(f"{paths['ticker_posts']}/batch_id=*")
+    agg = sentiment_stream(tp, width=width)
+    return (agg.writeStream.outputMode("update").foreachBatch(batch_dir_writer(paths["sentiment"]))
+            .option("checkpointLocation", paths["ckpt_agg"]).trigger(**trigger).start())
