@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from moodlake.functions.dictionaries import KEYWORDS, MAX_SYMBOLS, STOPLIST
 from moodlake.functions.text import candidate_symbols
 
-# Above this many whitelist keys the literal-array form is replaced by a join.
-MAX_LITERAL_KEYS = 50_000
+# Above this many whitelist keys the literal-array form is replaced by a join:
+# array_intersect hashes the literal side once per row, so its cost per row
+# grows with the dictionary, while a broadcast hash join probes in O(1).
+MAX_LITERAL_KEYS = 2_000
 
 
 def symbol_keys(tickers: DataFrame) -> DataFrame:

@@ -28,4 +28,4 @@ def per_source_cap(df: DataFrame, by, order, cap: int) -> DataFrame:
     by = [by] if isinstance(by, str) else list(by)
     order = [order] if isinstance(order, str) else list(order)
     w = Window.partitionBy(*by).orderBy(*[F.col(o) for o in order])
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= cap)

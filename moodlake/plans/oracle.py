@@ -163,7 +163,7 @@ SQL.update({
                CAST(NULL AS INT) AS comments FROM pt
         UNION ALL
         SELECT 'reddit', id, CAST(to_timestamp(created_utc) AT TIME ZONE 'UTC' AS TIMESTAMP), title, channel, score, num_comments FROM l1""",
-    "time_range_scan": f"""WITH {O2} SELECT id, created_at, stance FROM pm
+    "time_range_scan": f"""WITH {O2} SELECT id, created_at, CAST(stance AS INT) AS stance FROM pm
         WHERE created_at >= TIMESTAMP '{RANGE_START}' AND created_at < TIMESTAMP '{RANGE_END}'""",
     "symbol_seed": "SELECT DISTINCT p_brand AS symbol FROM part",
     "symbol_prefix": "SELECT symbol FROM (SELECT DISTINCT p_brand AS symbol FROM part) WHERE symbol LIKE 'Brand#1%' ORDER BY symbol LIMIT 20",
