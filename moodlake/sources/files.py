@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlake import schemas
+from moodlake.functions.dictionaries import BACKFILL_CAP, FEED_CAP, LISTING_CAP
 from moodlake.functions.text import post_text, text_hash
 from moodlake.functions.timefns import as_of_col, epoch_timestamp, feed_timestamp
 
@@ -81,3 +82,23 @@ def listing_posts(records: DataFrame, ingested_at=None) -> DataFrame:
         F.col("score"), F.col("num_comments").alias("comments"),
         F.col("listing"), F.col("pos"),
     ).withColumn("txt_hash", text_hash(post_text()))
+
+
+def feed_poll(items: DataFrame, cap: int = FEED_CAP) -> DataFrame:
+    """One feed poll keeps the first ``cap`` entries of every feed (by position)."""
+    from moodlake.operators.text_ops import per_source_cap
+    return per_source_cap(items, "feed", "pos", cap).drop("rank")
+
+
+def listing_poll(records: DataFrame, backfill: bool = False, since=None) -> DataFrame:
+    """One listing poll: the first 100 'new' and 100 'hot' records per channel, or,
+    for a backfill, the 200 newest 'new' records. ``since`` optionally keeps only
+    records created after that time (the reference only flags backfills)."""
+    from moodlake.operators.text_ops import per_source_cap
+    if backfill:
+        out = per_source_cap(records.where(F.col("listing") == "new"), "channel", "pos", BACKFILL_CAP)
+    else:
+        out = per_source_cap(records, ["channel", "listing"], "pos", LISTING_CAP)
+    if since is not None:
+        out = out.where(epoch_timestamp("created_utc") > as_of_col(since))
+    return out.drop("rank")
