@@ -49,13 +49,15 @@ def similar_posts(posts: DataFrame, post_id: int, k: int = 10, metric: str = "l2
     return out if keep_distance else out.drop("distance")
 
 
-# Elements of one (query chunk x corpus batch x dims) difference tensor.
+# Bounds on temporaries: query chunk x corpus chunk x dims for the difference
+# tensor, and queries x corpus chunk for one distance block.
 _CHUNK_ELEMS = 8_000_000
+_BLOCK_ELEMS = 8_000_000
 
 
 def _pair_distances(q: np.ndarray, m: np.ndarray, metric: str, qn=None) -> np.ndarray:
     """Exact distances of query rows q to corpus rows m, in query chunks so the
-    temporary tensor stays bounded whatever the batch size."""
+    temporary tensor stays bounded."""
     out = np.empty((q.shape[0], m.shape[0]))
     step = max(1, _CHUNK_ELEMS // max(1, m.shape[0] * m.shape[1]))
     if metric == "cosine":
@@ -71,41 +73,96 @@ def _pair_distances(q: np.ndarray, m: np.ndarray, metric: str, qn=None) -> np.nd
     return out
 
 
+def _l2_refined(q: np.ndarray, m: np.ndarray, k: int, excluded: np.ndarray | None = None) -> np.ndarray:
+    """Exact L2 for every pair that can be in a query's top k, +inf elsewhere.
+
+    A BLAS pass (|q|^2 + |m|^2 - 2 q.m) ranks all pairs; every pair within a
+    tolerance far above its rounding error of the k-th value is then recomputed
+    with the exact difference formula, so the kept distances are exact."""
+    q2 = (q * q).sum(axis=1)
+    m2 = (m * m).sum(axis=1)
+    fast = np.sqrt(np.maximum(q2[:, None] + m2[None, :] - 2.0 * (q @ m.T), 0.0))
+    if excluded is not None:
+        fast[excluded] = np.inf
+    kk = min(k, fast.shape[1]) - 1
+    kth = np.partition(fast, kk, axis=1)[:, kk:kk + 1]
+    tol = 1e-6 * (1.0 + np.sqrt(q2)[:, None] + np.sqrt(m2.max(initial=0.0)))
+    rows, cols = np.nonzero((fast <= kth + tol) & np.isfinite(fast))
+    out = np.full(fast.shape, np.inf)
+    out[rows, cols] = np.sqrt(((q[rows] - m[cols]) ** 2).sum(axis=1))
+    return out
+
+
+def _merge_topk(best_d, best_i, d, ids, k):
+    """Exact running top-k per query row by (distance, id): partition to the k-th
+    distance, keep every candidate at or below it (ties included), then sort only
+    those (row, distance, id) triples."""
+    cand_d = np.concatenate([best_d, d], axis=1)
+    cand_i = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
+    nq, width = cand_d.shape
+    if width > k:
+        kth = np.partition(cand_d, k - 1, axis=1)[:, k - 1:k]
+        rows, cols = np.nonzero((cand_d <= kth) & np.isfinite(cand_d))
+    else:
+        rows, cols = np.nonzero(np.isfinite(cand_d))
+    dv, iv = cand_d[rows, cols], cand_i[rows, cols]
+    order = np.lexsort((iv, dv, rows))
+    rows, dv, iv = rows[order], dv[order], iv[order]
+    starts = np.searchsorted(rows, np.arange(nq))
+    pos = np.arange(len(rows)) - starts[rows]
+    keep = pos < k
+    out_d = np.full((nq, k), np.inf)
+    out_i = np.zeros((nq, k), dtype=np.int64)
+    out_d[rows[keep], pos[keep]] = dv[keep]
+    out_i[rows[keep], pos[keep]] = iv[keep]
+    return out_d, out_i
+
+
 def _topk_partition(q_ids: np.ndarray, q_mat: np.ndarray, k: int, metric: str, exclude_self: bool,
                     id_col: str, vec_col: str, q_probe: np.ndarray | None = None):
     """mapInPandas body: running exact top-k per query over one corpus partition.
-    With ``q_probe`` (queries x probes cell ids) only corpus rows whose ``cell``
-    is among a query's probes are candidates for it."""
+
+    Corpus rows are taken in chunks so a (queries x chunk) distance block stays
+    bounded. With ``q_probe`` (queries x probes cell ids) distances are computed
+    only between a cell's rows and the queries probing that cell."""
     qn = np.linalg.norm(q_mat, axis=1) if metric == "cosine" else None
+    nq = len(q_ids)
+    chunk = max(1, _BLOCK_ELEMS // max(1, nq))
+
+    def block(ids, mat, cells):
+        excluded = (q_ids[:, None] == ids[None, :]) if exclude_self else None
+        if q_probe is None and metric == "l2":
+            return _l2_refined(q_mat, mat, k, excluded)
+        if q_probe is None:
+            d = _pair_distances(q_mat, mat, metric, qn)
+        else:
+            d = np.full((nq, len(ids)), np.inf)
+            for c in np.unique(cells):
+                cols = np.nonzero(cells == c)[0]
+                qs = np.nonzero((q_probe == c).any(axis=1))[0]
+                if len(qs):
+                    d[np.ix_(qs, cols)] = _pair_distances(q_mat[qs], mat[cols], metric,
+                                                          None if qn is None else qn[qs])
+        if excluded is not None:
+            d[excluded] = np.inf
+        return d
 
     def run(batches):
-        best_d = np.full((len(q_ids), 0), np.inf)
-        best_i = np.zeros((len(q_ids), 0), dtype=np.int64)
+        best_d = np.full((nq, 0), np.inf)
+        best_i = np.zeros((nq, 0), dtype=np.int64)
         for pdf in batches:
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0:
                 continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
-            if mat.ndim != 2 or mat.shape[1] != q_mat.shape[1]:
+            all_ids = pdf[id_col].to_numpy(dtype=np.int64)
+            all_mat = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            if all_mat.ndim != 2 or all_mat.shape[1] != q_mat.shape[1]:
                 continue
-            d = _pair_distances(q_mat, mat, metric, qn)
-            if exclude_self:
-                d = np.where(q_ids[:, None] == ids[None, :], np.inf, d)
-            if q_probe is not None:
-                cells = pdf["cell"].to_numpy(dtype=np.int64)
-                allowed = (q_probe[:, :, None] == cells[None, None, :]).any(axis=1)
-                d = np.where(allowed, d, np.inf)
-            # keep only the k smallest per query (ties at the k-th value included),
-            # then order exactly by (distance, id)
-            cand_d = np.concatenate([best_d, d], axis=1)
-            cand_i = np.concatenate([best_i, np.broadcast_to(ids, d.shape)], axis=1)
-            if cand_d.shape[1] > k:
-                kth = np.partition(cand_d, k - 1, axis=1)[:, k - 1:k]
-                cand_d = np.where(cand_d <= kth, cand_d, np.inf)
-            order = np.lexsort((cand_i, cand_d), axis=1)[:, :k]
-            best_d = np.take_along_axis(cand_d, order, axis=1)
-            best_i = np.take_along_axis(cand_i, order, axis=1)
+            all_cells = pdf["cell"].to_numpy(dtype=np.int64) if q_probe is not None else None
+            for s0 in range(0, len(all_ids), chunk):
+                ids, mat = all_ids[s0:s0 + chunk], all_mat[s0:s0 + chunk]
+                cells = None if all_cells is None else all_cells[s0:s0 + chunk]
+                best_d, best_i = _merge_topk(best_d, best_i, block(ids, mat, cells), ids, k)
         if best_d.shape[1] == 0:
             return
         qq = np.repeat(q_ids, best_d.shape[1])
@@ -127,6 +184,11 @@ def similar_posts_batch(posts: DataFrame, queries: DataFrame, k: int = 10, metri
     q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")).where(F.col("qv").isNotNull())
     n = q.count()
     corpus = posts.select(id_col, vec_col, *(["cell"] if probe_fn is not None else []))
+    # A corpus read as fewer splits than the cluster has cores (one small file)
+    # is spread out; a large corpus keeps its file splits and is never shuffled.
+    par = spark.sparkContext.defaultParallelism
+    if corpus.rdd.getNumPartitions() < par:
+        corpus = corpus.repartition(par)
     schema = f"qid long, {id_col} long, distance double"
     parts = []
     n_blocks = max(1, -(-n // MAX_QUERY_BLOCK))
