@@ -29,7 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def register(key: str):
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: for_check(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # every time function assumes UTC (feed dates, epochs, bucket bounds)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return for_check(fn(spark, sf_dir))
+
+        QUERIES[key] = run
         QUERIES[key].__name__ = key
         return fn
     return deco
