@@ -4,13 +4,14 @@
   once, inlined into every task), the corpus is scanned in place and a
   per-partition top-k (TakeOrderedAndProject) keeps k rows per task. No join,
   no shuffle of the corpus.
-* ``similar_posts_batch`` — many query posts: the query block (size-checked) is
-  broadcast, every corpus partition computes distances with numpy inside an
-  Arrow-batched ``mapInPandas`` and keeps only its k best per query, then one
-  small shuffle on the query id picks the global k. Pairs are never
-  materialised as rows.
-* ``similar_posts_approx`` — ivfflat-style: k-means cells, probe the nearest
-  cells only (an equi-join on the cell id, no cartesian product).
+* ``similar_posts_batch`` — many query posts. A size-checked small query set
+  is broadcast and every corpus partition computes distances with numpy inside
+  an Arrow-batched ``mapInPandas``, keeping only its k best per query; a large
+  query set takes a blocked ``cogroup`` plan instead and never passes the
+  driver. Either way pairs are never materialised as rows, and one small
+  shuffle on the query id picks the global k.
+* ``similar_posts_approx`` — ivfflat-style: k-means cells; each query scans only
+  its nearest cells, through the same blocked plan (hot cells are split).
 """
 
 from __future__ import annotations
@@ -173,70 +174,136 @@ def _topk_partition(q_ids: np.ndarray, q_mat: np.ndarray, k: int, metric: str, e
     return run
 
 
-def similar_posts_batch(posts: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
-                        id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = True,
-                        probe_fn=None) -> DataFrame:
-    """(qid, id, distance, rank) — the exact k nearest posts for every query row.
+# Rows per side of one cogroup task in the distributed (blocked) plan.
+MAX_GROUP_ROWS = 20_000
+
+
+def _final_topk(cand: DataFrame, k: int, id_col: str) -> DataFrame:
+    """Global top-k per query from per-block candidates (at most k per block);
+    Catalyst adds a partial WindowGroupLimit before the shuffle on qid."""
+    w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col(id_col).asc())
+    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
-    Queries are processed in broadcast blocks of at most MAX_QUERY_BLOCK rows;
-    each block is one distributed pass over the corpus."""
+
+def _broadcast_topk(posts: DataFrame, q: DataFrame, k: int, metric: str, id_col: str, vec_col: str,
+                    exclude_self: bool) -> DataFrame:
+    """Fast path for a query set of proven small size: broadcast it, scan the
+    corpus in place (no shuffle of the corpus)."""
     spark = posts.sparkSession
-    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")).where(F.col("qv").isNotNull())
-    n = q.count()
-    corpus = posts.select(id_col, vec_col, *(["cell"] if probe_fn is not None else []))
+    corpus = posts.select(id_col, vec_col)
     # A corpus read as fewer splits than the cluster has cores (one small file)
     # is spread out; a large corpus keeps its file splits and is never shuffled.
     par = spark.sparkContext.defaultParallelism
     if corpus.rdd.getNumPartitions() < par:
         corpus = corpus.repartition(par)
+    rows = q.collect()  # size checked by the caller: at most MAX_QUERY_BLOCK rows
+    q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
+    q_mat = np.array([r["qv"] for r in rows], dtype=np.float64)
+    bc = spark.sparkContext.broadcast((q_ids, q_mat))
+
+    def fn(batches):
+        ids_, mat_ = bc.value
+        yield from _topk_partition(ids_, mat_, k, metric, exclude_self, id_col, vec_col)(batches)
+
+    return corpus.mapInPandas(fn, f"qid long, {id_col} long, distance double")
+
+
+def _blocked_topk(corpus: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vec_col: str,
+                  exclude_self: bool) -> DataFrame:
+    """Fully distributed top-k candidates. ``corpus`` has (id, vec, cell) and
+    ``queries`` (qid, qv, cell) with one row per cell a query must scan.
+
+    Each cell's corpus rows are split into S_c sub-blocks and its query rows into
+    T_c sub-blocks (from per-cell counts, n_cells rows collected), so every
+    cogroup task holds at most ~MAX_GROUP_ROWS rows per side, however hot the
+    cell. Corpus rows are replicated over the T_c query sub-blocks and query rows
+    over the S_c corpus sub-blocks; each (cell, s, t) task computes distances in
+    numpy and emits only its k best per query — pairs never become rows."""
+    cc = {r["cell"]: r["n"] for r in corpus.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    qc = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def blocks(counts):
+        pairs = [(int(c), max(1, -(-int(n) // MAX_GROUP_ROWS))) for c, n in counts.items()]
+        if not pairs:
+            return F.lit(1)
+        m = F.create_map(*[F.lit(v) for kv in pairs for v in kv])
+        return F.coalesce(F.element_at(m, F.col("cell")), F.lit(1))
+
+    s_of, t_of = blocks(cc), blocks(qc)
+    c = (corpus.withColumn("s", F.pmod(F.xxhash64(id_col), s_of.cast("long")).cast("int"))
+         .withColumn("t", F.explode(F.sequence(F.lit(0), t_of - 1))))
+    q = (queries.withColumn("t", F.pmod(F.xxhash64("qid"), t_of.cast("long")).cast("int"))
+         .withColumn("s", F.explode(F.sequence(F.lit(0), s_of - 1))))
     schema = f"qid long, {id_col} long, distance double"
-    parts = []
-    n_blocks = max(1, -(-n // MAX_QUERY_BLOCK))
-    for b in range(n_blocks):
-        blk = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        rows = blk.collect()  # bounded: at most ~MAX_QUERY_BLOCK rows
-        if not rows:
-            continue
-        q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-        q_mat = np.array([r["qv"] for r in rows], dtype=np.float64)
-        q_probe = probe_fn(q_mat) if probe_fn is not None else None
-        bc = spark.sparkContext.broadcast((q_ids, q_mat, q_probe))
-
-        def fn(batches, bc=bc):
-            ids_, mat_, probe_ = bc.value
-            yield from _topk_partition(ids_, mat_, k, metric, exclude_self, id_col, vec_col, probe_)(batches)
-
-        parts.append(corpus.mapInPandas(fn, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank long")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.col("distance").asc(), F.col(id_col).asc())
-    return cand.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    empty = pd.DataFrame({"qid": pd.Series([], dtype="int64"), id_col: pd.Series([], dtype="int64"),
+                          "distance": pd.Series([], dtype="float64")})
+
+    def fn(cpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(cpdf) == 0 or len(qpdf) == 0:
+            return empty
+        q_ids = qpdf["qid"].to_numpy(dtype=np.int64)
+        q_mat = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
+        out = list(_topk_partition(q_ids, q_mat, k, metric, exclude_self, id_col, vec_col)(
+            iter([cpdf[[id_col, vec_col]]])))
+        return out[0] if out else empty
+
+    return (c.select("cell", "s", "t", id_col, vec_col).groupBy("cell", "s", "t")
+            .cogroup(q.select("cell", "s", "t", "qid", "qv").groupBy("cell", "s", "t"))
+            .applyInPandas(fn, schema))
+
+
+def similar_posts_batch(posts: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
+                        id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """(qid, id, distance, rank) — the exact k nearest posts for every query row.
+
+    A query set of at most MAX_QUERY_BLOCK rows (checked) is broadcast and the
+    corpus scanned in place; a larger one never passes the driver: it takes the
+    blocked cogroup plan (every query block meets every corpus block once)."""
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")).where(F.col("qv").isNotNull())
+    if q.limit(MAX_QUERY_BLOCK + 1).count() <= MAX_QUERY_BLOCK:
+        cand = _broadcast_topk(posts, q, k, metric, id_col, vec_col, exclude_self)
+    else:
+        corpus = posts.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).withColumn("cell", F.lit(0))
+        cand = _blocked_topk(corpus, q.withColumn("cell", F.lit(0)), k, metric, id_col, vec_col, exclude_self)
+    return _final_topk(cand, k, id_col)
 
 
 def similar_posts_approx(posts: DataFrame, queries: DataFrame, k: int = 10, n_cells: int = 64,
                          n_probe: int = 4, metric: str = "l2", id_col: str = "id",
                          vec_col: str = "embedding", seed: int = 7, exclude_self: bool = True) -> DataFrame:
     """Inverted-file approximate kNN: distributed k-means (pyspark.ml) splits the
-    corpus into ``n_cells`` cells; each query scans only its ``n_probe`` nearest
-    cells. Cell centroids (n_cells x dims) are the only thing collected."""
+    corpus into ``n_cells`` cells; each query scans only the rows of its
+    ``n_probe`` nearest cells, through the blocked cogroup plan (hot cells are
+    split). Only the centroids (n_cells x dims) and per-cell counts are collected."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    spark = posts.sparkSession
     clean = posts.where(F.col(vec_col).isNotNull())
     feats = clean.select(id_col, vec_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     model = KMeans(k=n_cells, seed=seed, maxIter=20, featuresCol="features", predictionCol="cell").fit(feats)
     centers = np.array([c for c in model.clusterCenters()], dtype=np.float64)
-    cells = model.transform(feats).select(id_col, vec_col, F.col("cell").cast("long").alias("cell"))
+    corpus = model.transform(feats).select(id_col, vec_col, F.col("cell").cast("long").alias("cell"))
     probes = min(n_probe, len(centers))
+    bc = spark.sparkContext.broadcast(centers)
 
-    def probe_fn(q_mat):
-        d = ((q_mat[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2)
-        return np.argsort(d, axis=1)[:, :probes].astype(np.int64)
+    def probe(batches):
+        cen = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            mat = np.stack(pdf["qv"].to_numpy()).astype(np.float64)
+            d = ((mat[:, None, :] - cen[None, :, :]) ** 2).sum(axis=2)
+            near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+            yield pd.DataFrame({"qid": np.repeat(pdf["qid"].to_numpy(dtype=np.int64), probes),
+                                "qv": np.repeat(pdf["qv"].to_numpy(), probes),
+                                "cell": near.ravel().astype(np.int64)})
 
-    return similar_posts_batch(cells, queries, k, metric, id_col, vec_col, exclude_self, probe_fn)
+    q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")).where(F.col("qv").isNotNull())
+    qv_type = q.schema["qv"].dataType.simpleString()
+    q_cells = q.mapInPandas(probe, f"qid long, qv {qv_type}, cell long")
+    cand = _blocked_topk(corpus, q_cells, k, metric, id_col, vec_col, exclude_self)
+    return _final_topk(cand, k, id_col)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, id_col: str = "id") -> DataFrame:
