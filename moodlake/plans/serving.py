@@ -8,11 +8,12 @@ the Parquet scan, and every LIMIT is planned as a per-partition top-k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodlake.functions.dictionaries import BATCH_SIZE
 from moodlake.functions.timefns import as_of_col, hours_before, minutes_before, seconds_between
+from moodlake.operators.quantiles import exact_quantile
 
 SERIES_COLS = ("bucket", "vw_sentiment", "n_posts", "pos_ct", "neu_ct", "neg_ct")
 
@@ -58,42 +59,52 @@ def pipeline_count(posts: DataFrame, minutes: int = 5, as_of=None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("last_5m_count")))
 
 
+def _latency_window(as_of, minutes: int) -> Column:
+    lo = minutes_before(as_of, minutes)
+    return (F.col("classified_at").isNotNull() & (F.col("classified_at") > lo)
+            & (F.col("ingested_at") > lo) & ~F.coalesce(F.col("is_backfill"), F.lit(False)))
+
+
+def _rounded_seconds(p) -> Column:
+    """NULL -> 0, half-even to 2 places (on the decimal value, not the binary double)."""
+    p = F.lit(p).cast("double") if not isinstance(p, Column) else p
+    return (F.coalesce(F.bround(p.cast("decimal(38,9)"), 2), F.lit(0).cast("decimal(38,9)"))
+            .cast("double").alias("p95_latency_sec"))
+
+
+def latency_p95_value(posts: DataFrame, minutes: int = 10, as_of=None):
+    """Exact p95 (seconds, unrounded; None if no row) of classified_at - ingested_at
+    over the window. Distributed rank selection (operators/quantiles.py): no
+    task or driver ever holds the window's values."""
+    lat = seconds_between("ingested_at", "classified_at")
+    return exact_quantile(posts.where(_latency_window(as_of, minutes)), lat, 0.95)
+
+
 def pipeline_latency_p95(posts: DataFrame, minutes: int = 10, as_of=None, exact: bool = True) -> DataFrame:
     """p95 of classified_at - ingested_at in seconds over the last `minutes`
     (both stamps), backfill excluded; NULL -> 0, rounded half-even to 2 places.
-    The exact form buffers the window's values per group; ``exact=False`` uses
-    percentile_approx for long windows."""
-    lo = minutes_before(as_of, minutes)
-    cond = (F.col("classified_at").isNotNull() & (F.col("classified_at") > lo)
-            & (F.col("ingested_at") > lo) & ~F.coalesce(F.col("is_backfill"), F.lit(False)))
+    The exact value is found by distributed rank selection when the function is
+    called; ``exact=False`` stays lazy and uses a percentile_approx sketch."""
+    spark = posts.sparkSession
+    if exact:
+        return spark.range(1).select(_rounded_seconds(latency_p95_value(posts, minutes, as_of)))
     lat = seconds_between("ingested_at", "classified_at")
-    p = F.percentile(lat, F.lit(0.95)) if exact else F.percentile_approx(lat, F.lit(0.95), F.lit(10000))
-    return (posts.where(cond).agg(p.alias("p"))
-            .select(F.coalesce(F.bround(F.col("p").cast("decimal(38,9)"), 2), F.lit(0).cast("decimal(38,9)"))
-                    .cast("double").alias("p95_latency_sec")))
+    p = F.percentile_approx(lat, F.lit(0.95), F.lit(10000))
+    return posts.where(_latency_window(as_of, minutes)).agg(p.alias("p")).select(_rounded_seconds(F.col("p")))
 
 
 def pipeline_metrics(posts: DataFrame, as_of=None, batch_size: int = BATCH_SIZE,
                      count_minutes: int = 5, latency_minutes: int = 10) -> DataFrame:
     """One row: p95_latency_sec, last_5m_count, batched_avg_size.
 
-    Both metrics come from ONE scan and one global aggregate: each is a
-    conditional aggregate, and the scan keeps only rows ingested inside the
-    wider of the two windows (pushed to Parquet)."""
-    lo_count = minutes_before(as_of, count_minutes)
-    lo_lat = minutes_before(as_of, latency_minutes)
-    wide = F.least(lo_count, lo_lat)
-    in_lat = (F.col("classified_at").isNotNull() & (F.col("classified_at") > lo_lat)
-              & (F.col("ingested_at") > lo_lat) & ~F.coalesce(F.col("is_backfill"), F.lit(False)))
-    lat = F.when(in_lat, seconds_between("ingested_at", "classified_at"))
-    agg = posts.where(F.col("ingested_at") > wide).agg(
-        F.percentile(lat, F.lit(0.95)).alias("p"),
-        F.count_if(F.col("ingested_at") > lo_count).alias("last_5m_count"))
-    return agg.select(
-        F.coalesce(F.bround(F.col("p").cast("decimal(38,9)"), 2), F.lit(0).cast("decimal(38,9)"))
-         .cast("double").alias("p95_latency_sec"),
-        F.coalesce("last_5m_count", F.lit(0)).cast("long").alias("last_5m_count"),
-        F.lit(batch_size).alias("batched_avg_size"))
+    The count is one pruned scan with a partial/final count; the p95 is the
+    exact distributed rank selection of ``latency_p95_value`` (a global exact
+    percentile aggregate would merge the whole window in one task)."""
+    p95 = latency_p95_value(posts, latency_minutes, as_of)
+    cnt = posts.where(F.col("ingested_at") > minutes_before(as_of, count_minutes)).agg(
+        F.count(F.lit(1)).alias("last_5m_count"))
+    return cnt.select(_rounded_seconds(p95), F.col("last_5m_count").cast("long").alias("last_5m_count"),
+                      F.lit(batch_size).alias("batched_avg_size"))
 
 
 def recent_sample(posts: DataFrame, as_of=None, days: int = 1, n: int = 10000) -> DataFrame:
