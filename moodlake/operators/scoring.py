@@ -117,16 +117,22 @@ def fanout_writeback(ticker_posts: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def train_embedder(texts: DataFrame, text_col: str = "text", vector_size: int = 384,
-                   min_count: int = 1, seed: int = 11, max_iter: int = 1):
+                   min_count: int = 1, seed: int = 11, max_iter: int = 1, num_partitions: int | None = None):
     """Default text encoder: Word2Vec; its transform is the mean of the word
-    vectors of the text (mean pooling over all tokens of the whole text)."""
+    vectors of the text (mean pooling over all tokens of the whole text).
+
+    Training runs on ``num_partitions`` tasks (default: the input's partition
+    count; Spark's own default is a single task). Word2Vec keeps its vocabulary
+    (words seen at least ``min_count`` times) on the driver and broadcasts the
+    word vectors, so on a large corpus raise ``min_count`` to bound it."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import RegexTokenizer, Word2Vec
 
+    parts = num_partitions or max(1, texts.rdd.getNumPartitions())
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", minTokenLength=1),
         Word2Vec(inputCol="__tok", outputCol="__vec", vectorSize=vector_size, minCount=min_count,
-                 seed=seed, maxIter=max_iter),
+                 seed=seed, maxIter=max_iter, numPartitions=parts),
     ]).fit(texts)
 
 

@@ -65,3 +65,24 @@ def test_default_scorer_probabilities(spark):
     for r in rows:
         assert abs(r.probs.neg + r.probs.neu + r.probs.pos - 1) < 1e-9
         assert r.stance in (-1, 0, 1)
+
+
+def test_embedder_is_mean_of_word_vectors_over_whole_text(spark):
+    import numpy as np
+
+    from moodlake.operators import scoring
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    model = scoring.train_embedder(docs.repartition(3), vector_size=8, num_partitions=3)
+    vecs = {r.word: np.array(r.vector.toArray()) for r in model.stages[-1].getVectors().collect()}
+    one = scoring.embed_with_model(model, docs.repartition(1)).collect()
+    many = {r.id: r.embedding for r in scoring.embed_with_model(model, docs.repartition(7)).collect()}
+    tok = model.stages[0]
+    toks = {r.id: r["__tok"] for r in tok.transform(docs).select("id", "__tok").collect()}
+    longest = max(toks, key=lambda i: len(toks[i]))
+    assert len(toks[longest]) > 1000  # whole texts, beyond any 512-token model limit
+    for r in one:
+        assert r.embedding == many[r.id]  # partitioning does not change a vector
+        t = toks[r.id]
+        expect = np.mean([vecs[w] for w in t], axis=0) if t else np.zeros(8)
+        assert np.allclose(r.embedding, expect, atol=1e-5)
