@@ -77,6 +77,33 @@ def batch_logits_udf(make_predict_fn, n_classes: int = 3, batch_size: int = BATC
                              batch_size=batch_size)
 
 
+def hashing_text_model(num_features: int = 4096, n_classes: int = 3, seed: int = 5):
+    """A ``make_predict_fn`` for ``batch_logits_udf``: a linear model over hashed
+    word counts (crc32, stable across workers), fixed random weights. It stands
+    in for an external batched model (the contract an ONNX session meets) in
+    tests and in the batch-size cost measurement."""
+    def make():
+        import re
+        import zlib
+
+        import numpy as np
+
+        w = np.random.default_rng(seed).normal(0, 0.05, (num_features, n_classes)).astype(np.float32)
+        word = re.compile(r"\w+")
+
+        def predict(texts):
+            x = np.zeros((len(texts), num_features), dtype=np.float32)
+            for i, t in enumerate(texts):
+                h = [zlib.crc32(tok.encode()) % num_features for tok in word.findall(str(t).lower())]
+                if h:
+                    x[i] = np.bincount(h, minlength=num_features)
+            return np.log1p(x) @ w
+
+        return predict
+
+    return make
+
+
 def _ensure(df: DataFrame, name: str, dtype) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 
