@@ -65,7 +65,7 @@ def q_closed(spark, sf_dir):
 
 @register("sentiment_series")
 def q_series(spark, sf_dir):
-    return V.sentiment_series(_view10s(spark, sf_dir), SERIES_TICKER, from_hours=24, as_of=SERIES_AS_OF)
+    return V.sentiment_series_from_facts(_mentions(spark, sf_dir), SERIES_TICKER, from_hours=24, as_of=SERIES_AS_OF)
 
 
 @register("sentiment_latest")
@@ -80,7 +80,8 @@ def q_latest_all(spark, sf_dir):
 
 @register("chart_feed")
 def q_chart(spark, sf_dir):
-    return V.chart_feed(_view10s(spark, sf_dir), SERIES_TICKER, from_hours=24, as_of=SERIES_AS_OF)
+    return V.chart_rows(V.sentiment_series_from_facts(_mentions(spark, sf_dir), SERIES_TICKER, from_hours=24,
+                                                      as_of=SERIES_AS_OF))
 
 
 def _meta(spark, sf_dir):

@@ -25,6 +25,21 @@ def sentiment_series(view: DataFrame, ticker: str, from_hours: int = 1, as_of=No
             .orderBy(F.col("bucket").desc()))
 
 
+def sentiment_series_from_facts(ticker_posts: DataFrame, ticker: str, from_hours: int = 1, as_of=None,
+                                 width: str = "10 seconds", time_col: str = "created_at") -> DataFrame:
+    """``sentiment_series`` computed from the fan-out facts instead of a stored view.
+
+    A bucket newer than the bound holds only rows newer than the bound, so the
+    facts are pre-filtered on the raw event time (exact): the predicate reaches
+    the Parquet scan (row-group skipping, partition pruning on a stored table)
+    together with the symbol, and only the look-back window is aggregated."""
+    from moodlake.operators.sentiment import sentiment_buckets
+
+    lo = hours_before(as_of, from_hours)
+    facts = ticker_posts.where((F.col("ticker") == F.lit(ticker)) & (F.col(time_col) > lo))
+    return sentiment_series(sentiment_buckets(facts, width, time_col), ticker, from_hours, as_of)
+
+
 def sentiment_latest(view: DataFrame, ticker: str) -> DataFrame:
     """The newest bucket of one symbol: one row, or none."""
     return (view.where(F.col("ticker") == F.lit(ticker))
@@ -37,7 +52,12 @@ def chart_feed(view: DataFrame, ticker: str, from_hours: int = 24, as_of=None,
                time_format: str = "HH:mm:ss") -> DataFrame:
     """Dashboard series: oldest first, bucket formatted as time of day."""
     s = sentiment_series(view, ticker, from_hours, as_of)
-    return (s.orderBy(F.col("bucket").asc())
+    return chart_rows(s, time_format)
+
+
+def chart_rows(series: DataFrame, time_format: str = "HH:mm:ss") -> DataFrame:
+    """Series rows reversed to ascending time, renamed for the chart."""
+    return (series.orderBy(F.col("bucket").asc())
             .select(F.date_format("bucket", time_format).alias("time"),
                     F.col("vw_sentiment").alias("sentiment"),
                     F.col("n_posts").alias("posts")))

@@ -90,3 +90,9 @@ def test_fanout_links_once_inside_codegen(spark):
     p = plan(E.queries()["symbol_fanout"](spark, SF001))
     assert p.count("regexp_extract_all") == 1
     assert "lambdafunction" not in p
+
+
+def test_series_from_facts_pushes_symbol_and_time_to_scan(spark):
+    p = plan(E.queries()["sentiment_series"](spark, SF001))
+    scan = p[p.index("PushedFilters"):]
+    assert "EqualTo(event_type,click)" in scan and "GreaterThan(ts," in scan
