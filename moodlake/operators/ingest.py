@@ -62,3 +62,13 @@ def with_post_defaults(posts: DataFrame, ingested_at=None) -> DataFrame:
         out = out.withColumn("ingested_at", F.current_timestamp() if ingested_at is None
                              else F.lit(str(ingested_at)).cast("timestamp"))
     return out
+
+
+def split_vector_size(df: DataFrame, dim: int, vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) by the declared vector size: a NULL vector is accepted
+    (the column is nullable), a vector of any other length is rejected — the
+    store's fixed-size guard. A filter pair on one input, no shuffle; rejected
+    rows go to quarantine instead of failing the batch."""
+    from moodlake.functions.vectors import has_dim
+    ok = F.col(vec_col).isNull() | has_dim(vec_col, dim)
+    return df.where(ok), df.where(~ok)

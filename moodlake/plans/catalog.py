@@ -346,6 +346,17 @@ def q_mean_pool(spark, sf_dir):
     return SIM.mean_pool_long(_vec_posts(spark, sf_dir), "label")
 
 
+VECTOR_DIM = 64  # declared size of the fixture's vectors (the reference declares 384)
+
+
+@register("vector_size_guard")
+def q_vector_guard(spark, sf_dir):
+    ok, bad = IG.split_vector_size(O.torn_vectors(O.load(spark, sf_dir, "embeddings")), VECTOR_DIM)
+    dims = F.coalesce(F.size("embedding"), F.lit(-1)).alias("dims")
+    return (ok.select("id", dims, F.lit(1).alias("accepted"))
+            .unionByName(bad.select("id", dims, F.lit(0).alias("accepted"))))
+
+
 # --- scoring ----------------------------------------------------------------
 
 WRITEBACK_AS_OF = "2024-02-01 00:00:00"

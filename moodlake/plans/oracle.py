@@ -202,6 +202,12 @@ DEC = """lg AS (SELECT vec_id AS id, [CAST(embedding[1] AS DOUBLE), CAST(embeddi
   dec AS (SELECT id, p[1] AS neg, p[2] AS neu, p[3] AS pos, CAST([-1, 0, 1][list_position(p, list_max(p))] AS SMALLINT) AS stance FROM pr)"""
 
 SQL.update({
+    "vector_size_guard": """WITH o11 AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 13 = 12 THEN NULL
+                                  WHEN vec_id % 9 = 8 THEN embedding[1:len(embedding) - 1]
+                                  ELSE embedding END AS embedding FROM embeddings)
+        SELECT id, CAST(coalesce(len(embedding), -1) AS INT) AS dims,
+               CASE WHEN embedding IS NULL OR len(embedding) = 64 THEN 1 ELSE 0 END AS accepted FROM o11""",
     "similar_posts": _similar(L2),
     "similar_posts_cosine": _similar(COS),
     "similar_posts_batch": f"""SELECT qid, id, round(distance, 9) AS distance, rank FROM (

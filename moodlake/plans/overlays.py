@@ -141,3 +141,12 @@ def listing_json_lines(documents: DataFrame) -> DataFrame:
         F.lit("new").alias("listing"), pid.cast("int").alias("pos")))
     line = F.when(pid % 11 == 10, F.substr(rec, F.lit(1), (F.length(rec) / 2).cast("int"))).otherwise(rec)
     return p.select(line.alias("value"))
+
+
+def torn_vectors(embeddings: DataFrame) -> DataFrame:
+    """O11: post vectors where every ninth one lost its last dimension and every
+    thirteenth is missing (NULL) — input for the fixed-size vector guard."""
+    vid, e = F.col("vec_id"), F.col("embedding")
+    vec = (F.when(vid % 13 == 12, F.lit(None).cast("array<float>"))
+           .when(vid % 9 == 8, F.slice(e, 1, F.size(e) - 1)).otherwise(e))
+    return embeddings.select(vid.alias("id"), vec.alias("embedding"), "label")
