@@ -472,3 +472,24 @@ def q_stream_ingest(spark, sf_dir):
     ST.run_available(linked.writeStream.outputMode("append").foreachBatch(write), scratch_dir(spark, "ckpt_ingest"))
     return (spark.read.parquet(fan_sink).drop("batch_id")
             .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+
+
+@register("stream_insert_if_absent")
+def q_stream_store(spark, sf_dir):
+    """Landed feed posts (every poll re-delivers the previous one) -> per-batch
+    first write + anti join against the stored posts -> linking -> posts and
+    fan-out sinks; the fan-out equals the batch fan-out of the distinct posts."""
+    posts = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
+    land = scratch_dir(spark, "landed_posts_store")
+    ST.land_polls(posts, land, "created_at", TEXT_POLL_SECONDS, EVENT_ORIGIN, fmt="json")
+
+    def link(df):
+        return SY.extract_symbols(df, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
+
+    q, paths = ST.start_store_pipeline(spark, land, posts.schema, scratch_dir(spark, "live_store"), link,
+                                       trigger={"availableNow": True}, max_files_per_trigger=8)
+    q.awaitTermination(900)
+    if q.exception() is not None:
+        raise q.exception()
+    return (spark.read.parquet(paths["ticker_posts"]).drop("batch_id")
+            .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))

@@ -234,4 +234,5 @@ SQL.update({
     "stream_late_rows": SQL["sentiment_buckets_10s"],
     "stream_dedup": "SELECT event_id, ts, event_type, round(value, 9) AS value FROM events",
     "stream_ingest": SQL["symbol_fanout"],
+    "stream_insert_if_absent": SQL["symbol_fanout"],
 })

@@ -56,3 +56,34 @@ def test_replay_inserts_nothing_new(spark):
     from moodlake.plans.catalog import QUERIES
     df = QUERIES["replay_idempotent"](spark, SF01)  # asserts internally that the replay added no rows
     assert df.count() == df.select("source", "external_id", "created_at").distinct().count()
+
+
+def test_store_writer_is_idempotent_and_dedups_forever(spark):
+    from moodlake.operators import symbols as SY2
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    posts = O.posts_text(docs).withColumn("text", post_text())
+
+    def link(df):
+        return SY2.extract_symbols(df, "text", {k: k for k in O.O6_WHITELIST}, O.O6_STOPLIST, O.O6_KEYWORDS)
+
+    root = scratch_dir(spark, "store_writer")
+    write = ST.store_insert_writer(root, link)
+    first = posts.where(F.col("id") % 2 == 0)
+    hot = posts.where(F.col("id") == 4)
+    for _ in range(5):  # one post re-delivered many times inside the batch
+        first = first.unionByName(hot)
+    write(first, 0)
+    fan0 = spark.read.parquet(f"{root}/ticker_posts").count()
+    write(first, 0)  # the same batch re-executed: replaces its own output
+    assert spark.read.parquet(f"{root}/ticker_posts").count() == fan0
+    # batch 1 re-sends every old post (days "late") plus the rest
+    write(posts, 1)
+    stored = spark.read.parquet(f"{root}/posts")
+    keys = stored.select("source", "external_id", "created_at")
+    assert stored.count() == keys.distinct().count()
+    expect = link(posts).where(F.size("tickers") > 0).count()
+    assert stored.count() == expect
+    fan = spark.read.parquet(f"{root}/ticker_posts").drop("batch_id")
+    batch = SY2.fan_out(link(posts), feed_engagement=True)
+    assert fan.count() == batch.count()
