@@ -59,11 +59,88 @@ def whitelist_hits(cands: Column, whitelist, stoplist=STOPLIST) -> Column:
     return F.transform(hits, lambda k: F.element_at(m, k))
 
 
+# Above this many keywords the in-row CASE list (one substring test per keyword
+# per row, and a generated method that outgrows codegen) is replaced by one
+# Aho-Corasick pass over each text: linear in the text, whatever the dictionary.
+MAX_LITERAL_KEYWORDS = 256
+# Largest keyword dictionary shipped to the matchers (a broadcast of a few
+# tens of MB); a dictionary DataFrame is size-checked against it before collecting.
+MAX_BROADCAST_KEYWORDS = 1_000_000
+
+
+def keyword_pairs(keywords) -> list[tuple[str, str]]:
+    """(keyword, symbol) pairs from a pair list or a DataFrame (keyword, symbol),
+    the latter collected only after a bounded count proves it fits a broadcast."""
+    if isinstance(keywords, DataFrame):
+        kw = keywords.select(F.col("keyword").cast("string"), F.col("symbol").cast("string")).distinct()
+        if kw.limit(MAX_BROADCAST_KEYWORDS + 1).count() > MAX_BROADCAST_KEYWORDS:
+            raise ValueError(f"keyword dictionary larger than {MAX_BROADCAST_KEYWORDS} entries")
+        return [(r[0], r[1]) for r in kw.collect() if r[0] and r[1]]
+    return [(k, s) for k, s in keywords]
+
+
+_AUTOMATA: dict = {}
+
+
+def _automaton(bc):
+    """One automaton per Python worker and dictionary (keyed by the token the
+    dictionary was broadcast with)."""
+    token, pairs = bc.value
+    a = _AUTOMATA.get(token)
+    if a is None:
+        import ahocorasick
+
+        syms: dict[str, set] = {}
+        for k, s in pairs:
+            syms.setdefault(k, set()).add(s)
+        a = ahocorasick.Automaton()
+        for k, ss in syms.items():
+            a.add_word(k, tuple(sorted(ss)))
+        a.make_automaton()
+        _AUTOMATA.clear()
+        _AUTOMATA[token] = a
+    return a
+
+
+def keyword_hits_automaton(lower_text: Column, keywords) -> Column:
+    """Large-dictionary form of ``keyword_hits``: an Arrow-batched pandas UDF that
+    runs one Aho-Corasick automaton (all keywords at once, overlapping matches
+    included) over each whole lower-cased text. Only the text column crosses to
+    Python; the rest of the row stays in the JVM."""
+    import pandas as pd
+    from pyspark.sql import SparkSession
+    from pyspark.sql.functions import pandas_udf
+
+    pairs = [(k, s) for k, s in keyword_pairs(keywords) if k]
+    if not pairs:
+        return F.array().cast("array<string>")
+    import uuid
+
+    bc = SparkSession.getActiveSession().sparkContext.broadcast((uuid.uuid4().hex, pairs))
+
+    def hits(texts):
+        a = _automaton(bc)
+        out = []
+        for t in texts:
+            found: set = set()
+            if t:
+                for _, ss in a.iter(t):
+                    found.update(ss)
+            out.append(sorted(found))
+        return pd.Series(out)
+
+    hits.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # real types, not postponed strings
+    return pandas_udf(hits, "array<string>")(lower_text)
+
+
 def keyword_hits(lower_text: Column, keywords=KEYWORDS) -> Column:
     """Symbols whose keyword occurs as a substring of the lower-cased text.
     One CASE per keyword inside array(), NULLs removed with array_except (not
     array_compact, which is a lambda filter): no lambda, so the expression
-    stays inside whole-stage codegen."""
+    stays inside whole-stage codegen. A dictionary DataFrame, or more than
+    MAX_LITERAL_KEYWORDS pairs, takes the automaton path."""
+    if isinstance(keywords, DataFrame) or len(keywords) > MAX_LITERAL_KEYWORDS:
+        return keyword_hits_automaton(lower_text, keywords)
     if not keywords:
         return F.array().cast("array<string>")
     hits = F.array(*[F.when(F.contains(lower_text, F.lit(k)), F.lit(s)) for k, s in keywords])

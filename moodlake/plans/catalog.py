@@ -167,6 +167,16 @@ def q_keywords(spark, sf_dir):
                     SY.finish(SY.keyword_hits(F.lower("text"), O.O6_KEYWORDS), 5).alias("tickers"))
 
 
+@register("keyword_symbols_large")
+def q_keywords_large(spark, sf_dir):
+    """Keyword linking with a dictionary too large for in-row CASE tests: one
+    Aho-Corasick pass per whole text against a size-checked broadcast dictionary."""
+    d = O.load(spark, sf_dir, "documents")
+    kw = O.benchmark_keywords(O.load(spark, sf_dir, "benchmark"))
+    return d.select(F.col("doc_id").alias("id"),
+                    SY.finish(SY.keyword_hits(F.lower("text"), kw), 5).alias("tickers"))
+
+
 @register("symbol_fanout")
 def q_fanout(spark, sf_dir):
     return SY.fan_out(_linked(spark, sf_dir), feed_engagement=True)

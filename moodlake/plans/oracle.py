@@ -121,6 +121,14 @@ SQL.update({
     "extract_symbols": f"WITH {LINKED} SELECT id, tickers FROM lk",
     "keyword_symbols": f"""SELECT doc_id AS id, array_to_string(list_slice(list_sort(list_distinct(
         {KW_HITS.replace('@T', 'text')})), 1, 5), ',') AS tickers FROM documents""",
+    "keyword_symbols_large": """WITH kw AS (
+          SELECT DISTINCT w AS keyword, upper(substr(w, 1, 5)) AS symbol FROM (
+            SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7),
+        h AS (SELECT d.doc_id, list_distinct(list(k.symbol)) AS syms
+              FROM documents d JOIN kw k ON contains(lower(d.text), k.keyword) GROUP BY d.doc_id)
+        SELECT d.doc_id AS id, CASE WHEN h.syms IS NULL THEN ''
+               ELSE array_to_string(list_slice(list_sort(h.syms), 1, 5), ',') END AS tickers
+        FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""",
     "symbol_fanout": f"""WITH {LINKED} SELECT created_at, id AS post_id, unnest(string_split(tickers, ',')) AS ticker,
         CAST(NULL AS INT) AS stance, 1 AS score, 0 AS comments FROM lk WHERE tickers <> ''""",
     "posts_with_symbol": f"WITH {LINKED} SELECT id, tickers FROM lk WHERE list_contains(string_split(tickers, ','), 'NTI')",

@@ -150,3 +150,13 @@ def torn_vectors(embeddings: DataFrame) -> DataFrame:
     vec = (F.when(vid % 13 == 12, F.lit(None).cast("array<float>"))
            .when(vid % 9 == 8, F.slice(e, 1, F.size(e) - 1)).otherwise(e))
     return embeddings.select(vid.alias("id"), vec.alias("embedding"), "label")
+
+
+def benchmark_keywords(benchmark: DataFrame, min_len: int = 7) -> DataFrame:
+    """O12: a large keyword dictionary (keyword, symbol) derived from the benchmark
+    passages: every distinct lower-case ASCII word of at least ``min_len`` letters,
+    linked to the symbol formed by its first five letters (so several keywords
+    share a symbol, as company names do)."""
+    w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    return (benchmark.select(w.alias("keyword")).where(F.length("keyword") >= min_len).distinct()
+            .select("keyword", F.upper(F.substring("keyword", 1, 5)).alias("symbol")))
