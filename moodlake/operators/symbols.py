@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from moodlake.functions.dictionaries import KEYWORDS, MAX_SYMBOLS, STOPLIST
 from moodlake.functions.text import candidate_symbols
 
-# Above this many whitelist keys the literal-array form is replaced by a join:
+# Above this many whitelist keys the literal-array form is replaced:
 # array_intersect hashes the literal side once per row, so its cost per row
-# grows with the dictionary, while a broadcast hash join probes in O(1).
+# grows with the dictionary. Up to MAX_BROADCAST_KEYS the key map is broadcast
+# and probed in O(1) per candidate without any shuffle; beyond it the
+# candidates are exploded and joined to the key map.
 MAX_LITERAL_KEYS = 2_000
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def symbol_keys(tickers: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def _str_array(values) -> Column:
 
 
 def whitelist_from(tickers: DataFrame, limit: int = MAX_LITERAL_KEYS) -> dict[str, str] | None:
-    """Collect the key map of a symbol dimension if it is provably small
+    """Collect the key map of a symbol dimension if it is provably bounded
     (at most ``limit`` keys); None means: use the join path."""
     keys = symbol_keys(tickers)
     head = keys.limit(limit + 1).collect()
@@ -48,10 +51,32 @@ def whitelist_from(tickers: DataFrame, limit: int = MAX_LITERAL_KEYS) -> dict[st
     return {r["key"]: r["symbol"] for r in head}
 
 
+def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str]) -> Column:
+    """Large-dictionary form of ``whitelist_hits``: the key map is broadcast once
+    (loaded once per Python worker) and an Arrow-batched pandas UDF probes it
+    with each row's candidate tokens — only the candidate array crosses to
+    Python, and nothing is shuffled (the join form shuffles every text twice)."""
+    import pandas as pd
+    from pyspark.sql import SparkSession
+    from pyspark.sql.functions import pandas_udf
+
+    bc = SparkSession.getActiveSession().sparkContext.broadcast(dict(key_map))
+
+    def hits(cands):
+        m = bc.value
+        return pd.Series([sorted({m[c] for c in cs if c in m}) if cs is not None else [] for cs in cands])
+
+    hits.__annotations__ = {"cands": pd.Series, "return": pd.Series}  # real types, not postponed strings
+    # distinct tokens only cross to Python (a text repeats its words many times)
+    return pandas_udf(hits, "array<string>")(F.array_distinct(cands))
+
+
 def whitelist_hits(cands: Column, whitelist, stoplist=STOPLIST) -> Column:
     """Distinct candidates that are whitelist keys and not stop words, mapped to symbols."""
     wl = whitelist if isinstance(whitelist, dict) else {k: k for k in whitelist}
     keys = sorted(k for k in wl if k not in set(stoplist))
+    if len(keys) > MAX_LITERAL_KEYS:
+        return whitelist_hits_broadcast(cands, {k: wl[k] for k in keys})
     hits = F.array_intersect(cands, _str_array(keys))
     if all(wl[k] == k for k in keys):
         return hits
@@ -158,7 +183,7 @@ def extract_symbols(df: DataFrame, text_col: str = "text", whitelist=None, stopl
     """Add ``out`` = linked symbols of ``text_col``. ``whitelist`` is a key list, a
     key->symbol dict or a symbol DataFrame (column ``symbol``)."""
     if isinstance(whitelist, DataFrame):
-        wl = whitelist_from(whitelist)
+        wl = whitelist_from(whitelist, MAX_BROADCAST_KEYS)  # bounded collect: at most the limit + 1 keys
         if wl is None:
             return extract_symbols_join(df, text_col, whitelist, stoplist, keywords, max_symbols, out, id_col)
         whitelist = wl

@@ -167,6 +167,15 @@ def q_keywords(spark, sf_dir):
                     SY.finish(SY.keyword_hits(F.lower("text"), O.O6_KEYWORDS), 5).alias("tickers"))
 
 
+@register("extract_symbols_large")
+def q_extract_large(spark, sf_dir):
+    """Symbol linking with a whitelist far beyond the literal bound: the key map
+    (size-checked) is broadcast and probed with each post's candidate tokens."""
+    p = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
+    dim = O.conversation_symbols(O.load(spark, sf_dir, "conversations"))
+    return SY.extract_symbols(p, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS).select("id", "tickers")
+
+
 @register("keyword_symbols_large")
 def q_keywords_large(spark, sf_dir):
     """Keyword linking with a dictionary too large for in-row CASE tests: one

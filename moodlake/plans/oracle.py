@@ -121,6 +121,16 @@ SQL.update({
     "extract_symbols": f"WITH {LINKED} SELECT id, tickers FROM lk",
     "keyword_symbols": f"""SELECT doc_id AS id, array_to_string(list_slice(list_sort(list_distinct(
         {KW_HITS.replace('@T', 'text')})), 1, 5), ',') AS tickers FROM documents""",
+    "extract_symbols_large": f"""WITH {O3},
+        wl AS (SELECT DISTINCT unnest({CANDS.replace('@T', 'text')}) AS key FROM conversations
+               WHERE text IS NOT NULL AND length(text) > 0),
+        c AS (SELECT id, unnest({CANDS.replace('@T', TEXT)}) AS key FROM pt),
+        h AS (SELECT c.id, list(DISTINCT c.key) AS wl FROM c JOIN wl ON c.key = wl.key
+              WHERE NOT list_contains({_lst(O6_STOPLIST)}, c.key) GROUP BY c.id)
+        SELECT pt.id, array_to_string(CASE WHEN {TEXT} IS NULL OR length({TEXT}) = 0 THEN []::VARCHAR[] ELSE
+               list_slice(list_sort(list_distinct(list_concat(coalesce(h.wl, []::VARCHAR[]),
+                   {KW_HITS.replace('@T', TEXT)}))), 1, 5) END, ',') AS tickers
+        FROM pt LEFT JOIN h ON pt.id = h.id""",
     "keyword_symbols_large": """WITH kw AS (
           SELECT DISTINCT w AS keyword, upper(substr(w, 1, 5)) AS symbol FROM (
             SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7),

@@ -160,3 +160,11 @@ def benchmark_keywords(benchmark: DataFrame, min_len: int = 7) -> DataFrame:
     w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     return (benchmark.select(w.alias("keyword")).where(F.length("keyword") >= min_len).distinct()
             .select("keyword", F.upper(F.substring("keyword", 1, 5)).alias("symbol")))
+
+
+def conversation_symbols(conversations: DataFrame) -> DataFrame:
+    """O13: a large symbol dimension derived from the conversation turns: every
+    distinct candidate token (the linking regex) of their text is a symbol."""
+    from moodlake.functions.text import candidate_symbols
+    return (conversations.select(F.explode(candidate_symbols("text")).alias("symbol"))
+            .distinct())

@@ -50,3 +50,25 @@ def test_extract_symbols_switches_by_dictionary_size(spark):
     small = SY.extract_symbols(docs, "text", {}, (), [("the", "THE")])
     norm = lambda df: sorted((r.id, tuple(r.tickers)) for r in df.select("id", "tickers").collect())
     assert norm(out) == norm(small)
+
+
+def test_whitelist_tiers_agree(spark, monkeypatch):
+    """literal array (small), broadcast key map (large) and explode + join (beyond
+    the broadcast bound) give the same links on a data-derived whitelist."""
+    from moodlake.functions.text import post_text
+
+    posts = O.posts_text(spark.read.parquet(f"{SF001}/documents.parquet")).withColumn("text", post_text())
+    dim = O.conversation_symbols(spark.read.parquet(f"{SF001}/conversations.parquet"))
+    assert dim.count() > SY.MAX_LITERAL_KEYS
+
+    def links(df):
+        return sorted((r.id, tuple(r.tickers)) for r in df.select("id", "tickers").collect())
+
+    broadcast = SY.extract_symbols(posts, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS)
+    assert "ArrowEvalPython" in broadcast._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in broadcast._jdf.queryExecution().executedPlan().toString()
+    joined = SY.extract_symbols_join(posts, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS)
+    monkeypatch.setattr(SY, "MAX_LITERAL_KEYS", 10 ** 6)
+    literal = SY.extract_symbols(posts, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS)
+    assert links(broadcast) == links(joined) == links(literal)
+    assert sum(1 for _, t in links(broadcast) if t) > 0
