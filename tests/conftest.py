@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -12,11 +11,11 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from moodlake.session import get_session
+    from moodlake.session import checkpoint_root, get_session
 
-    ckpt = tempfile.mkdtemp(prefix="moodlake-test-ckpt-")
-    s = get_session("local[4]", app="moodlake-tests", shuffle_partitions=4,
-                    extra={"spark.checkpoint.dir": ckpt})
+    # spark.checkpoint.dir as configured; a private folder only when it is unset
+    s = get_session("local[4]", app="moodlake-tests", shuffle_partitions=4)
+    checkpoint_root(s)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
