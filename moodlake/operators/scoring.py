@@ -143,22 +143,45 @@ def fanout_writeback(ticker_posts: DataFrame, scores: DataFrame) -> DataFrame:
     return done.unionByName(todo.select(*ticker_posts.columns))
 
 
+# Largest vocabulary the default embedder keeps (Word2Vec holds it on the driver
+# and broadcasts vocabulary x vector_size floats to every task).
+MAX_VOCAB = 2_000_000
+
+
+def vocabulary_min_count(tokens: DataFrame, min_count: int = 1, max_vocab: int = MAX_VOCAB,
+                         tok_col: str = "__tok") -> int:
+    """Smallest ``min_count`` (the given one, or a doubling of it) whose vocabulary
+    fits ``max_vocab`` words. One distributed pass: token counts by a partial
+    aggregation, then one aggregate of conditional counts at every threshold."""
+    counts = tokens.select(F.explode(tok_col).alias("w")).groupBy("w").count()
+    thresholds = [min_count * (1 << i) for i in range(40)]
+    sizes = counts.agg(*[F.count_if(F.col("count") >= t) for t in thresholds]).first()
+    for t, n in zip(thresholds, sizes):
+        if n <= max_vocab:
+            return t
+    return thresholds[-1]
+
+
 def train_embedder(texts: DataFrame, text_col: str = "text", vector_size: int = 384,
-                   min_count: int = 1, seed: int = 11, max_iter: int = 1, num_partitions: int | None = None):
+                   min_count: int = 1, seed: int = 11, max_iter: int = 1, num_partitions: int | None = None,
+                   max_vocab: int = MAX_VOCAB):
     """Default text encoder: Word2Vec; its transform is the mean of the word
     vectors of the text (mean pooling over all tokens of the whole text).
 
     Training runs on ``num_partitions`` tasks (default: the input's partition
     count; Spark's own default is a single task). Word2Vec keeps its vocabulary
-    (words seen at least ``min_count`` times) on the driver and broadcasts the
-    word vectors, so on a large corpus raise ``min_count`` to bound it."""
+    on the driver and broadcasts the word vectors, so ``min_count`` is raised
+    (doubling) until the vocabulary is at most ``max_vocab`` words — a bound
+    checked by one distributed count before anything is collected."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import RegexTokenizer, Word2Vec
 
+    tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", minTokenLength=1)
+    mc = vocabulary_min_count(tok.transform(texts.select(text_col)), min_count, max_vocab)
     parts = num_partitions or max(1, texts.rdd.getNumPartitions())
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", minTokenLength=1),
-        Word2Vec(inputCol="__tok", outputCol="__vec", vectorSize=vector_size, minCount=min_count,
+        tok,
+        Word2Vec(inputCol="__tok", outputCol="__vec", vectorSize=vector_size, minCount=mc,
                  seed=seed, maxIter=max_iter, numPartitions=parts),
     ]).fit(texts)
 

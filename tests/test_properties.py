@@ -86,3 +86,19 @@ def test_embedder_is_mean_of_word_vectors_over_whole_text(spark):
         t = toks[r.id]
         expect = np.mean([vecs[w] for w in t], axis=0) if t else np.zeros(8)
         assert np.allclose(r.embedding, expect, atol=1e-5)
+
+
+def test_embedder_vocabulary_is_bounded(spark):
+    from moodlake.operators import scoring
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("text")
+    from pyspark.ml.feature import RegexTokenizer
+    toks = RegexTokenizer(inputCol="text", outputCol="__tok", pattern=r"\W+", minTokenLength=1).transform(docs)
+    counts = toks.select(F.explode("__tok").alias("w")).groupBy("w").count()
+    full = counts.count()
+    assert scoring.vocabulary_min_count(toks, 1, max_vocab=full) == 1
+    mc = scoring.vocabulary_min_count(toks, 1, max_vocab=full // 4)
+    assert mc > 1 and counts.where(F.col("count") >= mc).count() <= full // 4
+    assert counts.where(F.col("count") >= mc // 2).count() > full // 4  # smallest such threshold
+    model = scoring.train_embedder(docs, vector_size=4, max_vocab=full // 4)
+    assert model.stages[-1].getVectors().count() <= full // 4
