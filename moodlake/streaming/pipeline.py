@@ -55,6 +55,22 @@ def sentiment_stream(ticker_posts: DataFrame, width: str = "10 seconds", time_co
                     "pos_ct", "neu_ct", "neg_ct"))
 
 
+def score_recent(posts: DataFrame, score_fn, horizon_hours: int | None = None,
+                 time_col: str = "created_at") -> DataFrame:
+    """Apply ``score_fn``; with a horizon, only posts created within
+    ``horizon_hours`` of the batch time keep their scores (the reference's
+    queue never picks older posts, so they stay unscored and out of the
+    sentiment aggregate). The horizon is the batch's ``current_timestamp()``."""
+    scored = score_fn(posts)
+    if horizon_hours is None:
+        return scored
+    recent = F.col(time_col) > F.current_timestamp() - F.make_dt_interval(F.lit(0), F.lit(int(horizon_hours)))
+    for c in ("stance", "probs", "model_ver"):
+        if c in scored.columns:
+            scored = scored.withColumn(c, F.when(recent, F.col(c)))
+    return scored
+
+
 def batch_dir_writer(path: str, fmt: str = "parquet"):
     """foreachBatch function: write each micro-batch to ``path/batch_id=N``,
     overwriting on re-execution (idempotent)."""
@@ -104,7 +120,8 @@ def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origi
 
 def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str,
                         link_fn, score_fn=None, trigger: dict | None = None,
-                        landing_format: str = "json", max_files_per_trigger: int | None = None):
+                        landing_format: str = "json", max_files_per_trigger: int | None = None,
+                        score_horizon_hours: int | None = None):
     """The whole live path as two chained streaming queries.
 
     1. ingest: landed posts -> dedup on (source, external_id, created_at) under
@@ -128,7 +145,7 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
     posts = dedup_stream(reader.format(landing_format).load(landing), ("source", "external_id", "created_at"))
     posts = link_fn(posts)
     if score_fn is not None:
-        posts = score_fn(posts)
+        posts = score_recent(posts, score_fn, score_horizon_hours)
     engagement = "score" in posts.columns and "comments" in posts.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -156,7 +173,7 @@ def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema,
 
 
 def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "external_id", "created_at"),
-                        order=(), feed_engagement: bool | None = None):
+                        order=(), feed_engagement: bool | None = None, score_horizon_hours: int | None = None):
     """foreachBatch function for the insert-if-absent live path (the reference's
     unique key + ON CONFLICT DO NOTHING, kept forever rather than for a watermark).
 
@@ -187,7 +204,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
                 raise
         posts = link_fn(new.drop(PARTITION_COL))
         if score_fn is not None:
-            posts = score_fn(posts)
+            posts = score_recent(posts, score_fn, score_horizon_hours)
         kept = with_partition(posts.where(F.size("tickers") > 0))
         out = f"{posts_dir}/batch_id={batch_id}"
         kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(out)
@@ -201,7 +218,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
 
 def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str, link_fn,
                          score_fn=None, trigger: dict | None = None, landing_format: str = "json",
-                         max_files_per_trigger: int | None = None, order=()):
+                         max_files_per_trigger: int | None = None, order=(), score_horizon_hours: int | None = None):
     """Live ingest with insert-if-absent against the stored posts (no dedup state:
     the store is the state, so duplicates are caught however late they arrive).
     Returns (query, paths); the fan-out folder feeds ``start_sentiment_from_fanout``."""
@@ -211,6 +228,7 @@ def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.format(landing_format).load(landing)
-    q = (src.writeStream.foreachBatch(store_insert_writer(out_root, link_fn, score_fn, order=order))
+    q = (src.writeStream.foreachBatch(store_insert_writer(out_root, link_fn, score_fn, order=order,
+                                                    score_horizon_hours=score_horizon_hours))
          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())
     return q, paths

@@ -87,3 +87,24 @@ def test_store_writer_is_idempotent_and_dedups_forever(spark):
     fan = spark.read.parquet(f"{root}/ticker_posts").drop("batch_id")
     batch = SY2.fan_out(link(posts), feed_engagement=True)
     assert fan.count() == batch.count()
+
+
+def test_score_horizon_leaves_old_posts_unscored(spark):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    posts = O.posts_text(docs).withColumn("text", post_text())
+    labels = SCR.three_class_label(spark.read.parquet(f"{SF01}/labels.parquet")).withColumnRenamed("doc_id", "id")
+    model = SCR.train_default_scorer(posts.join(labels, "id"), max_iter=3)
+
+    def score(df):
+        return SCR.score_with_model(model, df)
+
+    all_scored = ST.score_recent(posts, score)
+    assert all_scored.where(F.col("stance").isNull()).count() == 0
+    # the fixture posts are from 2024: a 24 h horizon leaves every one unscored
+    old = ST.score_recent(posts, score, 24)
+    assert old.where(F.col("stance").isNotNull() | F.col("probs").isNotNull()).count() == 0
+    # a horizon reaching back past 2024 scores them all, identically
+    wide = ST.score_recent(posts, score, 24 * 365 * 50)
+    a = all_scored.select("id", "stance", "model_ver")
+    b = wide.select("id", "stance", "model_ver")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
