@@ -50,6 +50,10 @@ WHITESPACE_CLASS = (
 # FIXED VALUES: stance for class index 0, 1, 2 of the scorer's logits.
 CLASS_ORDER = (-1, 0, 1)
 
+# FIXED VALUES: `source` of posts from the feed reader and from the listing poller.
+FEED_SOURCE = "rss"
+LISTING_SOURCE = "reddit"
+
 # FIXED VALUES: model version stamped on written-back scores.
 MODEL_VER = "finbert-onnx-v1"
 

@@ -204,6 +204,7 @@ def q_symbol_keys(spark, sf_dir):
 # --- ingest, sources and sinks --------------------------------------------
 
 from moodlake import schemas as SC  # noqa: E402
+from moodlake.functions.dictionaries import FEED_SOURCE  # noqa: E402
 from moodlake.operators import ingest as IG  # noqa: E402
 from moodlake.session import scratch_dir  # noqa: E402
 from moodlake.sources import files as FS  # noqa: E402
@@ -254,7 +255,7 @@ def q_union_listings(spark, sf_dir):
 @register("union_sources")
 def q_union_sources(spark, sf_dir):
     feed = _posts_text(spark, sf_dir).select(
-        F.lit("rss").alias("source"), "external_id", "created_at", "title", F.lit(1).alias("score"))
+        F.lit(FEED_SOURCE).alias("source"), "external_id", "created_at", "title", F.lit(1).alias("score"))
     new, hot = O.listings(O.load(spark, sf_dir, "conversations"))
     listing = IG.first_write(IG.union_listings(new, hot), key=("channel", "id"), order=("listing",))
     lp = FS.listing_posts(listing).select("source", "external_id", "created_at", "title", "subreddit",

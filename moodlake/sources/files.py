@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlake import schemas
-from moodlake.functions.dictionaries import BACKFILL_CAP, FEED_CAP, LISTING_CAP
+from moodlake.functions.dictionaries import BACKFILL_CAP, FEED_CAP, FEED_SOURCE, LISTING_CAP, LISTING_SOURCE
 from moodlake.functions.text import post_text, text_hash
 from moodlake.functions.timefns import as_of_col, epoch_timestamp, feed_timestamp
 
@@ -43,7 +43,7 @@ def feed_posts(items: DataFrame, ingested_at=None, fallback_to_ingest: bool = Tr
     title = F.coalesce(F.col("title"), F.lit(""))
     body = F.coalesce(F.col("description"), F.lit(""))
     return items.select(
-        F.lit("rss").alias("source"),
+        F.lit(FEED_SOURCE).alias("source"),
         F.coalesce(F.col("guid"), F.col("link"), F.lit("")).alias("external_id"),
         created.alias("created_at"),
         ing.alias("ingested_at"),
@@ -73,7 +73,7 @@ def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def listing_posts(records: DataFrame, ingested_at=None) -> DataFrame:
     """Listing records -> posts rows (engagement kept, event time from epoch seconds)."""
     return records.select(
-        F.lit("reddit").alias("source"),
+        F.lit(LISTING_SOURCE).alias("source"),
         F.col("id").alias("external_id"),
         epoch_timestamp("created_utc").cast("timestamp_ntz").alias("created_at"),
         as_of_col(ingested_at).alias("ingested_at"),
