@@ -305,6 +305,16 @@ def q_feed_items(spark, sf_dir):
                         "title", "url", "score", "txt_hash")
 
 
+@register("feed_items_atom")
+def q_feed_items_atom(spark, sf_dir):
+    path = scratch_dir(spark, "feed_atom")
+    (O.atom_xml_entries(O.load(spark, sf_dir, "documents"))
+     .write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path))
+    posts = FS.feed_posts(FS.read_atom_entries(spark, path), ingested_at=TEXT_AS_OF)
+    return posts.select("source", "external_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                        "title", "url", "score", "txt_hash")
+
+
 def _landed_listings(spark, sf_dir):
     path = scratch_dir(spark, "listing_json")
     O.listing_json_lines(O.load(spark, sf_dir, "documents")).write.text(path)

@@ -191,6 +191,12 @@ SQL.update({
           CASE WHEN id % 7 <> 0 THEN created_at ELSE TIMESTAMP '{TEXT_AS_OF}' END AS created_at,
           coalesce(title, '') AS title, 'https://news.example/p/' || CAST(id AS VARCHAR) AS url, 1 AS score,
           {FEED_HASH} AS txt_hash FROM pt""",
+    "feed_items_atom": f"""WITH {O3} SELECT 'rss' AS source,
+          CASE WHEN id % 5 <> 0 THEN 'urn:post:' || CAST(id AS VARCHAR) ELSE 'https://news.example/p/' || CAST(id AS VARCHAR) END AS external_id,
+          CASE WHEN id % 7 <> 0 THEN created_at WHEN id % 14 <> 0 THEN created_at + INTERVAL 1 HOUR
+               ELSE TIMESTAMP '{TEXT_AS_OF}' END AS created_at,
+          coalesce(title, '') AS title, 'https://news.example/p/' || CAST(id AS VARCHAR) AS url, 1 AS score,
+          {FEED_HASH} AS txt_hash FROM pt""",
     "listing_posts": f"""WITH {O3} SELECT 'reddit' AS source, CAST(id AS VARCHAR) AS external_id, created_at,
           source AS subreddit, CAST(id % 97 AS INT) AS score, CAST(id % 13 AS INT) AS comments, {FEED_HASH} AS txt_hash
         FROM pt WHERE id % 11 <> 10""",

@@ -127,6 +127,27 @@ def feed_xml_items(documents: DataFrame) -> DataFrame:
     )
 
 
+def atom_xml_entries(documents: DataFrame) -> DataFrame:
+    """O8 as an Atom feed: one <entry> per O3 post with <link href>, RFC 3339
+    dates. id is missing for every fifth post, published for every seventh and
+    updated (one hour after the post) for every fourteenth, so each fallback
+    level occurs."""
+    p = posts_text(documents)
+    pid = F.col("id")
+    ts = F.col("created_at").cast("timestamp")
+    fmt = "yyyy-MM-dd'T'HH:mm:ssXXX"
+    return p.select(
+        F.col("title"),
+        F.struct(F.concat(F.lit("https://news.example/p/"), pid.cast("string")).alias("_href")).alias("link"),
+        F.when(pid % 5 != 0, F.concat(F.lit("urn:post:"), pid.cast("string"))).alias("id"),
+        F.col("body").alias("summary"),
+        F.when(pid % 7 != 0, F.date_format(ts, fmt)).alias("published"),
+        F.when(pid % 14 != 0, F.date_format(ts + F.make_dt_interval(F.lit(0), F.lit(1)), fmt)).alias("updated"),
+        F.col("source").alias("feed"),
+        pid.cast("int").alias("pos"),
+    )
+
+
 def listing_json_lines(documents: DataFrame) -> DataFrame:
     """O9 landed lines: one JSON listing record per O3 post; every eleventh line
     is cut in half (a torn write) and must be quarantined, not lost."""

@@ -80,3 +80,15 @@ FEED_ITEM = T.StructType([
     T.StructField("feed", T.StringType(), True),
     T.StructField("pos", T.IntegerType(), True),
 ])
+
+# Atom <entry> as landed XML; <link href="..."/> is read through its attribute.
+ATOM_ENTRY = T.StructType([
+    T.StructField("title", T.StringType(), True),
+    T.StructField("link", T.StructType([T.StructField("_href", T.StringType(), True)]), True),
+    T.StructField("id", T.StringType(), True),
+    T.StructField("summary", T.StringType(), True),
+    T.StructField("published", T.StringType(), True),
+    T.StructField("updated", T.StringType(), True),
+    T.StructField("feed", T.StringType(), True),
+    T.StructField("pos", T.IntegerType(), True),
+])

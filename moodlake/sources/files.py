@@ -32,6 +32,18 @@ def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> Da
             .schema(schemas.FEED_ITEM).load(path))
 
 
+def read_atom_entries(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFrame:
+    """Landed Atom entries, normalised to the feed-item columns: id -> guid,
+    summary -> description, published -> pubDate, link@href -> link, so
+    ``feed_posts`` applies the same fallbacks (id, link, ''; published,
+    updated, ingest time) to both feed formats."""
+    raw = (spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
+           .schema(schemas.ATOM_ENTRY).load(path))
+    return raw.select("title", F.col("link._href").alias("link"), F.col("id").alias("guid"),
+                      F.col("summary").alias("description"), F.col("published").alias("pubDate"),
+                      "updated", "feed", "pos")
+
+
 def feed_posts(items: DataFrame, ingested_at=None, fallback_to_ingest: bool = True) -> DataFrame:
     """Feed items -> posts rows: external_id = guid, else link, else '';
     created_at = published, else updated, else the ingest time (or NULL when
