@@ -26,15 +26,30 @@ def first_write(df: DataFrame, key=POST_KEY, order=("k",)) -> DataFrame:
             .select(*df.columns))
 
 
+def date_range_filter(batch: DataFrame, prune_col: str):
+    """Predicate on ``prune_col`` covering the batch's range of values: one
+    single-row aggregate (min, max). Spark's dynamic partition pruning never
+    prunes the build side of an anti join, so a stored target is pruned
+    statically with this range instead (exact: a matching key has the same
+    partition value, which lies inside the batch's range)."""
+    lo, hi = batch.agg(F.min(prune_col), F.max(prune_col)).first()
+    if lo is None:
+        return F.lit(False)
+    return F.col(prune_col).between(F.lit(lo), F.lit(hi))
+
+
 def insert_new(target: DataFrame, batch: DataFrame, key=POST_KEY, order=("k",),
                prune_col: str | None = None) -> DataFrame:
     """Rows of ``batch`` whose key is absent from ``target`` (first write wins
     inside the batch). With ``prune_col`` (the partition column of a stored
-    target) the anti join also matches on it, which lets dynamic partition
-    pruning read only the target partitions the batch touches."""
+    target) the anti join also matches on it, and the target is read only
+    inside the batch's range of that column (PartitionFilters)."""
     new = first_write(batch, key, order)
     on = list(key) + ([prune_col] if prune_col else [])
-    return new.join(target.select(*on), on=on, how="left_anti")
+    stored = target.select(*on)
+    if prune_col:
+        stored = stored.where(date_range_filter(batch, prune_col))
+    return new.join(stored, on=on, how="left_anti")
 
 
 def union_listings(*listings: DataFrame) -> DataFrame:

@@ -185,7 +185,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
     written to ``batch_id=N`` folders with overwrite. A re-executed batch
     excludes only earlier batches, so it recomputes and replaces exactly its
     own output (exactly-once with the query checkpoint)."""
-    from moodlake.operators.ingest import first_write
+    from moodlake.operators.ingest import date_range_filter, first_write
     from moodlake.operators.symbols import fan_out
     from moodlake.sources.posts_store import PARTITION_COL, with_partition
 
@@ -194,9 +194,11 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = with_partition(first_write(batch, key, order))
+        batch = with_partition(batch).persist()
+        new = first_write(batch, key + [PARTITION_COL], order)
         try:
-            prior = (spark.read.parquet(posts_dir).where(F.col("batch_id") < F.lit(batch_id))
+            prior = (spark.read.parquet(posts_dir)
+                     .where((F.col("batch_id") < F.lit(batch_id)) & date_range_filter(batch, PARTITION_COL))
                      .select(*key, PARTITION_COL))
             new = new.join(prior, key + [PARTITION_COL], "left_anti")
         except Exception as e:  # noqa: BLE001 - no batch written yet
@@ -212,6 +214,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
         eng = feed_engagement if feed_engagement is not None else not (
             "score" in stored.columns and "comments" in stored.columns)
         fan_out(stored, feed_engagement=eng).write.mode("overwrite").parquet(f"{fan_dir}/batch_id={batch_id}")
+        batch.unpersist()
 
     return write
 

@@ -96,3 +96,20 @@ def test_series_from_facts_pushes_symbol_and_time_to_scan(spark):
     p = plan(E.queries()["sentiment_series"](spark, SF001))
     scan = p[p.index("PushedFilters"):]
     assert "EqualTo(event_type,click)" in scan and "GreaterThan(ts," in scan
+
+
+def test_insert_reads_only_the_batch_dates_of_the_store(spark):
+    from moodlake.operators.ingest import insert_new
+    from moodlake.sources.posts_store import PostsStore, with_partition
+
+    arr = O.arrivals(O.load(spark, SF001, "documents")).select("id", "source", "external_id", "created_at", "k", "copy")
+    store = PostsStore(spark, scratch_dir(spark, "prune_store"), arr.schema)
+    store.insert(arr.where(F.col("k") == 0), order=("k", "copy"))
+    day1 = F.col("created_at") < F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    new = insert_new(store.read(), with_partition(arr.where((F.col("k") > 0) & day1)), order=("k", "copy"),
+                     prune_col="created_date")
+    scans = [ln for ln in plan(new).split("\n") if "FileScan" in ln and "created_date" in ln]
+    assert scans and all("(created_date" in ln[ln.index("PartitionFilters"):] for ln in scans)
+    stored_day1 = store.read().where(day1).select("source", "external_id", "created_at")
+    batch_day1 = arr.where((F.col("k") > 0) & day1).select("source", "external_id", "created_at").distinct()
+    assert new.count() == batch_day1.exceptAll(stored_day1).count()
