@@ -68,17 +68,39 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def with_post_id(posts: DataFrame) -> DataFrame:
+    """``id`` = xxhash64 of the unique key (source, external_id, created_at), so a
+    replayed post gets the id it had; an existing ``id`` column is kept."""
+    if "id" in posts.columns:
+        return posts
+    return posts.withColumn("id", F.xxhash64(*[F.col(c) for c in POST_KEY]))
+
+
 def with_post_defaults(posts: DataFrame, ingested_at=None) -> DataFrame:
-    """Column defaults of the posts table: empty symbol list, ingest stamp."""
+    """Column defaults of the posts table: empty symbol list, ingest stamp (the
+    query's current time — in a micro-batch, the batch's timestamp, the same for
+    every row of the batch), and a NULL backfill flag."""
     out = posts
     if "tickers" in out.columns:
         out = out.withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
     if "ingested_at" not in out.columns:
         out = out.withColumn("ingested_at", F.current_timestamp() if ingested_at is None
                              else F.lit(str(ingested_at)).cast("timestamp"))
+    if "is_backfill" not in out.columns:
+        out = out.withColumn("is_backfill", F.lit(None).cast("boolean"))
     return out
 
 
+def stamp_classified(scored: DataFrame) -> DataFrame:
+    """``classified_at`` = now (wall clock, read when this is called) on scored
+    rows. Call it after the scores have been computed (e.g. on a persisted,
+    materialised batch) so the stamp follows the scoring."""
+    import datetime as dt
+
+    now = dt.datetime.now(dt.timezone.utc)
+    return scored.withColumn("classified_at", F.when(F.col("stance").isNotNull(), F.lit(now)))
+
+
 def split_vector_size(df: DataFrame, dim: int, vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by the declared vector size: a NULL vector is accepted
     (the column is nullable), a vector of any other length is rejected — the

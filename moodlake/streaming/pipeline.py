@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moodlake.operators.ingest import stamp_classified, with_post_defaults, with_post_id
 from moodlake.operators.sentiment import engagement_weight, stance_sign
 
 WATERMARK = "1 day"
@@ -143,6 +144,7 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     posts = dedup_stream(reader.format(landing_format).load(landing), ("source", "external_id", "created_at"))
+    posts = with_post_defaults(with_post_id(posts))  # ingested_at = the micro-batch timestamp
     posts = link_fn(posts)
     if score_fn is not None:
         posts = score_recent(posts, score_fn, score_horizon_hours)
@@ -150,8 +152,11 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # link/score once; both sinks read the cached rows
-        (batch.where(F.size("tickers") > 0)
-         .write.mode("overwrite").parquet(f"{paths['posts']}/batch_id={batch_id}"))
+        stored = batch.where(F.size("tickers") > 0)
+        if "stance" in batch.columns:
+            batch.count()  # scores exist from here on: stamp classified_at after them
+            stored = stamp_classified(stored)
+        stored.write.mode("overwrite").parquet(f"{paths['posts']}/batch_id={batch_id}")
         (fan_out(batch, feed_engagement=not engagement)
          .write.mode("overwrite").parquet(f"{paths['ticker_posts']}/batch_id={batch_id}"))
         batch.unpersist()
@@ -205,8 +210,11 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         posts = link_fn(new.drop(PARTITION_COL))
+        scored = None
         if score_fn is not None:
-            posts = score_recent(posts, score_fn, score_horizon_hours)
+            scored = score_recent(posts, score_fn, score_horizon_hours).persist()
+            scored.count()  # scores exist from here on: stamp classified_at after them
+            posts = stamp_classified(scored)
         kept = with_partition(posts.where(F.size("tickers") > 0))
         out = f"{posts_dir}/batch_id={batch_id}"
         kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(out)
@@ -214,6 +222,8 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
         eng = feed_engagement if feed_engagement is not None else not (
             "score" in stored.columns and "comments" in stored.columns)
         fan_out(stored, feed_engagement=eng).write.mode("overwrite").parquet(f"{fan_dir}/batch_id={batch_id}")
+        if scored is not None:
+            scored.unpersist()
         batch.unpersist()
 
     return write
@@ -230,7 +240,7 @@ def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_
     reader = spark.readStream.schema(landing_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.format(landing_format).load(landing)
+    src = with_post_defaults(with_post_id(reader.format(landing_format).load(landing)))
     q = (src.writeStream.foreachBatch(store_insert_writer(out_root, link_fn, score_fn, order=order,
                                                     score_horizon_hours=score_horizon_hours))
          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())

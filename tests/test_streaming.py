@@ -50,6 +50,13 @@ def test_live_pipeline_equals_batch(spark):
     n_linked = batch_posts.where(F.size("tickers") > 0).count()
     assert stored.count() == stored.select("source", "external_id", "created_at").distinct().count() == n_linked
     assert n_linked < posts.count()  # posts without a symbol are not stored
+    # T8: stored posts carry the stamps the pipeline metrics read
+    st = stored.select("id", "ingested_at", "classified_at", "stance")
+    assert st.where(F.col("ingested_at").isNull() | F.col("classified_at").isNull()).count() == 0
+    assert st.where(F.col("classified_at") < F.col("ingested_at")).count() == 0
+    from moodlake.plans import serving as V
+    m = V.pipeline_metrics(stored, count_minutes=60, latency_minutes=60).first()
+    assert m.last_5m_count == n_linked and m.p95_latency_sec >= 0
 
 
 def test_replay_inserts_nothing_new(spark):
