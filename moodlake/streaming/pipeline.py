@@ -105,17 +105,27 @@ def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origi
                redeliver: bool = True, fmt: str = "parquet", files_per_poll: int = 2) -> int:
     """Land ``df`` into ``path`` as successive polls — one append job per poll,
     in event-time order, ``files_per_poll`` files each — where every poll also
-    re-sends the rows of the previous one (``redeliver``). Returns the poll count."""
+    re-sends the rows of the previous one (``redeliver``). Returns the poll count.
+
+    The rows are first written once to a staging table partitioned by poll (in
+    the shared checkpoint folder), so each poll reads only its own partitions
+    (PartitionFilters) instead of rescanning the whole input, and a lost
+    executor costs a re-read, not a recomputation. Polls must be separate jobs:
+    the file stream source orders files by modification time."""
+    from moodlake.session import scratch_dir
+
+    spark = df.sparkSession
     poll = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
                     - F.unix_micros(F.lit(origin).cast("timestamp"))) / F.lit(span_seconds * 1_000_000)).cast("long")
-    tagged = df.withColumn("__poll", poll).persist()
-    n = tagged.agg(F.max("__poll")).first()[0]
+    stage = scratch_dir(spark, "poll_stage")
+    df.withColumn("__poll", poll).write.partitionBy("__poll").parquet(stage)
+    staged = spark.read.parquet(stage)
+    n = staged.agg(F.max("__poll")).first()[0]
     n = 0 if n is None else int(n) + 1
     for i in range(n):
         cond = (F.col("__poll") == i) | ((F.col("__poll") == i - 1) if redeliver else F.lit(False))
-        (tagged.where(cond).drop("__poll").repartition(files_per_poll)
+        (staged.where(cond).drop("__poll").repartition(files_per_poll)
          .write.mode("append").format(fmt).save(path))
-    tagged.unpersist()
     return n
 
 
