@@ -39,7 +39,7 @@ class PostsStore:
         staged = with_partition(batch)
         new = insert_new(self.read(), staged, key, order, prune_col=PARTITION_COL)
         new = new.select(*[f.name for f in self.schema.fields]).checkpoint(eager=True)
-        new.write.mode("append").partitionBy(PARTITION_COL).parquet(self.path)
+        _sorted_by_time(new).write.mode("append").partitionBy(PARTITION_COL).parquet(self.path)
         return new.drop(PARTITION_COL)
 
     def scan(self, start=None, end=None) -> DataFrame:
@@ -55,9 +55,14 @@ class PostsStore:
         return df.drop(PARTITION_COL)
 
 
+def _sorted_by_time(df: DataFrame) -> DataFrame:
+    """Range partitioning on created_at (sampled bounds) gives each task a few
+    consecutive days — few files per task — and splits even a hot day across
+    tasks; rows sorted by time inside files let Parquet min/max statistics skip
+    row groups."""
+    return df.repartitionByRange("created_at").sortWithinPartitions("created_at")
+
+
 def write_partitioned(df: DataFrame, path: str) -> None:
-    """Time-partitioned storage of a fact table. Range partitioning on created_at
-    (sampled bounds) splits even a hot day across tasks, and rows sorted by time
-    inside files let Parquet min/max statistics skip row groups."""
-    (with_partition(df).repartitionByRange("created_at").sortWithinPartitions("created_at")
-     .write.mode("overwrite").partitionBy(PARTITION_COL).parquet(path))
+    """Time-partitioned storage of a fact table (layout of ``_sorted_by_time``)."""
+    _sorted_by_time(with_partition(df)).write.mode("overwrite").partitionBy(PARTITION_COL).parquet(path)
