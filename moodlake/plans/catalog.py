@@ -315,6 +315,22 @@ def q_feed_items_atom(spark, sf_dir):
                         "title", "url", "score", "txt_hash")
 
 
+@register("stream_feed_items")
+def q_stream_feed_items(spark, sf_dir):
+    """Feed XML landed as several files, read as a file stream (one file per
+    trigger) -> feed posts -> batch-id sink; equals the batch reader's rows."""
+    path = scratch_dir(spark, "feed_xml_stream")
+    (O.feed_xml_items(O.load(spark, sf_dir, "documents")).repartition(4)
+     .write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(path))
+    posts = FS.feed_posts(FS.stream_feed_items(spark, path, max_files_per_trigger=1), ingested_at=TEXT_AS_OF)
+    sink = scratch_dir(spark, "feed_stream_sink")
+    ST.run_available(posts.writeStream.foreachBatch(ST.batch_dir_writer(sink)),
+                     scratch_dir(spark, "ckpt_feed_stream"))
+    return spark.read.parquet(sink).select(
+        "source", "external_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        "title", "url", "score", "txt_hash")
+
+
 def _landed_listings(spark, sf_dir):
     path = scratch_dir(spark, "listing_json")
     O.listing_json_lines(O.load(spark, sf_dir, "documents")).write.text(path)

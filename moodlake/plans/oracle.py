@@ -205,6 +205,9 @@ SQL.update({
 })
 
 
+SQL["stream_feed_items"] = SQL["feed_items"]  # the stream lands and reads the same items
+
+
 # --- similarity and scoring -------------------------------------------------
 
 from moodlake.plans.catalog import BATCH_K, QUERY_POST, WRITEBACK_AS_OF  # noqa: E402

@@ -32,6 +32,12 @@ def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> Da
             .schema(schemas.FEED_ITEM).load(path))
 
 
+def _atom_as_items(raw: DataFrame) -> DataFrame:
+    return raw.select("title", F.col("link._href").alias("link"), F.col("id").alias("guid"),
+                      F.col("summary").alias("description"), F.col("published").alias("pubDate"),
+                      "updated", "feed", "pos")
+
+
 def read_atom_entries(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFrame:
     """Landed Atom entries, normalised to the feed-item columns: id -> guid,
     summary -> description, published -> pubDate, link@href -> link, so
@@ -39,9 +45,19 @@ def read_atom_entries(spark: SparkSession, path: str, row_tag: str = "entry") ->
     updated, ingest time) to both feed formats."""
     raw = (spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
            .schema(schemas.ATOM_ENTRY).load(path))
-    return raw.select("title", F.col("link._href").alias("link"), F.col("id").alias("guid"),
-                      F.col("summary").alias("description"), F.col("published").alias("pubDate"),
-                      "updated", "feed", "pos")
+    return _atom_as_items(raw)
+
+
+def stream_feed_items(spark: SparkSession, path: str, atom: bool = False,
+                      max_files_per_trigger: int | None = None) -> DataFrame:
+    """Landed feed XML as a stream: the batch readers' declared schemas, row tags
+    and normalisation over a file stream (new files are picked up per trigger)."""
+    r = (spark.readStream.schema(schemas.ATOM_ENTRY if atom else schemas.FEED_ITEM)
+         .option("rowTag", "entry" if atom else "item").option("mode", "PERMISSIVE"))
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = r.xml(path)
+    return _atom_as_items(raw) if atom else raw
 
 
 def feed_posts(items: DataFrame, ingested_at=None, fallback_to_ingest: bool = True) -> DataFrame:

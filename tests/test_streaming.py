@@ -115,3 +115,19 @@ def test_score_horizon_leaves_old_posts_unscored(spark):
     a = all_scored.select("id", "stance", "model_ver")
     b = wide.select("id", "stance", "model_ver")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_atom_stream_equals_batch_reader(spark):
+    from moodlake.sources import files as FS
+
+    path = scratch_dir(spark, "atom_stream")
+    (O.atom_xml_entries(spark.read.parquet(f"{SF01}/documents.parquet")).repartition(3)
+     .write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path))
+    sink = scratch_dir(spark, "atom_sink")
+    ST.run_available(FS.stream_feed_items(spark, path, atom=True, max_files_per_trigger=1)
+                     .writeStream.foreachBatch(ST.batch_dir_writer(sink)), scratch_dir(spark, "atom_ckpt"))
+    streamed = spark.read.parquet(sink).drop("batch_id")
+    batch = FS.read_atom_entries(spark, path)
+    assert streamed.count() == batch.count() == 1000
+    assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
+    assert spark.read.parquet(sink).select("batch_id").distinct().count() == 3  # one file per trigger
