@@ -132,7 +132,7 @@ def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origi
 def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str,
                         link_fn, score_fn=None, trigger: dict | None = None,
                         landing_format: str = "json", max_files_per_trigger: int | None = None,
-                        score_horizon_hours: int | None = None):
+                        score_horizon_hours: int | None = None, to_posts=None):
     """The whole live path as two chained streaming queries.
 
     1. ingest: landed posts -> dedup on (source, external_id, created_at) under
@@ -153,7 +153,10 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
     reader = spark.readStream.schema(landing_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    posts = dedup_stream(reader.format(landing_format).load(landing), ("source", "external_id", "created_at"))
+    src = reader.format(landing_format).load(landing)
+    if to_posts is not None:  # raw source records -> posts rows (stateless, before the dedup)
+        src = to_posts(src)
+    posts = dedup_stream(src, ("source", "external_id", "created_at"))
     posts = with_post_defaults(with_post_id(posts))  # ingested_at = the micro-batch timestamp
     posts = link_fn(posts)
     if score_fn is not None:
@@ -188,7 +191,8 @@ def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema,
 
 
 def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "external_id", "created_at"),
-                        order=(), feed_engagement: bool | None = None, score_horizon_hours: int | None = None):
+                        order=(), feed_engagement: bool | None = None, score_horizon_hours: int | None = None,
+                        to_posts=None, corrupt_col: str = "_corrupt_record"):
     """foreachBatch function for the insert-if-absent live path (the reference's
     unique key + ON CONFLICT DO NOTHING, kept forever rather than for a watermark).
 
@@ -199,7 +203,11 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
     posts are linked and scored; posts with a symbol and their fan-out are
     written to ``batch_id=N`` folders with overwrite. A re-executed batch
     excludes only earlier batches, so it recomputes and replaces exactly its
-    own output (exactly-once with the query checkpoint)."""
+    own output (exactly-once with the query checkpoint).
+
+    With ``to_posts`` the landing holds raw source records (listing JSON, say):
+    records a PERMISSIVE reader could not parse (``corrupt_col`` set) go to
+    ``quarantine/batch_id=N`` and the rest are mapped to posts rows first."""
     from moodlake.operators.ingest import date_range_filter, first_write
     from moodlake.operators.symbols import fan_out
     from moodlake.sources.posts_store import PARTITION_COL, with_partition
@@ -209,6 +217,16 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        raw = None
+        if to_posts is not None:
+            raw = batch.persist()  # the corrupt-record column may only be queried on parsed, cached rows
+            if corrupt_col in raw.columns:
+                bad = raw.where(F.col(corrupt_col).isNotNull()).select(corrupt_col)
+                bad.write.mode("overwrite").parquet(f"{out_root}/quarantine/batch_id={batch_id}")
+                raw_good = raw.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
+            else:
+                raw_good = raw
+            batch = with_post_defaults(with_post_id(to_posts(raw_good)))
         batch = with_partition(batch).persist()
         new = first_write(batch, key + [PARTITION_COL], order)
         try:
@@ -235,13 +253,16 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
         if scored is not None:
             scored.unpersist()
         batch.unpersist()
+        if raw is not None:
+            raw.unpersist()
 
     return write
 
 
 def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str, link_fn,
                          score_fn=None, trigger: dict | None = None, landing_format: str = "json",
-                         max_files_per_trigger: int | None = None, order=(), score_horizon_hours: int | None = None):
+                         max_files_per_trigger: int | None = None, order=(), score_horizon_hours: int | None = None,
+                         to_posts=None, reader_options: dict | None = None):
     """Live ingest with insert-if-absent against the stored posts (no dedup state:
     the store is the state, so duplicates are caught however late they arrive).
     Returns (query, paths); the fan-out folder feeds ``start_sentiment_from_fanout``."""
@@ -250,8 +271,13 @@ def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_
     reader = spark.readStream.schema(landing_schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = with_post_defaults(with_post_id(reader.format(landing_format).load(landing)))
+    for k, v in (reader_options or {}).items():
+        reader = reader.option(k, v)
+    src = reader.format(landing_format).load(landing)
+    if to_posts is None:
+        src = with_post_defaults(with_post_id(src))
     q = (src.writeStream.foreachBatch(store_insert_writer(out_root, link_fn, score_fn, order=order,
-                                                    score_horizon_hours=score_horizon_hours))
+                                                    score_horizon_hours=score_horizon_hours,
+                                                    to_posts=to_posts))
          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())
     return q, paths

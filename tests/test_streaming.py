@@ -131,3 +131,39 @@ def test_atom_stream_equals_batch_reader(spark):
     assert streamed.count() == batch.count() == 1000
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
     assert spark.read.parquet(sink).select("batch_id").distinct().count() == 3  # one file per trigger
+
+
+def test_raw_listing_stream_with_quarantine(spark):
+    from pyspark.sql import types as T
+
+    from moodlake import schemas
+    from moodlake.operators import symbols as SY2
+    from moodlake.sources import files as FS
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    land = scratch_dir(spark, "raw_listings")
+    O.listing_json_lines(docs).repartition(3).write.text(land)
+    sch = T.StructType(list(schemas.LISTING.fields) + [T.StructField("_corrupt_record", T.StringType(), True)])
+
+    def to_posts(raw):
+        return FS.listing_posts(raw).withColumn("text", post_text())
+
+    def link(df):
+        return SY2.extract_symbols(df, "text", {k: k for k in O.O6_WHITELIST}, O.O6_STOPLIST, O.O6_KEYWORDS)
+
+    out = scratch_dir(spark, "raw_listing_out")
+    q, paths = ST.start_store_pipeline(spark, land, sch, out, link, trigger={"availableNow": True},
+                                       max_files_per_trigger=1, to_posts=to_posts,
+                                       reader_options={"mode": "PERMISSIVE",
+                                                       "columnNameOfCorruptRecord": "_corrupt_record"})
+    q.awaitTermination(600)
+    assert q.exception() is None
+    torn = docs.where(F.col("doc_id") % 11 == 10).count()
+    assert spark.read.parquet(f"{out}/quarantine").count() == torn > 0
+    good, _ = FS.split_quarantine(FS.read_listings(spark, land))
+    expect = link(to_posts(good)).where(F.size("tickers") > 0)
+    stored = spark.read.parquet(paths["posts"])
+    assert stored.count() == expect.count() > 0
+    assert stored.select("id").distinct().count() == stored.count()  # ids from the key, one per post
+    fan = spark.read.parquet(paths["ticker_posts"])
+    assert fan.where(F.col("comments").isNull()).count() == 0  # listing engagement carried, not feed defaults
