@@ -142,3 +142,9 @@ def symbol_prefix(tickers: DataFrame, q: str, n: int = 20) -> DataFrame:
 
 def symbol_list(tickers: DataFrame, n: int = 100) -> DataFrame:
     return tickers.select("symbol").orderBy("symbol").limit(n)
+
+
+def symbol_search(tickers: DataFrame, q: str = "") -> DataFrame:
+    """The symbol lookup as one call: up to 20 prefix hits for ``q``, or the
+    first 100 symbols when ``q`` is empty."""
+    return symbol_prefix(tickers, q) if q else symbol_list(tickers)
