@@ -203,7 +203,6 @@ def q_symbol_keys(spark, sf_dir):
 
 # --- ingest, sources and sinks --------------------------------------------
 
-from moodlake import schemas as SC  # noqa: E402
 from moodlake.functions.dictionaries import FEED_SOURCE  # noqa: E402
 from moodlake.operators import ingest as IG  # noqa: E402
 from moodlake.session import scratch_dir  # noqa: E402
