@@ -538,3 +538,28 @@ def q_stream_store(spark, sf_dir):
         raise q.exception()
     return (spark.read.parquet(paths["ticker_posts"]).drop("batch_id")
             .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
+
+
+@register("replay_job")
+def q_replay_job(spark, sf_dir):
+    """S11 as a job: feed XML and listing JSON (torn lines quarantined) replayed
+    into the posts store with the backfill caps, twice; the second run must add
+    nothing. Returns the stored posts."""
+    from moodlake.plans import jobs as J
+
+    docs = O.load(spark, sf_dir, "documents")
+    feed_dir, listing_dir = scratch_dir(spark, "replay_feed"), scratch_dir(spark, "replay_listings")
+    O.feed_xml_items(docs).write.format("xml").option("rowTag", "item").option("rootTag", "channel").save(feed_dir)
+    O.listing_json_lines(docs).write.text(listing_dir)
+    items = FS.read_feed_items(spark, feed_dir)
+    good, _ = FS.split_quarantine(FS.read_listings(spark, listing_dir))
+    store = J.posts_store(spark, scratch_dir(spark, "replay_store"))
+
+    def link(df):
+        return SY.extract_symbols(df, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
+
+    J.replay(store, good, items, link, ingested_at=TEXT_AS_OF)
+    again, _ = J.replay(store, good, items, link, ingested_at=TEXT_AS_OF)
+    assert again.limit(1).count() == 0, "replay inserted rows twice"
+    return store.read().select("source", "external_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+                               "tickers", "score", "comments", "is_backfill")

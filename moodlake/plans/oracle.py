@@ -207,6 +207,20 @@ SQL.update({
 
 SQL["stream_feed_items"] = SQL["feed_items"]  # the stream lands and reads the same items
 
+SQL["replay_job"] = f"""WITH {O3},
+    feed AS (SELECT 'rss' AS source,
+               CASE WHEN id % 5 <> 0 THEN 'urn:post:' || CAST(id AS VARCHAR)
+                    ELSE 'https://news.example/p/' || CAST(id AS VARCHAR) END AS external_id,
+               CASE WHEN id % 7 <> 0 THEN created_at ELSE TIMESTAMP '{TEXT_AS_OF}' END AS created_at,
+               {_link(TEXT)} AS tickers, 1 AS score, CAST(NULL AS INT) AS comments
+             FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM pt) WHERE rn <= 50),
+    lst AS (SELECT 'reddit' AS source, CAST(id AS VARCHAR) AS external_id, created_at,
+               {_link(TEXT)} AS tickers, CAST(id % 97 AS INT) AS score, CAST(id % 13 AS INT) AS comments
+             FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM pt WHERE id % 11 <> 10)
+             WHERE rn <= 200)
+    SELECT source, external_id, created_at, tickers, score, comments, true AS is_backfill
+    FROM (SELECT * FROM feed UNION ALL SELECT * FROM lst) WHERE tickers <> ''"""
+
 
 # --- similarity and scoring -------------------------------------------------
 
