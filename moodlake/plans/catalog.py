@@ -21,6 +21,7 @@ from moodlake.plans.normalize import for_check
 SERIES_TICKER = "click"
 SERIES_AS_OF = "2024-01-30 00:00:00"
 CLOSED_AS_OF = "2024-01-15 00:00:00"
+REFRESH_AS_OF_1 = "2024-01-14 12:00:00"
 METRICS_AS_OF = "2024-01-15 12:00:00"
 TEXT_AS_OF = "2024-01-01 12:00:00"
 
@@ -563,3 +564,17 @@ def q_replay_job(spark, sf_dir):
     assert again.limit(1).count() == 0, "replay inserted rows twice"
     return store.read().select("source", "external_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"),
                                "tickers", "score", "comments", "is_backfill")
+
+
+@register("view_refresh")
+def q_view_refresh(spark, sf_dir):
+    """Two scheduled refreshes of the aggregate (12 h apart) into a changelog;
+    the current view holds every closed bucket of the union of their windows."""
+    from moodlake.sources import views as VW
+
+    log = scratch_dir(spark, "refresh_changelog")
+    facts = _mentions(spark, sf_dir)
+    VW.refresh_sentiment_view(facts, log, 0, REFRESH_AS_OF_1)
+    VW.refresh_sentiment_view(facts, log, 1, CLOSED_AS_OF)
+    return ST.read_changelog(spark, log).withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).select(
+        *_view10s(spark, sf_dir).columns)

@@ -207,6 +207,10 @@ SQL.update({
 
 SQL["stream_feed_items"] = SQL["feed_items"]  # the stream lands and reads the same items
 
+SQL["view_refresh"] = f"""{V10} SELECT {VCOLS} FROM v
+        WHERE bucket + INTERVAL 10 SECOND <= {_ts(CLOSED_AS_OF)} - INTERVAL 10 SECOND
+          AND bucket >= {_ts(CLOSED_AS_OF)} - INTERVAL 36 HOUR"""
+
 SQL["replay_job"] = f"""WITH {O3},
     feed AS (SELECT 'rss' AS source,
                CASE WHEN id % 5 <> 0 THEN 'urn:post:' || CAST(id AS VARCHAR)

@@ -48,3 +48,31 @@ def compact(spark: SparkSession, changelog: str, snapshot_out: str, previous_sna
         log.select(*spark.read.parquet(previous_snapshot).columns))
     write_sentiment_view(_newest(rows), snapshot_out)
     return snapshot_out
+
+
+def refresh_window(ticker_posts: DataFrame, as_of, start_offset_hours: int = 24, end_offset_seconds: int = 10,
+                   width_seconds: int = 10, time_col: str = "created_at") -> DataFrame:
+    """The buckets one refresh of the aggregate recomputes: closed ones (end at
+    least ``end_offset`` before ``as_of``) not older than ``as_of - start_offset``.
+
+    Only facts inside [as_of - start_offset, as_of - end_offset) are read (the
+    predicate reaches the scan): every row of a bucket in the window lies in
+    that range, so the window's buckets are exact; partial buckets at the
+    edges are dropped by the closed-bucket filter."""
+    from moodlake.functions.timefns import as_of_col
+    from moodlake.operators.sentiment import closed_buckets, sentiment_buckets
+
+    t = as_of_col(as_of)
+    lo = t - F.make_dt_interval(F.lit(0), F.lit(start_offset_hours))
+    hi = t - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(end_offset_seconds))
+    facts = ticker_posts.where((F.col(time_col) >= lo) & (F.col(time_col) < hi))
+    return closed_buckets(sentiment_buckets(facts, f"{width_seconds} seconds", time_col), width_seconds,
+                          end_offset_seconds, start_offset_hours, as_of)
+
+
+def refresh_sentiment_view(ticker_posts: DataFrame, changelog: str, batch_id: int, as_of, **window) -> None:
+    """One scheduled refresh (the aggregate's policy: every 10 s, [now - 1 day,
+    now - 10 s]) as a batch job: the window's buckets go to ``batch_id=N`` of
+    the changelog with overwrite, so a re-run replaces its own batch;
+    ``current_view`` / ``compact`` read it like the streaming sink's batches."""
+    refresh_window(ticker_posts, as_of, **window).write.mode("overwrite").parquet(f"{changelog}/batch_id={batch_id}")

@@ -115,3 +115,13 @@ def test_insert_reads_only_the_batch_dates_of_the_store(spark):
     stored_day1 = store.read().where(day1).select("source", "external_id", "created_at")
     batch_day1 = arr.where((F.col("k") > 0) & day1).select("source", "external_id", "created_at").distinct()
     assert new.count() == batch_day1.exceptAll(stored_day1).count()
+
+
+def test_view_refresh_reads_only_its_window(spark):
+    from moodlake.sources import views as VW
+
+    facts = O.scored_mentions(O.load(spark, SF001, "events"))
+    p = plan(VW.refresh_window(facts, "2024-01-15 00:00:00"))
+    scan = p[p.index("PushedFilters"):]
+    scan = scan[:scan.index("]")]
+    assert "GreaterThanOrEqual(ts," in scan and "LessThan(ts," in scan
