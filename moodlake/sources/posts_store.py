@@ -29,9 +29,14 @@ class PostsStore:
         self.schema = T.StructType(list(schema.fields) + [T.StructField(PARTITION_COL, T.DateType(), True)])
 
     def read(self) -> DataFrame:
+        """The stored rows; an empty frame only when nothing was written yet. Any
+        other failure propagates: treating an unreadable store as empty would
+        make insert-if-absent insert every post again."""
         try:
             return self.spark.read.schema(self.schema).parquet(self.path)
-        except Exception:  # noqa: BLE001 - nothing written yet
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
             return self.spark.createDataFrame([], self.schema)
 
     def insert(self, batch: DataFrame, key=POST_KEY, order=("k",)) -> DataFrame:
