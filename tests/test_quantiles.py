@@ -5,6 +5,8 @@ import math
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from moodlake.operators.quantiles import exact_quantile, value_at_rank
@@ -69,3 +71,13 @@ def test_equals_spark_percentile_on_latencies(spark):
     lat = F.timestamp_diff("MICROSECOND", F.col("ingested_at"), F.col("classified_at")) / F.lit(1e6)
     ref = posts.where(cond).agg(F.percentile(lat, F.lit(0.95))).first()[0]
     assert got == pytest.approx(ref, abs=1e-9)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.sampled_from([-3.5, 0.0, 0.25, 1.0, 2.0, 1e6]) | st.floats(-1e3, 1e3, allow_nan=False),
+                min_size=1, max_size=400),
+       st.floats(0.0, 1.0))
+def test_exact_quantile_property(spark, vals, q):
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(3)
+    got = exact_quantile(df, "x", q, accuracy=20, max_collect=8)
+    assert got == pytest.approx(percentile_cont(vals, q), rel=1e-9, abs=1e-9)
