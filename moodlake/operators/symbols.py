@@ -242,3 +242,22 @@ def posts_with_symbol(posts: DataFrame, symbols) -> DataFrame:
     if isinstance(symbols, str):
         return posts.where(F.array_contains("tickers", symbols))
     return posts.where(F.arrays_overlap("tickers", _str_array(symbols)))
+
+
+def write_fanout_index(ticker_posts: DataFrame, path: str) -> None:
+    """Store the fan-out as the symbol index: range-partitioned and sorted by
+    (ticker, created_at), so a lookup of one symbol reads only the row groups
+    whose min/max cover it (a hot symbol still spans many files)."""
+    (ticker_posts.repartitionByRange("ticker", "created_at").sortWithinPartitions("ticker", "created_at")
+     .write.mode("overwrite").parquet(path))
+
+
+def posts_with_symbol_indexed(posts: DataFrame, fanout_index: DataFrame, symbol: str,
+                              partition_col: str = "created_date") -> DataFrame:
+    """Posts mentioning ``symbol`` through the stored fan-out instead of a scan of
+    every post's symbol list: the symbol filter reaches the index scan, and the
+    semi join on (partition column, id) lets dynamic partition pruning read
+    only the posts partitions of the dates where the symbol occurs."""
+    hits = (fanout_index.where(F.col("ticker") == F.lit(symbol))
+            .select(F.col("post_id").alias("id"), F.to_date("created_at").alias(partition_col)))
+    return posts.join(hits, ["id", partition_col], "left_semi")

@@ -578,3 +578,15 @@ def q_view_refresh(spark, sf_dir):
     VW.refresh_sentiment_view(facts, log, 1, CLOSED_AS_OF)
     return ST.read_changelog(spark, log).withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).select(
         *_view10s(spark, sf_dir).columns)
+
+
+@register("posts_with_symbol_indexed")
+def q_with_symbol_indexed(spark, sf_dir):
+    """R4 through the fan-out index: linked posts stored partitioned by date,
+    their fan-out stored sorted by symbol, then one symbol looked up."""
+    linked = _linked(spark, sf_dir).drop("text")
+    posts_path, index_path = scratch_dir(spark, "posts_by_date"), scratch_dir(spark, "fanout_index")
+    write_partitioned(linked, posts_path)
+    SY.write_fanout_index(SY.fan_out(linked, feed_engagement=True), index_path)
+    return SY.posts_with_symbol_indexed(spark.read.parquet(posts_path), spark.read.parquet(index_path),
+                                        "NTI").select("id", "tickers")

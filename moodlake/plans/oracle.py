@@ -206,6 +206,7 @@ SQL.update({
 
 
 SQL["stream_feed_items"] = SQL["feed_items"]  # the stream lands and reads the same items
+SQL["posts_with_symbol_indexed"] = SQL["posts_with_symbol"]  # same rows, read through the index
 
 SQL["view_refresh"] = f"""{V10} SELECT {VCOLS} FROM v
         WHERE bucket + INTERVAL 10 SECOND <= {_ts(CLOSED_AS_OF)} - INTERVAL 10 SECOND

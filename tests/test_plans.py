@@ -125,3 +125,9 @@ def test_view_refresh_reads_only_its_window(spark):
     scan = p[p.index("PushedFilters"):]
     scan = scan[:scan.index("]")]
     assert "GreaterThanOrEqual(ts," in scan and "LessThan(ts," in scan
+
+
+def test_symbol_lookup_through_fanout_index_prunes(spark):
+    p = plan(E.queries()["posts_with_symbol_indexed"](spark, SF001))
+    assert "EqualTo(ticker,NTI)" in p  # symbol filter reaches the index scan
+    assert "dynamicpruningexpression(created_date" in p  # posts read only on the symbol's dates
