@@ -182,10 +182,15 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
 def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema, trigger: dict | None = None,
                                 width: str = "10 seconds"):
     """Second stage of the live path: the fan-out folders as a stream -> windowed
-    sentiment (update mode) -> changelog sink."""
+    sentiment (update mode) -> changelog sink.
+
+    A re-executed ingest batch rewrites its fan-out folder under new file names,
+    which the file source would read again; fan-out rows are therefore
+    deduplicated on (post_id, ticker, created_at) under the watermark before
+    they are aggregated, so a replayed batch cannot be counted twice."""
     trigger = trigger or {"processingTime": "10 seconds"}
     tp = spark.readStream.schema(fanout_schema).parquet(f"{paths['ticker_posts']}/batch_id=*")
-    agg = sentiment_stream(tp, width=width)
+    agg = sentiment_stream(dedup_stream(tp, ("post_id", "ticker", "created_at")), width=width, with_watermark=False)
     return (agg.writeStream.outputMode("update").foreachBatch(batch_dir_writer(paths["sentiment"]))
             .option("checkpointLocation", paths["ckpt_agg"]).trigger(**trigger).start())
 

@@ -167,3 +167,22 @@ def test_raw_listing_stream_with_quarantine(spark):
     assert stored.select("id").distinct().count() == stored.count()  # ids from the key, one per post
     fan = spark.read.parquet(paths["ticker_posts"])
     assert fan.where(F.col("comments").isNull()).count() == 0  # listing engagement carried, not feed defaults
+
+
+def test_fanout_stage_ignores_rewritten_batches(spark):
+    """A fan-out batch written twice (a re-executed ingest batch: same rows, new
+    file names) is counted once by the sentiment stage."""
+    tp = O.scored_mentions(spark.read.parquet(f"{SF01}/events.parquet")).withColumn(
+        "created_at", F.col("created_at").cast("timestamp"))
+    root = scratch_dir(spark, "fan_rewrite")
+    paths = {"ticker_posts": f"{root}/ticker_posts", "sentiment": f"{root}/sentiment", "ckpt_agg": f"{root}/ckpt"}
+    tp.write.parquet(f"{paths['ticker_posts']}/batch_id=0")
+    tp.write.parquet(f"{paths['ticker_posts']}/batch_id=0b")  # the same rows again, other files
+    q = ST.start_sentiment_from_fanout(spark, paths, tp.schema, trigger={"availableNow": True})
+    q.awaitTermination(600)
+    assert q.exception() is None
+    live = ST.read_changelog(spark, paths["sentiment"]).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    batch = S.sentiment_buckets(O.scored_mentions(spark.read.parquet(f"{SF01}/events.parquet")))
+    cols = ["bucket", "ticker", "n_posts", "pos_ct", "neu_ct", "neg_ct"]
+    assert live.select(*cols).exceptAll(batch.select(*cols)).count() == 0
+    assert batch.select(*cols).exceptAll(live.select(*cols)).count() == 0
