@@ -69,3 +69,38 @@ def replay(store: PostsStore, listing_records: DataFrame, feed_items: DataFrame,
     feeds = FS.feed_posts(FS.feed_poll(feed_items), ingested_at)
     posts = union_sources(listings.drop("listing", "pos"), feeds.drop("feed", "pos"))
     return ingest_poll(store, posts, link_fn, backfill=True, ingested_at=ingested_at)
+
+
+def score_pass(posts: DataFrame, scores_path: str, model, as_of=None, horizon_hours: int = 24) -> DataFrame:
+    """One pass of the scorer as a batch job: every post it may pick (unscored,
+    created within the horizon, not backfill — no 32-row cap: batching is the
+    model call's concern) is scored in one distributed pass; the scores
+    (id, stance, probs, model_ver, classified_at) are appended to their own
+    dataset instead of updating posts in place. Returns the scores written.
+    ``current_posts`` gives the posts with their scores filled in."""
+    from moodlake.operators.scoring import score_with_model
+    from moodlake.plans.serving import unscored
+
+    queue = unscored(posts, as_of, horizon_hours).select("id", "title", "body")
+    queue = queue.withColumn("text", post_text())
+    scored = score_with_model(model, queue).select(
+        "id", F.col("stance").cast("short").alias("stance"), "probs", "model_ver",
+        (F.current_timestamp() if as_of is None else F.lit(str(as_of)).cast("timestamp")).alias("classified_at"))
+    scored = scored.checkpoint(eager=True)  # one scoring run, however often the result is read
+    scored.write.mode("append").parquet(scores_path)
+    return scored
+
+
+def current_posts(posts: DataFrame, scores: DataFrame) -> DataFrame:
+    """Posts with the stored scores filled in (stance moves NULL -> value once, so
+    only still-unscored posts are joined; the rest pass through)."""
+    s = scores.select("id", F.col("stance").alias("__st"), F.col("probs").alias("__pr"),
+                      F.col("model_ver").alias("__mv"), F.col("classified_at").alias("__ca"))
+    done = posts.where(F.col("stance").isNotNull())
+    todo = posts.where(F.col("stance").isNull()).join(s, "id", "left")
+    filled = (todo.withColumn("stance", F.coalesce("stance", "__st"))
+              .withColumn("probs", F.coalesce("probs", "__pr"))
+              .withColumn("model_ver", F.coalesce("model_ver", "__mv"))
+              .withColumn("classified_at", F.coalesce("classified_at", "__ca"))
+              .select(*posts.columns))
+    return done.unionByName(filled)

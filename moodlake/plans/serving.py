@@ -63,14 +63,20 @@ def chart_rows(series: DataFrame, time_format: str = "HH:mm:ss") -> DataFrame:
                     F.col("n_posts").alias("posts")))
 
 
+def unscored(posts: DataFrame, as_of=None, horizon_hours: int = 24) -> DataFrame:
+    """Posts the scorer may pick: unscored, created within the horizon, not backfill."""
+    cond = (F.col("stance").isNull()
+            & (F.col("created_at") > hours_before(as_of, horizon_hours))
+            & ~F.coalesce(F.col("is_backfill"), F.lit(False)))
+    return posts.where(cond)
+
+
 def unscored_queue(posts: DataFrame, as_of=None, batch_size: int = BATCH_SIZE,
                    horizon_hours: int = 24) -> DataFrame:
     """Newest-first work queue: unscored, created within the horizon, not backfill.
     Ties on ingested_at are broken by id so the queue is deterministic."""
-    cond = (F.col("stance").isNull()
-            & (F.col("created_at") > hours_before(as_of, horizon_hours))
-            & ~F.coalesce(F.col("is_backfill"), F.lit(False)))
-    return posts.where(cond).orderBy(F.col("ingested_at").desc(), F.col("id").asc()).limit(batch_size)
+    return (unscored(posts, as_of, horizon_hours)
+            .orderBy(F.col("ingested_at").desc(), F.col("id").asc()).limit(batch_size))
 
 
 def pipeline_count(posts: DataFrame, minutes: int = 5, as_of=None) -> DataFrame:

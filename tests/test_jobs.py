@@ -45,3 +45,27 @@ def test_symbol_search(spark):
     tickers = O.symbols_from_parts(spark.read.parquet(f"{SF01}/part.parquet"))
     assert V.symbol_search(tickers, "Brand#1").count() == V.symbol_prefix(tickers, "Brand#1").count() > 0
     assert V.symbol_search(tickers).count() == min(100, tickers.count())
+
+
+def test_score_pass_scores_eligible_posts_once(spark):
+    from moodlake.operators import scoring as SCR
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    posts = J.conform_posts(O.posts_text(docs).withColumn("ingested_at", F.col("created_at"))
+                            .withColumn("is_backfill", F.when(F.col("id") % 10 == 0, F.lit(True))))
+    labels = SCR.three_class_label(spark.read.parquet(f"{SF01}/labels.parquet")).withColumnRenamed("doc_id", "id")
+    train = O.posts_text(docs).withColumn("text", F.concat_ws(" ", "title", "body")).join(labels, "id")
+    model = SCR.train_default_scorer(train, max_iter=3)
+    as_of = "2024-01-01 12:00:00"  # posts are one per minute from 2024-01-01: 720 in the horizon
+    eligible = V.unscored(posts, as_of)
+    n_eligible = eligible.count()
+    assert 0 < n_eligible < posts.count()
+    scores_path = scratch_dir(spark, "scores")
+    scored = J.score_pass(posts, scores_path, model, as_of=as_of)
+    assert scored.count() == n_eligible and scored.where(F.col("stance").isNull()).count() == 0
+    view = J.current_posts(posts, spark.read.parquet(scores_path))
+    assert view.count() == posts.count()
+    assert view.where(F.col("stance").isNotNull()).count() == n_eligible
+    # a second pass over the current view finds nothing left to score
+    again = J.score_pass(view, scores_path, model, as_of=as_of)
+    assert again.count() == 0
