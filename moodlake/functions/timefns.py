@@ -36,13 +36,21 @@ def time_bucket(ts, width: str = "10 seconds") -> Column:
     return F.window(_c(ts), width).start
 
 
+# Feed date layouts tried in order: RFC 822 (one- or two-digit day, optional
+# seconds, numeric offset or zone name, four- or two-digit year), then RFC 3339
+# (optional fraction of a second, Z or numeric offset).
+FEED_DATE_PATTERNS = (
+    "d MMM yyyy HH:mm[:ss] Z", "d MMM yyyy HH:mm[:ss] z",
+    "d MMM yy HH:mm[:ss] Z", "d MMM yy HH:mm[:ss] z",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS]XXX",
+)
+
+
 def feed_timestamp(s) -> Column:
-    """RFC-822 feed date (numeric offset or zone name) -> timestamp; NULL if unparsable.
+    """RFC 822 / RFC 3339 feed date -> timestamp; NULL if unparsable.
     The weekday is dropped first: Spark's parser rejects pattern letter E."""
     t = F.regexp_replace(F.trim(_c(s)), r"^[A-Za-z]{3},\s*", "")
-    return F.coalesce(F.try_to_timestamp(t, F.lit("dd MMM yyyy HH:mm:ss Z")),
-                      F.try_to_timestamp(t, F.lit("dd MMM yyyy HH:mm:ss z")),
-                      F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")))
+    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in FEED_DATE_PATTERNS])
 
 
 def epoch_timestamp(seconds) -> Column:

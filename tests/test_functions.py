@@ -132,3 +132,18 @@ def test_vector_distances(spark):
     r = df.select(vectors.l2_distance("a", "b").alias("d"), vectors.cosine_distance("a", "b").alias("c")).collect()
     assert r[0].d == pytest.approx(5.0) and r[0].c == pytest.approx(1.0)
     assert r[1].c is None and r[2].d is None
+
+
+def test_feed_date_variants(spark):
+    cases = {
+        "Mon, 1 Jan 2024 00:07 GMT": "2024-01-01 00:07:00.000",          # one-digit day, no seconds
+        "Mon, 01 Jan 24 00:07:05 GMT": "2024-01-01 00:07:05.000",        # two-digit year
+        "Mon, 01 Jan 2024 00:07:05 -0100": "2024-01-01 01:07:05.000",
+        "2024-01-01T00:00:07Z": "2024-01-01 00:00:07.000",
+        "2024-01-01T00:00:07.123Z": "2024-01-01 00:00:07.123",           # fraction of a second
+        "2024-01-01T02:00:07.5+02:00": "2024-01-01 00:00:07.500",
+    }
+    df = _one(spark, [(k,) for k in cases], "d string")
+    got = {r.d: r.t for r in df.select("d", F.date_format(timefns.feed_timestamp("d"), "yyyy-MM-dd HH:mm:ss.SSS")
+                                       .alias("t")).collect()}
+    assert got == cases
