@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from moodlake.functions.dictionaries import WHITESPACE_CHARS
 
-# `$`-prefixed or bare run of 1-5 capitals followed by a Unicode word boundary.
-# There is no leading boundary: a longer word yields its last five letters.
-CANDIDATE_PATTERN = r"(?U)\$?([A-Z]{1,5})\b"
+# `$`-prefixed or bare run of 1-5 capitals followed by a word boundary as
+# Python's `re` defines it for text (next character not a letter, digit or
+# underscore: [\p{L}\p{N}_]) — Java's own Unicode \b differs on characters
+# such as '²' and combining marks. There is no leading boundary: a longer word
+# yields its last five letters. The quantifier is possessive: a shorter match
+# at the same start can never be followed by a non-word character, so
+# backtracking into it is wasted work.
+CANDIDATE_PATTERN = r"\$?([A-Z]{1,5}+)(?![\p{L}\p{N}_])"
 
 
 def _c(c) -> Column:

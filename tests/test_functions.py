@@ -147,3 +147,15 @@ def test_feed_date_variants(spark):
     got = {r.d: r.t for r in df.select("d", F.date_format(timefns.feed_timestamp("d"), "yyyy-MM-dd HH:mm:ss.SSS")
                                        .alias("t")).collect()}
     assert got == cases
+
+
+def test_candidate_boundary_is_pythons(spark):
+    """Edge cases where Java's Unicode \\b and Python's re disagree: the tokens
+    must be what Python's re finds (the reference tokenises in Python)."""
+    texts = ["ABC² x", "ABCÉ y", "ABC٣ DEF", "Ⅻ ABCⅫ", "$$AAPL", "$A$B", "ABC_D",
+             "ABCDEFGHIJ KLMNO PQ", "straße"]
+    py = re.compile(r"\$?([A-Z]{1,5})\b")
+    df = _one(spark, [(t,) for t in texts], "t string")
+    got = {r.t: list(r.c) for r in df.select("t", text.candidate_symbols("t").alias("c")).collect()}
+    for t in texts:
+        assert got[t] == py.findall(t.upper()), t
