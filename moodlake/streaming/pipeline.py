@@ -132,7 +132,8 @@ def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origi
 def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str,
                         link_fn, score_fn=None, trigger: dict | None = None,
                         landing_format: str = "json", max_files_per_trigger: int | None = None,
-                        score_horizon_hours: int | None = None, to_posts=None):
+                        score_horizon_hours: int | None = None, to_posts=None,
+                        derived_cols=("text",)):
     """The whole live path as two chained streaming queries.
 
     1. ingest: landed posts -> dedup on (source, external_id, created_at) under
@@ -165,7 +166,7 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # link/score once; both sinks read the cached rows
-        stored = batch.where(F.size("tickers") > 0)
+        stored = batch.where(F.size("tickers") > 0).drop(*derived_cols)  # title and body are stored
         if "stance" in batch.columns:
             batch.count()  # scores exist from here on: stamp classified_at after them
             stored = stamp_classified(stored)
@@ -197,7 +198,7 @@ def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema,
 
 def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "external_id", "created_at"),
                         order=(), feed_engagement: bool | None = None, score_horizon_hours: int | None = None,
-                        to_posts=None, corrupt_col: str = "_corrupt_record"):
+                        to_posts=None, corrupt_col: str = "_corrupt_record", derived_cols=("text",)):
     """foreachBatch function for the insert-if-absent live path (the reference's
     unique key + ON CONFLICT DO NOTHING, kept forever rather than for a watermark).
 
@@ -248,7 +249,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
             scored = score_recent(posts, score_fn, score_horizon_hours).persist()
             scored.count()  # scores exist from here on: stamp classified_at after them
             posts = stamp_classified(scored)
-        kept = with_partition(posts.where(F.size("tickers") > 0))
+        kept = with_partition(posts.where(F.size("tickers") > 0).drop(*derived_cols))  # title/body are stored
         out = f"{posts_dir}/batch_id={batch_id}"
         kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(out)
         stored = spark.read.parquet(out)  # fan-out from what was stored, not a re-evaluation
