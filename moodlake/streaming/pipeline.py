@@ -133,7 +133,7 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
                         link_fn, score_fn=None, trigger: dict | None = None,
                         landing_format: str = "json", max_files_per_trigger: int | None = None,
                         score_horizon_hours: int | None = None, to_posts=None,
-                        derived_cols=("text",)):
+                        derived_cols=("text",), embed_fn=None):
     """The whole live path as two chained streaming queries.
 
     1. ingest: landed posts -> dedup on (source, external_id, created_at) under
@@ -162,6 +162,8 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
     posts = link_fn(posts)
     if score_fn is not None:
         posts = score_recent(posts, score_fn, score_horizon_hours)
+    if embed_fn is not None:  # adds ``embedding`` (the vector similar_posts searches)
+        posts = embed_fn(posts)
     engagement = "score" in posts.columns and "comments" in posts.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -198,7 +200,8 @@ def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema,
 
 def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "external_id", "created_at"),
                         order=(), feed_engagement: bool | None = None, score_horizon_hours: int | None = None,
-                        to_posts=None, corrupt_col: str = "_corrupt_record", derived_cols=("text",)):
+                        to_posts=None, corrupt_col: str = "_corrupt_record", derived_cols=("text",),
+                        embed_fn=None):
     """foreachBatch function for the insert-if-absent live path (the reference's
     unique key + ON CONFLICT DO NOTHING, kept forever rather than for a watermark).
 
@@ -244,6 +247,8 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         posts = link_fn(new.drop(PARTITION_COL))
+        if embed_fn is not None:  # only posts that are new get embedded
+            posts = embed_fn(posts)
         scored = None
         if score_fn is not None:
             scored = score_recent(posts, score_fn, score_horizon_hours).persist()
@@ -268,7 +273,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "e
 def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str, link_fn,
                          score_fn=None, trigger: dict | None = None, landing_format: str = "json",
                          max_files_per_trigger: int | None = None, order=(), score_horizon_hours: int | None = None,
-                         to_posts=None, reader_options: dict | None = None):
+                         to_posts=None, reader_options: dict | None = None, embed_fn=None):
     """Live ingest with insert-if-absent against the stored posts (no dedup state:
     the store is the state, so duplicates are caught however late they arrive).
     Returns (query, paths); the fan-out folder feeds ``start_sentiment_from_fanout``."""
@@ -284,6 +289,6 @@ def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_
         src = with_post_defaults(with_post_id(src))
     q = (src.writeStream.foreachBatch(store_insert_writer(out_root, link_fn, score_fn, order=order,
                                                     score_horizon_hours=score_horizon_hours,
-                                                    to_posts=to_posts))
+                                                    to_posts=to_posts, embed_fn=embed_fn))
          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())
     return q, paths

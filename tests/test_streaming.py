@@ -186,3 +186,29 @@ def test_fanout_stage_ignores_rewritten_batches(spark):
     cols = ["bucket", "ticker", "n_posts", "pos_ct", "neu_ct", "neg_ct"]
     assert live.select(*cols).exceptAll(batch.select(*cols)).count() == 0
     assert batch.select(*cols).exceptAll(live.select(*cols)).count() == 0
+
+
+def test_store_pipeline_embeds_new_posts_for_similarity(spark):
+    from moodlake.operators import similarity as SIM
+    from moodlake.operators import symbols as SY2
+
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    posts = O.posts_text(docs).withColumn("text", post_text())
+    land = scratch_dir(spark, "embed_land")
+    ST.land_polls(posts, land, "created_at", 8 * 3600, "2024-01-01 00:00:00", fmt="json")
+    embedder = SCR.train_embedder(posts.select("text"), vector_size=16)
+
+    def link(df):
+        return SY2.extract_symbols(df, "text", {k: k for k in O.O6_WHITELIST}, O.O6_STOPLIST, O.O6_KEYWORDS)
+
+    q, paths = ST.start_store_pipeline(spark, land, posts.schema, scratch_dir(spark, "embed_out"), link,
+                                       trigger={"availableNow": True}, max_files_per_trigger=2,
+                                       embed_fn=lambda df: SCR.embed_with_model(embedder, df))
+    q.awaitTermination(600)
+    assert q.exception() is None
+    stored = spark.read.parquet(paths["posts"])
+    assert "text" not in stored.columns
+    assert stored.where(F.size("embedding") != 16).count() == 0
+    pid = stored.select("id").first().id
+    near = SIM.similar_posts(stored, pid, k=5)
+    assert near.count() == 5 and near.where(F.col("id") == pid).count() == 0
