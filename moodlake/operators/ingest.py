@@ -79,7 +79,7 @@ def with_post_id(posts: DataFrame) -> DataFrame:
 def with_post_defaults(posts: DataFrame, ingested_at=None) -> DataFrame:
     """Column defaults of the posts table: empty symbol list, ingest stamp (the
     query's current time — in a micro-batch, the batch's timestamp, the same for
-    every row of the batch), and a NULL backfill flag."""
+    every row of the batch), a NULL backfill flag, and the text hash."""
     out = posts
     if "tickers" in out.columns:
         out = out.withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
@@ -88,6 +88,9 @@ def with_post_defaults(posts: DataFrame, ingested_at=None) -> DataFrame:
                              else F.lit(str(ingested_at)).cast("timestamp"))
     if "is_backfill" not in out.columns:
         out = out.withColumn("is_backfill", F.lit(None).cast("boolean"))
+    if "txt_hash" not in out.columns and {"title", "body"} <= set(out.columns):
+        from moodlake.functions.text import post_text, text_hash
+        out = out.withColumn("txt_hash", text_hash(post_text()))
     return out
 
 

@@ -212,3 +212,13 @@ def test_store_pipeline_embeds_new_posts_for_similarity(spark):
     pid = stored.select("id").first().id
     near = SIM.similar_posts(stored, pid, k=5)
     assert near.count() == 5 and near.where(F.col("id") == pid).count() == 0
+
+
+def test_live_posts_carry_text_hash(spark):
+    from moodlake.operators.ingest import with_post_defaults
+    from moodlake.operators.text_ops import exact_duplicate_groups, with_text_hash
+
+    posts = O.posts_text(spark.read.parquet(f"{SF01}/documents.parquet"))
+    a = exact_duplicate_groups(with_post_defaults(posts))
+    b = exact_duplicate_groups(with_text_hash(posts))
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
