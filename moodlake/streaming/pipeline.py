@@ -146,7 +146,11 @@ def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_r
 
     ``trigger`` is passed to ``DataStreamWriter.trigger`` (default: every 10 s,
     the refresh interval of the reference; ``{"availableNow": True}`` in tests).
-    Returns (ingest_query, aggregate_query, paths)."""
+    ``to_posts`` maps raw source records to posts rows, ``embed_fn`` adds the
+    embedding, ``score_horizon_hours`` leaves older posts unscored, and
+    ``derived_cols`` (the linking text) are not stored. Stored posts carry
+    ``id``, ``ingested_at`` (batch time) and ``classified_at``.
+    Returns (ingest_query, paths); start stage 2 with ``start_sentiment_from_fanout``."""
     from moodlake.operators.symbols import fan_out
 
     trigger = trigger or {"processingTime": "10 seconds"}
