@@ -331,6 +331,18 @@ def q_stream_feed_items(spark, sf_dir):
         "title", "url", "score", "txt_hash")
 
 
+@register("feed_quarantine")
+def q_feed_quarantine(spark, sf_dir):
+    """Malformed feed items are isolated one by one: quarantined, never taking
+    later items of the same document with them."""
+    path = scratch_dir(spark, "feed_malformed")
+    O.malformed_feed_lines(O.load(spark, sf_dir, "documents")).write.text(path)
+    good, bad = FS.split_quarantine(FS.read_feed_records(spark, path))
+    return (good.select(F.lit(0).alias("bad"), F.lit(1).alias("ok"))
+            .unionByName(bad.select(F.lit(1).alias("bad"), F.lit(0).alias("ok")))
+            .agg(F.sum("bad").cast("long").alias("n_quarantined"), F.sum("ok").cast("long").alias("n_kept")))
+
+
 def _landed_listings(spark, sf_dir):
     path = scratch_dir(spark, "listing_json")
     O.listing_json_lines(O.load(spark, sf_dir, "documents")).write.text(path)

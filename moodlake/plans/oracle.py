@@ -206,6 +206,10 @@ SQL.update({
 
 
 SQL["stream_feed_items"] = SQL["feed_items"]  # the stream lands and reads the same items
+SQL["feed_quarantine"] = """SELECT
+    CAST(count(*) FILTER (WHERE doc_id % 13 = 12 OR doc_id % 17 = 16) AS BIGINT) AS n_quarantined,
+    CAST(count(*) FILTER (WHERE NOT (doc_id % 13 = 12 OR doc_id % 17 = 16)) AS BIGINT) AS n_kept
+    FROM documents"""
 SQL["posts_with_symbol_indexed"] = SQL["posts_with_symbol"]  # same rows, read through the index
 
 SQL["view_refresh"] = f"""{V10} SELECT {VCOLS} FROM v

@@ -189,3 +189,22 @@ def conversation_symbols(conversations: DataFrame) -> DataFrame:
     from moodlake.functions.text import candidate_symbols
     return (conversations.select(F.explode(candidate_symbols("text")).alias("symbol"))
             .distinct())
+
+
+def _xml_text(c):
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+def malformed_feed_lines(documents: DataFrame) -> DataFrame:
+    """O8c: the O3 posts as raw <item> XML, one item per line; the title of every
+    thirteenth item carries an unclosed tag and every seventeenth item a
+    non-numeric <pos>: both must be quarantined, every other item kept."""
+    p = posts_text(documents)
+    pid = F.col("id")
+    title = F.when(pid % 13 == 12, F.concat(F.lit("<b>"), _xml_text(F.col("title")))).otherwise(_xml_text(F.col("title")))
+    pos = F.when(pid % 17 == 16, F.lit("n/a")).otherwise(pid.cast("string"))
+    item = F.concat(
+        F.lit("<item><title>"), title, F.lit("</title><link>https://news.example/p/"), pid.cast("string"),
+        F.lit("</link><guid>urn:post:"), pid.cast("string"), F.lit("</guid><description>"), _xml_text(F.col("body")),
+        F.lit("</description><feed>"), F.col("source"), F.lit("</feed><pos>"), pos, F.lit("</pos></item>"))
+    return p.select(item.alias("value"))

@@ -25,17 +25,43 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
             .csv(path).select("symbol", "name", "aliases").where(F.col("symbol").isNotNull()))
 
 
-def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """Landed RSS items (rowTag item; Atom: entry) with an explicit schema, so a
-    guid carrying attributes is read as its text."""
-    return (spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
-            .schema(schemas.FEED_ITEM).load(path))
-
-
 def _atom_as_items(raw: DataFrame) -> DataFrame:
+    extra = [CORRUPT] if CORRUPT in raw.columns else []
     return raw.select("title", F.col("link._href").alias("link"), F.col("id").alias("guid"),
                       F.col("summary").alias("description"), F.col("published").alias("pubDate"),
-                      "updated", "feed", "pos")
+                      "updated", "feed", "pos", *extra)
+
+
+def feed_records(files: DataFrame, atom: bool = False) -> DataFrame:
+    """Landed feed documents (one row per file, column ``value``) -> one row per
+    <item> (Atom: <entry>), each parsed on its own with ``from_xml`` in
+    PERMISSIVE mode against the declared schema; a malformed record is kept
+    with ``_corrupt_record`` set. Parsing record by record isolates a broken
+    item: the file-level XML reader loses every later item of a file with
+    one unclosed tag. Atom entries are normalised to the item columns."""
+    tag = "entry" if atom else "item"
+    sch = T.StructType(list((schemas.ATOM_ENTRY if atom else schemas.FEED_ITEM).fields)
+                       + [T.StructField(CORRUPT, T.StringType(), True)])
+    recs = files.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}\b.*?</{tag}>"), F.lit(0)))
+                        .alias("__xml"))
+    parsed = recs.select(F.from_xml("__xml", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+                         .alias("r")).select("r.*")
+    return _atom_as_items(parsed) if atom else parsed
+
+
+def read_feed_records(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
+    """Every landed feed record, malformed ones flagged in ``_corrupt_record``
+    (separate them with ``split_quarantine``). A feed document is one poll of
+    one feed (tens of items), read whole; many documents spread over tasks."""
+    return feed_records(spark.read.text(path, wholetext=True), atom)
+
+
+def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
+    """Well-formed RSS items (``row_tag="entry"``: Atom entries) with the declared
+    schema, so a guid carrying attributes is read as its text. The malformed
+    ones are the other side of ``split_quarantine(read_feed_records(...))``."""
+    recs = read_feed_records(spark, path, atom=row_tag == "entry")
+    return recs.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def read_atom_entries(spark: SparkSession, path: str, row_tag: str = "entry") -> DataFrame:
@@ -43,21 +69,19 @@ def read_atom_entries(spark: SparkSession, path: str, row_tag: str = "entry") ->
     summary -> description, published -> pubDate, link@href -> link, so
     ``feed_posts`` applies the same fallbacks (id, link, ''; published,
     updated, ingest time) to both feed formats."""
-    raw = (spark.read.format("xml").option("rowTag", row_tag).option("mode", "PERMISSIVE")
-           .schema(schemas.ATOM_ENTRY).load(path))
-    return _atom_as_items(raw)
+    return read_feed_items(spark, path, row_tag)
 
 
 def stream_feed_items(spark: SparkSession, path: str, atom: bool = False,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Landed feed XML as a stream: the batch readers' declared schemas, row tags
-    and normalisation over a file stream (new files are picked up per trigger)."""
-    r = (spark.readStream.schema(schemas.ATOM_ENTRY if atom else schemas.FEED_ITEM)
-         .option("rowTag", "entry" if atom else "item").option("mode", "PERMISSIVE"))
+                      max_files_per_trigger: int | None = None, with_corrupt: bool = False) -> DataFrame:
+    """Landed feed XML as a stream: each new document is cut into records and
+    parsed like the batch reader (well-formed records only, unless
+    ``with_corrupt`` keeps the flagged ones for a quarantine sink)."""
+    r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = r.xml(path)
-    return _atom_as_items(raw) if atom else raw
+    recs = feed_records(r.text(path, wholetext=True), atom)  # text() resets an option set earlier
+    return recs if with_corrupt else recs.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
 def feed_posts(items: DataFrame, ingested_at=None, fallback_to_ingest: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from moodlake.operators import ingest as IG
 from moodlake.operators import sentiment as S
 from moodlake.operators import text_ops as TO
 from moodlake.sources import files as FS
-from tests.conftest import SF01
+from tests.conftest import SF001, SF01
 
 
 def _events(spark):
@@ -74,3 +74,18 @@ def test_aqe_skew_handling_is_on(spark):
 def test_streaming_state_in_rocksdb(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("RocksDBStateStoreProvider")
     assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled") == "true"
+
+
+def test_malformed_feed_items_are_isolated_one_by_one(spark):
+    from moodlake.plans import overlays as O
+    from moodlake.session import scratch_dir
+    from moodlake.sources import files as FS
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    path = scratch_dir(spark, "feed_bad")
+    O.malformed_feed_lines(docs).coalesce(1).write.text(path)  # one document: bad items in the middle
+    good, bad = FS.split_quarantine(FS.read_feed_records(spark, path))
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    expect = {f"urn:post:{i}" for i in ids if not (i % 13 == 12 or i % 17 == 16)}
+    assert {r.guid for r in good.select("guid").collect()} == expect
+    assert bad.count() == len(ids) - len(expect) > 0
