@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 MAX_COLLECT = 50_000
 ACCURACY = 10_000
+MAX_PASSES = 64  # each pass shrinks the window ~ACCURACY/6-fold; a handful suffice
 
 
 def _window(v: Column, lo, lo_incl: bool, hi, hi_incl: bool) -> Column:
@@ -44,7 +45,7 @@ def value_at_rank(values: DataFrame, rank: int, n: int, col: str = "v",
     lo = hi = None
     lo_incl = hi_incl = True
     below, n_win = 0, n
-    while True:
+    for _ in range(MAX_PASSES):
         win = values.where(_window(v, lo, lo_incl, hi, hi_incl))
         t = rank - below
         if n_win <= max_collect:
@@ -73,6 +74,7 @@ def value_at_rank(values: DataFrame, rank: int, n: int, col: str = "v",
         else:                  # right of the bracket: (a_hi, hi]
             lo, lo_incl = a_hi, False
             below, n_win = below + le_hi, n_win - le_hi
+    raise RuntimeError("rank selection did not converge; were the values changing between passes?")
 
 
 def exact_quantile(df: DataFrame, value: Column | str, q: float, accuracy: int = ACCURACY,
@@ -81,7 +83,14 @@ def exact_quantile(df: DataFrame, value: Column | str, q: float, accuracy: int =
     PostgreSQL defines it: position q * (n - 1), linear interpolation
     lo + (hi - lo) * frac between its two neighbouring ranks. None when empty."""
     v = F.col(value) if isinstance(value, str) else value
-    vals = df.select(v.alias("v")).where(F.col("v").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    # a reliable snapshot (shared checkpoint folder): every pass, and every task
+    # re-run after a lost executor, sees the same values even if the source is
+    # being appended to meanwhile
+    from moodlake.session import checkpoint_root
+
+    checkpoint_root(df.sparkSession)  # the configured folder (set on the context if only in the conf)
+    vals = df.select(v.alias("v")).where(F.col("v").isNotNull()).checkpoint(eager=True)
+    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = vals.count()
         if n == 0:
