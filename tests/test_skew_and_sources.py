@@ -89,3 +89,25 @@ def test_malformed_feed_items_are_isolated_one_by_one(spark):
     expect = {f"urn:post:{i}" for i in ids if not (i % 13 == 12 or i % 17 == 16)}
     assert {r.guid for r in good.select("guid").collect()} == expect
     assert bad.count() == len(ids) - len(expect) > 0
+
+
+def test_store_writer_hot_post_is_a_third_of_the_batch(spark):
+    from moodlake.functions.text import post_text
+    from moodlake.operators import symbols as SY
+    from moodlake.plans import overlays as O
+    from moodlake.session import scratch_dir
+    from moodlake.streaming import pipeline as ST
+
+    posts = O.posts_text(spark.read.parquet(f"{SF01}/documents.parquet")).withColumn("text", post_text())
+    n = posts.count()
+    hot = posts.where(F.col("id") == 7)
+    copies = hot.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n // 2)))).drop("copy")
+    batch = posts.unionByName(copies)  # post 7 is a third of the rows
+    root = scratch_dir(spark, "hot_store")
+    ST.store_insert_writer(root, lambda df: SY.extract_symbols(df, "text", {k: k for k in O.O6_WHITELIST},
+                                                               O.O6_STOPLIST, O.O6_KEYWORDS))(batch, 0)
+    stored = spark.read.parquet(f"{root}/posts")
+    assert stored.where(F.col("id") == 7).count() == 1
+    assert stored.count() == stored.select("source", "external_id", "created_at").distinct().count()
+    fan = spark.read.parquet(f"{root}/ticker_posts")
+    assert fan.where(F.col("post_id") == 7).count() == fan.where(F.col("post_id") == 7).select("ticker").distinct().count()
