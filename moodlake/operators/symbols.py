@@ -45,10 +45,10 @@ def whitelist_from(tickers: DataFrame, limit: int = MAX_LITERAL_KEYS) -> dict[st
     """Collect the key map of a symbol dimension if it is provably bounded
     (at most ``limit`` keys); None means: use the join path."""
     keys = symbol_keys(tickers)
-    head = keys.limit(limit + 1).collect()
+    head = keys.limit(limit + 1).toPandas()  # Arrow batches: compact even near the bound
     if len(head) > limit:
         return None
-    return {r["key"]: r["symbol"] for r in head}
+    return dict(zip(head["key"], head["symbol"]))
 
 
 def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str]) -> Column:
@@ -101,9 +101,10 @@ def keyword_pairs(keywords) -> list[tuple[str, str]]:
     the latter collected only after a bounded count proves it fits a broadcast."""
     if isinstance(keywords, DataFrame):
         kw = keywords.select(F.col("keyword").cast("string"), F.col("symbol").cast("string")).distinct()
-        if kw.limit(MAX_BROADCAST_KEYWORDS + 1).count() > MAX_BROADCAST_KEYWORDS:
+        pdf = kw.limit(MAX_BROADCAST_KEYWORDS + 1).toPandas()  # Arrow batches, bounded by the limit
+        if len(pdf) > MAX_BROADCAST_KEYWORDS:
             raise ValueError(f"keyword dictionary larger than {MAX_BROADCAST_KEYWORDS} entries")
-        return [(r[0], r[1]) for r in kw.collect() if r[0] and r[1]]
+        return [(k, s) for k, s in zip(pdf["keyword"], pdf["symbol"]) if k and s]
     return [(k, s) for k, s in keywords]
 
 
