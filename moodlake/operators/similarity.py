@@ -196,9 +196,10 @@ def _broadcast_topk(posts: DataFrame, q: DataFrame, k: int, metric: str, id_col:
     par = spark.sparkContext.defaultParallelism
     if corpus.rdd.getNumPartitions() < par:
         corpus = corpus.repartition(par)
-    rows = q.collect()  # size checked by the caller: at most MAX_QUERY_BLOCK rows
-    q_ids = np.array([r["qid"] for r in rows], dtype=np.int64)
-    q_mat = np.array([r["qv"] for r in rows], dtype=np.float64)
+    pdf = q.toPandas()  # size checked by the caller: at most MAX_QUERY_BLOCK rows; Arrow -> numpy
+    q_ids = pdf["qid"].to_numpy(dtype=np.int64)
+    q_mat = (np.stack([np.asarray(v, dtype=np.float64) for v in pdf["qv"]]) if len(pdf)
+             else np.zeros((0, 0), dtype=np.float64))
     bc = spark.sparkContext.broadcast((q_ids, q_mat))
 
     def fn(batches):
