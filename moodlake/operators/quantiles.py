@@ -13,8 +13,10 @@ in one task. ``exact_quantile`` instead finds the values at the two ranks that
 * only a window of at most ``max_collect`` values is collected, as
   (value, count) pairs, so a value repeated a billion times is one row.
 
-The narrowing is driven from the driver, but the driver only ever sees O(1)
-rows per pass plus at most ``max_collect`` rows once.
+When the distinct values fit ``max_collect`` (a short window), one partial
+aggregation of (value, count) pairs answers in a single pass. The narrowing is
+driven from the driver, but the driver only ever sees O(1) rows per pass plus
+at most ``max_collect`` rows once.
 """
 
 from __future__ import annotations
@@ -77,20 +79,45 @@ def value_at_rank(values: DataFrame, rank: int, n: int, col: str = "v",
     raise RuntimeError("rank selection did not converge; were the values changing between passes?")
 
 
+def _from_counts(pairs, q: float):
+    """percentile_cont from sorted (value, count) pairs."""
+    n = sum(c for _, c in pairs)
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    r = int(pos)
+    frac = pos - r
+    acc, lo, hi = 0, None, None
+    for val, c in pairs:
+        if lo is None and acc + c > r:
+            lo = val
+        if acc + c > r + 1:
+            hi = val
+            break
+        acc += c
+    hi = lo if hi is None else hi
+    return float(lo) if frac == 0 else float(lo) + (float(hi) - float(lo)) * frac
+
+
 def exact_quantile(df: DataFrame, value: Column | str, q: float, accuracy: int = ACCURACY,
                    max_collect: int = MAX_COLLECT):
     """``percentile_cont(q)`` of a numeric column (NULLs ignored), exactly as
     PostgreSQL defines it: position q * (n - 1), linear interpolation
     lo + (hi - lo) * frac between its two neighbouring ranks. None when empty."""
     v = F.col(value) if isinstance(value, str) else value
-    # a reliable snapshot (shared checkpoint folder): every pass, and every task
-    # re-run after a lost executor, sees the same values even if the source is
-    # being appended to meanwhile
+    raw = df.select(v.alias("v")).where(F.col("v").isNotNull())
+    # one pass first: (value, count) pairs by a partial aggregation, fetched only
+    # up to the bound; if all distinct values fit, the answer is exact from them
+    head = sorted(tuple(r) for r in raw.groupBy("v").count().limit(max_collect + 1).collect())
+    if len(head) <= max_collect:
+        return _from_counts(head, q)
+    # otherwise narrow over a reliable snapshot (shared checkpoint folder): every
+    # pass, and every task re-run after a lost executor, sees the same values
+    # even if the source is being appended to meanwhile
     from moodlake.session import checkpoint_root
 
     checkpoint_root(df.sparkSession)  # the configured folder (set on the context if only in the conf)
-    vals = df.select(v.alias("v")).where(F.col("v").isNotNull()).checkpoint(eager=True)
-    vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
+    vals = raw.checkpoint(eager=True).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = vals.count()
         if n == 0:
