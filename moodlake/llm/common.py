@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +80,29 @@ def as_batch(columns: dict[str, np.ndarray | list | pa.Array], types: dict[str,
     return pa.RecordBatch.from_arrays(
         [columns[k] if isinstance(columns[k], pa.Array) else pa.array(columns[k], type=t) for k, t in types.items()],
         schema=pa.schema(list(types.items())))
+
+
+def with_text_columns(docs: DataFrame, kernel: Callable[[pa.Array], Iterator[pa.RecordBatch]],
+                      ddl: str, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with the columns that ``kernel`` makes of the whole texts (null: empty).
+
+    ``kernel`` gets an Arrow array of texts and yields batches of the new columns for rows in order.
+    ``keep``: the columns of ``docs`` to keep (default all; those that ``ddl`` names are replaced)."""
+    new = [x.strip().split(" ")[0] for x in ddl.split(";")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    rest = [c for c in kept if c != "text"]
+    rows = docs.select(F.struct(F.lit(True).alias("_"), *rest).alias("row"), F.col("text").cast("string").alias("text"))
+    carried = "text" in kept
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, text, done = batch.column("row"), batch.column("text"), 0
+            for out in kernel(text.fill_null("")):
+                n = out.num_rows
+                arrays = [row.slice(done, n), *([text.slice(done, n)] if carried else []), *out.columns]
+                yield pa.RecordBatch.from_arrays(arrays, names=["row", *["text"] * carried, *out.schema.names])
+                done += n
+
+    kind = rows.schema["row"].dataType.simpleString()
+    made = rows.mapInArrow(run, f"row {kind}, {'text string, ' * carried}{ddl.replace(';', ',')}")
+    return made.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in kept], *new)

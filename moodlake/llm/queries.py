@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from moodlake.llm import suffix_dedup
+from moodlake.llm import suffix_dedup, toxicity
 from moodlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +24,13 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document covered by 200-byte strings that start elsewhere too."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of a quarter of the ids are never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    crf = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, crf, spans=True, keep=["doc_id"])
+            .select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
+                    F.size("spans").alias("n_spans")))
