@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.llm import suffix_dedup, toxicity
+from moodlake.llm import quality_bayes, suffix_dedup, toxicity
 from moodlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (toxicity.score(docs, crf, spans=True, keep=["doc_id"])
             .select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted",
                     F.size("spans").alias("n_spans")))
+
+
+@register
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from its text, its source (as host) and its language within it (as path)."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_bayes.train(docs, table(spark, sf_dir, "labels"))
+    return quality_bayes.score(docs, F.col("source"), F.col("lang"), model, keep=["doc_id"])
