@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.llm import quality_bayes, suffix_dedup, toxicity
+from moodlake.llm import ngram_join, quality_bayes, suffix_dedup, toxicity
 from moodlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,13 @@ def register(fn):
     return fn
 
 
+@register
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document (five words, similarity 0.8)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "class_size")
+
+
 @register
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document covered by 200-byte strings that start elsewhere too."""
