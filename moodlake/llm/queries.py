@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.llm import ngram_join, quality_bayes, suffix_dedup, toxicity
+from moodlake.llm import decision_list, ngram_join, packing, quality_bayes, suffix_dedup, toxicity
 from moodlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,22 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "class_size")
 
 
+@register
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rule and learned verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    rules = decision_list.train(docs, table(spark, sf_dir, "labels"))
+    judged = decision_list.judge(docs, rules, keep=["doc_id"])
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in decision_list.STATS if c not in first])
+
+
+@register
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in sequences of 2,048 words, none with two of a source or duplicate cluster."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document covered by 200-byte strings that start elsewhere too."""
