@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moodlake.llm.column_bwt import anchor_runs, repeated_starts
+from moodlake.llm.column_bwt import anchor_runs, repeated_starts, window_hashes
 from moodlake.llm.common import (as_batch, byte_chunks, distinct_texts, materialized, prepare,
                                  shuffle_partitions, text_buffer, text_key)
 
@@ -45,7 +45,9 @@ ANCHOR = 64
 #: Distinct strings of one anchor that a task takes at once.
 HOT_STRINGS = 4096
 #: Symbols of one collection (whole anchors; at least one).
-COLLECTION_BYTES = 400_000
+COLLECTION_BYTES = 600_000
+#: Ranges of window offsets that a string is cut into before the construction.
+SETTLE_RANGES = 4
 
 _RUNS = {"h": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "start": pa.int32(), "n": pa.int32()}
 _CUT = {"h": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "c1": pa.int64(), "c2": pa.int64(),
@@ -106,25 +108,74 @@ def _cut(length: int, with_bytes: bool):
     return cut
 
 
-def _settle(length: int):
-    """Strings sorted by anchor -> spans of repeated windows of the strings held by one text only."""
+def _ranges(lead: int, n: int, length: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Cuts a string's n windows into ranges of the anchor's offset in the window: (range, first and
+    last window, bounds of the bytes that all windows of the range hold). ``lead``: the anchor's
+    offset in the string. Equal windows fall into equal ranges with equal common bytes."""
+    for at in range((lead - (n - 1)) // width, lead // width + 1):
+        low, high = at * width, at * width + width - 1
+        yield at, max(lead - high, 0), min(lead - low, n - 1), lead - low, lead - high + length
+
+
+def _leads(data: np.ndarray, ends: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+    """The anchor's offset in each string: its first k bytes with hash h."""
+    lengths = np.diff(ends, prepend=0)
+    begins = ends - lengths
+    hashes = window_hashes(data, k)
+    owner = np.repeat(np.arange(len(ends)), lengths)[:len(hashes)]
+    at = np.flatnonzero((hashes == h.view(np.uint64)[owner]) & (np.arange(len(hashes)) + k <= ends[owner]))
+    own, first = np.unique(owner[at], return_index=True)
+    return at[first] - begins[own]
+
+
+def _settle(length: int, k: int):
+    """Strings sorted by anchor -> spans of repeated windows of the strings held by one text only.
+
+    A collection's strings are first cut into ranges of window offsets. Equal pieces are settled by
+    their count; the pieces that share a range's common bytes and differ go through the column-wise
+    construction."""
+    width = -(-(length - k + 1) // SETTLE_RANGES)
+
     def one(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(group)
         data, ends = text_buffer(t.column("bytes"))
-        lengths = np.diff(ends, prepend=0)
-        flags = repeated_starts(data, ends - lengths, lengths, length)
-        owner = np.repeat(np.arange(len(ends)), lengths)
-        flags &= (t.column("copies").to_numpy() == 1)[owner]
-        at = np.flatnonzero(flags)
-        first = np.ones(len(at), bool)
-        first[1:] = (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
-        begin = at[first]
-        last = at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)] if len(at) else at
-        own = owner[begin]
-        offset = t.column("start").to_numpy()[own] - (ends - lengths)[own]
+        raw, h = data.tobytes(), t.column("h").to_numpy()
+        begins = np.concatenate(([0], ends[:-1])).tolist()
+        copies, counts = t.column("copies").to_numpy().tolist(), t.column("n").to_numpy().tolist()
+        found: dict[tuple, dict[bytes, list]] = {}
+        leads = t.column("lead").to_numpy() if "lead" in t.column_names else _leads(data, ends, h, k)
+        for i, (lead, key) in enumerate(zip(leads.tolist(), h.tolist())):
+            b = begins[i]
+            for at, first, last, low, high in _ranges(lead, counts[i], length, width):
+                own = found.setdefault((key, at, raw[b + low:b + high]), {})
+                own.setdefault(raw[b + first:b + last + length], []).append((i, first, last))
+        spans, pieces, owners = [], [], []
+        for own in found.values():
+            for piece, held in own.items():
+                several = len(held) > 1 or copies[held[0][0]] > 1
+                if several:
+                    spans += [x for x in held if copies[x[0]] == 1]
+                if len(own) > 1:
+                    pieces.append(piece)
+                    owners.append((-1, 0) if several else held[0][:2])
+        if pieces:
+            lengths = np.array([len(x) for x in pieces])
+            starts = np.cumsum(lengths) - lengths
+            flags = repeated_starts(np.frombuffer(b"".join(pieces), np.uint8), starts, lengths, length)
+            whose = np.repeat(np.arange(len(pieces)), lengths)
+            flags &= np.array([x[0] >= 0 for x in owners])[whose]
+            at = np.flatnonzero(flags)
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = (at[1:] != at[:-1] + 1) | (whose[at[1:]] != whose[at[:-1]])
+            last = at[np.append(np.flatnonzero(fresh)[1:] - 1, len(at) - 1)] if len(at) else at
+            for q, x, y in zip(whose[at[fresh]].tolist(), at[fresh].tolist(), last.tolist()):
+                i, first = owners[q]
+                spans.append((i, first + x - int(starts[q]), first + y - int(starts[q])))
+        own, first, last = (np.array(x, np.int64) for x in (zip(*spans) if spans else ([], [], [])))
+        start = t.column("start").to_numpy()[own]
         return as_batch({"c1": t.column("c1").to_numpy()[own], "c2": t.column("c2").to_numpy()[own],
-                         "start": (begin + offset).astype(np.int32),
-                         "stop": (last + offset + length).astype(np.int32)}, _SPANS)
+                         "start": (start + first).astype(np.int32),
+                         "stop": (start + last + length).astype(np.int32)}, _SPANS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[pa.RecordBatch] = []
@@ -132,13 +183,13 @@ def _settle(length: int):
         for batch in batches:
             h = batch.column("h").to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))).tolist()
+            ends = text_buffer(batch.column("bytes"))[1]
             for lo, hi in zip(starts, [*starts[1:], len(h)]):
                 if size >= COLLECTION_BYTES and h[lo] != last:
                     yield one(group)
                     group, size = [], 0
-                part = batch.slice(lo, hi - lo)
-                group.append(part)
-                size += int(text_buffer(part.column("bytes"))[1][-1])
+                group.append(batch.slice(lo, hi - lo))
+                size += int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
                 last = h[lo]
         if group:
             yield one(group)
@@ -152,15 +203,11 @@ def _split(length: int, k: int, width: int):
 
     def parts(r: dict) -> Iterator[tuple]:
         data, lead = r["bytes"], r["lead"]
-        low, high = lead - (r["n"] - 1), lead          # the anchor's offset in the last, first window
-        for at in range(low // width, high // width + 1):
-            o_low, o_high = at * width, at * width + width - 1
-            first, final = max(lead - o_high, 0), min(lead - o_low, r["n"] - 1)
-            common = data[lead - o_low:lead - o_high + length]
-            h = _digest(common + at.to_bytes(4, "little") + (r["h"] & (1 << 64) - 1).to_bytes(8, "little"))[0]
-            piece = data[first:final + length]
-            yield (h, *_digest(piece), r["c1"], r["c2"], r["start"] + first, final - first + 1, r["copies"],
-                   piece, lead - first)
+        for at, first, last, low, high in _ranges(lead, r["n"], length, width):
+            key = at.to_bytes(4, "little") + (r["h"] & (1 << 64) - 1).to_bytes(8, "little")
+            piece = data[first:last + length]
+            yield (_digest(data[low:high] + key)[0], *_digest(piece), r["c1"], r["c2"], r["start"] + first,
+                   last - first + 1, r["copies"], piece, lead - first)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +277,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
         spans = spans.unionByName(_hot_spans(strings.join(hot, "h"), length, k))
         strings = strings.join(hot, "h", "left_anti")
     settled = (strings.repartition(parts, "h").sortWithinPartitions("h", "f1", "f2")
-               .mapInArrow(_settle(length), _ddl(_SPANS)))
+               .mapInArrow(_settle(length, k), _ddl(_SPANS)))
     return spans.unionByName(settled)
 
 
@@ -254,10 +301,10 @@ def _hot_spans(strings: DataFrame, length: int, k: int) -> DataFrame:
         sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1")
         rest = groups.join(sizes, "h").select("h", "f1", "f2", "one.c1", "one.c2", "one.start", "one.n",
                                               F.col("total").alias("copies"), "one.bytes", "one.lead", "strings")
-        cold = rest.filter(F.col("strings") <= HOT_STRINGS).drop("strings", "lead")
+        cold = rest.filter(F.col("strings") <= HOT_STRINGS).drop("strings")
         found = found.unionByName(
             cold.repartition(shuffle_partitions(strings.sparkSession), "h").sortWithinPartitions("h", "f1", "f2")
-            .select(*_STRINGS).mapInArrow(_settle(length), _ddl(_SPANS)))
+            .mapInArrow(_settle(length, k), _ddl(_SPANS)))
         strings = rest.filter(F.col("strings") > HOT_STRINGS).drop("strings")
     return found
 
@@ -267,13 +314,9 @@ def _with_lead(length: int, k: int):
     types = _STRINGS | {"lead": pa.int32()}
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from moodlake.llm.column_bwt import window_hashes
         for batch in batches:
-            data, ends = text_buffer(batch.column("bytes"))
-            h = batch.column("h").to_numpy().view(np.uint64)
-            begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-            out = [int(np.flatnonzero(window_hashes(data[b:e], k) == x)[0]) for b, e, x in zip(begins, ends, h)]
-            yield as_batch({c: batch.column(c) for c in _STRINGS} | {"lead": out}, types)
+            leads = _leads(*text_buffer(batch.column("bytes")), batch.column("h").to_numpy(), k)
+            yield as_batch({c: batch.column(c) for c in _STRINGS} | {"lead": leads}, types)
     return lead
 
 
