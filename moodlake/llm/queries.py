@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.llm import ball_tree, decision_list, ngram_join, packing, quality_bayes, suffix_dedup, toxicity, url_cascade
+from moodlake.llm import ball_tree, decision_list, ngram_join, packing, quality_bayes, suffix_dedup, token_files, toxicity, url_cascade
 from moodlake.llm.common import table
+from moodlake.session import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +43,15 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the files they were written to."""
+    import public_tokenizers
+    path = scratch_dir(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_tokens(spark, path)
+
+
 @register
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of each document covered by 200-byte strings that start elsewhere too."""
