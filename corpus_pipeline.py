@@ -1,12 +1,57 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Toxic documents go, then documents of poor quality; one document of each near-duplicate class stays (the smallest
+doc_id); byte strings of 200 and more that repeat are cut out of the texts; what is left is packed into sequences.
+All stages but the last return the columns of ``documents``. Models learn from the stage's own input and ``labels``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from moodlake.llm import ngram_join, packing, quality_bayes, suffix_dedup, toxicity
 from moodlake.llm.common import materialized, table
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold."""
+    crf = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, crf, spans=False).filter("predicted = 0").select(docs.columns)
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps."""
+    model = quality_bayes.train(docs, table(spark, sf_dir, "labels"))
+    return quality_bayes.score(docs, F.col("source"), F.col("lang"), model).filter("keep").select(docs.columns)
+
+
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each near-duplicate class. A row that repeats with its id and text
+    stays once; rows of a class without any id all stay, as nothing tells them apart."""
+    named = ngram_join.near_duplicates(docs).filter("class_id IS NULL OR doc_id = class_id")
+    known = named.filter("class_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
+    return known.select(docs.columns).unionByName(named.filter("class_id IS NULL").select(docs.columns))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeated 200-byte strings cover; bytes of a character cut in two go too. Texts
+    that hold no repeat stay as they are, nulls included; n_chars is counted anew where a text changed."""
+    left = suffix_dedup.remove_repeats(docs)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text"))
+    return (left.withColumn("text", text)
+            .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            .select(docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' places in sequences of fixed capacity."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near_duplicates", keep_one_of_each_class),
+          ("repeats", cut_repeats), ("packing", pack_sequences)]
 
 #: Learned models and best-fit search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.llm import ball_tree, decision_list, ngram_join, packing, quality_bayes, suffix_dedup, token_files, toxicity, url_cascade
+from moodlake.llm import (ball_tree, decision_list, ngram_join, packing, quality_bayes, sentencepiece_codec, suffix_dedup,
+                          token_files, toxicity, url_cascade)
 from moodlake.llm.common import table
 from moodlake.session import scratch_dir
 
@@ -27,6 +28,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "class_size")
 
 
+@register
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document (count and checksum), and whether they decode to its whole text."""
+    import public_tokenizers
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                          keep=["doc_id"])
+
+
 @register
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rule and learned verdict of every document."""

@@ -30,8 +30,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodlake.llm.column_bwt import anchor_runs, repeated_starts, window_hashes
@@ -320,6 +321,14 @@ def _with_lead(length: int, k: int):
     return lead
 
 
+def whole_characters(kept: Column) -> Column:
+    """What is left of a text as a string, without the bytes of characters that were cut in two."""
+    @F.pandas_udf("string")
+    def decoded(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+    return decoded(kept)
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """``docs`` with the columns n_bytes, n_removed, n_spans, kept (binary) and kept_sha256.
 
