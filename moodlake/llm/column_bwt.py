@@ -163,36 +163,47 @@ def repeated_starts(buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return flags
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, kept between calls."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, _BASE_INVERSE)):
+            table = np.full(max(n, 1 << 20), base)
+            table[0] = 1
+            _powers[i] = np.cumprod(table, out=table)
+    return _powers[0][:n], _powers[1][:n]
+
+
 def window_hashes(buffer: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of the k bytes that start at each position."""
     n = len(buffer)
     if n < k:
         return np.zeros(0, np.uint64)
-    power = np.full(n, _BASE)
-    power[0] = 1
-    np.cumprod(power, out=power)
+    power, inverse = _power_tables(n)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-    inverse = np.full(n, _BASE_INVERSE)
-    inverse[0] = 1
-    np.cumprod(inverse, out=inverse)
-    h = (total[k:] - total[:-k]) * inverse[:n - k + 1]
-    h ^= h >> np.uint64(32)
+    np.add(buffer, np.uint64(1), out=total[1:], casting="unsafe")
+    total[1:] *= power
+    np.cumsum(total, out=total)
+    h = total[k:] - total[:-k]
+    h *= inverse[:n - k + 1]
+    spread = h >> np.uint64(32)
+    h ^= spread
     h *= _MIX
-    h ^= h >> np.uint64(32)
+    np.right_shift(h, np.uint64(32), out=spread)
+    h ^= spread
     return h
 
 
 def _sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each run of w keys, by block-wise prefix and suffix minima."""
-    n = len(keys)
-    blocks = -(-n // w)
-    padded = np.full(blocks * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = keys
-    grid = padded.reshape(blocks, w)
-    left = np.minimum.accumulate(grid, axis=1).ravel()
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n - w + 1], left[w - 1:n])
+    """Minimum of each run of w keys, by doubling the width of what is known."""
+    out, width = keys, 1
+    while width < w:
+        step = min(width, w - width)
+        out = np.minimum(out[:-step], out[step:])
+        width += step
+    return out
 
 
 def anchor_runs(buffer: np.ndarray, ends: np.ndarray, length: int, k: int):
@@ -209,17 +220,21 @@ def anchor_runs(buffer: np.ndarray, ends: np.ndarray, length: int, k: int):
         return none
     h = window_hashes(buffer, k)
     low = np.uint64((1 << _POS_BITS) - 1)
-    keys = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    anchor = (_sliding_min(keys, length - k + 1) & low).astype(np.int64)
+    keys = h & ~low
+    keys |= np.arange(len(h), dtype=np.uint64)
+    least = _sliding_min(keys, length - k + 1)
     begins = np.concatenate(([0], ends[:-1]))
-    doc = np.repeat(np.arange(len(ends)), ends - begins)[:len(anchor)]
-    start = np.arange(len(anchor))
+    # runs end where the anchor changes, where a document begins, and behind its last whole window
+    cuts = np.zeros(len(least) + 1, bool)
+    cuts[0] = True
+    np.not_equal(least[1:], least[:-1], out=cuts[1:-1])
+    cuts[begins[begins < len(least)]] = True
+    behind = ends - length + 1
+    cuts[behind[(behind > 0) & (behind < len(least))]] = True
+    cuts[-1] = True
+    bounds = np.flatnonzero(cuts)
+    start, count = bounds[:-1], np.diff(bounds)
+    doc = np.searchsorted(ends, start, side="right")
     whole = start + length <= ends[doc]
-    start, doc, anchor = start[whole], doc[whole], anchor[whole]
-    if not len(start):
-        return none
-    change = np.ones(len(start), bool)
-    change[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-    first = np.flatnonzero(change)
-    count = np.diff(np.append(first, len(start)))
-    return doc[first], h[anchor[first]], start[first], count
+    start, count, doc = start[whole], count[whole], doc[whole]
+    return doc, h[(least[start] & low).astype(np.int64)], start, count
