@@ -31,13 +31,6 @@ KEYWORDS = (
 # FIXED VALUES: most symbols linked per post.
 MAX_SYMBOLS = 5
 
-# FIXED VALUES: the same characters as a literal string, for translate().
-WHITESPACE_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
-    + "".join(chr(c) for c in range(0x2000, 0x200B))
-    + "\u2028\u2029\u202f\u205f\u3000"
-)
-
 # FIXED VALUES: characters that Python's str.split() treats as whitespace
 # (the text hash removes them): \t \n \v \f \r, the four information
 # separators U+001C..U+001F, space, U+0085, U+00A0, U+1680, U+2000..U+200A,
@@ -47,6 +40,13 @@ WHITESPACE_CLASS = (
     "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
 )
 
+# FIXED VALUES: the same characters as a literal string, for translate().
+WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # FIXED VALUES: stance for class index 0, 1, 2 of the scorer's logits.
 CLASS_ORDER = (-1, 0, 1)
 
@@ -57,8 +57,5 @@ LISTING_SOURCE = "reddit"
 # FIXED VALUES: model version stamped on written-back scores.
 MODEL_VER = "finbert-onnx-v1"
 
-# FIXED VALUES: scoring batch size; per-feed / per-channel caps of one poll.
+# FIXED VALUES: scoring batch size.
 BATCH_SIZE = 32
-FEED_CAP = 50
-LISTING_CAP = 100
-BACKFILL_CAP = 200

@@ -41,11 +41,6 @@ def candidate_symbols(text) -> Column:
         F.regexp_extract_all(F.upper(t), F.lit(CANDIDATE_PATTERN), F.lit(1)))
 
 
-def embed_prefix(text, n: int = 512) -> Column:
-    """First n characters (code points) fed to the encoder."""
-    return F.substring(_c(text), 1, n)
-
-
 def title_of(text) -> Column:
     """First line of a text."""
     return F.split_part(_c(text), F.lit("\n"), F.lit(1))

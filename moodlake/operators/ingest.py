@@ -14,10 +14,45 @@ from pyspark.sql import functions as F
 POST_KEY = ("source", "external_id", "created_at")
 
 
+# most partition values a static predicate lists before it falls back to a range
+MAX_PRUNE_VALUES = 1000
+# when and where a record was landed: orders the copies of a post within a batch
+ARRIVAL = "__arrival"
+
+
+def with_arrival(records: DataFrame) -> DataFrame:
+    """Adds ``__arrival`` to the rows of a file source: file time, file, place in the file. Call it on the source itself,
+    before anything that changes the rows' order; on a stream, ``with_arrival_rows`` numbers the rows of each batch."""
+    m = F.col("_metadata")
+    at = F.struct(m["file_modification_time"].alias("time"), m["file_path"].alias("file"), m["file_block_start"].alias("block"))
+    records = records.withColumn(ARRIVAL, at)
+    return records if records.isStreaming else with_arrival_rows(records)
+
+
+def with_arrival_rows(batch: DataFrame) -> DataFrame:
+    """``__arrival`` (if there is one) completed by the row's place among the rows of its task, in file order."""
+    if ARRIVAL not in batch.columns:
+        return batch
+    a = F.col(ARRIVAL)
+    return batch.withColumn(ARRIVAL, F.struct(a["time"].alias("time"), a["file"].alias("file"), a["block"].alias("block"),
+                                              F.monotonically_increasing_id().alias("row")))
+
+
+def split_null_keys(df: DataFrame, key=POST_KEY) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is whole, rows with a NULL in it). The key columns are NOT NULL in the posts table;
+    a NULL never equals anything, so such a row would be inserted again at every replay."""
+    whole = F.lit(True)
+    for c in key:
+        whole = whole & F.col(c).isNotNull()
+    return df.where(whole), df.where(~whole)
+
+
 def first_write(df: DataFrame, key=POST_KEY, order=("k",)) -> DataFrame:
-    """One row per key: the row with the smallest ``order`` (ties broken by the
-    remaining columns, so the result is deterministic)."""
+    """One row per key: the row with the smallest ``order``, the columns that say what arrived first (required;
+    ties are broken by the remaining columns, so the result is deterministic)."""
     key, order = list(key), list(order)
+    if not order:
+        raise ValueError("first write wins needs the columns of the arrival order")
     rest = [c for c in df.columns if c not in key]
     rank = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest if c not in order])
     return (df.groupBy(*key)
@@ -26,29 +61,37 @@ def first_write(df: DataFrame, key=POST_KEY, order=("k",)) -> DataFrame:
             .select(*df.columns))
 
 
-def date_range_filter(batch: DataFrame, prune_col: str):
-    """Predicate on ``prune_col`` covering the batch's range of values: one
-    single-row aggregate (min, max). Spark's dynamic partition pruning never
-    prunes the build side of an anti join, so a stored target is pruned
-    statically with this range instead (exact: a matching key has the same
-    partition value, which lies inside the batch's range)."""
-    lo, hi = batch.agg(F.min(prune_col), F.max(prune_col)).first()
-    if lo is None:
-        return F.lit(False)
-    return F.col(prune_col).between(F.lit(lo), F.lit(hi))
+def prune_values(batch: DataFrame, prune_col: str) -> list | None:
+    """The batch's distinct values of ``prune_col``; None when there are more than MAX_PRUNE_VALUES."""
+    found = [r[0] for r in batch.select(prune_col).where(F.col(prune_col).isNotNull()).distinct()
+             .limit(MAX_PRUNE_VALUES + 1).collect()]
+    return found if len(found) <= MAX_PRUNE_VALUES else None
+
+
+def prune_filter(batch: DataFrame, prune_col: str):
+    """Predicate on ``prune_col`` covering the batch: its distinct values (one far outlier adds one partition,
+    not all between), or their range when there are too many. Spark's dynamic partition pruning never prunes the
+    build side of an anti join, so a stored target is pruned statically; exact, as a matching key has the same
+    partition value."""
+    values = prune_values(batch, prune_col)
+    if values is None:
+        lo, hi = batch.agg(F.min(prune_col), F.max(prune_col)).first()
+        return F.col(prune_col).between(F.lit(lo), F.lit(hi))
+    return F.col(prune_col).isin(values) if values else F.lit(False)
 
 
 def insert_new(target: DataFrame, batch: DataFrame, key=POST_KEY, order=("k",),
                prune_col: str | None = None) -> DataFrame:
-    """Rows of ``batch`` whose key is absent from ``target`` (first write wins
+    """Rows of ``batch`` with a whole key that is absent from ``target`` (first write wins
     inside the batch). With ``prune_col`` (the partition column of a stored
     target) the anti join also matches on it, and the target is read only
-    inside the batch's range of that column (PartitionFilters)."""
+    at the batch's values of that column (PartitionFilters)."""
+    batch, _ = split_null_keys(batch, key)
     new = first_write(batch, key, order)
     on = list(key) + ([prune_col] if prune_col else [])
     stored = target.select(*on)
     if prune_col:
-        stored = stored.where(date_range_filter(batch, prune_col))
+        stored = stored.where(prune_filter(batch, prune_col))
     return new.join(stored, on=on, how="left_anti")
 
 
@@ -104,11 +147,15 @@ def stamp_classified(scored: DataFrame) -> DataFrame:
     return scored.withColumn("classified_at", F.when(F.col("stance").isNotNull(), F.lit(now)))
 
 
+def valid_vector(vec_col: str, dim: int):
+    """Whether a vector may be stored: NULL (the column is nullable) or of the declared size."""
+    from moodlake.functions.vectors import has_dim
+    return F.col(vec_col).isNull() | has_dim(vec_col, dim)
+
+
 def split_vector_size(df: DataFrame, dim: int, vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by the declared vector size: a NULL vector is accepted
-    (the column is nullable), a vector of any other length is rejected — the
+    """(accepted, rejected) by the declared vector size — the
     store's fixed-size guard. A filter pair on one input, no shuffle; rejected
     rows go to quarantine instead of failing the batch."""
-    from moodlake.functions.vectors import has_dim
-    ok = F.col(vec_col).isNull() | has_dim(vec_col, dim)
+    ok = valid_vector(vec_col, dim)
     return df.where(ok), df.where(~ok)

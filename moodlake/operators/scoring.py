@@ -2,13 +2,17 @@
 
 The scorer contract is "text -> logits array<double>". Decoding (softmax,
 argmax -> stance via ``class_order``, {neg, neu, pos}) is native Spark
-(functions/decode.py). Two scorers:
+(functions/decode.py). Scorers:
 
-* default: a pyspark.ml Pipeline (RegexTokenizer -> HashingTF -> 3-class
-  LogisticRegression) trained on labelled posts — JVM-only, distributed;
-* external: any batched numpy model (an ONNX session, say) wrapped with
-  ``predict_batch_udf`` — Arrow batches of ``batch_size`` rows, the model
-  loaded once per Python worker.
+* ``batch_logits_udf``: any batched numpy model (an ONNX session, say), in
+  Arrow batches of ``batch_size`` rows, the model loaded once per Python worker;
+  ``hashed_scorer`` is one with fixed weights;
+* a pyspark.ml Pipeline (RegexTokenizer -> HashingTF -> 3-class
+  LogisticRegression) trained on labelled posts — JVM-only, distributed; train it
+  once, ``save_model`` it, and load it where posts are scored.
+
+The default embedder averages hashed word vectors over the whole text: nothing is
+trained, no vocabulary is held anywhere, and a text has the same vector at any scale.
 
 Write-back never updates in place: scores are a dataset joined to posts on id
 (stance moves NULL -> value exactly once, so the join is the current view).
@@ -48,7 +52,7 @@ def train_default_scorer(texts: DataFrame, text_col: str = "text", label_col: st
     from pyspark.ml.feature import HashingTF, RegexTokenizer
 
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", minTokenLength=1),
+        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\W+", minTokenLength=1),
         HashingTF(inputCol="__tok", outputCol="__tf", numFeatures=num_features),
         LogisticRegression(featuresCol="__tf", labelCol=label_col, family="multinomial",
                            maxIter=max_iter, regParam=reg, rawPredictionCol="__raw",
@@ -77,33 +81,69 @@ def batch_logits_udf(make_predict_fn, n_classes: int = 3, batch_size: int = BATC
                              batch_size=batch_size)
 
 
-def hashing_text_model(num_features: int = 4096, n_classes: int = 3, seed: int = 5):
-    """A ``make_predict_fn`` for ``batch_logits_udf``: a linear model over hashed
-    word counts (crc32, stable across workers), fixed random weights. It stands
-    in for an external batched model (the contract an ONNX session meets) in
-    tests and in the batch-size cost measurement."""
-    def make():
-        import re
-        import zlib
+#: Words of the hashed models: runs of characters other than ASCII spaces, in lower case.
+HASHED_WORD = r"[^\x20\x09-\x0D]+"
+
 
-        import numpy as np
+def hashed_mean(texts, dims: int):
+    """Mean of the words' hashed vectors for each text (numpy, n x dims; zeros for a text without words). Component
+    d of a word is byte d % 16 of md5(word + "#" + d // 16), scaled to -0.5..0.5."""
+    import hashlib
+    import re
 
-        w = np.random.default_rng(seed).normal(0, 0.05, (num_features, n_classes)).astype(np.float32)
-        word = re.compile(r"\w+")
+    import numpy as np
 
-        def predict(texts):
-            x = np.zeros((len(texts), num_features), dtype=np.float32)
-            for i, t in enumerate(texts):
-                h = [zlib.crc32(tok.encode()) % num_features for tok in word.findall(str(t).lower())]
-                if h:
-                    x[i] = np.bincount(h, minlength=num_features)
-            return np.log1p(x) @ w
+    word, out, known = re.compile(HASHED_WORD), np.zeros((len(texts), dims)), {}
+    for i, text in enumerate(texts):
+        found = word.findall(text.lower()) if isinstance(text, str) else []
+        for w in set(found) - known.keys():
+            raw = b"".join(hashlib.md5(f"{w}#{k}".encode()).digest() for k in range(-(-dims // 16)))
+            known[w] = np.frombuffer(raw, np.uint8)[:dims] / 255.0 - 0.5
+        if found:
+            out[i] = np.mean([known[w] for w in found], axis=0)
+    return out
 
-        return predict
 
+def hashed_scorer(scale: float = 40.0, n_classes: int = 3):
+    """A ``make_predict_fn`` for ``batch_logits_udf`` with fixed weights: scaled hashed means, the contract an
+    external batched model meets."""
+    def make():
+        return lambda texts: hashed_mean(texts, n_classes) * scale
     return make
 
 
+def score_with_udf(posts: DataFrame, logits_udf, text_col: str = "text", class_order=CLASS_ORDER,
+                   model_ver: str = MODEL_VER) -> DataFrame:
+    """Score with a batched model: its logits, then the native decode. A NULL text is scored as empty."""
+    scored = posts.withColumn("logits", logits_udf(F.coalesce(text_col, F.lit(""))))
+    return decode_logits(scored, "logits", class_order).withColumn("model_ver", F.lit(model_ver))
+
+
+def embed_hashed(posts: DataFrame, vector_size: int = 384, text_col: str = "text", out: str = "embedding",
+                 element: str = "float") -> DataFrame:
+    """Adds the hashed mean vector of each whole text (array of ``element``, float or double); zeros for a text
+    without words."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def embed(texts):
+        return pd.Series(list(hashed_mean(texts.tolist(), vector_size).astype({"float": "float32"}.get(element, element))))
+
+    embed.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # real types, not postponed strings
+    return posts.withColumn(out, pandas_udf(embed, f"array<{element}>")(F.coalesce(text_col, F.lit(""))))
+
+
+def save_model(model, path: str) -> None:
+    """Store a trained pipeline (shared folder), to be loaded where posts are scored."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def _ensure(df: DataFrame, name: str, dtype) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 
@@ -143,45 +183,21 @@ def fanout_writeback(ticker_posts: DataFrame, scores: DataFrame) -> DataFrame:
     return done.unionByName(todo.select(*ticker_posts.columns))
 
 
-# Largest vocabulary the default embedder keeps (Word2Vec holds it on the driver
-# and broadcasts vocabulary x vector_size floats to every task).
-MAX_VOCAB = 2_000_000
-
-
-def vocabulary_min_count(tokens: DataFrame, min_count: int = 1, max_vocab: int = MAX_VOCAB,
-                         tok_col: str = "__tok") -> int:
-    """Smallest ``min_count`` (the given one, or a doubling of it) whose vocabulary
-    fits ``max_vocab`` words. One distributed pass: token counts by a partial
-    aggregation, then one aggregate of conditional counts at every threshold."""
-    counts = tokens.select(F.explode(tok_col).alias("w")).groupBy("w").count()
-    thresholds = [min_count * (1 << i) for i in range(40)]
-    sizes = counts.agg(*[F.count_if(F.col("count") >= t) for t in thresholds]).first()
-    for t, n in zip(thresholds, sizes):
-        if n <= max_vocab:
-            return t
-    return thresholds[-1]
-
-
 def train_embedder(texts: DataFrame, text_col: str = "text", vector_size: int = 384,
-                   min_count: int = 1, seed: int = 11, max_iter: int = 1, num_partitions: int | None = None,
-                   max_vocab: int = MAX_VOCAB):
-    """Default text encoder: Word2Vec; its transform is the mean of the word
+                   min_count: int = 1, seed: int = 11, max_iter: int = 1, num_partitions: int | None = None):
+    """Trained text encoder: Word2Vec; its transform is the mean of the word
     vectors of the text (mean pooling over all tokens of the whole text).
 
-    Training runs on ``num_partitions`` tasks (default: the input's partition
-    count; Spark's own default is a single task). Word2Vec keeps its vocabulary
-    on the driver and broadcasts the word vectors, so ``min_count`` is raised
-    (doubling) until the vocabulary is at most ``max_vocab`` words — a bound
-    checked by one distributed count before anything is collected."""
+    Word2Vec holds its whole vocabulary on the driver and in every task, so it is for vocabularies known to fit there;
+    ``embed_hashed`` has no such bound. ``min_count`` is never raised to make one fit."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import RegexTokenizer, Word2Vec
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", minTokenLength=1)
-    mc = vocabulary_min_count(tok.transform(texts.select(text_col)), min_count, max_vocab)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\W+", minTokenLength=1)
     parts = num_partitions or max(1, texts.rdd.getNumPartitions())
     return Pipeline(stages=[
         tok,
-        Word2Vec(inputCol="__tok", outputCol="__vec", vectorSize=vector_size, minCount=mc,
+        Word2Vec(inputCol="__tok", outputCol="__vec", vectorSize=vector_size, minCount=min_count,
                  seed=seed, maxIter=max_iter, numPartitions=parts),
     ]).fit(texts)
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodlake.functions.dictionaries import KEYWORDS, MAX_SYMBOLS, STOPLIST
+from moodlake.functions.dictionaries import FEED_SOURCE, KEYWORDS, MAX_SYMBOLS, STOPLIST
 from moodlake.functions.text import candidate_symbols
 
 # Above this many whitelist keys the literal-array form is replaced:
@@ -60,7 +60,7 @@ def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str]) -> Column:
     from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
-    bc = SparkSession.getActiveSession().sparkContext.broadcast(dict(key_map))
+    bc = _shared(SparkSession.getActiveSession(), "whitelist", tuple(sorted(key_map.items())), dict)
 
     def hits(cands):
         m = bc.value
@@ -97,15 +97,33 @@ MAX_BROADCAST_KEYWORDS = 1_000_000
 
 
 def keyword_pairs(keywords) -> list[tuple[str, str]]:
-    """(keyword, symbol) pairs from a pair list or a DataFrame (keyword, symbol),
-    the latter collected only after a bounded count proves it fits a broadcast."""
+    """(keyword, symbol) pairs of a pair list or of a DataFrame page; empty ones mean nothing and are left out."""
     if isinstance(keywords, DataFrame):
-        kw = keywords.select(F.col("keyword").cast("string"), F.col("symbol").cast("string")).distinct()
-        pdf = kw.limit(MAX_BROADCAST_KEYWORDS + 1).toPandas()  # Arrow batches, bounded by the limit
-        if len(pdf) > MAX_BROADCAST_KEYWORDS:
-            raise ValueError(f"keyword dictionary larger than {MAX_BROADCAST_KEYWORDS} entries")
-        return [(k, s) for k, s in zip(pdf["keyword"], pdf["symbol"]) if k and s]
-    return [(k, s) for k, s in keywords]
+        pdf = keywords.toPandas()  # Arrow batches, bounded by the caller
+        keywords = zip(pdf["keyword"], pdf["symbol"])
+    return [(k, s) for k, s in keywords if k and s]
+
+
+def _keyword_pages(keywords: DataFrame) -> list[DataFrame]:
+    """The dictionary in pages of about MAX_BROADCAST_KEYWORDS entries, each small enough to broadcast."""
+    kw = keywords.select(F.col("keyword").cast("string"), F.col("symbol").cast("string")).distinct()
+    pages = max(1, -(-kw.count() // MAX_BROADCAST_KEYWORDS))
+    return [kw if pages == 1 else kw.where(F.pmod(F.xxhash64("keyword"), F.lit(pages)) == i) for i in range(pages)]
+
+
+_SHARED: dict = {}
+
+
+def _shared(spark, kind: str, content: tuple, build):
+    """The broadcast of a dictionary, made once per session and content; the one it replaces is released when the
+    dictionary has changed (a live query asks again with every micro-batch)."""
+    at = (spark.sparkContext.applicationId, kind)
+    held = _SHARED.get(at)
+    if held is None or held[0] != content:
+        if held is not None:
+            held[1].unpersist()
+        held = _SHARED[at] = (content, spark.sparkContext.broadcast(build(content)))
+    return held[1]
 
 
 _AUTOMATA: dict = {}
@@ -126,7 +144,8 @@ def _automaton(bc):
         for k, ss in syms.items():
             a.add_word(k, tuple(sorted(ss)))
         a.make_automaton()
-        _AUTOMATA.clear()
+        if len(_AUTOMATA) >= 4:
+            _AUTOMATA.clear()
         _AUTOMATA[token] = a
     return a
 
@@ -135,17 +154,23 @@ def keyword_hits_automaton(lower_text: Column, keywords) -> Column:
     """Large-dictionary form of ``keyword_hits``: an Arrow-batched pandas UDF that
     runs one Aho-Corasick automaton (all keywords at once, overlapping matches
     included) over each whole lower-cased text. Only the text column crosses to
-    Python; the rest of the row stays in the JVM."""
+    Python; the rest of the row stays in the JVM. A dictionary too large for one broadcast is taken in pages."""
+    import hashlib
+
     import pandas as pd
     from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
-    pairs = [(k, s) for k, s in keyword_pairs(keywords) if k]
+    if isinstance(keywords, DataFrame):
+        pages = _keyword_pages(keywords)
+        if len(pages) > 1:
+            return F.flatten(F.array(*[keyword_hits_automaton(lower_text, keyword_pairs(p)) for p in pages]))
+        keywords = pages[0]
+    pairs = sorted(set(keyword_pairs(keywords)))
     if not pairs:
         return F.array().cast("array<string>")
-    import uuid
-
-    bc = SparkSession.getActiveSession().sparkContext.broadcast((uuid.uuid4().hex, pairs))
+    token = hashlib.md5(repr(pairs).encode()).hexdigest()
+    bc = _shared(SparkSession.getActiveSession(), f"keywords {token}", tuple(pairs), lambda c: (token, list(c)))
 
     def hits(texts):
         a = _automaton(bc)
@@ -170,6 +195,7 @@ def keyword_hits(lower_text: Column, keywords=KEYWORDS) -> Column:
     MAX_LITERAL_KEYWORDS pairs, takes the automaton path."""
     if isinstance(keywords, DataFrame) or len(keywords) > MAX_LITERAL_KEYWORDS:
         return keyword_hits_automaton(lower_text, keywords)
+    keywords = keyword_pairs(keywords)
     if not keywords:
         return F.array().cast("array<string>")
     hits = F.array(*[F.when(F.contains(lower_text, F.lit(k)), F.lit(s)) for k, s in keywords])
@@ -204,21 +230,20 @@ def extract_symbols(df: DataFrame, text_col: str = "text", whitelist=None, stopl
 def extract_symbols_join(df: DataFrame, text_col: str, tickers: DataFrame, stoplist=STOPLIST,
                          keywords=KEYWORDS, max_symbols: int = MAX_SYMBOLS, out: str = "tickers",
                          id_col: str = "id") -> DataFrame:
-    """Large-dictionary form (rows need a unique ``id_col``): distinct candidates
-    per row are exploded and joined to the key map (Spark chooses broadcast or shuffle join from statistics),
-    regrouped per row, and merged back with the keyword hits."""
-    rid = id_col
-    base = df
-    base = base.withColumn(out + "__kw", keyword_hits(F.lower(F.col(text_col)), keywords))
+    """Large-dictionary form: links depend on the text alone, so each distinct text's candidates are exploded once and
+    joined to the key map (Spark chooses broadcast or shuffle join from statistics), and the links return to the rows by
+    the text's 128-bit hash. No unique or non-NULL id is needed, and copies of one text are one text."""
+    t = F.col(text_col)
+    key = [F.xxhash64(t).alias("__t1"), F.xxhash64(F.lit(1), t).alias("__t2")]
     keys = symbol_keys(tickers).where(~F.col("key").isin(list(stoplist)))
-    toks = (base.select(rid, F.explode(F.array_distinct(candidate_symbols(text_col))).alias("key"))
-            .join(keys, "key").groupBy(rid).agg(F.collect_set("symbol").alias(out + "__wl")))
-    joined = base.join(toks, rid, "left")
+    toks = (df.where(t.isNotNull()).select(*key, F.explode(F.array_distinct(candidate_symbols(text_col))).alias("key"))
+            .distinct().join(keys, "key").groupBy("__t1", "__t2").agg(F.collect_set("symbol").alias(out + "__wl")))
+    base = df.withColumn(out + "__kw", keyword_hits(F.lower(t), keywords)).withColumn("__t1", key[0]).withColumn("__t2", key[1])
+    joined = base.join(toks, ["__t1", "__t2"], "left")
     wl = F.coalesce(F.col(out + "__wl"), F.array().cast("array<string>"))
-    t = F.col(text_col)
     linked = F.when(t.isNull() | (F.length(t) == 0), F.array().cast("array<string>")).otherwise(
         finish(F.concat(wl, F.col(out + "__kw")), max_symbols))
-    return joined.withColumn(out, linked).drop(out + "__kw", out + "__wl")
+    return joined.withColumn(out, linked).drop(out + "__kw", out + "__wl", "__t1", "__t2")
 
 
 def fan_out(posts: DataFrame, feed_engagement: bool = False) -> DataFrame:
@@ -238,6 +263,18 @@ def fan_out(posts: DataFrame, feed_engagement: bool = False) -> DataFrame:
             .where(F.col("ticker").isNotNull()))
 
 
+def with_feed_engagement(posts: DataFrame) -> DataFrame:
+    """Engagement per row: a feed post (its source says so, or it has neither score nor comments) counts as score 1 and
+    comments 0; a listing post keeps its own."""
+    score = F.col("score").cast("int") if "score" in posts.columns else F.lit(None).cast("int")
+    comments = F.col("comments").cast("int") if "comments" in posts.columns else F.lit(None).cast("int")
+    feed = score.isNull() & comments.isNull()
+    if "source" in posts.columns:
+        feed = feed | (F.col("source") == F.lit(FEED_SOURCE))
+    return posts.withColumn("score", F.when(feed, F.lit(1)).otherwise(score)) \
+        .withColumn("comments", F.when(feed, F.coalesce(comments, F.lit(0))).otherwise(comments))
+
+
 def posts_with_symbol(posts: DataFrame, symbols) -> DataFrame:
     """Posts whose symbol list mentions any of ``symbols``."""
     if isinstance(symbols, str):

@@ -59,9 +59,15 @@ def q_buckets_1h(spark, sf_dir):
     return S.sentiment_buckets(_mentions(spark, sf_dir), "1 hour")
 
 
+@register("sentiment_buckets_7d")
+def q_buckets_7d(spark, sf_dir):
+    return S.sentiment_buckets(_mentions(spark, sf_dir), "7 days")
+
+
 @register("sentiment_closed_buckets")
 def q_closed(spark, sf_dir):
-    return S.closed_buckets(_view10s(spark, sf_dir), start_offset_hours=24, as_of=CLOSED_AS_OF)
+    from moodlake.sources.views import refresh_window
+    return refresh_window(_mentions(spark, sf_dir), CLOSED_AS_OF)
 
 
 @register("sentiment_series")
@@ -71,7 +77,7 @@ def q_series(spark, sf_dir):
 
 @register("sentiment_latest")
 def q_latest(spark, sf_dir):
-    return V.sentiment_latest(_view10s(spark, sf_dir), SERIES_TICKER)
+    return V.sentiment_latest_from_facts(_mentions(spark, sf_dir), SERIES_TICKER)
 
 
 @register("sentiment_latest_all")
@@ -331,6 +337,13 @@ def q_stream_feed_items(spark, sf_dir):
         "title", "url", "score", "txt_hash")
 
 
+@register("feed_dates")
+def q_feed_dates(spark, sf_dir):
+    from moodlake.functions.timefns import feed_timestamp
+    return O.feed_date_strings(O.load(spark, sf_dir, "documents")).select(
+        "id", feed_timestamp("date").cast("timestamp_ntz").alias("created_at"))
+
+
 @register("feed_quarantine")
 def q_feed_quarantine(spark, sf_dir):
     """Malformed feed items are isolated one by one: quarantined, never taking
@@ -396,7 +409,21 @@ def q_similar_batch(spark, sf_dir):
 @register("similar_posts_approx")
 def q_similar_approx(spark, sf_dir):
     p = _vec_posts(spark, sf_dir)
-    return SIM.similar_posts_approx(p, p, k=10, n_cells=64, n_probe=8)
+    return SIM.similar_posts_approx(p, p, k=10)
+
+
+@register("similar_posts_approx_all_cells")
+def q_similar_all_cells(spark, sf_dir):
+    """Probing every cell is exact."""
+    p = _vec_posts(spark, sf_dir)
+    return SIM.similar_posts_approx(p, p, k=BATCH_K, n_cells=8, n_probe=8)
+
+
+@register("similar_posts_batch_torn")
+def q_similar_batch_torn(spark, sf_dir):
+    """Vectors that are missing or lost a dimension come last, in the batch form too."""
+    p = O.torn_vectors(O.load(spark, sf_dir, "embeddings"))
+    return SIM.similar_posts_batch(p.where(F.col("id") < 40), p.where(F.col("id") < 40), k=39)
 
 
 @register("mean_pool")
@@ -418,6 +445,7 @@ def q_vector_guard(spark, sf_dir):
 # --- scoring ----------------------------------------------------------------
 
 WRITEBACK_AS_OF = "2024-02-01 00:00:00"
+EMBED_DIM = 16
 
 
 def _decoded(spark, sf_dir):
@@ -437,24 +465,46 @@ def q_writeback(spark, sf_dir):
     return out.select("id", "stance", "model_ver", "classified_at")
 
 
-def _labelled_docs(spark, sf_dir):
-    d = O.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    lab = SCR.three_class_label(O.load(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "id")
-    return d, d.join(lab, "id")
+def _doc_posts(spark, sf_dir):
+    return O.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def _scored(spark, sf_dir, batch_size):
+    udf = SCR.batch_logits_udf(SCR.hashed_scorer(), batch_size=batch_size)
+    return SCR.score_with_udf(_doc_posts(spark, sf_dir), udf).select("id", "stance", "probs.neg", "probs.neu", "probs.pos")
 
 
 @register("score_posts")
 def q_score(spark, sf_dir):
-    docs, train = _labelled_docs(spark, sf_dir)
-    model = SCR.train_default_scorer(train)
-    return SCR.score_with_model(model, docs).select("id", "stance", "probs.neg", "probs.neu", "probs.pos")
+    """A batched fixed-weight model over every whole text."""
+    return _scored(spark, sf_dir, SCR.BATCH_SIZE)
+
+
+@register("score_posts_batch_1")
+def q_score_1(spark, sf_dir):
+    """The batch size changes the cost, never the scores."""
+    return _scored(spark, sf_dir, 1)
 
 
 @register("embed_posts")
 def q_embed(spark, sf_dir):
-    docs, _ = _labelled_docs(spark, sf_dir)
-    model = SCR.train_embedder(docs, vector_size=64)
-    return SCR.embed_with_model(model, docs).select("id", "embedding")
+    return SCR.embed_hashed(_doc_posts(spark, sf_dir), EMBED_DIM, element="double").select("id", F.posexplode("embedding").alias("dim", "value"))
+
+
+@register("fanout_writeback")
+def q_fanout_writeback(spark, sf_dir):
+    """Stances of the posts' scores filled into unscored fan-out rows."""
+    facts = _mentions(spark, sf_dir)
+    return SCR.fanout_writeback(facts, _decoded(spark, sf_dir)).select("post_id", "ticker", "created_at", "stance")
+
+
+@register("probs_export")
+def q_probs_export(spark, sf_dir):
+    """``probs`` leaves the engine as JSON text."""
+    from moodlake.plans.jobs import export_posts
+    j = F.from_json("probs", "neg double, neu double, pos double")
+    out = export_posts(_decoded(spark, sf_dir))
+    return out.select("id", j["neg"].alias("neg"), j["neu"].alias("neu"), j["pos"].alias("pos"))
 
 
 # --- streaming ----------------------------------------------------------------
@@ -464,6 +514,7 @@ from moodlake.streaming import pipeline as ST  # noqa: E402
 EVENT_ORIGIN = "2024-01-01 00:00:00"
 EVENT_POLL_SECONDS = 6 * 86400
 TEXT_POLL_SECONDS = 8 * 3600
+LIVE_TRIGGER = str(8 << 20)  # landed bytes that one micro-batch takes
 
 
 def _stream_mentions(spark, sf_dir, late_rows: bool):
@@ -472,7 +523,7 @@ def _stream_mentions(spark, sf_dir, late_rows: bool):
     and return the current view."""
     land = scratch_dir(spark, "landed_mentions")
     rows = _mentions(spark, sf_dir)
-    ST.land_polls(rows, land, "created_at", EVENT_POLL_SECONDS, EVENT_ORIGIN)
+    O.land_polls(rows, land, "created_at", EVENT_POLL_SECONDS, EVENT_ORIGIN)
     if late_rows:
         late = rows.select("created_at", (F.col("post_id") + F.lit(10_000_000_000)).alias("post_id"),
                            F.concat(F.lit("late_"), "ticker").alias("ticker"), "stance", "score", "comments")
@@ -481,7 +532,7 @@ def _stream_mentions(spark, sf_dir, late_rows: bool):
     dedup = ST.dedup_stream(stream, ("post_id", "ticker", "created_at"))
     agg = ST.sentiment_stream(dedup, with_watermark=False)
     sink = scratch_dir(spark, "sentiment_changelog")
-    ST.run_available(agg.writeStream.outputMode("update").foreachBatch(ST.batch_dir_writer(sink)),
+    ST.run_available(agg.writeStream.outputMode("update").foreachBatch(ST.changelog_writer(sink)),
                      scratch_dir(spark, "ckpt_sentiment"))
     return ST.read_changelog(spark, sink).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
@@ -500,7 +551,7 @@ def q_stream_late(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     ev = O.load(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
     land = scratch_dir(spark, "landed_events")
-    ST.land_polls(ev, land, "ts", EVENT_POLL_SECONDS, EVENT_ORIGIN)
+    O.land_polls(ev, land, "ts", EVENT_POLL_SECONDS, EVENT_ORIGIN)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 2).parquet(land)
     out = scratch_dir(spark, "events_dedup")
     ST.run_available(ST.dedup_stream(stream, ("event_id", "ts"), time_col="ts")
@@ -509,43 +560,18 @@ def q_stream_dedup(spark, sf_dir):
     return spark.read.parquet(out).drop("batch_id").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@register("stream_ingest")
-def q_stream_ingest(spark, sf_dir):
-    """Landed feed posts -> dedup -> symbol linking -> posts + fan-out sinks."""
-    posts = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
+def _live_fanout(spark, posts, poll_col="created_at"):
+    """Posts landed in polls that each re-deliver the one before, through the live path (several bounded triggers);
+    the stored fan-out."""
     land = scratch_dir(spark, "landed_posts")
-    ST.land_polls(posts, land, "created_at", TEXT_POLL_SECONDS, EVENT_ORIGIN, fmt="json")
-    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 8).json(land)
-    dedup = ST.dedup_stream(stream, ("source", "external_id", "created_at"))
-    linked = SY.extract_symbols(dedup, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
-    posts_sink, fan_sink = scratch_dir(spark, "posts"), scratch_dir(spark, "ticker_posts")
-
-    def write(batch, batch_id):
-        batch = batch.persist()
-        (batch.where(F.size("tickers") > 0).drop("text")
-         .write.mode("overwrite").parquet(f"{posts_sink}/batch_id={batch_id}"))
-        SY.fan_out(batch, feed_engagement=True).write.mode("overwrite").parquet(f"{fan_sink}/batch_id={batch_id}")
-        batch.unpersist()
-
-    ST.run_available(linked.writeStream.outputMode("append").foreachBatch(write), scratch_dir(spark, "ckpt_ingest"))
-    return (spark.read.parquet(fan_sink).drop("batch_id")
-            .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
-
-
-@register("stream_insert_if_absent")
-def q_stream_store(spark, sf_dir):
-    """Landed feed posts (every poll re-delivers the previous one) -> per-batch
-    first write + anti join against the stored posts -> linking -> posts and
-    fan-out sinks; the fan-out equals the batch fan-out of the distinct posts."""
-    posts = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
-    land = scratch_dir(spark, "landed_posts_store")
-    ST.land_polls(posts, land, "created_at", TEXT_POLL_SECONDS, EVENT_ORIGIN, fmt="json")
+    O.land_all_polls(posts, land, poll_col, TEXT_POLL_SECONDS, EVENT_ORIGIN)
 
     def link(df):
         return SY.extract_symbols(df, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
 
-    q, paths = ST.start_store_pipeline(spark, land, posts.schema, scratch_dir(spark, "live_store"), link,
-                                       trigger={"availableNow": True}, max_files_per_trigger=8)
+    q, paths = ST.start_live_pipeline(spark, land, posts.schema, scratch_dir(spark, "live"), link,
+                                      trigger={"availableNow": True},
+                                      reader_options={"recursiveFileLookup": "true", "maxBytesPerTrigger": LIVE_TRIGGER})
     q.awaitTermination(900)
     if q.exception() is not None:
         raise q.exception()
@@ -553,6 +579,26 @@ def q_stream_store(spark, sf_dir):
             .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
 
 
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """Landed feed posts -> first write and insert-if-absent -> symbol linking -> posts + fan-out sinks."""
+    return _live_fanout(spark, _posts_text(spark, sf_dir).withColumn("text", TX.post_text()))
+
+
+@register("stream_insert_if_absent")
+def q_stream_store(spark, sf_dir):
+    """Every post landed twice over, in two runs of polls: the stored fan-out equals the batch fan-out of the distinct posts."""
+    posts = _posts_text(spark, sf_dir).withColumn("text", TX.post_text())
+    return _live_fanout(spark, posts.unionByName(posts.where(F.col("id") % 3 == 0)))
+
+
+@register("stream_late_posts")
+def q_stream_late_posts(spark, sf_dir):
+    """Posts days and weeks behind the newest, and a few dated years ahead, are all stored and fanned out."""
+    posts = O.late_posts_text(O.load(spark, sf_dir, "documents")).withColumn("text", TX.post_text())
+    return _live_fanout(spark, posts, "polled_at")
+
+
 @register("replay_job")
 def q_replay_job(spark, sf_dir):
     """S11 as a job: feed XML and listing JSON (torn lines quarantined) replayed

@@ -51,6 +51,7 @@ def _ts(s: str) -> str:
 SQL: dict[str, str] = {
     "sentiment_buckets_10s": f"{V10} SELECT {VCOLS} FROM v",
     "sentiment_buckets_1h": f"WITH {O1}, v AS ({_buckets('1 HOUR')}) SELECT {VCOLS} FROM v",
+    "sentiment_buckets_7d": f"WITH {O1}, v AS ({_buckets('7 DAY')}) SELECT {VCOLS} FROM v",
     "sentiment_closed_buckets": f"""{V10} SELECT {VCOLS} FROM v
         WHERE bucket + INTERVAL 10 SECOND <= {_ts(CLOSED_AS_OF)} - INTERVAL 10 SECOND
           AND bucket >= {_ts(CLOSED_AS_OF)} - INTERVAL 24 HOUR""",
@@ -132,8 +133,8 @@ SQL.update({
                    {KW_HITS.replace('@T', TEXT)}))), 1, 5) END, ',') AS tickers
         FROM pt LEFT JOIN h ON pt.id = h.id""",
     "keyword_symbols_large": """WITH kw AS (
-          SELECT DISTINCT w AS keyword, upper(substr(w, 1, 5)) AS symbol FROM (
-            SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 7),
+          SELECT DISTINCT w AS keyword, upper(w) AS symbol FROM (
+            SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)),
         h AS (SELECT d.doc_id, list_distinct(list(k.symbol)) AS syms
               FROM documents d JOIN kw k ON contains(lower(d.text), k.keyword) GROUP BY d.doc_id)
         SELECT d.doc_id AS id, CASE WHEN h.syms IS NULL THEN ''
@@ -207,8 +208,8 @@ SQL.update({
 
 SQL["stream_feed_items"] = SQL["feed_items"]  # the stream lands and reads the same items
 SQL["feed_quarantine"] = """SELECT
-    CAST(count(*) FILTER (WHERE doc_id % 13 = 12 OR doc_id % 17 = 16) AS BIGINT) AS n_quarantined,
-    CAST(count(*) FILTER (WHERE NOT (doc_id % 13 = 12 OR doc_id % 17 = 16)) AS BIGINT) AS n_kept
+    CAST(count(*) FILTER (WHERE doc_id % 13 = 12 OR doc_id % 17 = 16 OR doc_id % 19 = 18) AS BIGINT) AS n_quarantined,
+    CAST(count(*) FILTER (WHERE NOT (doc_id % 13 = 12 OR doc_id % 17 = 16 OR doc_id % 19 = 18)) AS BIGINT) AS n_kept
     FROM documents"""
 SQL["posts_with_symbol_indexed"] = SQL["posts_with_symbol"]  # same rows, read through the index
 
@@ -222,11 +223,10 @@ SQL["replay_job"] = f"""WITH {O3},
                     ELSE 'https://news.example/p/' || CAST(id AS VARCHAR) END AS external_id,
                CASE WHEN id % 7 <> 0 THEN created_at ELSE TIMESTAMP '{TEXT_AS_OF}' END AS created_at,
                {_link(TEXT)} AS tickers, 1 AS score, CAST(NULL AS INT) AS comments
-             FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM pt) WHERE rn <= 50),
+             FROM pt),
     lst AS (SELECT 'reddit' AS source, CAST(id AS VARCHAR) AS external_id, created_at,
                {_link(TEXT)} AS tickers, CAST(id % 97 AS INT) AS score, CAST(id % 13 AS INT) AS comments
-             FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id) AS rn FROM pt WHERE id % 11 <> 10)
-             WHERE rn <= 200)
+             FROM pt WHERE id % 11 <> 10)
     SELECT source, external_id, created_at, tickers, score, comments, true AS is_backfill
     FROM (SELECT * FROM feed UNION ALL SELECT * FROM lst) WHERE tickers <> ''"""
 
@@ -277,6 +277,44 @@ SQL.update({
 })
 
 
+def _hashed(dims: int) -> str:
+    """Mean hashed word vectors: (id, dim, value) of every document with a word."""
+    return f"""wd AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS w FROM documents),
+      tf AS (SELECT id, w, count(*) AS n FROM wd GROUP BY id, w),
+      vec AS (SELECT w, d, CAST('0x' || substr(md5(w || '#' || CAST(d // 16 AS VARCHAR)), CAST(2 * (d % 16) + 1 AS INT), 2) AS INT) / 255.0 - 0.5 AS v
+              FROM (SELECT DISTINCT w FROM tf), range({dims}) r(d)),
+      mv AS (SELECT id, CAST(d AS INT) AS dim, sum(n * v) / sum(n) AS value FROM tf JOIN vec USING (w) GROUP BY id, d)"""
+
+
+SCORED = f"""WITH {_hashed(3)},
+  lg AS (SELECT doc_id AS id, [coalesce(max(CASE WHEN dim = 0 THEN value END), 0) * 40, coalesce(max(CASE WHEN dim = 1 THEN value END), 0) * 40,
+                               coalesce(max(CASE WHEN dim = 2 THEN value END), 0) * 40] AS x
+         FROM documents LEFT JOIN mv ON doc_id = id GROUP BY doc_id),
+  ex AS (SELECT id, [exp(x[1] - list_max(x)), exp(x[2] - list_max(x)), exp(x[3] - list_max(x))] AS e FROM lg),
+  pr AS (SELECT id, [e[1] / list_sum(e), e[2] / list_sum(e), e[3] / list_sum(e)] AS p FROM ex)
+  SELECT id, CAST([-1, 0, 1][list_position(p, list_max(p))] AS INT) AS stance, round(p[1], 9) AS neg, round(p[2], 9) AS neu,
+         round(p[3], 9) AS pos FROM pr"""
+
+from moodlake.plans.catalog import EMBED_DIM  # noqa: E402
+
+SQL.update({
+    "similar_posts_approx_all_cells": SQL["similar_posts_batch"],
+    "similar_posts_batch_torn": f"""WITH v AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 13 = 12 THEN NULL WHEN vec_id % 9 = 8 THEN embedding[1:len(embedding) - 1]
+                                  ELSE embedding END AS e FROM embeddings WHERE vec_id < 40),
+      pairs AS (SELECT q.id AS qid, c.id, CASE WHEN len(q.e) = len(c.e) THEN {L2.format(a='c.e', b='q.e')} END AS distance
+                FROM v q JOIN v c ON q.id <> c.id WHERE q.e IS NOT NULL)
+      SELECT qid, id, round(distance, 9) AS distance, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, id) AS rank FROM pairs""",
+    "score_posts": SCORED,
+    "score_posts_batch_1": SCORED,
+    "embed_posts": f"""WITH {_hashed(EMBED_DIM)} SELECT doc_id AS id, CAST(d AS INT) AS dim, round(coalesce(value, 0), 9) AS value
+        FROM documents CROSS JOIN range({EMBED_DIM}) r(d) LEFT JOIN mv ON doc_id = mv.id AND d = mv.dim""",
+    "fanout_writeback": f"""WITH {O1}, {DEC} SELECT post_id, ticker, created_at, CAST(coalesce(tp.stance, dec.stance) AS INT) AS stance
+        FROM tp LEFT JOIN dec ON tp.post_id = dec.id""",
+    "probs_export": f"WITH {DEC} SELECT id, round(neg, 9) AS neg, round(neu, 9) AS neu, round(pos, 9) AS pos FROM dec",
+})
+
+
 # --- streaming (batch equivalents) ---------------------------------------------
 
 SQL.update({
@@ -286,3 +324,8 @@ SQL.update({
     "stream_ingest": SQL["symbol_fanout"],
     "stream_insert_if_absent": SQL["symbol_fanout"],
 })
+
+SQL["stream_late_posts"] = SQL["symbol_fanout"].replace("to_minutes(doc_id) AS created_at", """to_minutes(doc_id)
+           + to_days(CASE WHEN doc_id % 500 = 7 THEN 3650 WHEN doc_id % 15 = 4 THEN -21 WHEN doc_id % 10 = 3 THEN -3 ELSE 0 END) AS created_at""")
+SQL["feed_dates"] = f"""WITH {O3} SELECT id, CASE WHEN id % 10 = 9 THEN NULL WHEN id % 10 = 8 THEN date_trunc('day', created_at)
+    ELSE created_at END AS created_at FROM pt"""

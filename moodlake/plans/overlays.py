@@ -173,14 +173,11 @@ def torn_vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select(vid.alias("id"), vec.alias("embedding"), "label")
 
 
-def benchmark_keywords(benchmark: DataFrame, min_len: int = 7) -> DataFrame:
+def benchmark_keywords(benchmark: DataFrame) -> DataFrame:
     """O12: a large keyword dictionary (keyword, symbol) derived from the benchmark
-    passages: every distinct lower-case ASCII word of at least ``min_len`` letters,
-    linked to the symbol formed by its first five letters (so several keywords
-    share a symbol, as company names do)."""
+    passages: every distinct lower-case ASCII word is a keyword, and its own symbol in upper case."""
     w = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
-    return (benchmark.select(w.alias("keyword")).where(F.length("keyword") >= min_len).distinct()
-            .select("keyword", F.upper(F.substring("keyword", 1, 5)).alias("symbol")))
+    return benchmark.select(w.alias("keyword")).distinct().select("keyword", F.upper("keyword").alias("symbol"))
 
 
 def conversation_symbols(conversations: DataFrame) -> DataFrame:
@@ -197,8 +194,9 @@ def _xml_text(c):
 
 def malformed_feed_lines(documents: DataFrame) -> DataFrame:
     """O8c: the O3 posts as raw <item> XML, one item per line; the title of every
-    thirteenth item carries an unclosed tag and every seventeenth item a
-    non-numeric <pos>: both must be quarantined, every other item kept."""
+    thirteenth item carries an unclosed tag, every seventeenth item a
+    non-numeric <pos>, and every nineteenth lost its closing tag (in the middle of a
+    file or at its end): all must be quarantined, every other item kept."""
     p = posts_text(documents)
     pid = F.col("id")
     title = F.when(pid % 13 == 12, F.concat(F.lit("<b>"), _xml_text(F.col("title")))).otherwise(_xml_text(F.col("title")))
@@ -206,5 +204,63 @@ def malformed_feed_lines(documents: DataFrame) -> DataFrame:
     item = F.concat(
         F.lit("<item><title>"), title, F.lit("</title><link>https://news.example/p/"), pid.cast("string"),
         F.lit("</link><guid>urn:post:"), pid.cast("string"), F.lit("</guid><description>"), _xml_text(F.col("body")),
-        F.lit("</description><feed>"), F.col("source"), F.lit("</feed><pos>"), pos, F.lit("</pos></item>"))
+        F.lit("</description><feed>"), F.col("source"), F.lit("</feed><pos>"), pos, F.lit("</pos>"),
+        F.when(pid % 19 == 18, F.lit("")).otherwise(F.lit("</item>")))
     return p.select(item.alias("value"))
+
+
+def late_posts_text(documents: DataFrame) -> DataFrame:
+    """O14: O3 posts out of event-time order: every tenth lies three days behind its poll, every fifteenth three weeks,
+    and one in 500 is dated ten years ahead (``polled_at`` keeps the poll's time)."""
+    pid = F.col("id")
+    shift = F.when(pid % 500 == 7, 3650).when(pid % 15 == 4, -21).when(pid % 10 == 3, -3).otherwise(0)
+    return (posts_text(documents).withColumn("polled_at", F.col("created_at"))
+            .withColumn("created_at", F.col("created_at") + F.make_dt_interval(shift)))
+
+
+def feed_date_strings(documents: DataFrame) -> DataFrame:
+    """O15: one feed date per document, in the layouts that feeds use (the minute of its O3 post)."""
+    ts = F.col("created_at").cast("timestamp")
+    layouts = ["EEE, dd MMM yyyy HH:mm:ss Z", "EEEE, d MMM yyyy HH:mm 'GMT'", "d MMM yy HH:mm:ss Z", "dd MMM yyyy HH:mm:ss",
+               "yyyy-MM-dd'T'HH:mmXXX", "yyyy-MM-dd'T'HH:mm:ssZ", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd"]
+    pick = F.col("id") % (len(layouts) + 1)
+    text = F.lit("no date")
+    for i, layout in enumerate(layouts):
+        text = F.when(pick == i, F.date_format(ts, layout)).otherwise(text)
+    return posts_text(documents).select("id", text.alias("date"))
+
+
+def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origin: str,
+               redeliver: bool = True, fmt: str = "parquet", files_per_poll: int = 2) -> int:
+    """Land ``df`` into ``path`` as successive polls — one append job per poll,
+    in event-time order, ``files_per_poll`` files each — where every poll also
+    re-sends the rows of the previous one (``redeliver``). Returns the poll count.
+
+    For queries with a watermark: the file source orders files by modification time, so polls must be separate jobs.
+    The rows are first written once to a staging table partitioned by poll (in the shared checkpoint folder)."""
+    from moodlake.session import scratch_dir
+
+    spark = df.sparkSession
+    stage = scratch_dir(spark, "poll_stage")
+    df.withColumn("__poll", _poll(time_col, span_seconds, origin)).write.partitionBy("__poll").parquet(stage)
+    staged = spark.read.parquet(stage)
+    n = staged.agg(F.max("__poll")).first()[0]
+    n = 0 if n is None else int(n) + 1
+    for i in range(n):
+        cond = (F.col("__poll") == i) | ((F.col("__poll") == i - 1) if redeliver else F.lit(False))
+        (staged.where(cond).drop("__poll").repartition(files_per_poll)
+         .write.mode("append").format(fmt).save(path))
+    return n
+
+
+def land_all_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origin: str, fmt: str = "json") -> None:
+    """Land ``df`` in one job, a folder per poll, where every poll also re-sends the rows of the previous one; read it with
+    ``recursiveFileLookup``. For the live path, whose result does not depend on the order of the files."""
+    poll = _poll(time_col, span_seconds, origin)
+    (df.withColumn("__poll", F.explode(F.array(poll, poll + 1))).repartition("__poll")
+     .write.partitionBy("__poll").format(fmt).save(path))
+
+
+def _poll(time_col: str, span_seconds: int, origin: str):
+    return F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
+                    - F.unix_micros(F.lit(origin).cast("timestamp"))) / F.lit(span_seconds * 1_000_000)).cast("long")

@@ -48,6 +48,23 @@ def sentiment_latest(view: DataFrame, ticker: str) -> DataFrame:
             .limit(1))
 
 
+def sentiment_latest_from_facts(ticker_posts: DataFrame, ticker: str, width: str = "10 seconds",
+                                time_col: str = "created_at") -> DataFrame:
+    """``sentiment_latest`` from the facts: the symbol's newest scored time is found first (a max that Parquet statistics
+    and the symbol's filter keep small), then only that bucket is aggregated."""
+    from moodlake.functions.timefns import BUCKET_ORIGIN_SECONDS, width_seconds
+    from moodlake.operators.sentiment import sentiment_buckets
+
+    facts = ticker_posts.where((F.col("ticker") == F.lit(ticker)) & F.col("stance").isNotNull())
+    newest = facts.agg(F.unix_seconds(F.max(time_col).cast("timestamp"))).first()[0]
+    if newest is None:
+        return sentiment_latest(sentiment_buckets(facts, width, time_col), ticker)
+    w = width_seconds(width)
+    start = BUCKET_ORIGIN_SECONDS + (newest - BUCKET_ORIGIN_SECONDS) // w * w
+    lo = F.timestamp_seconds(F.lit(start)).cast(ticker_posts.schema[time_col].dataType)
+    return sentiment_latest(sentiment_buckets(facts.where(F.col(time_col) >= lo), width, time_col), ticker)
+
+
 def chart_feed(view: DataFrame, ticker: str, from_hours: int = 24, as_of=None,
                time_format: str = "HH:mm:ss") -> DataFrame:
     """Dashboard series: oldest first, bucket formatted as time of day."""

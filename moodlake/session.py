@@ -47,14 +47,13 @@ def get_session(master: str | None = None, app: str = "moodlake",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a private
-    folder is created and registered, so lineage cuts and scratch tables never
-    land on an executor-local disk on a real cluster."""
+    Read from the session. Unset, a local session (tests) gets a private folder; on a cluster that
+    would be a path of the driver alone, so it is an error."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="moodlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
@@ -67,10 +66,5 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root}/moodlake-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python code can inspect a local scratch path."""
-    return path[5:] if path.startswith("file:") else path
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")

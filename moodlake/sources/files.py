@@ -1,8 +1,8 @@
 """File sources: symbol seed (CSV), feed items (XML), listing records (JSON).
 
-All readers use declared schemas. Malformed records are never dropped
-silently: the JSON reader keeps them in a corrupt-record column and
-``split_quarantine`` separates them from the good rows.
+All readers use declared schemas and read record by record: files are split by
+byte range, and every landed record is either a row or a quarantined record
+(``_corrupt_record``), which ``split_quarantine`` separates.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlake import schemas
-from moodlake.functions.dictionaries import BACKFILL_CAP, FEED_CAP, FEED_SOURCE, LISTING_CAP, LISTING_SOURCE
+from moodlake.functions.dictionaries import FEED_SOURCE, LISTING_SOURCE
 from moodlake.functions.text import post_text, text_hash
 from moodlake.functions.timefns import as_of_col, epoch_timestamp, feed_timestamp
+from moodlake.operators.ingest import ARRIVAL
 
 CORRUPT = "_corrupt_record"
 
@@ -25,35 +26,46 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
             .csv(path).select("symbol", "name", "aliases").where(F.col("symbol").isNotNull()))
 
 
+def _arrival(df: DataFrame) -> list[str]:
+    """The arrival column where the source has one: mappings carry it through."""
+    return [c for c in (ARRIVAL,) if c in df.columns]
+
+
 def _atom_as_items(raw: DataFrame) -> DataFrame:
-    extra = [CORRUPT] if CORRUPT in raw.columns else []
+    extra = [c for c in (CORRUPT, ARRIVAL) if c in raw.columns]
     return raw.select("title", F.col("link._href").alias("link"), F.col("id").alias("guid"),
                       F.col("summary").alias("description"), F.col("published").alias("pubDate"),
                       "updated", "feed", "pos", *extra)
 
 
-def feed_records(files: DataFrame, atom: bool = False) -> DataFrame:
-    """Landed feed documents (one row per file, column ``value``) -> one row per
-    <item> (Atom: <entry>), each parsed on its own with ``from_xml`` in
-    PERMISSIVE mode against the declared schema; a malformed record is kept
-    with ``_corrupt_record`` set. Parsing record by record isolates a broken
-    item: the file-level XML reader loses every later item of a file with
-    one unclosed tag. Atom entries are normalised to the item columns."""
+def feed_records(lines: DataFrame, atom: bool = False) -> DataFrame:
+    """Chunks of feed documents (column ``value``) that each begin behind an opening ``<item`` (Atom: ``<entry``) ->
+    one row per item, parsed on its own with ``from_xml`` in PERMISSIVE mode against the declared schema.
+
+    An item without its closing tag, in the middle of a file or torn off at its end, is a chunk without it; that and
+    a malformed item are kept with ``_corrupt_record`` set, and never take another item along. What stands before a
+    file's first item is no item. Atom entries are normalised to the item columns."""
     tag = "entry" if atom else "item"
     sch = T.StructType(list((schemas.ATOM_ENTRY if atom else schemas.FEED_ITEM).fields)
                        + [T.StructField(CORRUPT, T.StringType(), True)])
-    recs = files.select(F.explode(F.regexp_extract_all("value", F.lit(rf"(?s)<{tag}\b.*?</{tag}>"), F.lit(0)))
-                        .alias("__xml"))
-    parsed = recs.select(F.from_xml("__xml", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-                         .alias("r")).select("r.*")
+    chunks = lines.where(F.col("value").rlike(r"^(\s[^<>]*)?/?>")).select(F.concat(F.lit(f"<{tag}"), "value").alias("raw"), *_arrival(lines))
+    end = F.instr("raw", f"</{tag}>")
+    item = F.when(end > 0, F.substr("raw", F.lit(1), end + F.lit(len(tag) + 2)))
+    r = F.from_xml("item", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    parsed = chunks.withColumn("item", item).select("raw", "item", r.alias("r"), *_arrival(lines))
+    corrupt = F.when(F.col("item").isNull(), F.col("raw")).otherwise(F.col("r")[CORRUPT])
+    parsed = parsed.select(*[F.col("r")[f.name].alias(f.name) for f in sch.fields if f.name != CORRUPT], corrupt.alias(CORRUPT), *_arrival(lines))
     return _atom_as_items(parsed) if atom else parsed
 
 
+def _feed_separator(atom: bool) -> str:
+    return "<entry" if atom else "<item"
+
+
 def read_feed_records(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
     """Every landed feed record, malformed ones flagged in ``_corrupt_record``
-    (separate them with ``split_quarantine``). A feed document is one poll of
-    one feed (tens of items), read whole; many documents spread over tasks."""
-    return feed_records(spark.read.text(path, wholetext=True), atom)
+    (separate them with ``split_quarantine``)."""
+    return feed_records(spark.read.option("lineSep", _feed_separator(atom)).text(path), atom)
 
 
 def read_feed_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -74,13 +86,13 @@ def read_atom_entries(spark: SparkSession, path: str, row_tag: str = "entry") ->
 
 def stream_feed_items(spark: SparkSession, path: str, atom: bool = False,
                       max_files_per_trigger: int | None = None, with_corrupt: bool = False) -> DataFrame:
-    """Landed feed XML as a stream: each new document is cut into records and
+    """Landed feed XML as a stream: each new document is read record by record and
     parsed like the batch reader (well-formed records only, unless
     ``with_corrupt`` keeps the flagged ones for a quarantine sink)."""
     r = spark.readStream
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    recs = feed_records(r.text(path, wholetext=True), atom)  # text() resets an option set earlier
+    recs = feed_records(r.option("lineSep", _feed_separator(atom)).text(path), atom)
     return recs if with_corrupt else recs.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
@@ -102,24 +114,26 @@ def feed_posts(items: DataFrame, ingested_at=None, fallback_to_ingest: bool = Tr
         title.alias("title"), body.alias("body"),
         F.coalesce(F.col("link"), F.lit("")).alias("url"),
         F.lit(1).alias("score"),
-        F.col("feed"), F.col("pos"),
+        F.col("feed"), F.col("pos"), *_arrival(items),
     ).withColumn("txt_hash", text_hash(post_text()))
 
 
+def listing_records(lines: DataFrame) -> DataFrame:
+    """Lines (column ``value``) of listing JSON -> records; a line that does not parse is kept in ``_corrupt_record``."""
+    sch = T.StructType(list(schemas.LISTING.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
+    r = F.from_json("value", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.where(F.length(F.trim("value")) > 0).select(r.alias("r")).select("r.*")
+
+
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
     """Landed listing records (JSON lines); bad lines kept in ``_corrupt_record``."""
-    sch = T.StructType(list(schemas.LISTING.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
-    return (spark.read.schema(sch).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    return listing_records(spark.read.text(path))
 
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows, quarantined rows). The frame is checkpointed first: Spark
-    refuses queries that touch only the corrupt-record column of a raw scan, and
-    both halves must come from one parse."""
-    staged = df.checkpoint(eager=False)
+    """(good rows, quarantined rows): two filters on one parse expression, nothing is stored in between."""
     bad = F.col(CORRUPT).isNotNull()
-    return staged.where(~bad).drop(CORRUPT), staged.where(bad).select(CORRUPT)
+    return df.where(~bad).drop(CORRUPT), df.where(bad).select(CORRUPT)
 
 
 def listing_posts(records: DataFrame, ingested_at=None) -> DataFrame:
@@ -132,25 +146,27 @@ def listing_posts(records: DataFrame, ingested_at=None) -> DataFrame:
         F.col("title"), F.col("selftext").alias("body"), F.col("url"),
         F.col("channel").alias("subreddit"),
         F.col("score"), F.col("num_comments").alias("comments"),
-        F.col("listing"), F.col("pos"),
+        F.col("listing"), F.col("pos"), *_arrival(records),
     ).withColumn("txt_hash", text_hash(post_text()))
 
 
-def feed_poll(items: DataFrame, cap: int = FEED_CAP) -> DataFrame:
-    """One feed poll keeps the first ``cap`` entries of every feed (by position)."""
+def feed_poll(items: DataFrame, cap: int | None = None, poll: tuple[str, ...] = ()) -> DataFrame:
+    """All landed feed entries; with a ``cap``, the first ``cap`` of every feed and poll by position (``poll``: the
+    columns that tell polls apart)."""
+    if cap is None:
+        return items
     from moodlake.operators.text_ops import per_source_cap
-    return per_source_cap(items, "feed", "pos", cap).drop("rank")
+    return per_source_cap(items, ["feed", *poll], "pos", cap).drop("rank")
 
 
-def listing_poll(records: DataFrame, backfill: bool = False, since=None) -> DataFrame:
-    """One listing poll: the first 100 'new' and 100 'hot' records per channel, or,
-    for a backfill, the 200 newest 'new' records. ``since`` optionally keeps only
-    records created after that time (the reference only flags backfills)."""
-    from moodlake.operators.text_ops import per_source_cap
-    if backfill:
-        out = per_source_cap(records.where(F.col("listing") == "new"), "channel", "pos", BACKFILL_CAP)
-    else:
-        out = per_source_cap(records, ["channel", "listing"], "pos", LISTING_CAP)
+def listing_poll(records: DataFrame, backfill: bool = False, since=None, cap: int | None = None,
+                 poll: tuple[str, ...] = ()) -> DataFrame:
+    """All landed listing records, for a backfill those of the 'new' listing; with a ``cap``, the first ``cap`` of
+    every channel, listing and poll by position. ``since`` optionally keeps only records created after that time."""
+    out = records.where(F.col("listing") == "new") if backfill else records
+    if cap is not None:
+        from moodlake.operators.text_ops import per_source_cap
+        out = per_source_cap(out, ["channel", "listing", *poll], "pos", cap).drop("rank")
     if since is not None:
         out = out.where(epoch_timestamp("created_utc") > as_of_col(since))
-    return out.drop("rank")
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from moodlake.functions.timefns import as_of_col
-from moodlake.operators.ingest import POST_KEY, insert_new
+from moodlake.operators.ingest import POST_KEY, insert_new, split_null_keys
 
 PARTITION_COL = "created_date"
 
@@ -39,13 +39,37 @@ class PostsStore:
                 raise
             return self.spark.createDataFrame([], self.schema)
 
-    def insert(self, batch: DataFrame, key=POST_KEY, order=("k",)) -> DataFrame:
-        """Append the batch's new rows; return exactly those rows."""
-        staged = with_partition(batch)
-        new = insert_new(self.read(), staged, key, order, prune_col=PARTITION_COL)
-        new = new.select(*[f.name for f in self.schema.fields]).checkpoint(eager=True)
-        _sorted_by_time(new).write.mode("append").partitionBy(PARTITION_COL).parquet(self.path)
-        return new.drop(PARTITION_COL)
+    def insert(self, batch: DataFrame, key=POST_KEY, order=("k",), prepare=None) -> DataFrame:
+        """Append the batch's new rows; return exactly those rows.
+
+        ``prepare`` (linking, scoring, embedding) runs once, on the rows that are new. Rows with a NULL in the key, and
+        rows that ``prepare`` marks in a boolean column ``__reject``, go to ``rejected()`` instead."""
+        new = insert_new(self.read(), with_partition(batch), key, order, prune_col=PARTITION_COL)
+        if prepare is not None:
+            new = with_partition(prepare(new.drop(PARTITION_COL)))
+        names = [f.name for f in self.schema.fields]
+        reject = F.coalesce("__reject", F.lit(False)) if "__reject" in new.columns else F.lit(False)
+        staged = new.select(*names, reject.alias("__reject")).checkpoint(eager=True)
+        kept = staged.where(~F.col("__reject")).select(*names)
+        _sorted_by_time(kept).write.mode("append").partitionBy(PARTITION_COL).parquet(self.path)
+        self._reject(staged.where("__reject").drop(PARTITION_COL, "__reject"))
+        self._reject(split_null_keys(batch, key)[1])
+        return kept.drop(PARTITION_COL)
+
+    def _reject(self, rows: DataFrame) -> None:
+        cols = [f.name for f in self.schema.fields if f.name in rows.columns]
+        rows = rows.select(F.to_json(F.struct(*cols)).alias("record"), F.current_timestamp().alias("rejected_at"))
+        if not rows.isEmpty():
+            rows.write.mode("append").parquet(f"{self.path}_rejected")
+
+    def rejected(self) -> DataFrame:
+        """The rows that inserts refused, as JSON, once per attempt."""
+        try:
+            return self.spark.read.schema("record string, rejected_at timestamp").parquet(f"{self.path}_rejected")
+        except Exception as e:  # noqa: BLE001 - nothing was refused yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], "record string, rejected_at timestamp")
 
     def scan(self, start=None, end=None) -> DataFrame:
         """Rows with start <= created_at < end; the matching created_date predicate
@@ -71,3 +95,21 @@ def _sorted_by_time(df: DataFrame) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str) -> None:
     """Time-partitioned storage of a fact table (layout of ``_sorted_by_time``)."""
     _sorted_by_time(with_partition(df)).write.mode("overwrite").partitionBy(PARTITION_COL).parquet(path)
+
+
+def read_dates(spark: SparkSession, path: str, dates: list, schema: T.StructType) -> DataFrame | None:
+    """The rows of some dates of a date-first dataset, listing only their folders; None when none of them exists."""
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    there = [p for p in (f"{path}/{PARTITION_COL}={d}" for d in sorted(dates)) if files(p).getFileSystem(conf).exists(files(p))]
+    return spark.read.schema(schema).option("basePath", path).parquet(*there) if there else None
+
+
+def store_dates(spark: SparkSession, path: str) -> list[str]:
+    """The dates a date-first dataset holds: one listing of its first level."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(files):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(files)]
+    return [n.split("=", 1)[1] for n in names if n.startswith(f"{PARTITION_COL}=")]

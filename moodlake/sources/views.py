@@ -1,19 +1,22 @@
 """The stored sentiment view and its changelog compaction.
 
-The streaming sink appends one folder per micro-batch (``batch_id=N``); the
-current view is the newest row per (bucket, ticker). Compaction folds the
-changelog into a snapshot that carries the highest batch id it includes, so
-readers take snapshot + newer batches and the changelog can be trimmed.
+Writers append one folder per batch (``writer=W/batch_id=N``); the
+current view is the newest commit per (bucket, ticker). Compaction folds a
+snapshot and the commits newer than it into a new snapshot; readers take
+snapshot + newer commits, and ``trim`` drops the folded batch folders.
 Snapshots are range-partitioned and sorted by (ticker, bucket): a series
 query for one symbol reads only the row groups whose min/max cover it.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("bucket", "ticker")
+ORDER = ("committed_at", "batch_id", "writer")
 
 
 def write_sentiment_view(view: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -22,34 +25,52 @@ def write_sentiment_view(view: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def _newest(rows: DataFrame) -> DataFrame:
-    cols = [c for c in rows.columns if c not in set(KEY) | {"batch_id"}]
+    cols = [c for c in rows.columns if c not in set(KEY)]
     return (rows.groupBy(*KEY)
-            .agg(F.max_by(F.struct(*cols, "batch_id"), F.col("batch_id")).alias("r"))
-            .select(*KEY, *[F.col(f"r.{c}").alias(c) for c in cols + ["batch_id"]]))
+            .agg(F.max_by(F.struct(*cols), F.struct(*ORDER)).alias("r"))
+            .select(*KEY, *[F.col(f"r.{c}").alias(c) for c in cols]))
 
 
-def current_view(spark: SparkSession, changelog: str, snapshot: str | None = None) -> DataFrame:
-    """Newest value per (bucket, ticker) over the snapshot (if any) and the
-    changelog batches newer than it."""
+def _since(spark: SparkSession, changelog: str, snapshot: str | None) -> DataFrame:
+    """The snapshot's rows (if there is one) and the changelog's later commits."""
     log = spark.read.parquet(changelog)
     if snapshot is None:
-        return _newest(log).drop("batch_id")
+        return log
     snap = spark.read.parquet(snapshot)
-    upto = snap.agg(F.max("batch_id")).first()[0]
-    newer = log.where(F.col("batch_id") > F.lit(upto)) if upto is not None else log
-    return _newest(snap.unionByName(newer.select(*snap.columns))).drop("batch_id")
+    upto = snap.agg(F.max("committed_at")).scalar()
+    newer = log.where(F.col("committed_at") > F.coalesce(upto, F.lit("1970-01-01").cast("timestamp")))
+    return snap.unionByName(newer.select(*snap.columns))
+
+
+def current_view(spark: SparkSession, changelog: str, snapshot: str | None = None) -> DataFrame:
+    """Newest value per (bucket, ticker) over the snapshot (if any) and the
+    commits newer than it."""
+    return _newest(_since(spark, changelog, snapshot)).drop(*ORDER)
 
 
 def compact(spark: SparkSession, changelog: str, snapshot_out: str, previous_snapshot: str | None = None) -> str:
-    """Fold snapshot + changelog into a new snapshot folder (written once, never
+    """Fold the previous snapshot and the commits newer than it into a new snapshot folder (written once, never
     in place, so a failed compaction leaves the previous snapshot valid)."""
-    log = spark.read.parquet(changelog)
-    rows = log if previous_snapshot is None else spark.read.parquet(previous_snapshot).unionByName(
-        log.select(*spark.read.parquet(previous_snapshot).columns))
-    write_sentiment_view(_newest(rows), snapshot_out)
+    write_sentiment_view(_newest(_since(spark, changelog, previous_snapshot)), snapshot_out)
     return snapshot_out
 
 
+def trim(spark: SparkSession, changelog: str, snapshot: str) -> int:
+    """Delete the batch folders whose commits the snapshot holds, all but each writer's last (its ids must not
+    start again); returns how many. Call it when no reader uses an older snapshot."""
+    upto = spark.read.parquet(snapshot).agg(F.max("committed_at")).first()[0]
+    if upto is None:
+        return 0
+    folded = (spark.read.parquet(changelog).groupBy("writer", "batch_id").agg(F.max("committed_at").alias("at")))
+    last = folded.groupBy("writer").agg(F.max("batch_id").alias("last"))
+    gone = folded.join(last, "writer").where((F.col("at") <= F.lit(upto)) & (F.col("batch_id") < F.col("last"))).collect()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(changelog).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in gone:
+        fs.delete(path(f"{changelog}/writer={r['writer']}/batch_id={r['batch_id']}"), True)
+    return len(gone)
+
+
 def refresh_window(ticker_posts: DataFrame, as_of, start_offset_hours: int = 24, end_offset_seconds: int = 10,
                    width_seconds: int = 10, time_col: str = "created_at") -> DataFrame:
     """The buckets one refresh of the aggregate recomputes: closed ones (end at
@@ -72,7 +93,8 @@ def refresh_window(ticker_posts: DataFrame, as_of, start_offset_hours: int = 24,
 
 def refresh_sentiment_view(ticker_posts: DataFrame, changelog: str, batch_id: int, as_of, **window) -> None:
     """One scheduled refresh (the aggregate's policy: every 10 s, [now - 1 day,
-    now - 10 s]) as a batch job: the window's buckets go to ``batch_id=N`` of
+    now - 10 s]) as a batch job: the window's buckets go to ``writer=refresh/batch_id=N`` of
     the changelog with overwrite, so a re-run replaces its own batch;
     ``current_view`` / ``compact`` read it like the streaming sink's batches."""
-    refresh_window(ticker_posts, as_of, **window).write.mode("overwrite").parquet(f"{changelog}/batch_id={batch_id}")
+    (refresh_window(ticker_posts, as_of, **window).withColumn("committed_at", F.lit(dt.datetime.now(dt.timezone.utc)))
+     .write.mode("overwrite").parquet(f"{changelog}/writer=refresh/batch_id={batch_id}"))

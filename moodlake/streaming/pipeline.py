@@ -1,11 +1,12 @@
 """Structured Streaming jobs.
 
 * landed files -> ``readStream`` with a declared schema;
-* dedup on the post key under a 1-day watermark on created_at (the event
-  time is part of the key, so eviction never separates two true duplicates);
-* engagement-weighted sentiment per (10 s window, ticker) in update mode — a
-  bucket keeps changing for a day, so append mode would hold every bucket;
-* sinks are ``foreachBatch`` writers that overwrite the directory of their own
+* live ingest: insert-if-absent against the stored posts, which are the state: a post is stored once however
+  late it or a copy of it arrives (no watermark, so no late post is lost);
+* engagement-weighted sentiment per (10 s window, ticker) in update mode under a 1-day watermark — a
+  bucket keeps changing for a day, so append mode would hold every bucket; rows later than that skip only
+  the stream's aggregate, and the scheduled refresh or a batch aggregate still counts them;
+* sinks are ``foreachBatch`` writers that overwrite the directories of their own
   batch id: a batch re-run after a lost executor or driver restart replaces
   its output instead of duplicating it (exactly-once with the checkpoint).
 
@@ -14,14 +15,21 @@ Everything lives under the shared checkpoint root (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from moodlake.operators.ingest import stamp_classified, with_post_defaults, with_post_id
+from moodlake.functions.timefns import bucket_window
+from moodlake.operators.ingest import (ARRIVAL, POST_KEY, first_write, prune_values, split_null_keys, stamp_classified,
+                                       valid_vector, with_arrival, with_arrival_rows, with_post_defaults, with_post_id)
 from moodlake.operators.sentiment import engagement_weight, stance_sign
+from moodlake.sources.posts_store import PARTITION_COL, read_dates, store_dates, with_partition
 
 WATERMARK = "1 day"
 CHANGELOG_KEY = ("bucket", "ticker")
+CHANGELOG_ORDER = ("committed_at", "batch_id", "writer")
 
 
 def event_time(df: DataFrame, time_col: str) -> DataFrame:
@@ -45,7 +53,7 @@ def sentiment_stream(ticker_posts: DataFrame, width: str = "10 seconds", time_co
     src = src.withWatermark(time_col, watermark) if with_watermark else src
     w = engagement_weight()
     return (src.where(F.col("stance").isNotNull())
-            .groupBy(F.window(time_col, width).alias("win"), F.col("ticker"))
+            .groupBy(bucket_window(time_col, width).alias("win"), F.col("ticker"))
             .agg(F.count(F.lit(1)).alias("n_posts"),
                  F.sum(stance_sign() * w).alias("sw"), F.sum(w).alias("w"),
                  F.sum((F.col("stance") == 1).cast("long")).alias("pos_ct"),
@@ -80,12 +88,21 @@ def batch_dir_writer(path: str, fmt: str = "parquet"):
     return write
 
 
+def changelog_writer(path: str, writer: str = "stream"):
+    """foreachBatch function of an upserted view: each micro-batch goes to ``path/writer=W/batch_id=N`` with the time of
+    its commit. Writers have folders of their own (their batch ids all begin at 0), and the newest commit of a key counts."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        (batch.withColumn("committed_at", F.lit(dt.datetime.now(dt.timezone.utc)))
+         .write.mode("overwrite").parquet(f"{path}/writer={writer}/batch_id={batch_id}"))
+    return write
+
+
 def read_changelog(spark: SparkSession, path: str, key=CHANGELOG_KEY) -> DataFrame:
-    """Current value of an upserted view: newest batch per key (max_by, partial
+    """Current value of an upserted view: newest commit per key (max_by, partial
     aggregation, no sort)."""
     log = spark.read.parquet(path)
-    cols = [c for c in log.columns if c not in set(key) | {"batch_id"}]
-    return (log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("r"))
+    cols = [c for c in log.columns if c not in set(key) | set(CHANGELOG_ORDER)]
+    return (log.groupBy(*key).agg(F.max_by(F.struct(*cols), F.struct(*CHANGELOG_ORDER)).alias("r"))
             .select(*key, *[F.col(f"r.{c}").alias(c) for c in cols]))
 
 
@@ -101,91 +118,6 @@ def run_available(writer, checkpoint: str, timeout_s: int = 900):
     return q
 
 
-def land_polls(df: DataFrame, path: str, time_col: str, span_seconds: int, origin: str,
-               redeliver: bool = True, fmt: str = "parquet", files_per_poll: int = 2) -> int:
-    """Land ``df`` into ``path`` as successive polls — one append job per poll,
-    in event-time order, ``files_per_poll`` files each — where every poll also
-    re-sends the rows of the previous one (``redeliver``). Returns the poll count.
-
-    The rows are first written once to a staging table partitioned by poll (in
-    the shared checkpoint folder), so each poll reads only its own partitions
-    (PartitionFilters) instead of rescanning the whole input, and a lost
-    executor costs a re-read, not a recomputation. Polls must be separate jobs:
-    the file stream source orders files by modification time."""
-    from moodlake.session import scratch_dir
-
-    spark = df.sparkSession
-    poll = F.floor((F.unix_micros(F.col(time_col).cast("timestamp"))
-                    - F.unix_micros(F.lit(origin).cast("timestamp"))) / F.lit(span_seconds * 1_000_000)).cast("long")
-    stage = scratch_dir(spark, "poll_stage")
-    df.withColumn("__poll", poll).write.partitionBy("__poll").parquet(stage)
-    staged = spark.read.parquet(stage)
-    n = staged.agg(F.max("__poll")).first()[0]
-    n = 0 if n is None else int(n) + 1
-    for i in range(n):
-        cond = (F.col("__poll") == i) | ((F.col("__poll") == i - 1) if redeliver else F.lit(False))
-        (staged.where(cond).drop("__poll").repartition(files_per_poll)
-         .write.mode("append").format(fmt).save(path))
-    return n
-
-
-def start_live_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str,
-                        link_fn, score_fn=None, trigger: dict | None = None,
-                        landing_format: str = "json", max_files_per_trigger: int | None = None,
-                        score_horizon_hours: int | None = None, to_posts=None,
-                        derived_cols=("text",), embed_fn=None):
-    """The whole live path as two chained streaming queries.
-
-    1. ingest: landed posts -> dedup on (source, external_id, created_at) under
-       the watermark -> ``link_fn`` (adds ``tickers``) -> ``score_fn`` (adds
-       ``stance``/``probs``/``model_ver``; optional) -> foreachBatch writes the
-       posts that link to at least one symbol, and their fan-out, to
-       ``batch_id=N`` folders (idempotent);
-    2. aggregate: the fan-out folder as a file stream -> windowed sentiment in
-       update mode -> changelog (read the view with ``read_changelog``).
-
-    ``trigger`` is passed to ``DataStreamWriter.trigger`` (default: every 10 s,
-    the refresh interval of the reference; ``{"availableNow": True}`` in tests).
-    ``to_posts`` maps raw source records to posts rows, ``embed_fn`` adds the
-    embedding, ``score_horizon_hours`` leaves older posts unscored, and
-    ``derived_cols`` (the linking text) are not stored. Stored posts carry
-    ``id``, ``ingested_at`` (batch time) and ``classified_at``.
-    Returns (ingest_query, paths); start stage 2 with ``start_sentiment_from_fanout``."""
-    from moodlake.operators.symbols import fan_out
-
-    trigger = trigger or {"processingTime": "10 seconds"}
-    paths = {k: f"{out_root}/{k}" for k in ("posts", "ticker_posts", "sentiment", "ckpt_ingest", "ckpt_agg")}
-    reader = spark.readStream.schema(landing_schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.format(landing_format).load(landing)
-    if to_posts is not None:  # raw source records -> posts rows (stateless, before the dedup)
-        src = to_posts(src)
-    posts = dedup_stream(src, ("source", "external_id", "created_at"))
-    posts = with_post_defaults(with_post_id(posts))  # ingested_at = the micro-batch timestamp
-    posts = link_fn(posts)
-    if score_fn is not None:
-        posts = score_recent(posts, score_fn, score_horizon_hours)
-    if embed_fn is not None:  # adds ``embedding`` (the vector similar_posts searches)
-        posts = embed_fn(posts)
-    engagement = "score" in posts.columns and "comments" in posts.columns
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # link/score once; both sinks read the cached rows
-        stored = batch.where(F.size("tickers") > 0).drop(*derived_cols)  # title and body are stored
-        if "stance" in batch.columns:
-            batch.count()  # scores exist from here on: stamp classified_at after them
-            stored = stamp_classified(stored)
-        stored.write.mode("overwrite").parquet(f"{paths['posts']}/batch_id={batch_id}")
-        (fan_out(batch, feed_engagement=not engagement)
-         .write.mode("overwrite").parquet(f"{paths['ticker_posts']}/batch_id={batch_id}"))
-        batch.unpersist()
-
-    q1 = (posts.writeStream.outputMode("append").foreachBatch(write)
-          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())
-    return q1, paths
-
-
 def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema, trigger: dict | None = None,
                                 width: str = "10 seconds"):
     """Second stage of the live path: the fan-out folders as a stream -> windowed
@@ -198,89 +130,98 @@ def start_sentiment_from_fanout(spark: SparkSession, paths: dict, fanout_schema,
     trigger = trigger or {"processingTime": "10 seconds"}
     tp = spark.readStream.schema(fanout_schema).parquet(f"{paths['ticker_posts']}/batch_id=*")
     agg = sentiment_stream(dedup_stream(tp, ("post_id", "ticker", "created_at")), width=width, with_watermark=False)
-    return (agg.writeStream.outputMode("update").foreachBatch(batch_dir_writer(paths["sentiment"]))
+    return (agg.writeStream.outputMode("update").foreachBatch(changelog_writer(paths["sentiment"]))
             .option("checkpointLocation", paths["ckpt_agg"]).trigger(**trigger).start())
 
 
-def store_insert_writer(out_root: str, link_fn, score_fn=None, key=("source", "external_id", "created_at"),
-                        order=(), feed_engagement: bool | None = None, score_horizon_hours: int | None = None,
-                        to_posts=None, corrupt_col: str = "_corrupt_record", derived_cols=("text",),
-                        embed_fn=None):
-    """foreachBatch function for the insert-if-absent live path (the reference's
-    unique key + ON CONFLICT DO NOTHING, kept forever rather than for a watermark).
-
-    Per micro-batch: first write wins inside the batch (an aggregation with a
-    map-side partial, so the copies of a hot post collapse before any shuffle);
-    then an anti join against the posts of all EARLIER batches, matching on
-    created_date too so only the dates the batch touches are read; only the new
-    posts are linked and scored; posts with a symbol and their fan-out are
-    written to ``batch_id=N`` folders with overwrite. A re-executed batch
-    excludes only earlier batches, so it recomputes and replaces exactly its
-    own output (exactly-once with the query checkpoint).
-
-    With ``to_posts`` the landing holds raw source records (listing JSON, say):
-    records a PERMISSIVE reader could not parse (``corrupt_col`` set) go to
-    ``quarantine/batch_id=N`` and the rest are mapped to posts rows first."""
-    from moodlake.operators.ingest import date_range_filter, first_write
-    from moodlake.operators.symbols import fan_out
-    from moodlake.sources.posts_store import PARTITION_COL, with_partition
+def store_insert_writer(out_root: str, link_fn, score_fn=None, key=POST_KEY, order=(ARRIVAL,),
+                        score_horizon_hours: int | None = None, to_posts=None, corrupt_col: str = "_corrupt_record",
+                        derived_cols=("text",), embed_fn=None, vector_size: int | None = None):
+    """foreachBatch function of the live path (the reference's unique key + ON CONFLICT DO NOTHING, kept forever).
+
+    Per micro-batch: rows with a NULL in the key go to ``quarantine_keys``; first write wins inside the batch by
+    ``order``, the arrival order (an aggregation with a map-side partial, so the copies of a hot post collapse before
+    any shuffle); then an anti join against the posts of all EARLIER batches, matching on created_date too, so only
+    the folders of the dates the batch holds are listed and read; only the new posts are linked, scored and embedded.
+    Posts with a symbol are written to ``posts/created_date=D/batch_id=N`` (dynamic overwrite), those whose vector has
+    another length than ``vector_size`` to ``quarantine_vectors``, and the fan-out to ``ticker_posts/batch_id=N``. A re-executed
+    batch excludes only earlier batches, so it recomputes and replaces exactly its own output.
+
+    With ``to_posts`` the landing holds raw source records (listing JSON, say): records a PERMISSIVE reader could not
+    parse (``corrupt_col`` set) go to ``quarantine/batch_id=N`` and the rest are mapped to posts rows first."""
+    from moodlake.operators.symbols import fan_out, with_feed_engagement
 
     posts_dir, fan_dir = f"{out_root}/posts", f"{out_root}/ticker_posts"
     key = list(key)
 
+    def set_aside(rows: DataFrame, name: str, batch_id: int) -> None:
+        if not rows.isEmpty():
+            rows.write.mode("overwrite").parquet(f"{out_root}/{name}/batch_id={batch_id}")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        raw = None
+        batch, raw = with_arrival_rows(batch), None
         if to_posts is not None:
             raw = batch.persist()  # the corrupt-record column may only be queried on parsed, cached rows
             if corrupt_col in raw.columns:
-                bad = raw.where(F.col(corrupt_col).isNotNull()).select(corrupt_col)
-                bad.write.mode("overwrite").parquet(f"{out_root}/quarantine/batch_id={batch_id}")
-                raw_good = raw.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
-            else:
-                raw_good = raw
-            batch = with_post_defaults(with_post_id(to_posts(raw_good)))
-        batch = with_partition(batch).persist()
-        new = first_write(batch, key + [PARTITION_COL], order)
-        try:
-            prior = (spark.read.parquet(posts_dir)
-                     .where((F.col("batch_id") < F.lit(batch_id)) & date_range_filter(batch, PARTITION_COL))
-                     .select(*key, PARTITION_COL))
-            new = new.join(prior, key + [PARTITION_COL], "left_anti")
-        except Exception as e:  # noqa: BLE001 - no batch written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+                set_aside(raw.where(F.col(corrupt_col).isNotNull()).select(corrupt_col), "quarantine", batch_id)
+                raw = raw.where(F.col(corrupt_col).isNull()).drop(corrupt_col)
+            batch = with_post_defaults(with_post_id(to_posts(raw)))
+        batch = batch.persist()
+        whole, torn = split_null_keys(batch, key)
+        set_aside(torn.drop(ARRIVAL), "quarantine_keys", batch_id)
+        whole = with_partition(whole)
+        new = first_write(whole, key + [PARTITION_COL], order).drop(ARRIVAL)
+        dates = prune_values(whole, PARTITION_COL)
+        stored_schema = T.StructType([whole.schema[c] for c in key] + [T.StructField(PARTITION_COL, T.DateType()),
+                                                                      T.StructField("batch_id", T.LongType())])
+        if dates is None:  # more dates than a predicate should list: read the whole store, if there is one
+            dates = store_dates(spark, posts_dir)
+        prior = read_dates(spark, posts_dir, dates, stored_schema) if dates else None
+        if prior is not None:
+            new = new.join(prior.where(F.col("batch_id") < F.lit(batch_id)).select(*key, PARTITION_COL),
+                           key + [PARTITION_COL], "left_anti")
         posts = link_fn(new.drop(PARTITION_COL))
         if embed_fn is not None:  # only posts that are new get embedded
             posts = embed_fn(posts)
-        scored = None
+        staged = None
         if score_fn is not None:
-            scored = score_recent(posts, score_fn, score_horizon_hours).persist()
-            scored.count()  # scores exist from here on: stamp classified_at after them
-            posts = stamp_classified(scored)
-        kept = with_partition(posts.where(F.size("tickers") > 0).drop(*derived_cols))  # title/body are stored
-        out = f"{posts_dir}/batch_id={batch_id}"
-        kept.write.mode("overwrite").partitionBy(PARTITION_COL).parquet(out)
-        stored = spark.read.parquet(out)  # fan-out from what was stored, not a re-evaluation
-        eng = feed_engagement if feed_engagement is not None else not (
-            "score" in stored.columns and "comments" in stored.columns)
-        fan_out(stored, feed_engagement=eng).write.mode("overwrite").parquet(f"{fan_dir}/batch_id={batch_id}")
-        if scored is not None:
-            scored.unpersist()
-        batch.unpersist()
-        if raw is not None:
-            raw.unpersist()
+            staged = score_recent(posts, score_fn, score_horizon_hours).persist()
+            staged.count()  # scores exist from here on: stamp classified_at after them
+            posts = stamp_classified(staged)
+        kept = posts.where(F.size("tickers") > 0).drop(*derived_cols)  # title/body are stored
+        if vector_size is not None:
+            if staged is None:
+                staged = kept = kept.persist()
+            set_aside(kept.where(~valid_vector("embedding", vector_size)), "quarantine_vectors", batch_id)
+            kept = kept.where(valid_vector("embedding", vector_size))
+        kept = with_partition(kept).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        (kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(PARTITION_COL, "batch_id").parquet(posts_dir))
+        # fan-out from what was stored, not a re-evaluation; only the dates of the batch are listed
+        stored = read_dates(spark, posts_dir, dates, kept.schema) if dates else None
+        stored = kept.limit(0) if stored is None else stored.where(F.col("batch_id") == F.lit(batch_id))
+        (fan_out(with_feed_engagement(stored)).write.mode("overwrite").parquet(f"{fan_dir}/batch_id={batch_id}"))
+        for df in (staged, batch, raw):
+            if df is not None:
+                df.unpersist()
 
     return write
 
 
 def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_root: str, link_fn,
                          score_fn=None, trigger: dict | None = None, landing_format: str = "json",
-                         max_files_per_trigger: int | None = None, order=(), score_horizon_hours: int | None = None,
-                         to_posts=None, reader_options: dict | None = None, embed_fn=None):
-    """Live ingest with insert-if-absent against the stored posts (no dedup state:
-    the store is the state, so duplicates are caught however late they arrive).
-    Returns (query, paths); the fan-out folder feeds ``start_sentiment_from_fanout``."""
+                         max_files_per_trigger: int | None = None, order=(ARRIVAL,), score_horizon_hours: int | None = None,
+                         to_posts=None, reader_options: dict | None = None, derived_cols=("text",), embed_fn=None,
+                         vector_size: int | None = None):
+    """The live path: landed posts -> insert-if-absent against the stored posts -> posts and fan-out folders.
+
+    No dedup state: the store is the state, so duplicates are caught and new posts kept however late they arrive.
+    ``order`` is the arrival order inside a micro-batch (default: file time, file, place in the file; a ``to_posts`` that
+    builds new rows must carry ``__arrival`` through, as the readers of this library do). ``trigger`` is passed to
+    ``DataStreamWriter.trigger`` (default: every 10 s, the refresh interval of the reference; ``{"availableNow": True}`` in
+    tests). Stored posts carry ``id``, ``ingested_at`` (batch time) and ``classified_at``; ``derived_cols`` (the linking text)
+    are not stored. Returns (query, paths); the fan-out folder feeds ``start_sentiment_from_fanout``."""
     trigger = trigger or {"processingTime": "10 seconds"}
     paths = {k: f"{out_root}/{k}" for k in ("posts", "ticker_posts", "sentiment", "ckpt_ingest", "ckpt_agg")}
     reader = spark.readStream.schema(landing_schema)
@@ -288,11 +229,15 @@ def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     for k, v in (reader_options or {}).items():
         reader = reader.option(k, v)
-    src = reader.format(landing_format).load(landing)
+    src = with_arrival(reader.format(landing_format).load(landing))
     if to_posts is None:
         src = with_post_defaults(with_post_id(src))
-    q = (src.writeStream.foreachBatch(store_insert_writer(out_root, link_fn, score_fn, order=order,
-                                                    score_horizon_hours=score_horizon_hours,
-                                                    to_posts=to_posts, embed_fn=embed_fn))
+    q = (src.writeStream.foreachBatch(store_insert_writer(
+            out_root, link_fn, score_fn, order=order, score_horizon_hours=score_horizon_hours, to_posts=to_posts,
+            derived_cols=derived_cols, embed_fn=embed_fn, vector_size=vector_size))
          .option("checkpointLocation", paths["ckpt_ingest"]).trigger(**trigger).start())
     return q, paths
+
+
+#: One live path: nothing in it forgets a post.
+start_live_pipeline = start_store_pipeline

@@ -1,8 +1,11 @@
 """Batch ingest jobs: one poll and the replay (idempotent, backfill-marked)."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from moodlake.functions.dictionaries import FEED_SOURCE
+from moodlake.functions.text import post_text
 from moodlake.operators import symbols as SY
 from moodlake.plans import jobs as J
 from moodlake.plans import overlays as O
@@ -33,8 +36,9 @@ def test_replay_is_idempotent_and_marks_backfill(spark):
     assert new.select("id").distinct().count() == n_new
     feed_fan = fan.join(new.where(F.col("source") == FEED_SOURCE).select(F.col("id").alias("post_id")), "post_id")
     assert feed_fan.where((F.col("score") != 1) | (F.col("comments") != 0)).count() == 0
-    # caps: at most 50 items per feed and 200 records per channel went in
-    assert new.where(F.col("source") == FEED_SOURCE).count() <= 50 * items.select("feed").distinct().count()
+    # no cap: every landed feed item with a symbol went in
+    landed = _link(FS.feed_posts(items, as_of).withColumn("text", post_text())).where(F.size("tickers") > 0)
+    assert new.where(F.col("source") == FEED_SOURCE).count() == landed.count()
 
     again, fan2 = J.replay(store, good, items, _link, ingested_at=as_of)
     assert again.count() == 0 and fan2.count() == 0
@@ -66,6 +70,46 @@ def test_score_pass_scores_eligible_posts_once(spark):
     view = J.current_posts(posts, spark.read.parquet(scores_path))
     assert view.count() == posts.count()
     assert view.where(F.col("stance").isNotNull()).count() == n_eligible
-    # a second pass over the current view finds nothing left to score
-    again = J.score_pass(view, scores_path, model, as_of=as_of)
+    # a second pass over the current view, or over the same unscored posts, finds nothing left to score
+    assert J.score_pass(view, scores_path, model, as_of=as_of).count() == 0
+    assert J.score_pass(posts, scores_path, model, as_of=as_of).count() == 0
+    assert J.current_posts(posts, spark.read.parquet(scores_path)).count() == posts.count()
+    # scores written twice side by side do not double a post, and the export carries probs as JSON
+    twice = spark.read.parquet(scores_path).unionByName(spark.read.parquet(scores_path))
+    doubled = J.current_posts(posts, twice)
+    assert doubled.count() == posts.count()
+    row = J.export_posts(doubled.where(F.col("stance").isNotNull())).first()
+    assert set(json.loads(row.probs)) == {"neg", "neu", "pos"}
+
+
+def test_poll_links_each_new_post_once_and_sets_null_keys_aside(spark):
+    """One NULL in the key, a re-delivery that differs, and a vector of the wrong size."""
+    posts = J.conform_posts(O.posts_text(spark.read.parquet(f"{SF01}/documents.parquet"))).drop("id")
+    posts = posts.withColumn("arrival", F.lit(0).cast("long"))
+    later = posts.limit(50).withColumn("arrival", F.lit(1).cast("long")).withColumn("title", F.lit("A later edit THE"))
+    torn = posts.limit(3).withColumn("external_id", F.lit(None).cast("string"))
+    linked = spark.sparkContext.accumulator(0)
+
+    def link(df):
+        def count(_):
+            linked.add(1)
+            return True
+        # nondeterministic: counted where the linker runs, not pushed below the insert's join
+        return _link(df.where(F.udf(count, "boolean").asNondeterministic()(F.col("external_id"))))
+
+    def embed(df):
+        size = F.when(F.col("external_id").cast("int") % 7 == 0, F.lit(3)).otherwise(F.lit(4))
+        return df.withColumn("embedding", F.array_repeat(F.lit(1.0).cast("float"), size))
+
+    store = J.posts_store(spark, scratch_dir(spark, "poll_store"))
+    batch = later.unionByName(posts).unionByName(torn)
+    new, fan = J.ingest_poll(store, batch, link, embed_fn=embed, vector_size=4)
+    assert linked.value == posts.count()
+    stored = store.read()
+    assert stored.where(F.col("title") == "A later edit THE").count() == 0  # first write wins by arrival
+    assert stored.where("external_id IS NULL").count() == 0 and stored.where(F.size("embedding") != 4).count() == 0
+    refused = _link(posts.withColumn("text", post_text())).where("size(tickers) > 0 AND cast(external_id AS int) % 7 = 0").count()
+    assert refused > 0 and store.rejected().count() == refused + 3
+    assert new.count() == stored.count() and fan.count() >= new.count()
+    again, _ = J.ingest_poll(store, batch, _link, embed_fn=embed, vector_size=4)
     assert again.count() == 0

@@ -72,3 +72,41 @@ def test_whitelist_tiers_agree(spark, monkeypatch):
     literal = SY.extract_symbols(posts, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS)
     assert links(broadcast) == links(joined) == links(literal)
     assert sum(1 for _, t in links(broadcast) if t) > 0
+
+
+def test_empty_keyword_matches_nothing_in_every_form_and_pages_agree(spark, monkeypatch):
+    df = spark.createDataFrame([("an apple",), ("pie",)], "t string")
+    pairs = [("", "ALL"), ("apple", "AAPL"), ("pie", "PIE"), (None, "X"), ("an", None)]
+    case = [r.k for r in df.select(SY.keyword_hits(F.lower("t"), pairs).alias("k")).collect()]
+    auto = [r.k for r in df.select(SY.keyword_hits_automaton(F.lower("t"), pairs).alias("k")).collect()]
+    table = spark.createDataFrame(pairs + [("p", "P")], "keyword string, symbol string")
+    monkeypatch.setattr(SY, "MAX_BROADCAST_KEYWORDS", 2)
+    paged = [sorted(r.k) for r in df.select(SY.keyword_hits(F.lower("t"), table).alias("k")).collect()]
+    assert case == auto == [["AAPL"], ["PIE"]] and paged == [["AAPL", "P"], ["P", "PIE"]]
+
+
+def test_join_tier_needs_no_id_and_runs_in_the_live_path(spark, monkeypatch):
+    from moodlake.functions.text import post_text
+    from moodlake.session import scratch_dir
+    from moodlake.streaming import pipeline as ST
+
+    posts = O.posts_text(spark.read.parquet(f"{SF001}/documents.parquet")).withColumn("text", post_text())
+    dim = O.conversation_symbols(spark.read.parquet(f"{SF001}/conversations.parquet"))
+    expect = sorted((r.id, tuple(r.tickers)) for r in SY.extract_symbols(posts, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS).collect())
+    nameless = posts.withColumn("key", F.col("id")).withColumn("id", F.lit(None).cast("long"))
+    got = SY.extract_symbols_join(nameless, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS).collect()
+    assert sorted((r.key, tuple(r.tickers)) for r in got) == expect
+
+    stored = {}
+    for tier in ("broadcast", "join"):
+        if tier == "join":
+            monkeypatch.setattr(SY, "MAX_BROADCAST_KEYS", 10)
+        land = scratch_dir(spark, "tier_land")
+        O.land_all_polls(posts, land, "created_at", 3600, "2024-01-01 00:00:00")
+        q, paths = ST.start_live_pipeline(spark, land, posts.schema, scratch_dir(spark, "tier_out"),
+                                          lambda df: SY.extract_symbols(df, "text", dim, O.O6_STOPLIST, O.O6_KEYWORDS),
+                                          trigger={"availableNow": True}, reader_options={"recursiveFileLookup": "true"})
+        q.awaitTermination(600)
+        assert q.exception() is None
+        stored[tier] = sorted((r.id, tuple(r.tickers)) for r in spark.read.parquet(paths["posts"]).collect())
+    assert stored["join"] == stored["broadcast"] == [x for x in expect if x[1]]

@@ -88,17 +88,37 @@ def test_embedder_is_mean_of_word_vectors_over_whole_text(spark):
         assert np.allclose(r.embedding, expect, atol=1e-5)
 
 
-def test_embedder_vocabulary_is_bounded(spark):
+def test_trained_embedder_keeps_every_word(spark):
+    from pyspark.ml.feature import RegexTokenizer
+
     from moodlake.operators import scoring
 
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select("text")
-    from pyspark.ml.feature import RegexTokenizer
-    toks = RegexTokenizer(inputCol="text", outputCol="__tok", pattern=r"\W+", minTokenLength=1).transform(docs)
-    counts = toks.select(F.explode("__tok").alias("w")).groupBy("w").count()
-    full = counts.count()
-    assert scoring.vocabulary_min_count(toks, 1, max_vocab=full) == 1
-    mc = scoring.vocabulary_min_count(toks, 1, max_vocab=full // 4)
-    assert mc > 1 and counts.where(F.col("count") >= mc).count() <= full // 4
-    assert counts.where(F.col("count") >= mc // 2).count() > full // 4  # smallest such threshold
-    model = scoring.train_embedder(docs, vector_size=4, max_vocab=full // 4)
-    assert model.stages[-1].getVectors().count() <= full // 4
+    toks = RegexTokenizer(inputCol="text", outputCol="__tok", pattern=r"(?U)\W+", minTokenLength=1).transform(docs)
+    full = toks.select(F.explode("__tok").alias("w")).distinct().count()
+    assert scoring.train_embedder(docs, vector_size=4).stages[-1].getVectors().count() == full
+
+
+def test_hashed_embedding_is_the_mean_over_the_whole_text(spark):
+    import numpy as np
+
+    from moodlake.operators import scoring
+
+    docs = spark.createDataFrame([(1, "One two  two"), (2, ""), (3, None), (4, "ÉTÉ " * 5000)], "id long, text string")
+    got = {r.id: r.embedding for r in scoring.embed_hashed(docs, 20).collect()}
+    one, two = scoring.hashed_mean(["one", "two"], 20)
+    assert np.allclose(got[1], (one + 2 * two) / 3, atol=1e-6) and not any(got[2]) and not any(got[3])
+    assert np.allclose(got[4], scoring.hashed_mean(["été"], 20)[0], atol=1e-6)
+
+
+def test_trained_scorer_saved_and_loaded_scores_the_same(spark):
+    from moodlake.operators import scoring
+    from moodlake.session import scratch_dir
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    labels = scoring.three_class_label(spark.read.parquet(f"{SF001}/labels.parquet")).withColumnRenamed("doc_id", "id")
+    model = scoring.train_default_scorer(docs.join(labels, "id"), max_iter=3)
+    path = scratch_dir(spark, "scorer")
+    scoring.save_model(model, path)
+    a = scoring.score_with_model(model, docs).select("id", "stance").collect()
+    assert sorted(a) == sorted(scoring.score_with_model(scoring.load_model(path), docs).select("id", "stance").collect())

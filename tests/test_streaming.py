@@ -16,7 +16,7 @@ def test_live_pipeline_equals_batch(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     posts = O.posts_text(docs).withColumn("text", post_text())
     land = scratch_dir(spark, "live_land")
-    ST.land_polls(posts, land, "created_at", 8 * 3600, "2024-01-01 00:00:00", fmt="json")
+    O.land_polls(posts, land, "created_at", 8 * 3600, "2024-01-01 00:00:00", fmt="json")
 
     labels = SCR.three_class_label(spark.read.parquet(f"{SF01}/labels.parquet")).withColumnRenamed("doc_id", "id")
     model = SCR.train_default_scorer(posts.join(labels, "id"), max_iter=5)
@@ -75,7 +75,7 @@ def test_store_writer_is_idempotent_and_dedups_forever(spark):
         return SY2.extract_symbols(df, "text", {k: k for k in O.O6_WHITELIST}, O.O6_STOPLIST, O.O6_KEYWORDS)
 
     root = scratch_dir(spark, "store_writer")
-    write = ST.store_insert_writer(root, link)
+    write = ST.store_insert_writer(root, link, order=("id",))
     first = posts.where(F.col("id") % 2 == 0)
     hot = posts.where(F.col("id") == 4)
     for _ in range(5):  # one post re-delivered many times inside the batch
@@ -195,7 +195,7 @@ def test_store_pipeline_embeds_new_posts_for_similarity(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet")
     posts = O.posts_text(docs).withColumn("text", post_text())
     land = scratch_dir(spark, "embed_land")
-    ST.land_polls(posts, land, "created_at", 8 * 3600, "2024-01-01 00:00:00", fmt="json")
+    O.land_polls(posts, land, "created_at", 8 * 3600, "2024-01-01 00:00:00", fmt="json")
     embedder = SCR.train_embedder(posts.select("text"), vector_size=16)
 
     def link(df):
