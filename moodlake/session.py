@@ -50,13 +50,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     Read from the session. Unset, a local session (tests) gets a private folder; on a cluster that
     would be a path of the driver alone, so it is an error."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="moodlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    sc.setCheckpointDir(d)
+    if not sc.getCheckpointDir():  # setting it again would open a folder inside the folder
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
