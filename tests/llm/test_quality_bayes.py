@@ -30,7 +30,7 @@ def test_sparse_sites_shrink_towards_their_parents(spark):
 
 
 def test_many_sites_are_joined_by_shuffling(spark, odd_docs, monkeypatch):
-    model = quality_bayes.Classifier(np.r_[1.0, np.zeros(17)], np.zeros(18), np.ones(18))
+    model = quality_bayes.Classifier(np.r_[1.0, np.zeros(18)], np.zeros(19), np.ones(19))
     rows = {}
     for bound in (100_000, 1):
         monkeypatch.setattr(quality_bayes, "BROADCAST_SITES", bound)
