@@ -16,6 +16,7 @@ from moodlake.operators import sentiment as S
 from moodlake.plans import overlays as O
 from moodlake.plans import serving as V
 from moodlake.plans.normalize import for_check
+from moodlake.session import ship_package
 
 # FIXED VALUES (fixture parameters shared with the oracle SQL)
 SERIES_TICKER = "click"
@@ -33,6 +34,7 @@ def register(key: str):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # every time function assumes UTC (feed dates, epochs, bucket bounds)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return for_check(fn(spark, sf_dir))
 
         QUERIES[key] = run

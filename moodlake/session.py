@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +27,9 @@ _DEFAULTS = {
 }
 
 
+_SHIPPED: set[str] = set()  # applications that have the package's sources
+
+
 def get_session(master: str | None = None, app: str = "moodlake",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     """Builder with the engine's defaults. On a cluster the master and the
@@ -61,6 +66,21 @@ def checkpoint_root(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever the driver was started: once per application, its
+    sources travel as a zip file through ``addPyFile``. An installed package makes this redundant, not wrong."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="moodlake-src-")) / f"{top.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path under the checkpoint root (never reused, never cleared)."""
     root = checkpoint_root(spark)

@@ -25,6 +25,7 @@ from moodlake.functions.timefns import bucket_window
 from moodlake.operators.ingest import (ARRIVAL, POST_KEY, first_write, prune_values, split_null_keys, stamp_classified,
                                        valid_vector, with_arrival, with_arrival_rows, with_post_defaults, with_post_id)
 from moodlake.operators.sentiment import engagement_weight, stance_sign
+from moodlake.session import ship_package
 from moodlake.sources.posts_store import PARTITION_COL, read_dates, store_dates, with_partition
 
 WATERMARK = "1 day"
@@ -222,6 +223,7 @@ def start_store_pipeline(spark: SparkSession, landing: str, landing_schema, out_
     ``DataStreamWriter.trigger`` (default: every 10 s, the refresh interval of the reference; ``{"availableNow": True}`` in
     tests). Stored posts carry ``id``, ``ingested_at`` (batch time) and ``classified_at``; ``derived_cols`` (the linking text)
     are not stored. Returns (query, paths); the fan-out folder feeds ``start_sentiment_from_fanout``."""
+    ship_package(spark)
     trigger = trigger or {"processingTime": "10 seconds"}
     paths = {k: f"{out_root}/{k}" for k in ("posts", "ticker_posts", "sentiment", "ckpt_ingest", "ckpt_agg")}
     reader = spark.readStream.schema(landing_schema)

@@ -131,3 +131,31 @@ def test_symbol_lookup_through_fanout_index_prunes(spark):
     p = plan(E.queries()["posts_with_symbol_indexed"](spark, SF001))
     assert "EqualTo(ticker,NTI)" in p  # symbol filter reaches the index scan
     assert "dynamicpruningexpression(created_date" in p  # posts read only on the symbol's dates
+
+
+def test_queries_run_from_another_folder(tmp_path):
+    """Workers find the package although neither their folder nor PYTHONPATH holds it."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""import sys; sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__ as e
+print("rows", e.queries()["similar_posts_batch"](spark, {SF001!r}).count())"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 2500" in out.stdout, out.stderr[-1500:]
+
+
+def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from moodlake.session import checkpoint_root
+    sc = N(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(N(sparkContext=sc, conf=N(get=lambda k, d=None: d)))
