@@ -113,3 +113,36 @@ def store_dates(spark: SparkSession, path: str) -> list[str]:
         return []
     names = [x.getPath().getName() for x in fs.listStatus(files)]
     return [n.split("=", 1)[1] for n in names if n.startswith(f"{PARTITION_COL}=")]
+
+
+def compact_closed_dates(spark: SparkSession, path: str, before, key=POST_KEY) -> int:
+    """Merge the batch folders of every date before ``before`` (of the live store, ``created_date=D/batch_id=N``) into the
+    folder of the date's newest batch; returns how many dates were merged.
+
+    Run it for dates that no running batch still writes to. The merged rows are staged first, then put in place, then the
+    older folders go; a run that died in between is repeated, as copies of a post (the same key) are merged into one."""
+    from moodlake.operators.ingest import first_write
+    from moodlake.session import scratch_dir
+
+    files = spark._jvm.org.apache.hadoop.fs.Path
+    fs = files(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = {}
+    for d in store_dates(spark, path):
+        if d < str(before):
+            names = [x.getPath().getName() for x in fs.listStatus(files(f"{path}/{PARTITION_COL}={d}"))]
+            batches[d] = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("batch_id="))
+    batches = {d: b for d, b in batches.items() if len(b) > 1}
+    if not batches:
+        return 0
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/{PARTITION_COL}={d}" for d in batches])
+    newest = rows.groupBy(PARTITION_COL).agg(F.max("batch_id").alias("__newest"))
+    merged = first_write(rows, [*key, PARTITION_COL], ("batch_id",)).join(newest, PARTITION_COL)
+    stage = scratch_dir(spark, "compacted")
+    (merged.withColumn("batch_id", F.col("__newest").cast("long")).drop("__newest")
+     .repartition(PARTITION_COL).write.partitionBy(PARTITION_COL).parquet(stage))
+    (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(PARTITION_COL, "batch_id").parquet(path))
+    for d, own in batches.items():
+        for b in own[:-1]:
+            fs.delete(files(f"{path}/{PARTITION_COL}={d}/batch_id={b}"), True)
+    return len(batches)

@@ -222,3 +222,36 @@ def test_live_posts_carry_text_hash(spark):
     a = exact_duplicate_groups(with_post_defaults(posts))
     b = exact_duplicate_groups(with_text_hash(posts))
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_store_stays_flat_over_many_batches(spark):
+    """Closed dates are merged to one folder each; a later batch lists only the folders of its own dates, and
+    still inserts nothing twice."""
+    import os
+
+    from moodlake.sources.posts_store import compact_closed_dates
+
+    posts = O.posts_text(spark.read.parquet(f"{SF01}/documents.parquet")).withColumn("text", post_text())
+    day = F.make_dt_interval((F.col("id") % 5).cast("int"))  # five dates
+    posts = posts.withColumn("created_at", F.col("created_at") + day).persist()
+
+    def link(df):
+        return SY.extract_symbols(df, "text", {k: k for k in O.O6_WHITELIST}, O.O6_STOPLIST, O.O6_KEYWORDS)
+
+    root = scratch_dir(spark, "flat_store")
+    write = ST.store_insert_writer(root, link, order=("id",))
+    for b in range(8):
+        write(posts.where(F.col("id") % 8 <= b), b)  # every batch re-sends all earlier rows
+    stored = spark.read.parquet(f"{root}/posts")
+    rows = sorted(tuple(r) for r in stored.drop("batch_id").collect())
+    dates = [d for d in sorted(os.listdir(f"{root}/posts".removeprefix("file:"))) if "=" in d]
+    merged = compact_closed_dates(spark, f"{root}/posts", dates[-1].split("=")[1])
+    assert merged == len(dates) - 1
+    folders = {d: [x for x in os.listdir(f"{root}/posts/{d}".removeprefix("file:")) if "=" in x] for d in dates}
+    assert all(len(folders[d]) == 1 for d in dates[:-1]) and len(folders[dates[-1]]) > 1
+    columns = [c for c in stored.columns if c != "batch_id"]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{root}/posts").select(columns).collect()) == rows
+    assert compact_closed_dates(spark, f"{root}/posts", dates[-1].split("=")[1]) == 0
+    write(posts, 8)
+    assert spark.read.parquet(f"{root}/posts").count() == len(rows)
+    posts.unpersist()
