@@ -1,5 +1,7 @@
-"""Vector functions over array<float> columns, evaluated as higher-order
-built-ins (codegen-able, no Python)."""
+"""Vector functions over array<float> columns, as higher-order built-ins: no
+Python, but their lambdas are interpreted element by element outside generated
+code. For one query over a scan; batches go through the numpy kernels of
+``operators.similarity``."""
 
 from __future__ import annotations
 
