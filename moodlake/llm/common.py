@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.session import scratch_dir
+from moodlake.session import scratch_dir, ship_package
 
 #: Text bytes that a kernel works on at once inside a task.
 CHUNK_BYTES = 2 << 20
@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: UTC, and Arrow batches bounded in bytes
-    (a batch of very long texts must not fill a worker's memory)."""
+    """What the operators rely on: UTC, Arrow batches bounded in bytes (a batch of very long texts must
+    not fill a worker's memory), and this package in the workers."""
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
@@ -39,18 +40,30 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The rows written once to the shared folder in buckets of ``keys``: every later join on the keys reads its buckets
+    and moves only the other side. For rows that are grouped by the keys already, a bucket is one file."""
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
+    table_name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.bucketBy(shuffle_partitions(spark), *keys).option("path", path).format("parquet").saveAsTable(table_name)
+    out = spark.table(table_name)
+    spark.sql(f"DROP TABLE {table_name}")               # the entry only: the files at a given path stay
+    return out
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text: two 64-bit hashes with different seeds."""
     return [F.xxhash64(text).alias("c1"), F.xxhash64(F.lit(1), text).alias("c2")]
 
 
 def distinct_texts(texts: DataFrame) -> DataFrame:
-    """One row per distinct text: c1, c2, text, copies. ``texts`` holds a column ``text``;
-    copies are combined before the shuffle, so a text that a third of all rows hold reaches
-    its reducer once per map task. A null text counts as empty."""
+    """One row per distinct text: c1, c2, text, copies, stored in buckets of the key, as texts are joined again and
+    again and should be shuffled once. ``texts`` holds a column ``text``; copies are combined before the shuffle, so a
+    text that a third of all rows hold reaches its reducer once per map task. A null text counts as empty."""
     t = texts.select(F.coalesce("text", F.lit("")).alias("text"))
-    return (t.select(*text_key(F.col("text")), "text").groupBy("c1", "c2")
-            .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    return bucketed(t.select(*text_key(F.col("text")), "text").groupBy("c1", "c2")
+                    .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), ["c1", "c2"], "texts")
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -50,11 +50,13 @@ COLLECTION_BYTES = 600_000
 #: Ranges of window offsets that a string is cut into before the construction.
 SETTLE_RANGES = 4
 
-_RUNS = {"h": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "start": pa.int32(), "n": pa.int32()}
-_CUT = {"h": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "c1": pa.int64(), "c2": pa.int64(),
-        "start": pa.int32(), "n": pa.int32(), "copies": pa.int64()}
+#: ``more`` holds what a text repeats, packed as 32-bit integers: further (start, n) of an anchor, or starts of a string.
+_RUNS = {"h": pa.int64(), "c1": pa.int64(), "c2": pa.int64(), "start": pa.int32(), "n": pa.int32(), "more": pa.binary()}
+_STRING = {"h": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "c1": pa.int64(), "c2": pa.int64(),
+           "start": pa.int32(), "n": pa.int32(), "copies": pa.int64()}
+_CUT = _STRING | {"more": pa.binary()}
 _SPANS = {"c1": pa.int64(), "c2": pa.int64(), "start": pa.int32(), "stop": pa.int32()}
-_STRINGS = _CUT | {"bytes": pa.binary()}
+_STRINGS = _STRING | {"bytes": pa.binary()}
 
 
 def _ddl(types: dict[str, pa.DataType]) -> str:
@@ -68,7 +70,8 @@ def _digest(data: bytes) -> tuple[int, int]:
 
 
 def _runs(length: int, k: int):
-    """Texts -> one row per run of windows that share an anchor."""
+    """Texts -> one row per text and anchor with its runs of windows (a text that repeats itself holds an anchor
+    many times, and is one row of it all the same)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, ends = text_buffer(batch.column("text"))
@@ -78,13 +81,25 @@ def _runs(length: int, k: int):
                 own = ends[lo:hi] - begin
                 doc, h, start, n = anchor_runs(data[begin:ends[hi - 1]], own, length, k)
                 begins = np.concatenate(([0], own[:-1]))
-                yield as_batch({"h": h.view(np.int64), "c1": keys[0][lo:hi][doc], "c2": keys[1][lo:hi][doc],
-                                "start": (start - begins[doc]).astype(np.int32), "n": n.astype(np.int32)}, _RUNS)
+                order = np.lexsort((start, h, doc))
+                doc, h, start, n = doc[order], h[order], (start - begins[doc])[order], n[order]
+                fresh = np.ones(len(doc), bool)
+                fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                first = np.flatnonzero(fresh)
+                after = np.append(first[1:], len(doc))
+                more: list[bytes | None] = [None] * len(first)
+                pairs = np.stack((start, n), axis=1).astype("<i4")
+                for i in np.flatnonzero(after - first > 1).tolist():
+                    more[i] = pairs[first[i] + 1:after[i]].tobytes()
+                yield as_batch({"h": h[first].view(np.int64), "c1": keys[0][lo:hi][doc[first]],
+                                "c2": keys[1][lo:hi][doc[first]], "start": start[first].astype(np.int32),
+                                "n": n[first].astype(np.int32), "more": more}, _RUNS)
     return run
 
 
 def _cut(length: int, with_bytes: bool):
-    """Texts with their runs -> the runs' strings, as hashes or as bytes too."""
+    """Texts with their runs -> the runs' strings: one row per text and distinct string as hashes and starts, or the
+    one run that is asked for with its bytes."""
     types = _STRINGS if with_bytes else _CUT
 
     def rows(batch: pa.RecordBatch, lo: int, hi: int) -> Iterator[tuple]:
@@ -94,10 +109,18 @@ def _cut(length: int, with_bytes: bool):
         for i, own in enumerate(runs):
             begin = int(ends[i - 1]) if i else 0
             for r in own:
-                piece = raw[begin + r["start"]:begin + r["start"] + r["n"] + length - 1]
-                key = (r["f1"], r["f2"]) if with_bytes else _digest(piece)
-                row = (r["h"], *key, c1[i], c2[i], r["start"], r["n"], r["copies"] if with_bytes else copies[i])
-                yield (*row, piece) if with_bytes else row
+                if with_bytes:
+                    piece = raw[begin + r["start"]:begin + r["start"] + r["n"] + length - 1]
+                    yield r["h"], r["f1"], r["f2"], c1[i], c2[i], r["start"], r["n"], r["copies"], piece
+                    continue
+                found: dict[bytes, list[int]] = {}
+                found.setdefault(raw[begin + r["start"]:begin + r["start"] + r["n"] + length - 1], []).append(r["start"])
+                if r["more"]:
+                    for start, n in np.frombuffer(r["more"], "<i4").reshape(-1, 2).tolist():
+                        found.setdefault(raw[begin + start:begin + start + n + length - 1], []).append(start)
+                for piece, starts in found.items():
+                    yield (r["h"], *_digest(piece), c1[i], c2[i], starts[0], len(piece) - length + 1,
+                           copies[i] * len(starts), np.array(starts[1:], "<i4").tobytes() if starts[1:] else None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +254,11 @@ def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = data[ends[i - 1] if i else 0:ends[i]].tobytes()
                 kept, merged, at = [], 0, 0
                 stop = -1
-                for s in sorted((s["start"], s["stop"]) for s in spans or ()):
+                bounds = [(s["start"], s["stop"]) for s in spans or ()]
+                for s in spans or ():
+                    if s["more"]:
+                        bounds += [(x, x + s["stop"] - s["start"]) for x in np.frombuffer(s["more"], "<i4").tolist()]
+                for s in sorted(bounds):
                     if s[0] > stop:
                         kept.append(text[at:s[0]])
                         merged += 1
@@ -248,24 +275,26 @@ def _erase(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> DataFrame:
     """Byte ranges [start, stop) of each distinct text (c1, c2) whose ``length``-byte windows also
-    start elsewhere. ``texts`` comes from ``distinct_texts``. Ranges may overlap or touch."""
+    start elsewhere; ``more`` holds further starts of ranges as long. ``texts`` comes from ``distinct_texts``. Ranges may
+    overlap or touch."""
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
     runs = texts.mapInArrow(_runs(length, k), _ddl(_RUNS))
-    twice = (texts.mapInArrow(_runs(length, k), _ddl(_RUNS)).groupBy("h").agg(F.count(F.lit(1)).alias("seen"))
-             .filter("seen > 1").select("h"))
+    # unique keys as a table of their own: the joins then shuffle both sides, and a hot key's rows can be split
+    twice = materialized(texts.mapInArrow(_runs(length, k), _ddl(_RUNS)).groupBy("h").agg(F.sum(F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0))).alias("seen"))
+                         .filter("seen > 1").select("h"), "twice")
     by_text = (runs.join(twice, "h").groupBy("c1", "c2")
-               .agg(F.collect_list(F.struct("h", "start", "n")).alias("runs")))
+               .agg(F.collect_list(F.struct("h", "start", "n", "more")).alias("runs")))
     cut = materialized(texts.join(by_text, ["c1", "c2"]).mapInArrow(_cut(length, False), _ddl(_CUT)), "runs")
 
-    groups = cut.groupBy("h", "f1", "f2").agg(F.sum("copies").alias("copies"),
-                                             F.min(F.struct("c1", "c2", "start", "n")).alias("one"))
+    groups = materialized(cut.groupBy("h", "f1", "f2").agg(F.sum("copies").alias("copies"),
+                                                          F.min(F.struct("c1", "c2", "start", "n")).alias("one")), "groups")
     whole = groups.filter("copies > 1").select("h", "f1", "f2")
     spans = cut.join(whole, ["h", "f1", "f2"]).select(
-        "c1", "c2", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).cast("int").alias("stop"))
+        "c1", "c2", "start", (F.col("start") + F.col("n") + F.lit(length - 1)).cast("int").alias("stop"), "more")
 
-    sizes = groups.groupBy("h").agg(F.count(F.lit(1)).alias("strings"))
-    open_ = groups.join(sizes.filter("strings > 1"), "h")
+    sizes = materialized(groups.groupBy("h").agg(F.count(F.lit(1)).alias("strings")).filter("strings > 1"), "sizes")
+    open_ = groups.join(sizes, "h")
     wanted = (open_.select("h", "f1", "f2", "copies", "strings", "one.*").groupBy("c1", "c2")
               .agg(F.collect_list(F.struct("h", "f1", "f2", "start", "n", "copies")).alias("runs")))
     strings = texts.drop("copies").join(wanted, ["c1", "c2"]).withColumn("copies", F.lit(1).cast("long")) \
@@ -275,11 +304,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
     if not hot.isEmpty():
         strings = materialized(strings, "strings")
         hot = materialized(hot, "hot")
-        spans = spans.unionByName(_hot_spans(strings.join(hot, "h"), length, k))
+        spans = spans.unionByName(_hot_spans(strings.join(hot, "h"), length, k), allowMissingColumns=True)
         strings = strings.join(hot, "h", "left_anti")
     settled = (strings.repartition(parts, "h").sortWithinPartitions("h", "f1", "f2")
                .mapInArrow(_settle(length, k), _ddl(_SPANS)))
-    return spans.unionByName(settled)
+    return spans.unionByName(settled, allowMissingColumns=True)
 
 
 def _hot_spans(strings: DataFrame, length: int, k: int) -> DataFrame:
@@ -340,9 +369,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     prepare(docs.sparkSession)
     texts = distinct_texts(docs)
     spans = (repeated_spans(texts, length, k).groupBy("c1", "c2")
-             .agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
+             .agg(F.collect_list(F.struct("start", "stop", "more")).alias("spans")))
     whole = F.when((F.col("copies") > 1) & (F.octet_length("text") >= length),
-                   F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("stop"))))
+                   F.array(F.struct(F.lit(0).alias("start"), F.octet_length("text").alias("stop"),
+                                    F.lit(None).cast("binary").alias("more"))))
     judged = (texts.join(spans, ["c1", "c2"], "left").withColumn("spans", F.coalesce(whole, "spans")).drop("copies")
               .mapInArrow(_erase, "c1 long, c2 long, n_bytes long, n_removed long, n_spans long, kept binary, "
                                   "kept_sha256 string"))
