@@ -28,6 +28,27 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "class_size")
 
 
+SQL["op1_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * shared >= 8 * (a.n + b.n - shared)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON l.x = reach.other
+), links AS (
+  SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY x
+)
+SELECT reach.doc_id, min(other) AS class_id, coalesce(any_value(n_links), 0) AS n_links, count(*) AS class_size
+FROM reach LEFT JOIN links ON links.doc_id = reach.doc_id GROUP BY reach.doc_id"""
+
+
 @register
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document (count and checksum), and whether they decode to its whole text."""

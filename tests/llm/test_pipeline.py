@@ -73,7 +73,7 @@ def test_registered(spark):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
-    for t in ("pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
     got = QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
     want = duckdb.sql(SQL[name]).df()[list(got.columns)]
