@@ -11,7 +11,8 @@ from moodlake.llm.common import materialized
 def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step. The number of edges never grows."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    # a table of its own: the join then shuffles both sides, and the edges of a node with very many can be split
+    least = materialized(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
     large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     large = large.filter("a <> b").distinct()
     # every edge now points to a smaller node

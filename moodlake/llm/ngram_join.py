@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moodlake.llm.common import (as_batch, byte_chunks, materialized, prepare, shuffle_partitions, text_buffer)
+from moodlake.llm.common import (as_batch, bucketed, byte_chunks, materialized, prepare, shuffle_partitions, text_buffer)
 from moodlake.llm.components import components
 from moodlake.llm.words import mix, shingles, words_of
 
@@ -233,21 +233,23 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     parts = shuffle_partitions(spark)
     bands, rows = choose_bands(threshold, recall)
     node = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    texts = (docs.select(F.coalesce("text", F.lit("")).alias("text")).select(node.alias("node"), "text")
-             .groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    texts = bucketed(docs.select(F.coalesce("text", F.lit("")).alias("text")).select(node.alias("node"), "text")
+                     .groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), ["node"], "texts")
 
     signed = materialized(texts.mapInArrow(_signatures(size, bands, rows),
                                            "node binary, bands array<long>, signature binary"), "signatures")
     banded = signed.select(F.explode("bands").alias("key"), "node")
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.lit(0).alias("bytes")).filter("members > 1")
+    # unique keys as tables of their own: the joins then shuffle both sides, and a hot key's rows can be split
+    sizes = materialized(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.lit(0).alias("bytes"))
+                         .filter("members > 1"), "buckets")
     members = _blocked(banded, "key", sizes).join(signed.select("node", "signature"), "node")
     tied = (members.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q")
             .select("key", "p", "q", "node", "signature").mapInArrow(_tie, "a binary, b binary"))
     groups = materialized(components(tied), "groups")
 
     held = texts.join(groups, "node")
-    group_sizes = (held.groupBy("root")
-                   .agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("bytes")))
+    group_sizes = materialized(held.groupBy("root").agg(F.count(F.lit(1)).alias("members"),
+                                                        F.sum(F.octet_length("text")).alias("bytes")), "group-sizes")
     verified = materialized(
         _blocked(held, "root", group_sizes).repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q")
         .select("root", "p", "q", "block", "node", "copies", "text")
@@ -264,7 +266,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     per_text = some.groupBy("node").agg(F.min("d").alias("d"), F.count(F.lit(1)).alias("copies"))
     known = (per_text.join(roots, "node", "left").join(links, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
-    classes = known.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("copies").alias("class_size"))
+    classes = materialized(known.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("copies").alias("class_size")),
+                           "classes")
     found = known.join(classes, "root").select(
         "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size")
     alone = left.filter("node IS NULL").select("row.*", F.col("d").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
