@@ -62,8 +62,14 @@ class Field:
     start: np.ndarray
     document: np.ndarray = field(default_factory=lambda: np.zeros(4))
 
-    def emission(self, word: str) -> float:
-        return float(self.weights[_feature_ids(word.lower())].sum())
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Weight of the toxic state for each word, its features summed in one pass."""
+        ids: list[int] = []
+        begins = []
+        for w in words:
+            begins.append(len(ids))
+            ids += _feature_ids(w.lower())
+        return np.add.reduceat(self.weights[ids].astype(np.float64), begins) if words else np.zeros(0)
 
 
 def _cue_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,40 +203,51 @@ def chain_marginals(e: np.ndarray, first: np.ndarray, transitions: np.ndarray, s
     blocks = -(-n // width)
     weight = np.exp(np.clip(e, -30, 30))
     step, begin = np.exp(transitions), np.exp(start)
-    m = np.empty((blocks * width, 2, 2))
-    m[n:] = np.eye(2)
-    m[:n, :, 0], m[:n, :, 1] = step[:, 0], step[:, 1] * weight[:, None]
-    m[:n][first, :, 0], m[:n][first, :, 1] = begin[0], (begin[1] * weight[first])[:, None]
-    m = m.reshape(blocks, width, 2, 2)
-    product = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
+
+    def laid_out(value: np.ndarray, pad: float) -> np.ndarray:
+        out = np.full(blocks * width, pad)
+        out[:n] = value
+        return np.ascontiguousarray(out.reshape(blocks, width).T)      # one row per step of all blocks
+
+    # entries of each word's matrix (from state, to state); the padding is the identity
+    m00 = laid_out(np.where(first, begin[0], step[0, 0]), 1.0)
+    m10 = laid_out(np.where(first, begin[0], step[1, 0]), 0.0)
+    m01 = laid_out(np.where(first, begin[1], step[0, 1]) * weight, 0.0)
+    m11 = laid_out(np.where(first, begin[1], step[1, 1]) * weight, 1.0)
+
+    p00, p01, p10, p11 = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
     for t in range(width):
-        product = product @ m[:, t]
-        product /= product.max((1, 2), keepdims=True)
-    ahead, behind = np.empty((blocks, 2)), np.empty((blocks, 2))
-    x = np.full(2, 0.5)
+        p00, p01 = p00 * m00[t] + p01 * m10[t], p00 * m01[t] + p01 * m11[t]
+        p10, p11 = p10 * m00[t] + p11 * m10[t], p10 * m01[t] + p11 * m11[t]
+        scale = 1 / (p00 + p01 + p10 + p11)
+        p00, p01, p10, p11 = p00 * scale, p01 * scale, p10 * scale, p11 * scale
+    ahead, behind = np.empty((2, blocks)), np.empty((2, blocks))
+    x, y = 0.5, 0.5
     for b in range(blocks):
-        ahead[b] = x
-        x = x @ product[b]
-        x = x / x.sum()
-    x = np.full(2, 0.5)
+        ahead[:, b] = x, y
+        x, y = x * p00[b] + y * p10[b], x * p01[b] + y * p11[b]
+        x, y = x / (x + y), y / (x + y)
+    x, y = 0.5, 0.5
     for b in range(blocks - 1, -1, -1):
-        behind[b] = x
-        x = product[b] @ x
-        x = x / x.sum()
-    forward = np.empty((blocks, width, 2))
-    x = ahead
+        behind[:, b] = x, y
+        x, y = p00[b] * x + p01[b] * y, p10[b] * x + p11[b] * y
+        x, y = x / (x + y), y / (x + y)
+    forward = np.empty((width, 2, blocks))
+    x, y = ahead
     for t in range(width):
-        x = (x[:, :, None] * m[:, t]).sum(1)
-        x /= x.sum(1, keepdims=True)
-        forward[:, t] = x
-    out = np.empty((blocks, width))
-    x = behind
+        x, y = x * m00[t] + y * m10[t], x * m01[t] + y * m11[t]
+        scale = 1 / (x + y)
+        x, y = x * scale, y * scale
+        forward[t, 0], forward[t, 1] = x, y
+    out = np.empty((width, blocks))
+    x, y = behind
     for t in range(width - 1, -1, -1):
-        both = forward[:, t] * x
-        out[:, t] = both[:, 1] / both.sum(1)
-        x = (m[:, t] * x[:, None, :]).sum(2)
-        x /= x.sum(1, keepdims=True)
-    return out.ravel()[:n]
+        toxic = forward[t, 1] * y
+        out[t] = toxic / (forward[t, 0] * x + toxic)
+        x, y = m00[t] * x + m01[t] * y, m10[t] * x + m11[t] * y
+        scale = 1 / (x + y)
+        x, y = x * scale, y * scale
+    return out.T.ravel()[:n]
 
 
 def _document_features(top: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -264,9 +281,8 @@ def _tag(model, spans: bool):
             counts = np.array([len(w) for w in words], np.int64)
             if len(cache) > 300_000:
                 cache.clear()
-            for w in set().union(*words):
-                if w not in cache:
-                    cache[w] = crf.emission(w)
+            new = [w for w in set().union(*words) if w not in cache]
+            cache.update(zip(new, crf.emissions(new).tolist()))
             e = np.fromiter((cache[w] for own in words for w in own), np.float64, int(counts.sum()))
             begins = np.cumsum(counts) - counts
             some = counts > 0
