@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from moodlake.session import scratch_dir, ship_package
 
 #: Text bytes that a kernel works on at once inside a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def prepare(spark: SparkSession) -> None:
     not fill a worker's memory), and this package in the workers."""
     ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
