@@ -141,7 +141,8 @@ def build_tokenizer(m: Model):
     t.normalizer = normalizers.Sequence(steps)
     if not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED)):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*"), "isolated")
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(),
+    # markers are replaced in the joined text, not piece by piece
+    t.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(MARK, " "),
                                    *([decoders.Strip(" ", 1, 0)] if m.dummy_prefix else [])])
     own = [AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED]
     if own:
