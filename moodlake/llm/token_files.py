@@ -64,15 +64,22 @@ def re_pair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
             break
         some = np.sort(some[np.argsort(-count[some], kind="stable")][:room])
         chosen = ordered[first[some]]
-        slot = np.searchsorted(chosen, key)
-        hit = inner & (chosen[np.minimum(slot, len(chosen) - 1)] == key)
+        # most places fail by one of their symbols already; only the others are looked up
+        begins, ends = np.zeros(SYMBOLS, bool), np.zeros(SYMBOLS, bool)
+        begins[chosen >> np.uint32(16)], ends[chosen & np.uint32(0xFFFF)] = True, True
+        at = np.flatnonzero(inner & begins[seq[:-1]] & ends[seq[1:]])
+        slot = np.searchsorted(chosen, key[at])
+        hit = chosen[np.minimum(slot, len(chosen) - 1)] == key[at]
+        at, slot = at[hit], slot[hit]
         # neighbouring hits overlap: every other one of a run is replaced
-        at = np.flatnonzero(hit)
         fresh = np.r_[True, at[1:] != at[:-1] + 1]
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        seq[at] = base + len(rules) + slot[at]
-        seq = np.delete(seq, at + 1)
+        odd = (np.arange(len(at)) - run) % 2 == 1
+        at, slot = at[~odd], slot[~odd]
+        seq[at] = base + len(rules) + slot
+        kept = np.ones(len(seq), bool)
+        kept[at + 1] = False
+        seq = seq[kept]
         rules = np.concatenate((rules, np.stack((chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)), axis=1).astype(np.uint16)))
     return rules, seq.astype(np.uint16)
 
