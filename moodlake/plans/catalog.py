@@ -428,6 +428,13 @@ def q_similar_batch_torn(spark, sf_dir):
     return SIM.similar_posts_batch(p.where(F.col("id") < 40), p.where(F.col("id") < 40), k=39)
 
 
+@register("similar_posts_batch_torn_all")
+def q_similar_batch_torn_all(spark, sf_dir):
+    """The same over all rows, as queries and as candidates."""
+    p = O.torn_vectors(O.load(spark, sf_dir, "embeddings"))
+    return SIM.similar_posts_batch(p, p, k=BATCH_K)
+
+
 @register("mean_pool")
 def q_mean_pool(spark, sf_dir):
     return SIM.mean_pool_long(_vec_posts(spark, sf_dir), "label")

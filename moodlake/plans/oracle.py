@@ -305,6 +305,14 @@ SQL.update({
       pairs AS (SELECT q.id AS qid, c.id, CASE WHEN len(q.e) = len(c.e) THEN {L2.format(a='c.e', b='q.e')} END AS distance
                 FROM v q JOIN v c ON q.id <> c.id WHERE q.e IS NOT NULL)
       SELECT qid, id, round(distance, 9) AS distance, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, id) AS rank FROM pairs""",
+    "similar_posts_batch_torn_all": f"""WITH v AS (
+        SELECT vec_id AS id, CASE WHEN vec_id % 13 = 12 THEN NULL WHEN vec_id % 9 = 8 THEN embedding[1:len(embedding) - 1]
+                                  ELSE embedding END AS e FROM embeddings),
+      pairs AS (SELECT q.id AS qid, c.id, CASE WHEN len(q.e) = len(c.e) THEN {L2.format(a='c.e', b='q.e')} END AS distance
+                FROM v q JOIN v c ON q.id <> c.id WHERE q.e IS NOT NULL)
+      SELECT qid, id, round(distance, 9) AS distance, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, id) AS rank FROM pairs)
+      WHERE rank <= {BATCH_K}""",
     "score_posts": SCORED,
     "score_posts_batch_1": SCORED,
     "embed_posts": f"""WITH {_hashed(EMBED_DIM)} SELECT doc_id AS id, CAST(d AS INT) AS dim, round(coalesce(value, 0), 9) AS value
