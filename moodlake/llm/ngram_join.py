@@ -194,7 +194,8 @@ def _verify(size: int, threshold: float):
             has = np.zeros((len(some), n), np.float32)
             has[rows, text[first[some][rows] + at]] = 1
             common += (has * weight[lo:lo + 2048, None].astype(np.float32)).T @ has
-        near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-4
+        # exact ties count: float32 holds the counts, but not their products with the threshold
+        near = common.astype(np.float64) * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-4
         near &= common > 0
         np.fill_diagonal(near, False)
         if cross:

@@ -93,3 +93,13 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 130)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_long_pair_at_exactly_the_threshold(spark):
+    """1,152 shared runs of 1,440: a product in float32 falls short of the threshold."""
+    rng = random.Random(13)
+    same, one, other = words(rng, 1156), words(rng, 144), words(rng, 144)
+    texts = [same + " " + one, same + " " + other]
+    a, b = map(grams, texts)
+    assert (len(a & b), len(a | b)) == (1152, 1440)
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
