@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodlake.llm import (ball_tree, decision_list, ngram_join, packing, quality_bayes, sentencepiece_codec, suffix_dedup,
-                          token_files, toxicity, url_cascade)
+                          token_files, toxicity, url_cascade, whitening)
 from moodlake.llm.common import table
 from moodlake.session import scratch_dir
 
@@ -153,3 +153,11 @@ SELECT page_id, host, path, rule, CASE
     WHEN list_has_any(string_split(host, '.'), ['casino-win', 'cheap-pills', 'spam-farm']) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled"""
+
+
+@register
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight components of largest variance, scaled to unit variance."""
+    embeddings = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings)
+    return whitening.long_form(whitening.transform(embeddings, model, keep=["vec_id"]), model)
