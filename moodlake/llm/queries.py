@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moodlake.llm import (ball_tree, decision_list, ngram_join, packing, quality_bayes, sentencepiece_codec, suffix_dedup,
-                          token_files, toxicity, url_cascade, whitening)
+from moodlake.llm import (ball_tree, conversation_repair, decision_list, ngram_join, packing, quality_bayes, sentencepiece_codec,
+                          suffix_dedup, token_files, toxicity, url_cascade, whitening, window_sketch)
 from moodlake.llm.common import table
 from moodlake.session import scratch_dir
 
@@ -155,9 +155,41 @@ SELECT page_id, host, path, rule, CASE
 FROM ruled"""
 
 
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired digest of every conversation, damaged beforehand."""
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversations, conversation_repair.damage(conversations))
+
+
 @register
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the eight components of largest variance, scaled to unit variance."""
     embeddings = table(spark, sf_dir, "embeddings")
     model = whitening.fit(embeddings)
     return whitening.long_form(whitening.transform(embeddings, model, keep=["vec_id"]), model)
+
+
+@register
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document covered by windows of 35 words that start elsewhere too."""
+    return (window_sketch.remove_windows(table(spark, sf_dir, "documents"), keep=["doc_id"])
+            .select("doc_id", "n_words", "n_removed", "kept_sha256"))
+
+
+SQL["op13_substring_dedup"] = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS (
+  SELECT r, i, sha256(array_to_string(ws[i:i + 34], ' ')) AS k
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1
+), gone AS (
+  SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM twice) GROUP BY r
+), kept AS (
+  SELECT doc_id, len(ws) AS n, coalesce(len(js), 0) AS removed,
+         array_to_string(list_filter(ws, lambda x, j: js IS NULL OR NOT list_contains(js, j)), ' ') AS t
+  FROM w LEFT JOIN gone ON gone.r = w.r
+)
+SELECT doc_id, n AS n_words, removed AS n_removed, sha256(t) AS kept_sha256 FROM kept"""
