@@ -47,6 +47,8 @@ ANCHOR = 64
 HOT_STRINGS = 4096
 #: Symbols of one collection (whole anchors; at least one).
 COLLECTION_BYTES = 600_000
+#: Bytes of a text that are scanned for anchors at once.
+PIECE_BYTES = 16 << 20
 #: Ranges of window offsets that a string is cut into before the construction.
 SETTLE_RANGES = 4
 
@@ -69,6 +71,19 @@ def _digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _anchors(data: np.ndarray, ends: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
+    """``anchor_runs`` of texts; a text longer than ``PIECE_BYTES`` goes in pieces that overlap by ``length - 1`` bytes, so
+    each window lies in one of them (an anchor depends on its window alone)."""
+    if len(data) <= PIECE_BYTES or len(ends) > 1:
+        return anchor_runs(data, ends, length, k)
+    found = []
+    for lo in range(0, len(data), PIECE_BYTES):
+        piece = data[lo:lo + PIECE_BYTES + length - 1]
+        doc, h, start, n = anchor_runs(piece, np.array([len(piece)]), length, k)
+        found.append((doc, h, start + lo, n))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
 def _runs(length: int, k: int):
     """Texts -> one row per text and anchor with its runs of windows (a text that repeats itself holds an anchor
     many times, and is one row of it all the same)."""
@@ -79,7 +94,7 @@ def _runs(length: int, k: int):
             for lo, hi in byte_chunks(ends):
                 begin = ends[lo - 1] if lo else 0
                 own = ends[lo:hi] - begin
-                doc, h, start, n = anchor_runs(data[begin:ends[hi - 1]], own, length, k)
+                doc, h, start, n = _anchors(data[begin:ends[hi - 1]], own, length, k)
                 begins = np.concatenate(([0], own[:-1]))
                 order = np.lexsort((start, h, doc))
                 doc, h, start, n = doc[order], h[order], (start - begins[doc])[order], n[order]
@@ -279,9 +294,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
     overlap or touch."""
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
-    runs = texts.mapInArrow(_runs(length, k), _ddl(_RUNS))
+    runs = materialized(texts.mapInArrow(_runs(length, k), _ddl(_RUNS)), "anchors")
     # unique keys as a table of their own: the joins then shuffle both sides, and a hot key's rows can be split
-    twice = materialized(texts.mapInArrow(_runs(length, k), _ddl(_RUNS)).groupBy("h").agg(F.sum(F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0))).alias("seen"))
+    twice = materialized(runs.groupBy("h").agg(F.sum(F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0))).alias("seen"))
                          .filter("seen > 1").select("h"), "twice")
     by_text = (runs.join(twice, "h").groupBy("c1", "c2")
                .agg(F.collect_list(F.struct("h", "start", "n", "more")).alias("runs")))

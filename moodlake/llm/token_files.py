@@ -31,8 +31,8 @@ END_ID = 0
 SHARD_TOKENS = 1_000_000
 #: Symbols are 16-bit; nonterminals take what the vocabulary leaves.
 SYMBOLS = 1 << 16
-MIN_COUNT = 16
-ROUNDS = 6
+#: A rule takes the room of four symbols (two, and its expansion length); a pair seen more often pays for it.
+MIN_COUNT = 5
 _MAGIC = b"RPG1"
 _tokenizers: dict = {}
 
@@ -48,11 +48,12 @@ def tokenizer(path: str):
 
 def re_pair(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, sequence): symbol base + i stands for the pair rules[i]. Each round takes the pairs that are at least
-    an eighth as frequent as the most frequent one, and replaces them from left to right."""
+    an eighth as frequent as the most frequent one, and replaces them from left to right, until no pair pays for a rule
+    or no symbol is left."""
+    if base > SYMBOLS or ids.max(initial=0) >= base:
+        raise ValueError(f"ids must be under the first nonterminal ({base}), and that at most {SYMBOLS}")
     seq, rules = ids.astype(np.uint32), np.zeros((0, 2), np.uint16)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
         inner = (seq[:-1] != END_ID) & (seq[1:] != END_ID)
         ordered = np.sort(key[inner])
@@ -198,7 +199,10 @@ def _encode(path: str):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str) -> None:
     """Writes the ids of every whole text (null: empty), each followed by id 0, in ascending doc_id order (nulls first, equal
-    ids by text) as the shards of a Parquet table at ``path``. The vocabulary must leave symbols under 65,536 free."""
+    ids by text) as the shards of a Parquet table at ``path``. A vocabulary of over 65,536 ids is an error. An empty table
+    gives an empty one; repeated rows are documents of their own, and range bounds only split rows that differ in id or text."""
+    if tokenizer(tokenizer_file).get_vocab_size() > SYMBOLS:
+        raise ValueError(f"the vocabulary of {tokenizer_file} does not fit symbols of 16 bits")
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))

@@ -63,7 +63,7 @@ def check(spark, docs, length, k):
 
 
 def test_odd_rows(spark, odd_docs):
-    check(spark, odd_docs.filter("length(coalesce(text, '')) < 50000"), 200, 64)
+    check(spark, odd_docs, 200, 64)
 
 
 @pytest.mark.parametrize("hot", [1, 4096])
@@ -78,6 +78,32 @@ def test_random_texts_with_hot_anchors(spark, monkeypatch, hot):
     check(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 24, 8)
 
 
+def test_anchors_of_a_text_of_any_length():
+    """70 MB go in pieces: every window lies in one run, and equal windows have equal anchors, at piece edges too."""
+    rng = np.random.default_rng(5)
+    size, piece = 70_000_000, suffix_dedup.PIECE_BYTES
+    data = rng.integers(97, 123, size).astype(np.uint8)
+    passage = rng.integers(97, 123, 1500).astype(np.uint8)
+    places = (1000, piece - 700, 3 * piece - 100)
+    for at in places:
+        data[at:at + 1500] = passage
+    _, h, start, n = suffix_dedup._anchors(data, np.array([size]), 200, 64)
+    order = np.argsort(start)
+    h, start, n = h[order], start[order], n[order]
+    assert start[0] == 0 and (start[:-1] + n[:-1] == start[1:]).all() and start[-1] + n[-1] == size - 199
+    own = [h[np.searchsorted(start, np.arange(at, at + 1301), side="right") - 1].tolist() for at in places]
+    assert own[0] == own[1] == own[2]
+
+
+@pytest.mark.parametrize("piece", [64, 300])
+def test_pieces_equal_whole_texts(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(0, 900))) for _ in range(12)]
+    texts += [texts[0][:400] + texts[1], texts[2] * 2]
+    check(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 24, 8)
+
+
 def test_empty_table(no_docs):
     out = suffix_dedup.remove_repeats(no_docs)
     assert out.count() == 0 and {"n_removed", "kept", "kept_sha256", "c1"} <= set(out.columns)

@@ -34,6 +34,21 @@ def test_few_symbols_left_for_rules():
     assert len(rules) == 1 and np.array_equal(token_files.expand(seq, rules, token_files.SYMBOLS - 1), ids)
 
 
+@pytest.mark.parametrize("copies", [10, 200])
+def test_repeated_passages_become_rules(copies):
+    """Pairs are replaced until none pays for a rule: copies of 1,000 ids end as few symbols each."""
+    ids = np.append(np.tile(np.random.default_rng(4).integers(1, 50_000, 1000), copies), 0)
+    rules, seq = token_files.re_pair(ids, 50_257)
+    assert len(seq) <= 4 * copies + 8 and token_files.expansion_lengths(rules, 50_257).max() >= 250
+    assert np.array_equal(token_files.expand(seq, rules, 50_257), ids)
+
+
+def test_ids_that_do_not_fit():
+    for ids, base in (([1, 2], 70_000), ([1, 300], 300)):
+        with pytest.raises(ValueError):
+            token_files.re_pair(np.array(ids), base)
+
+
 @pytest.mark.parametrize("shard", [500, 1_000_000])
 def test_files_equal_the_library(spark, odd_docs, monkeypatch, shard):
     monkeypatch.setattr(token_files, "SHARD_TOKENS", shard)
