@@ -129,16 +129,20 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_cascade.filter_urls(pages, url_cascade.listed_hosts(pages)).drop("url")
+    pages = table(spark, sf_dir, "pages")
+    return url_cascade.filter_urls(pages.select("page_id", "url"), url_cascade.listed_hosts(pages)).drop("url")
 
 
 SQL["op10_url_filters"] = r"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+         coalesce(length(html), 0) AS size
   FROM pages
+), listed AS (
+  SELECT host FROM parts GROUP BY host
+  HAVING list_has_any(string_split(host, '.'), ['casino-win', 'cheap-pills', 'spam-farm']) OR avg(size) < 3000
 ), ruled AS (
   SELECT *, CASE
     WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
@@ -150,7 +154,7 @@ WITH parts AS (
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
     WHEN rule IS NOT NULL THEN 'allow'
-    WHEN list_has_any(string_split(host, '.'), ['casino-win', 'cheap-pills', 'spam-farm']) THEN 'block'
+    WHEN host IN (SELECT host FROM listed) THEN 'block'
     ELSE 'allow' END AS verdict
 FROM ruled"""
 

@@ -6,8 +6,9 @@ key universe is complete, the first level that a key fails tells exactly whether
 judged by looking up bits, without a join. Only DataFrame functions run here, no Python.
 
 A filter is an array of 64-bit words that reaches the tasks as a scalar subquery. Its size follows from the listed
-keys (about ten bits each) and is checked before it is built; a list too long for ``MAX_FILTER_BYTES`` is looked up
-by a semi-join on the keys instead, with the same result.
+keys (at most 29 bits each). A list too long for filters of ``MAX_FILTER_BYTES`` is split by a hash of the key into
+partitions with a cascade each: pages are written once in folders by that hash, and each folder is judged by its own
+cascade, so a task holds the filters of one partition, and a host that very many pages have is still read by many tasks.
 """
 
 from __future__ import annotations
@@ -18,14 +19,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moodlake.llm.common import materialized, prepare
+from moodlake.session import scratch_dir
 
 #: Bytes of one filter that may be sent to every task.
 MAX_FILTER_BYTES = 32 << 20
 
 # FIXED VALUES: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Host labels of the block list.
+#: Host labels of the block list, and characters of html under which a host's pages are thin on average.
 LISTED_LABELS = ["casino-win", "cheap-pills", "spam-farm"]
+THIN_HTML = 3000
+#: Fewest false positives that a level aims at, and the bits that a key then takes.
+_LEAST_RATE = 1e-6
+_KEY_BITS = -math.log(_LEAST_RATE) / math.log(2) ** 2
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -80,9 +86,9 @@ class Level:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level] | None:
+def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level]:
     """Levels that tell the listed keys exactly among the universe's (column ``key`` in both; nulls and repeats
-    are dropped). None when a filter would be larger than ``MAX_FILTER_BYTES``; no level when nothing is listed."""
+    are dropped). No level when nothing is listed."""
     marks = listed.filter("key IS NOT NULL").select("key").distinct().withColumn("listed", F.lit(True))
     left = materialized(universe.filter("key IS NOT NULL").select("key").distinct().join(marks, "key", "left")
                         .select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
@@ -94,9 +100,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame) -> list[Level] | None:
         if not own:
             return levels
         # level 0 lets through about as many other keys as are listed, later levels half of them
-        rate = min(0.5, max(own / max(others, 1) * math.sqrt(0.5), 1e-6)) if not levels else 0.5
-        if own * -math.log(rate) / math.log(2) ** 2 / 8 > MAX_FILTER_BYTES:
-            return None
+        rate = min(0.5, max(own / max(others, 1) * math.sqrt(0.5), _LEAST_RATE)) if not levels else 0.5
         level = Level(left.filter(F.col("listed") == inside), len(levels), own, rate)
         levels.append(level)
         left = materialized(left.filter((F.col("listed") == inside) | level.passes(F.col("key"))), "keys")
@@ -113,28 +117,49 @@ def is_listed(key: Column, levels: list[Level]) -> Column:
     return F.lit(False) if out is None else out.otherwise(F.lit(len(levels) % 2 == 1))
 
 
+def partitions(listed: DataFrame) -> int:
+    """Into how many partitions a list goes, for filters of at most ``MAX_FILTER_BYTES`` (with room for uneven ones)."""
+    n = listed.filter("key IS NOT NULL").agg(F.count_distinct("key")).first()[0]
+    return max(1, math.ceil(1.2 * n * _KEY_BITS / 8 / MAX_FILTER_BYTES))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """``pages`` with host, path, rule and verdict: the longest fitting rule's, else block for a host in ``listed``
-    (column ``key``) and allow for others. All rows and columns stay; columns of the new names are replaced."""
-    prepare(pages.sparkSession)
+    (column ``key``) and allow for others. All rows and columns stay; columns of the new names are replaced. A null url,
+    or one without ``://``, has an empty host and path; repeated rows stay, and an empty table gives no rows."""
+    spark = pages.sparkSession
+    prepare(spark)
     new = ["host", "path", "rule", "verdict"]
+    kept = [c for c in pages.columns if c not in new]
     host, path = url_parts(F.col("url"))
+    rows = pages.select(F.struct(*kept).alias("row"), host.alias("host"), path.alias("path"))
     rule, said = apply_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    parts = pages.drop(*new).withColumn("host", host).withColumn("path", path)
-    ruled = parts.withColumn("rule", rule)
-    levels = build_cascade(pages.select(host.alias("key")), listed)
-    if levels is None:
-        marks = listed.filter("key IS NOT NULL").select(F.col("key").alias("_key")).distinct()
-        ruled = ruled.join(marks, F.col("host") == F.col("_key"), "left")
-        blocked, extra = F.col("_key").isNotNull(), ["_key"]
-    else:
-        blocked, extra = is_listed(F.col("host"), levels), []
-    method = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
-    return ruled.withColumn("verdict", F.coalesce(said, method)).drop(*extra)
-
-
-def listed_hosts(pages: DataFrame, labels: list[str] = LISTED_LABELS) -> DataFrame:
-    """The block list: hosts of the pages that have one of the labels (column ``key``)."""
+
+    def judged(own: DataFrame, levels: list[Level]) -> DataFrame:
+        method = F.when(is_listed(F.col("host"), levels), F.lit("block")).otherwise(F.lit("allow"))
+        return own.select("row.*", "host", "path", rule.alias("rule"), F.coalesce(said, method).alias("verdict"))
+
+    n = partitions(listed)
+    if n == 1:
+        return judged(rows, build_cascade(rows.select(F.col("host").alias("key")), listed))
+    part = lambda key: F.pmod(F.xxhash64(F.lit(-1), key), F.lit(n)).cast("int")
+    folder = scratch_dir(spark, "pages-by-host")
+    rows.withColumn("part", part(F.col("host"))).write.partitionBy("part").parquet(folder)
+    staged = spark.read.schema(rows.withColumn("part", F.lit(0)).schema).parquet(folder)
+    marks = materialized(listed.filter("key IS NOT NULL").select("key", part(F.col("key")).alias("part")), "listed")
+    out = None
+    for i in range(n):
+        own = staged.filter(F.col("part") == i).drop("part")
+        done = judged(own, build_cascade(own.select(F.col("host").alias("key")), marks.filter(F.col("part") == i)))
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def listed_hosts(pages: DataFrame, labels: list[str] = LISTED_LABELS, thin: int = THIN_HTML) -> DataFrame:
+    """The block list (column ``key``): hosts that have one of the labels, and hosts whose pages hold fewer than ``thin``
+    characters of html on average (a null html counts as empty)."""
     host, _ = url_parts(F.col("url"))
-    return (pages.select(host.alias("key")).filter(F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, labels))))
-            .distinct())
+    sites = (pages.select(host.alias("key"), F.coalesce(F.length("html"), F.lit(0)).alias("size"))
+             .groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    spam = F.arrays_overlap(F.split("key", r"\."), F.array(*map(F.lit, labels)))
+    return sites.filter(spam | (F.col("size") < thin * F.col("n"))).select("key")
