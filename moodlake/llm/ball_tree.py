@@ -10,7 +10,9 @@ shard, so neither the queries nor the index ever sit whole in one place.
 
 from __future__ import annotations
 
+import decimal
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,9 +68,16 @@ class Tree:
     """A shard's points in tree order, with its nodes as plain lists for the walk."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, centre, radius, begin, end, left, right):
-        self.ids, self.points, self.centre, self.radius = ids, points, centre, radius
+        self.ids, self.points, self.centre, self.radius = ids, points.astype(np.float64), centre, radius
+        self.exact, self.most = points, float(np.abs(self.points).max(initial=0))
         self.begin, self.end, self.left, self.right = begin.tolist(), end.tolist(), left.tolist(), right.tolist()
 
+    def scores(self, q: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Inner products as exact integers: in float64 while nothing can leave 53 bits, else as Python integers."""
+        if self.most * float(np.abs(q.astype(np.float64)).sum()) < 2.0 ** 53:
+            return (self.points[lo:hi] @ q.astype(np.float64)).astype(np.int64)
+        return self.exact[lo:hi].astype(object) @ q.astype(object)
+
     def search(self, q: np.ndarray, bounds: list[float], own_id: int, k: int, floor: float) -> list[tuple[int, int]]:
         """The k best (score, id) of at least ``floor``, ties to the smaller id, without ``own_id``."""
         best: list[tuple[int, int]] = []            # a heap of (score, -id)
@@ -83,7 +92,7 @@ class Tree:
                     heapq.heappush(heap, (max(-bounds[child], bound), child))
                 continue
             lo, hi = self.begin[node], self.end[node]
-            scores = self.points[lo:hi] @ q
+            scores = self.scores(q, lo, hi)
             some = np.flatnonzero(scores >= least)
             for s, i in zip(scores[some].tolist(), self.ids[lo:hi][some].tolist()):
                 if i == own_id:
@@ -103,10 +112,10 @@ _INDEX_DDL = "shard int, width int, " + ", ".join(f"`{k}` binary" for k in list(
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors sorted by shard and width -> one row per shard and width with its tree."""
     def one(key: tuple, ids: list, rows: list) -> pa.RecordBatch:
-        points = np.array(rows, np.float64).reshape(len(rows), key[1])
-        tree = build_tree(points)
+        points = np.array(rows, np.int64).reshape(len(rows), key[1])
+        tree = build_tree(points.astype(np.float64))
         order = tree.pop("order")
-        blobs = {"ids": np.array(ids, np.int64)[order], "points": points[order].astype(np.int64)} | tree
+        blobs = {"ids": np.array(ids, np.int64)[order], "points": points[order]} | tree
         return as_batch({"shard": [key[0]], "width": [key[1]]} | {k: [v.tobytes()] for k, v in blobs.items()}, _INDEX)
 
     key, ids, rows = None, [], []
@@ -124,7 +133,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _search(k: int):
     """Index rows joined with query blocks -> the best candidates of each query in the shard."""
-    types = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+    types = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.decimal128(38)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tree = None, None
@@ -137,17 +146,19 @@ def _search(k: int):
                             (("ids", np.int64), ("points", np.int64), ("centre", np.float64), ("radius", np.float64),
                              ("begin", np.int32), ("end", np.int32), ("left", np.int32), ("right", np.int32))}
                     n, width = len(blob["ids"]), key[1]
-                    blob["points"] = blob["points"].reshape(n, width).astype(np.float64)
+                    blob["points"] = blob["points"].reshape(n, width)
                     blob["centre"] = blob["centre"].reshape(len(blob["radius"]), width)
                     held, tree = key, Tree(**blob)
                 out = []
                 for q in row["queries"].as_py():
-                    v = np.array(q["vector"], np.float64)
-                    norm = float(np.sqrt(v @ v))
-                    upper = tree.centre @ v + norm * tree.radius
-                    upper += 1e-9 * (np.abs(upper) + 1)         # rounding never hides a candidate
-                    floor = -np.inf if q["floor"] is None else float(q["floor"])
-                    out += [(q["query_id"], i, s) for s, i in tree.search(v, upper.tolist(), q["query_id"], k, floor)]
+                    v = np.array(q["vector"], np.int64)
+                    x = v.astype(np.float64)
+                    norm = float(np.sqrt(x @ x))
+                    upper = tree.centre @ x + norm * tree.radius
+                    upper += 1e-9 * (norm * tree.most * len(x) + 1)     # rounding never hides a candidate
+                    floor = -math.inf if q["floor"] is None else int(q["floor"])
+                    out += [(q["query_id"], i, decimal.Decimal(s)) for s, i in
+                            tree.search(v, upper.tolist(), q["query_id"], k, floor)]
                 if out:
                     yield as_batch(dict(zip(types, map(list, zip(*out)))), types)
     return run
@@ -158,15 +169,18 @@ def _integers(embedding: Column) -> Column:
 
 
 def _usable(embedding: Column) -> Column:
-    bound = F.lit(float("inf"))
+    """Components that are set, finite and, when scaled, under 2**62 (so they are longs, and scores fit 38 digits)."""
+    bound = F.lit(2.0 ** 62 / SCALE)
     return embedding.isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < bound))
 
 
 def top_k(embeddings: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for every row that ``queries`` selects, the k largest inner products with all
-    rows of another vec_id, of vectors scaled to integers by floor(1024 x); ties go to the smaller vec_id.
+    rows of another vec_id, of vectors scaled to integers by floor(1024 x); ties go to the smaller vec_id. Scores are
+    exact at any size and ranked so; one beyond a long (2**63 - 1) is returned as null.
 
-    Rows with a null vec_id or vector, or a null or non-finite component, take no part; only vectors of one length
+    Rows with a null vec_id or vector, or a null or non-finite component (or one of 2**62 and more when scaled), take no
+    part; only vectors of one length
     are compared. Fewer than k candidates give as many rows; a repeated vec_id is a candidate each time, and a
     repeated query row is answered once."""
     spark = embeddings.sparkSession
@@ -182,7 +196,7 @@ def top_k(embeddings: DataFrame, queries: Column, k: int = 10) -> DataFrame:
                          .sortWithinPartitions("shard", "width").mapInArrow(_index, _INDEX_DDL), "index")
 
     asked = vectors.filter("asked").dropDuplicates(["vec_id", "width"]).withColumnRenamed("vec_id", "query_id").drop("asked")
-    found = _matched(index, asked.withColumn("floor", F.lit(None).cast("long")), k)
+    found = _matched(index, asked.withColumn("floor", F.lit(None).cast("decimal(38,0)")), k)
     found = materialized(found, "home")
     if shards > 1:
         kth = (found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
@@ -192,7 +206,7 @@ def top_k(embeddings: DataFrame, queries: Column, k: int = 10) -> DataFrame:
         found = found.unionByName(_matched(index, away, k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").try_cast("long").alias("score")))
 
 
 def _matched(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -202,4 +216,4 @@ def _matched(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
               .withColumn("block", F.pmod(F.xxhash64("query_id"), F.ceil(F.col("n") / F.lit(float(QUERY_BLOCK)))))
               .groupBy("shard", "width", "block")
               .agg(F.collect_list(F.struct("query_id", "vector", "floor")).alias("queries")))
-    return index.join(blocks, ["shard", "width"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    return index.join(blocks, ["shard", "width"]).mapInArrow(_search(k), "query_id long, vec_id long, score decimal(38,0)")

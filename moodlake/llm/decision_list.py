@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodlake.llm.common import as_batch, byte_chunks, prepare, text_buffer, with_text_columns
+from moodlake.llm.common import as_batch, byte_chunks, labelled, prepare, text_buffer, with_text_columns
 from moodlake.llm.words import SPACE, mix, per_text, words_of
 
 # FIXED VALUES of the base rule
@@ -197,10 +197,7 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000) -> list[Rule]:
     """Learns from at most ``max_docs`` labelled rows (quality 0 or 1), chosen by a hash of their id. No rows
     or no bad ones: no rules."""
-    sample = F.broadcast(                               # at most max_docs rows of 12 bytes
-        labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    known = with_statistics(docs.select("doc_id", "text").join(sample, "doc_id"), ["doc_id", "quality"])
+    known = with_statistics(labelled(docs, labels, "quality", max_docs), ["doc_id", "quality"])
     rows = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality",
                         *[m.alias(k) for k, m in measures().items()]).toPandas().sort_values(["h", "doc_id"])
     return learn_rules({k: rows[k].to_numpy(np.float64) for k in measures()}, rows["quality"].to_numpy() == 0)

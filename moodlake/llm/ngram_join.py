@@ -221,14 +221,14 @@ def _verify(size: int, threshold: float):
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD,
                     recall: float = RECALL) -> DataFrame:
-    """``docs`` with class_id, n_links and class_size.
+    """``docs`` with class_id, n_links, class_size and class_key.
 
     Two documents are linked when the Jaccard similarity of their sets of ``size``-word runs is at
     least ``threshold`` (words: runs of characters other than ASCII spaces; a text of fewer words has
     one run of them all). n_links: the other documents linked to this one, copies included. class_id:
     the smallest doc_id that links lead to; class_size: its documents. Texts without words and null
     texts link to nothing and are classes of their own (rows that share a doc_id share such a class;
-    null ids stay null). All rows and columns stay; columns of the new names are replaced."""
+    null ids stay null). class_key: a key that all rows of a class share, ids or not; null for texts without words. All rows and columns stay; columns of the new names are replaced."""
     spark = docs.sparkSession
     prepare(spark)
     parts = shuffle_partitions(spark)
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     links = verified.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(verified.filter("a <> b").select("a", "b"))
 
-    new = ["class_id", "n_links", "class_size"]
+    new = ["class_id", "n_links", "class_size", "class_key"]
     # a text without words ties no rows but those of one id
     wordless = F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
     left = docs.drop(*new).select(F.struct("*").alias("row"), F.col("doc_id").alias("d"),
@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     classes = materialized(known.groupBy("root").agg(F.min("d").alias("class_id"), F.sum("copies").alias("class_size")),
                            "classes")
     found = known.join(classes, "root").select(
-        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size")
+        "node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "class_size",
+        F.col("root").alias("class_key"))
     alone = left.filter("node IS NULL").select("row.*", F.col("d").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-                                               F.lit(1).cast("long").alias("class_size"))
+                                               F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("class_key"))
     return some.join(found, "node").select("row.*", *new).unionByName(alone)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodlake.llm.common import (as_batch, byte_chunks, materialized, prepare, text_buffer, with_text_columns)
+from moodlake.llm.common import (as_batch, byte_chunks, labelled, materialized, prepare, text_buffer, with_text_columns)
 from moodlake.llm.words import SPACE, per_text, words_of
 
 #: Sites that are sent to every task; more are joined by shuffling.
@@ -100,10 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, ridge: flo
     """Fits the classifier on labelled rows (quality 0 or 1), chosen by a hash of their id. Without
     rows of both labels every text gets the share of good ones (0.5 without labels)."""
     prepare(docs.sparkSession)
-    sample = F.broadcast(                               # at most max_docs rows of 12 bytes
-        labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    known = docs.select("doc_id", "text").join(sample, "doc_id")
+    known = labelled(docs, labels, "quality", max_docs)
     seen = with_text_columns(known, _features_kernel(None, True), "x array<double>", ["quality"]).toPandas()
     y = seen["quality"].to_numpy(np.float64)
     width = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
@@ -166,15 +163,18 @@ def score(docs: DataFrame, host: Column, path: Column, model: Classifier,
     kernel = _features_kernel(spark.sparkContext.broadcast(model), False)
     new = ["doc_p", "host_p", "path_p", "quality_p", "keep"]
     kept = [c for c in (keep or docs.columns) if c not in new]
-    at = {"_host": host, "_path": path}
-    scored = with_text_columns(docs.withColumns(at), kernel, "p double", [*at])
-    sites = materialized(site_posteriors(scored.withColumnsRenamed({"_host": "host", "_path": "path"})), "sites")
-    sites = sites.select(F.col("host").alias("_h"), F.col("path").alias("_q"), "host_p", "path_p", "shift")
-    rows = with_text_columns(docs.withColumns(at), kernel, "p double", [*kept, *at])
+    rows = docs.select(F.struct(F.lit(True).alias("_"), *[c for c in kept if c != "text"]).alias("row"), "text",
+                       host.alias("host"), path.alias("path"))
+    if "text" in kept:                                  # texts are measured twice rather than stored again
+        scored, rows = (with_text_columns(rows, kernel, "p double", x) for x in (["host", "path"], rows.columns))
+    else:
+        scored = rows = materialized(with_text_columns(rows, kernel, "p double", ["row", "host", "path"]), "quality")
+    sites = materialized(site_posteriors(scored.select("host", "path", "p")), "sites")
+    sites = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_p", "path_p", "shift")
     if sites.count() <= BROADCAST_SITES:
         sites = F.broadcast(sites)                      # at most BROADCAST_SITES rows
-    judged = rows.join(sites, rows["_host"].eqNullSafe(sites["_h"]) & rows["_path"].eqNullSafe(sites["_q"]), "left")
+    judged = rows.join(sites, rows["host"].eqNullSafe(sites["h"]) & rows["path"].eqNullSafe(sites["q"]), "left")
     odds = _logit(F.col("p")) + F.coalesce("shift", F.lit(0.0))
     quality = 1 / (1 + F.exp(-odds))
-    return judged.select(*kept, F.col("p").alias("doc_p"), "host_p", "path_p", quality.alias("quality_p"),
+    return judged.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in kept], F.col("p").alias("doc_p"), "host_p", "path_p", quality.alias("quality_p"),
                          (quality >= THRESHOLD).alias("keep"))

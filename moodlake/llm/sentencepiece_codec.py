@@ -130,7 +130,9 @@ def build_tokenizer(m: Model):
     if m.kind == BPE:
         model = models.BPE(vocab, implied_merges(m), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
     else:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk_id=m.unk_id, byte_fallback=m.byte_fallback)
+        # the lattice holds normal and user-defined pieces only: others get a name with a space, which no normalised text
+        # has. Byte pieces are then no fallback for the library either: ``encode_batch`` puts them in for unknown pieces
+        model = models.Unigram([(p if kind in (NORMAL, USER_DEFINED) else f" {p}", s) for p, s, kind in m.pieces], unk_id=m.unk_id)
     t = Tokenizer(model)
     steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.remove_extra:
@@ -150,13 +152,53 @@ def build_tokenizer(m: Model):
     return t
 
 
-def load(path: str, threads: int = 2):
-    """The tokenizer of a model file, built once per process; its batches use ``threads`` threads."""
+class Codec:
+    """A model's tokenizer with what the library does not do itself."""
+
+    def __init__(self, m: Model):
+        self.model, self.tokenizer = m, build_tokenizer(m)
+        self.kinds = np.array([kind for _, _, kind in m.pieces])
+        self.bytes = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(m.pieces) if kind == BYTE}
+        #: The unknown id where this class falls back to bytes, else none.
+        self.unknown = m.unk_id if m.kind == UNIGRAM and m.byte_fallback else -1
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self._with_bytes(text) if self.unknown in ids else ids for text, ids in zip(texts, found)]
+
+    def _with_bytes(self, text: str) -> list[int]:
+        """Ids with the bytes of what an unknown piece stands for in its place (only the slow call names pieces)."""
+        out = []
+        encoding = self.tokenizer.encode(text, add_special_tokens=False)
+        for i, piece in zip(encoding.ids, encoding.tokens):
+            out += [self.bytes[b] for b in piece.encode()] if i == self.unknown else [i]
+        return out
+
+    def decode_batch(self, ids: list[list[int]]) -> list[str]:
+        """Control pieces have no text."""
+        if self.model.kind == BPE:
+            return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [self._joined(own) for own in ids]
+
+    def _joined(self, ids: list[int]) -> str:
+        parts: list[bytes] = []
+        strip = self.model.dummy_prefix or self.model.remove_extra     # a marker at the very beginning
+        for i in ids:
+            piece, _, kind = self.model.pieces[i]
+            if kind in (NORMAL, USER_DEFINED, UNUSED):
+                parts.append((piece.removeprefix(MARK) if strip and not parts else piece).replace(MARK, " ").encode())
+            elif kind != CONTROL:
+                parts.append(bytes([int(piece[1:-1], 16)]) if kind == BYTE else " \u2047 ".encode())
+        return b"".join(parts).decode("utf-8", "replace")
+
+
+def load(path: str, threads: int = 2) -> Codec:
+    """The codec of a model file, built once per process; its batches use ``threads`` threads."""
     if path not in _codecs:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         with open(path, "rb") as f:
-            _codecs[path] = build_tokenizer(parse_model(f.read()))
+            _codecs[path] = Codec(parse_model(f.read()))
     return _codecs[path]
 
 
@@ -167,13 +209,14 @@ def _encode(path: str, threads: int):
         tok = load(path, threads)
         _, ends = text_buffer(texts)
         for lo, hi in byte_chunks(ends, 1 << 20):
-            done = tok.encode_batch_fast(texts.slice(lo, hi - lo).to_pylist(), add_special_tokens=False)
-            yield as_batch({"ids": [np.array(e.ids, np.int32) for e in done]}, types)
+            done = tok.encode_batch(texts.slice(lo, hi - lo).to_pylist())
+            yield as_batch({"ids": [np.array(x, np.int32) for x in done]}, types)
     return kernel
 
 
 def encode(docs: DataFrame, model_file: str, threads: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``ids``, the piece ids of each whole text (null and empty: none)."""
+    """``docs`` with ``ids``, the piece ids of each whole text (null and empty: none). All rows stay, repeated ones too;
+    an empty table gives an empty one, and a column ``ids`` is replaced."""
     prepare(docs.sparkSession)
     return with_text_columns(docs, _encode(model_file, threads), "ids array<int>", keep)
 
@@ -189,7 +232,7 @@ def decode(rows: DataFrame, model_file: str, threads: int = 2) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = tok.decode_batch([x or [] for x in part.column("ids").to_pylist()], skip_special_tokens=False)
+                texts = tok.decode_batch([x or [] for x in part.column("ids").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("ids"), pa.array(texts, pa.string())],
                                                  names=["row", "ids", "text"])
 
@@ -207,16 +250,13 @@ def round_trip(docs: DataFrame, model_file: str, threads: int = 2, keep: list[st
 
     def kernel(texts: pa.Array) -> Iterator[pa.RecordBatch]:
         tok = load(model_file, threads)
-        with open(model_file, "rb") as f:
-            model = parse_model(f.read())
-        kind = np.array([p[2] for p in model.pieces])
         _, ends = text_buffer(texts)
         for lo, hi in byte_chunks(ends, 1 << 20):
             own = texts.slice(lo, hi - lo).to_pylist()
-            ids = [e.ids for e in tok.encode_batch_fast(own, add_special_tokens=False)]
-            back = tok.decode_batch(ids, skip_special_tokens=False)
+            ids = tok.encode_batch(own)
+            back = tok.decode_batch(ids)
             flat = [np.array(x, "<u4") for x in ids]
-            kinds = [kind[x] if len(x) else kind[:0] for x in flat]
+            kinds = [tok.kinds[x] if len(x) else tok.kinds[:0] for x in flat]
             yield as_batch({"n_tokens": [len(x) for x in ids], "n_unknown": [int((k == UNKNOWN).sum()) for k in kinds],
                             "n_byte_tokens": [int((k == BYTE).sum()) for k in kinds],
                             "ids_crc32": [zlib.crc32(x) for x in flat],
@@ -237,8 +277,8 @@ def parity(docs: DataFrame, model_file: str, keep: list[str] | None = None) -> D
         _, ends = text_buffer(texts)
         for lo, hi in byte_chunks(ends, 1 << 20):
             own = texts.slice(lo, hi - lo).to_pylist()
-            ids, theirs = [e.ids for e in tok.encode_batch_fast(own, add_special_tokens=False)], other.encode(own, num_threads=1)
-            back = tok.decode_batch(ids, skip_special_tokens=False)
+            ids, theirs = tok.encode_batch(own), other.encode(own, num_threads=1)
+            back = tok.decode_batch(ids)
             yield as_batch({"same_ids": [a == b for a, b in zip(ids, theirs)],
                             "same_text": [a == b for a, b in zip(back, other.decode(theirs))]},
                            {"same_ids": pa.bool_(), "same_text": pa.bool_()})

@@ -31,6 +31,18 @@ def test_equals_brute_force(spark, monkeypatch, shard):
     assert got == brute(rows, 7)
 
 
+def test_large_components_are_scored_exactly(spark, monkeypatch):
+    """Products beyond 53 and 64 bits: ranked exactly; a score that is no long is null."""
+    monkeypatch.setattr(ball_tree, "SHARD_VECTORS", 20)
+    rng = np.random.default_rng(3)
+    for size in (2.0 ** 14, 2.0 ** 17, 1e6, 2.0 ** 40):
+        rows = [(i, [float(np.float32(x)) for x in rng.normal(size=64) * size]) for i in range(60)] + [(70, [2.0 ** 60] * 64)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ball_tree.top_k(df, F.col("vec_id") % 10 == 0, 5).collect())
+        assert got == [(q, n, v, s if abs(s) < 2 ** 63 else None) for q, n, v, s in brute(rows[:60], 5)]
+        assert size < 1e6 or any(x[3] is None for x in got)
+
+
 def test_tree_holds_every_point_in_its_balls():
     points = np.random.default_rng(2).normal(size=(1000, 8))
     t = ball_tree.build_tree(points)

@@ -14,15 +14,15 @@ ODD = ["", " ", "   ", "  two  spaces ", " lead", "\ttab\n\nnl", "日本語テ
 def test_parity_on_odd_texts():
     tok, other = codec.load(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
     for text in ODD:
-        ids = tok.encode(text, add_special_tokens=False).ids
+        ids, = tok.encode_batch([text])
         assert ids == other.encode(text), text
-        assert tok.decode(ids, skip_special_tokens=False) == other.decode(ids), text
+        assert tok.decode_batch([ids]) == [other.decode(ids)], text
 
 
 def test_every_piece_of_the_model_in_parity():
     tok, other = codec.load(FILE), sentencepiece.SentencePieceProcessor(model_file=FILE)
     texts = [p.replace(codec.MARK, " ") for p, _, kind in codec.parse_model(open(FILE, "rb").read()).pieces if kind == codec.NORMAL]
-    assert [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)] == other.encode(texts)
+    assert tok.encode_batch(texts) == other.encode(texts)
 
 
 def test_parity_on_documents(spark, odd_docs):
@@ -49,22 +49,29 @@ def _message(*fields):
     return out
 
 
-def unigram_model(dummy_prefix=True, remove_extra=True):
-    pieces = [("<unk>", 0.0, 2)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256)]
+def unigram_model(dummy_prefix=True, remove_extra=True, fallback=True):
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", -20.0, 6) for i in range(256) if fallback]
+    pieces += [("unused", -1.0, 5)]
     pieces += [("▁", -3.0, 1), ("▁ab", -2.0, 1), ("ab", -2.5, 1), ("a", -4.0, 1), ("b", -4.0, 1), ("c", -4.5, 1), ("bc", -3.5, 1),
                ("▁a", -3.0, 1), ("abc", -6.5, 1)]
     body = [(1, _message((1, p.encode()), (2, s), (3, k))) for p, s, k in pieces]
-    body += [(2, _message((3, 1), (35, 1))), (3, _message((3, int(dummy_prefix)), (4, int(remove_extra)), (5, 1)))]
+    body += [(2, _message((3, 1), (35, int(fallback)))), (3, _message((3, int(dummy_prefix)), (4, int(remove_extra)), (5, 1)))]
     return _message(*body)
 
 
+@pytest.mark.parametrize("fallback", [True, False])
 @pytest.mark.parametrize("dummy_prefix", [True, False])
 @pytest.mark.parametrize("remove_extra", [True, False])
-def test_unigram_with_byte_fallback(dummy_prefix, remove_extra):
-    data = unigram_model(dummy_prefix, remove_extra)
-    tok, other = codec.build_tokenizer(codec.parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
-    for text in ["", "ab", "abc abc", " ab  c ", "zé ab", "aabbcc", "cab", "  "]:
-        assert tok.encode(text, add_special_tokens=False).ids == other.encode(text), text
+def test_unigram_in_parity(dummy_prefix, remove_extra, fallback):
+    """Control, byte, unknown and unused pieces are never read from a text."""
+    data = unigram_model(dummy_prefix, remove_extra, fallback)
+    tok, other = codec.Codec(codec.parse_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["", "ab", "abc abc", " ab  c ", "zé ab", "aabbcc", "cab", "  ", "a <s> a", "<s></s>", "<0x41>", "a<unk>b", "unused a", "日本 <s>ab é",
+             "x\u2047 a", "abz zz"]
+    assert tok.encode_batch(texts) == other.encode(texts)
+    ids = tok.encode_batch(texts)
+    assert tok.decode_batch(ids) == other.decode(ids)
+    assert tok.decode_batch([[1, 5, 2]]) == [other.decode([1, 5, 2])]
 
 
 def test_encode_then_decode(spark, odd_docs, no_docs):
