@@ -7,42 +7,56 @@ All stages but the last return the columns of ``documents``. Models learn from t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moodlake.llm import ngram_join, packing, quality_bayes, suffix_dedup, toxicity
 from moodlake.llm.common import materialized, table
 
 
+def _narrow(docs: DataFrame) -> DataFrame:
+    """row (all columns but the text, as a struct), doc_id and text: no column of the documents clashes with a stage's."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), "doc_id", "text")
+
+
+def _wide(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The documents' columns again, those in ``changed`` with a new value."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col("row")[c].alias(c)
+                         for c in columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold."""
     crf = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, crf, spans=False).filter("predicted = 0").select(docs.columns)
+    return _wide(toxicity.score(_narrow(docs), crf, spans=False).filter("predicted = 0"), docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     model = quality_bayes.train(docs, table(spark, sf_dir, "labels"))
-    return quality_bayes.score(docs, F.col("source"), F.col("lang"), model).filter("keep").select(docs.columns)
+    judged = quality_bayes.score(_narrow(docs), F.col("row")["source"], F.col("row")["lang"], model)
+    return _wide(judged.filter("keep"), docs.columns)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each near-duplicate class. A row that repeats with its id and text
-    stays once; rows of a class without any id all stay, as nothing tells them apart."""
-    named = ngram_join.near_duplicates(docs).filter("class_id IS NULL OR doc_id = class_id")
-    known = named.filter("class_id IS NOT NULL").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return known.select(docs.columns).unionByName(named.filter("class_id IS NULL").select(docs.columns))
+    """One document of each near-duplicate class: the smallest doc_id (a null one last), of equal ids the least text.
+    Texts without words are classes of their own; copies collapse in the map tasks before they are shuffled."""
+    named = ngram_join.near_duplicates(_narrow(docs)).select("row", "doc_id", "text", "class_key", "class_size")
+    alone = F.col("class_key").isNull() | (F.col("class_size") == 1)
+    first = F.min_by(F.struct("row", "text"), F.struct(F.col("doc_id").isNull(), "doc_id", "text")).alias("first")
+    several = named.filter(~alone).groupBy("class_key").agg(first).select("first.row", "first.text")
+    return _wide(named.filter(alone).select("row", "text").unionByName(several), docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeated 200-byte strings cover; bytes of a character cut in two go too. Texts
     that hold no repeat stay as they are, nulls included; n_chars is counted anew where a text changed."""
-    left = suffix_dedup.remove_repeats(docs)
+    left = suffix_dedup.remove_repeats(_narrow(docs))
     changed = F.col("n_removed") > 0
-    text = F.when(changed, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text"))
-    return (left.withColumn("text", text)
-            .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-            .select(docs.columns))
+    left = left.withColumn("text", F.when(changed, suffix_dedup.whole_characters(F.col("kept"))).otherwise(F.col("text")))
+    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row")["n_chars"])
+    return _wide(left, docs.columns, n_chars=n_chars)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
+    """The last stage's rows. Stages take nulls in any column, texts that are empty, blank or very long, repeated rows and
+    empty tables as their operators say; further columns of the documents go through unchanged, whatever their names."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialized(stage(spark, docs, sf_dir), f"stage-{name}")
