@@ -8,8 +8,7 @@ overestimated, never under: a window with a counter below two occurs once for ce
 pass of the same form, which sends and counts their exact keys. So a chunk receives bits, a shard holds a bounded range
 of counters or keys, and a window that a third of all documents hold reaches its shard once per chunk.
 
-The sketch grows with the corpus: ``DEPTH`` rows of four to eight counters a window, cut into shards of
-``2**SHARD_BITS`` counters. Window keys of 96 bits stand for word sequences.
+The sketch grows with the corpus: ``DEPTH`` rows of four to eight counters a window, cut into shards. Window keys of 96 bits stand for word sequences.
 """
 
 from __future__ import annotations
@@ -29,10 +28,11 @@ from moodlake.llm.words import SPACE, Words, mix, words_of
 
 #: Words of a window.
 SIZE = 35
-#: Text bytes of a chunk (a longer text is a chunk of its own). With chunks and shards this large, a chunk sends some
-#: thousand counters to each shard up to about a hundred GB of text; both should grow beyond that.
-CHUNK_BYTES = 16 << 20
-SHARD_BITS = 24
+#: Text bytes of a chunk (a longer text is a chunk of its own).
+CHUNK_BYTES = 8 << 20
+#: Counters of a shard, as powers of two: the least, the most, and how many shards there may be before they grow (a chunk
+#: then still sends some thousand counters to each).
+SHARD_BITS, MOST_SHARD_BITS, SHARDS_BITS = 22, 26, 10
 DEPTH = 2
 
 _SENT = {"part": pa.int64(), "chunk": pa.int64(), "n": pa.int32(), "keys": pa.binary(), "twice": pa.binary()}
@@ -125,7 +125,7 @@ class _Plan:
     def __init__(self, size: int, windows: int):
         self.size = size
         self.bits = max(8, (4 * windows).bit_length())
-        self.shard_bits = min(SHARD_BITS, self.bits)
+        self.shard_bits = min(max(SHARD_BITS, min(self.bits - SHARDS_BITS, MOST_SHARD_BITS)), self.bits)
         self.shards = 1 << (self.bits - self.shard_bits)
 
     def key_shift(self) -> int:
