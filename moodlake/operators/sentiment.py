@@ -28,19 +28,42 @@ def stance_sign(stance="stance") -> Column:
     return F.when(st == 1, 1).when(st == -1, -1).otherwise(0)
 
 
+#: The state of a bucket, from which rows, longer buckets and late batches are made by addition.
+STATE = ("n_posts", "sw", "w", "pos_ct", "neu_ct", "neg_ct")
+
+
+def state_aggregates() -> list[Column]:
+    """The aggregates of ``STATE`` over scored fan-out rows: counts, the weights' sum, and their sum by sign."""
+    w = engagement_weight()
+    return [F.count(F.lit(1)).alias("n_posts"), F.sum(stance_sign() * w).alias("sw"), F.sum(w).alias("w"),
+            F.sum((F.col("stance") == 1).cast("long")).alias("pos_ct"),
+            F.sum((F.col("stance") == 0).cast("long")).alias("neu_ct"),
+            F.sum((F.col("stance") == -1).cast("long")).alias("neg_ct")]
+
+
+def sentiment_state(ticker_posts: DataFrame, width: str = "10 seconds", time_col: str = "created_at") -> DataFrame:
+    """bucket, ticker and the bucket's state over scored rows. States of disjoint rows add up (``merge_state``)."""
+    scored = ticker_posts.where(F.col("stance").isNotNull())
+    return (scored.groupBy(time_bucket(time_col, width).alias("bucket"), F.col("ticker")).agg(*state_aggregates()))
+
+
+def merge_state(states: DataFrame, width: str | None = None) -> DataFrame:
+    """States added up: per bucket as they are, or per longer bucket of ``width`` (a multiple of theirs)."""
+    bucket = F.col("bucket") if width is None else time_bucket("bucket", width)
+    return states.groupBy(bucket.alias("bucket"), F.col("ticker")).agg(*[F.sum(c).alias(c) for c in STATE])
+
+
+def finish_state(states: DataFrame) -> DataFrame:
+    """bucket, ticker, n_posts, vw_sentiment, pos_ct, neu_ct, neg_ct from states."""
+    return states.select("bucket", "ticker", "n_posts", (F.col("sw") / F.nullif(F.col("w"), F.lit(0.0))).alias("vw_sentiment"),
+                         "pos_ct", "neu_ct", "neg_ct")
+
+
 def sentiment_buckets(ticker_posts: DataFrame, width: str = "10 seconds",
                       time_col: str = "created_at") -> DataFrame:
     """bucket, ticker, n_posts, vw_sentiment, pos_ct, neu_ct, neg_ct over scored rows.
     Only buckets holding a scored row appear (no gap filling)."""
-    w = engagement_weight()
-    scored = ticker_posts.where(F.col("stance").isNotNull())
-    return (scored
-            .groupBy(time_bucket(time_col, width).alias("bucket"), F.col("ticker"))
-            .agg(F.count(F.lit(1)).alias("n_posts"),
-                 (F.sum(stance_sign() * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("vw_sentiment"),
-                 F.sum((F.col("stance") == 1).cast("long")).alias("pos_ct"),
-                 F.sum((F.col("stance") == 0).cast("long")).alias("neu_ct"),
-                 F.sum((F.col("stance") == -1).cast("long")).alias("neg_ct")))
+    return finish_state(sentiment_state(ticker_posts, width, time_col))
 
 
 def closed_buckets(view: DataFrame, width_seconds: int = 10, end_offset_seconds: int = 10,

@@ -523,7 +523,7 @@ from moodlake.streaming import pipeline as ST  # noqa: E402
 EVENT_ORIGIN = "2024-01-01 00:00:00"
 EVENT_POLL_SECONDS = 6 * 86400
 TEXT_POLL_SECONDS = 8 * 3600
-LIVE_TRIGGER = str(8 << 20)  # landed bytes that one micro-batch takes
+LIVE_BATCHES = 6  # micro-batches that what was landed goes in
 
 
 def _stream_mentions(spark, sf_dir, late_rows: bool):
@@ -578,13 +578,14 @@ def _live_fanout(spark, posts, poll_col="created_at"):
     def link(df):
         return SY.extract_symbols(df, "text", _o6_whitelist(), O.O6_STOPLIST, O.O6_KEYWORDS)
 
-    q, paths = ST.start_live_pipeline(spark, land, posts.schema, scratch_dir(spark, "live"), link,
-                                      trigger={"availableNow": True},
-                                      reader_options={"recursiveFileLookup": "true", "maxBytesPerTrigger": LIVE_TRIGGER})
+    landed = spark._jvm.org.apache.hadoop.fs.Path(land)
+    size = landed.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(landed).getLength()
+    q, paths = ST.start_live_pipeline(spark, land, posts.schema, scratch_dir(spark, "live"), link, trigger={"availableNow": True},
+                                      reader_options={"recursiveFileLookup": "true", "maxBytesPerTrigger": str(size // LIVE_BATCHES + 1)})
     q.awaitTermination(900)
     if q.exception() is not None:
         raise q.exception()
-    return (spark.read.parquet(paths["ticker_posts"]).drop("batch_id")
+    return (spark.read.parquet(paths["ticker_posts"]).drop("batch_id", "created_date")
             .withColumn("created_at", F.col("created_at").cast("timestamp_ntz")))
 
 
@@ -647,6 +648,44 @@ def q_view_refresh(spark, sf_dir):
         *_view10s(spark, sf_dir).columns)
 
 
+@register("view_repair")
+def q_view_repair(spark, sf_dir):
+    """Posts weeks late: the stream's view of the others, then a replay that inserts them, then the repair of the buckets
+    that they touched."""
+    from moodlake.functions.timefns import time_bucket
+    from moodlake.sources import views as VW
+    from moodlake.sources.posts_store import with_partition
+
+    rows = _mentions(spark, sf_dir)
+    late = F.col("post_id") % 10 == 3
+    log, facts, touched = (scratch_dir(spark, x) for x in ("repair_changelog", "repair_facts", "repair_touched"))
+    land = scratch_dir(spark, "repair_landed")
+    O.land_polls(rows.where(~late), land, "created_at", EVENT_POLL_SECONDS, EVENT_ORIGIN, redeliver=False)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(land)
+    ST.run_available(ST.sentiment_stream(stream).writeStream.outputMode("update").foreachBatch(ST.changelog_writer(log)),
+                     scratch_dir(spark, "ckpt_repair"))
+    for batch_id, own in enumerate((rows.where(~late), rows.where(late))):
+        (with_partition(own).withColumn("batch_id", F.lit(batch_id)).write.mode("append")
+         .partitionBy("created_date", "batch_id").parquet(facts))
+    (rows.where(late).where(F.col("stance").isNotNull()).select(time_bucket("created_at", "10 seconds").alias("bucket"), "ticker")
+     .distinct().write.parquet(f"{touched}/batch_id=1"))
+    VW.repair_view(spark, facts, touched, log)
+    return ST.read_changelog(spark, log).withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).select(
+        *_view10s(spark, sf_dir).columns)
+
+
+@register("sentiment_rollup_1h")
+def q_rollup_1h(spark, sf_dir):
+    """Hours added up from the stored 10 s state, which a late batch has been added to."""
+    from moodlake.sources import views as VW
+
+    rows, late = _mentions(spark, sf_dir), F.col("post_id") % 10 == 3
+    path = scratch_dir(spark, "state")
+    VW.write_state(S.sentiment_state(rows.where(~late)), path, "stream", 0)
+    VW.write_state(S.sentiment_state(rows.where(late)), path, "late", 0, delta=True)
+    return S.finish_state(S.merge_state(VW.current_state(spark, path), "1 hour"))
+
+
 @register("posts_with_symbol_indexed")
 def q_with_symbol_indexed(spark, sf_dir):
     """R4 through the fan-out index: linked posts stored partitioned by date,

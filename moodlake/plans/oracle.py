@@ -337,3 +337,5 @@ SQL["stream_late_posts"] = SQL["symbol_fanout"].replace("to_minutes(doc_id) AS c
            + to_days(CASE WHEN doc_id % 500 = 7 THEN 3650 WHEN doc_id % 15 = 4 THEN -21 WHEN doc_id % 10 = 3 THEN -3 ELSE 0 END) AS created_at""")
 SQL["feed_dates"] = f"""WITH {O3} SELECT id, CASE WHEN id % 10 = 9 THEN NULL WHEN id % 10 = 8 THEN date_trunc('day', created_at)
     ELSE created_at END AS created_at FROM pt"""
+SQL["view_repair"] = SQL["sentiment_buckets_10s"]
+SQL["sentiment_rollup_1h"] = SQL["sentiment_buckets_1h"]

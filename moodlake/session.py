@@ -27,6 +27,15 @@ _DEFAULTS = {
 }
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """Streaming state off the heap also in a session that was made elsewhere (a provider set there is kept)."""
+    if "HDFSBackedStateStoreProvider" in spark.conf.get(_PROVIDER):
+        spark.conf.set(_PROVIDER, _DEFAULTS[_PROVIDER])
+
+
 _SHIPPED: set[str] = set()  # applications that have the package's sources
 
 

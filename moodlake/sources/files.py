@@ -122,7 +122,7 @@ def listing_records(lines: DataFrame) -> DataFrame:
     """Lines (column ``value``) of listing JSON -> records; a line that does not parse is kept in ``_corrupt_record``."""
     sch = T.StructType(list(schemas.LISTING.fields) + [T.StructField(CORRUPT, T.StringType(), True)])
     r = F.from_json("value", sch, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return lines.where(F.length(F.trim("value")) > 0).select(r.alias("r")).select("r.*")
+    return lines.where(F.length(F.trim("value")) > 0).select(r.alias("r"), *_arrival(lines)).select("r.*", *_arrival(lines))
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ def test_live_pipeline_equals_batch(spark):
                                        trigger={"availableNow": True}, max_files_per_trigger=2)
     q1.awaitTermination(600)
     assert q1.exception() is None
-    fan_schema = spark.read.parquet(f"{paths['ticker_posts']}/batch_id=*").schema
+    fan_schema = spark.read.parquet(paths["ticker_posts"]).drop("batch_id", "created_date").schema
     q2 = ST.start_sentiment_from_fanout(spark, paths, fan_schema, trigger={"availableNow": True})
     q2.awaitTermination(600)
     assert q2.exception() is None
@@ -91,7 +91,7 @@ def test_store_writer_is_idempotent_and_dedups_forever(spark):
     assert stored.count() == keys.distinct().count()
     expect = link(posts).where(F.size("tickers") > 0).count()
     assert stored.count() == expect
-    fan = spark.read.parquet(f"{root}/ticker_posts").drop("batch_id")
+    fan = spark.read.parquet(f"{root}/ticker_posts").drop("batch_id", "created_date")
     batch = SY2.fan_out(link(posts), feed_engagement=True)
     assert fan.count() == batch.count()
 
@@ -255,3 +255,140 @@ def test_store_stays_flat_over_many_batches(spark):
     write(posts, 8)
     assert spark.read.parquet(f"{root}/posts").count() == len(rows)
     posts.unpersist()
+
+
+def _minutes(spark, lo, hi, step=1):
+    """A post a minute: ids [lo, hi) from midnight of 2024-03-01, all with the symbol THE."""
+    return spark.range(lo, hi, step).select(
+        F.col("id"), F.lit("s").alias("source"), F.col("id").cast("string").alias("external_id"),
+        (F.lit("2024-03-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int"))).alias("created_at"),
+        F.lit("the post").alias("text"))
+
+
+def _link_the(df):
+    return SY.extract_symbols(df, "text", {"THE": "THE"}, (), ())
+
+
+def _scored(df):
+    return df.withColumn("stance", (F.col("id") % 3 - 1).cast("short")).withColumn("model_ver", F.lit("m"))
+
+
+def _run_live(spark, land, out, schema, **options):
+    q, paths = ST.start_live_pipeline(spark, land, schema, out, _link_the, _scored, trigger={"availableNow": True}, **options)
+    q.awaitTermination(900)
+    if q.exception() is not None:
+        raise q.exception()
+    return paths
+
+
+def test_only_rows_behind_the_watermark_are_looked_up(spark, monkeypatch):
+    """Many batches of one day: the state tells what is new and no stored file is read, until a row days behind comes."""
+    land, out = scratch_dir(spark, "tier_land"), scratch_dir(spark, "tier_out")
+    schema = _minutes(spark, 0, 1).schema
+    reads = []
+    plain = ST.read_dates
+
+    def watched(spark_, path, dates, schema_):
+        reads.append(sorted(map(str, dates)))
+        return plain(spark_, path, dates, schema_)
+    monkeypatch.setattr(ST, "read_dates", watched)
+    n = 0
+    for poll in range(12):                              # every poll re-sends the one before
+        n = max(n, 30 * poll + 60)
+        _minutes(spark, 30 * poll, 30 * poll + 60).coalesce(1).write.mode("append").json(land)
+    paths = _run_live(spark, land, out, schema, max_files_per_trigger=1)
+    assert reads == []
+    _minutes(spark, 3 * 1440, 3 * 1440 + 60).coalesce(1).write.mode("append").json(land)     # three days on
+    _run_live(spark, land, out, schema, max_files_per_trigger=1)
+    assert reads == []
+    late = _minutes(spark, 10, 50).unionByName(_minutes(spark, 600, 640)).unionByName(_minutes(spark, 3 * 1440 + 50, 3 * 1440 + 70))
+    late.coalesce(1).write.mode("append").json(land)    # 40 stored long ago, 40 late ones, 10 known, 10 new
+    _run_live(spark, land, out, schema, max_files_per_trigger=1)
+    assert reads == [["2024-03-01"]]
+    stored = spark.read.parquet(paths["posts"])
+    assert stored.count() == stored.select("external_id").distinct().count() == n + 60 + 40 + 10
+    counts = ST.ingest_metrics(spark, out).agg(*[F.sum(c).alias(c) for c in ("read", "new", "repeated", "looked_up", "stored", "fanned_out")]).first()
+    assert (counts["read"], counts["new"], counts["stored"], counts["fanned_out"]) == (12 * 60 + 60 + 100, n + 110, n + 110, n + 110)
+    assert counts["repeated"] == counts["read"] - counts["new"] and counts["looked_up"] == 80
+    touched = spark.read.parquet(paths["touched"])
+    assert touched.select("bucket").distinct().count() == 40
+
+
+def test_a_date_far_ahead_makes_no_other_post_late(spark):
+    land, out = scratch_dir(spark, "ahead_land"), scratch_dir(spark, "ahead_out")
+    polls = [_minutes(spark, 0, 60), _minutes(spark, 5_000_000, 5_000_001), _minutes(spark, 30, 90)]
+    for p in polls:
+        p.withColumn("polled_at", F.lit("2024-03-01 02:00:00").cast("timestamp")).coalesce(1).write.mode("append").json(land)
+    paths = _run_live(spark, land, out, polls[0].withColumn("polled_at", F.lit(None).cast("timestamp")).schema, max_files_per_trigger=1, clock="polled_at")
+    assert spark.read.parquet(paths["posts"]).count() == 91
+    assert ST.ingest_metrics(spark, out).agg(F.sum("looked_up")).first()[0] == 0
+
+
+def test_a_store_filled_by_others_is_looked_up(spark):
+    """A new query over a store that is there already does not take its posts for new."""
+    land, out = scratch_dir(spark, "old_land"), scratch_dir(spark, "old_out")
+    write = ST.store_insert_writer(out, _link_the, order=("id",))
+    write(_minutes(spark, 0, 100), -5)
+    _minutes(spark, 50, 150).coalesce(1).write.json(land)
+    paths = _run_live(spark, land, out, _minutes(spark, 0, 1).schema)
+    stored = spark.read.parquet(paths["posts"])
+    assert stored.count() == stored.select("external_id").distinct().count() == 150
+
+
+def test_repair_counts_what_stream_and_refresh_miss(spark):
+    """Late posts in the served view: live ingest, sentiment stage, late posts, repair."""
+    from moodlake.sources import views as VW
+
+    land, out = scratch_dir(spark, "repair_land"), scratch_dir(spark, "repair_out")
+    schema = _minutes(spark, 0, 1).schema
+    for poll in (_minutes(spark, 0, 3 * 1440, 2), _minutes(spark, 5 * 1440, 5 * 1440 + 100), _minutes(spark, 1, 1440, 2)):
+        poll.coalesce(1).write.mode("append").json(land)
+        paths = _run_live(spark, land, out, schema, max_files_per_trigger=1)
+        fan = spark.read.parquet(paths["ticker_posts"]).drop("batch_id", "created_date")
+        q = ST.start_sentiment_from_fanout(spark, paths, fan.schema, trigger={"availableNow": True})
+        q.awaitTermination(600)
+        assert q.exception() is None
+    cols = ["bucket", "ticker", "n_posts", "pos_ct", "neu_ct", "neg_ct"]
+    want = S.sentiment_buckets(fan).select(*cols)
+    missed = want.exceptAll(VW.current_view(spark, paths["sentiment"]).select(*cols)).count()
+    assert missed == 720                                # a post in each second minute of the first day
+    last = VW.repair_view(spark, paths["ticker_posts"], paths["touched"], paths["sentiment"])
+    got = VW.current_view(spark, paths["sentiment"]).select(*cols)
+    assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+    assert last is not None and VW.repair_view(spark, paths["ticker_posts"], paths["touched"], paths["sentiment"]) is None
+    repaired = spark.read.parquet(f"{paths['sentiment']}/writer=repair")
+    assert repaired.count() == 720                      # only what was touched
+
+
+def test_states_add_up(spark):
+    from moodlake.sources import views as VW
+
+    rows = O.scored_mentions(spark.read.parquet(f"{SF01}/events.parquet"))
+    path = scratch_dir(spark, "states")
+    part = F.col("post_id") % 5
+    VW.write_state(S.sentiment_state(rows.where(part == 0)), path, "stream", 0)
+    VW.write_state(S.sentiment_state(rows.where(part <= 1)), path, "stream", 1)      # an update of the same buckets
+    VW.write_state(S.sentiment_state(rows.where(part == 2)), path, "other", 0)
+    for _ in range(2):                                  # a late batch that ran twice
+        VW.write_state(S.sentiment_state(rows.where(part >= 3)), path, "late", 0, delta=True)
+    state = VW.current_state(spark, path)
+    for width in (None, "1 hour", "7 days"):
+        got = S.finish_state(S.merge_state(state, width))
+        want = S.sentiment_buckets(rows, width or "10 seconds")
+        norm = lambda df: sorted((r["bucket"], r["ticker"], r["n_posts"], round(r["vw_sentiment"], 9), r["pos_ct"], r["neg_ct"]) for r in df.collect())
+        assert norm(got) == norm(want)
+
+
+def test_arrival_through_raw_lines(spark):
+    """Raw listing lines as text: the readers carry the arrival, so the first write wins in the live path too."""
+    from moodlake.sources import files as FS
+
+    land = scratch_dir(spark, "line_land")
+    line = '{"id": "%s", "title": "the %s", "selftext": "x", "url": "u", "channel": "c", "score": 1, "num_comments": 2, "created_utc": 1704067200.0, "listing": "new", "pos": %d}'
+    for k in range(3):
+        spark.createDataFrame([(line % (i, f"copy {k}", i),) for i in range(5)], "value string").coalesce(1).write.mode("append").text(land)
+    q, paths = ST.start_store_pipeline(spark, land, "value string", scratch_dir(spark, "line_out"), _link_the, landing_format="text",
+                                       trigger={"availableNow": True}, to_posts=lambda raw: FS.listing_posts(FS.listing_records(raw)).withColumn("text", post_text()))
+    q.awaitTermination(600)
+    assert q.exception() is None
+    assert {r["title"] for r in spark.read.parquet(paths["posts"]).collect()} == {"the copy 0"}
