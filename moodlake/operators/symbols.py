@@ -1,10 +1,11 @@
 """Symbol linking: text -> up to five ticker symbols.
 
 Two matchers, both evaluated inside the row as built-in expressions (no Python,
-no shuffle): whitelist membership of candidate tokens (hash-set intersection
+no shuffle) for small dictionaries: whitelist membership of candidate tokens (hash-set intersection
 against a literal array) and keyword containment in the lower-cased text.
 Dictionaries are parameters; a DataFrame dimension is size-checked before it
-is turned into literals, and larger dimensions take an explode + join path.
+is turned into literals, larger dimensions take an explode + join path, and larger
+keyword dictionaries a join on rare grams.
 """
 
 from __future__ import annotations
@@ -41,17 +42,30 @@ def _str_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+_HELD: dict = {}
+
+
+def _version(keys: DataFrame) -> tuple:
+    """What tells the contents of a key map apart: one aggregation, a row to the driver."""
+    h = F.xxhash64("key", "symbol")
+    return tuple(keys.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+
+
 def whitelist_from(tickers: DataFrame, limit: int = MAX_LITERAL_KEYS) -> dict[str, str] | None:
-    """Collect the key map of a symbol dimension if it is provably bounded
-    (at most ``limit`` keys); None means: use the join path."""
+    """The key map of a symbol dimension if it is provably bounded (at most ``limit`` keys); None means: use the join
+    path. It is collected when its content has changed: a live query asks again with every micro-batch."""
     keys = symbol_keys(tickers)
-    head = keys.limit(limit + 1).toPandas()  # Arrow batches: compact even near the bound
-    if len(head) > limit:
+    version = _version(keys)
+    if version[0] > limit:
         return None
-    return dict(zip(head["key"], head["symbol"]))
+    at = (tickers.sparkSession.sparkContext.applicationId, "whitelist")
+    if _HELD.get(at, (None, None))[0] != version:
+        head = keys.toPandas()  # Arrow batches: compact even near the bound
+        _HELD[at] = (version, dict(zip(head["key"], head["symbol"])))
+    return _HELD[at][1]
 
 
-def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str]) -> Column:
+def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str], stoplist=()) -> Column:
     """Large-dictionary form of ``whitelist_hits``: the key map is broadcast once
     (loaded once per Python worker) and an Arrow-batched pandas UDF probes it
     with each row's candidate tokens — only the candidate array crosses to
@@ -60,7 +74,7 @@ def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str]) -> Column:
     from pyspark.sql import SparkSession
     from pyspark.sql.functions import pandas_udf
 
-    bc = _shared(SparkSession.getActiveSession(), "whitelist", tuple(sorted(key_map.items())), dict)
+    bc = _broadcast(SparkSession.getActiveSession(), key_map, frozenset(stoplist))
 
     def hits(cands):
         m = bc.value
@@ -71,12 +85,24 @@ def whitelist_hits_broadcast(cands: Column, key_map: dict[str, str]) -> Column:
     return pandas_udf(hits, "array<string>")(F.array_distinct(cands))
 
 
+def _broadcast(spark, key_map: dict[str, str], stoplist: frozenset):
+    """The broadcast of a key map, made once per session and map; the one it replaces is released."""
+    at = (spark.sparkContext.applicationId, "broadcast")
+    held = _HELD.get(at)
+    if held is None or held[1] != stoplist or (held[0] is not key_map and held[0] != key_map):
+        if held is not None:
+            held[2].unpersist()
+        sent = spark.sparkContext.broadcast({k: v for k, v in key_map.items() if k not in stoplist})
+        held = _HELD[at] = (key_map, stoplist, sent)
+    return held[2]
+
+
 def whitelist_hits(cands: Column, whitelist, stoplist=STOPLIST) -> Column:
     """Distinct candidates that are whitelist keys and not stop words, mapped to symbols."""
     wl = whitelist if isinstance(whitelist, dict) else {k: k for k in whitelist}
+    if len(wl) > MAX_LITERAL_KEYS:
+        return whitelist_hits_broadcast(cands, wl, stoplist)
     keys = sorted(k for k in wl if k not in set(stoplist))
-    if len(keys) > MAX_LITERAL_KEYS:
-        return whitelist_hits_broadcast(cands, {k: wl[k] for k in keys})
     hits = F.array_intersect(cands, _str_array(keys))
     if all(wl[k] == k for k in keys):
         return hits
@@ -85,116 +111,26 @@ def whitelist_hits(cands: Column, whitelist, stoplist=STOPLIST) -> Column:
 
 
 # Above this many keywords the in-row CASE list (one substring scan of the text
-# per keyword, and a generated method that outgrows codegen) is replaced by one
-# Aho-Corasick pass over each text: linear in the text, whatever the dictionary.
-# Measured on sf0.1 documents (25 M characters, 8 cores, cached): the two cost
-# the same near 16-20 keywords; at 46 the scans take 1.5x the automaton and grow
-# linearly from there. 64 keeps the default dictionary in whole-stage codegen.
+# per keyword, and a generated method that outgrows codegen) is replaced by the
+# rare-gram join. 64 keeps the default dictionary in whole-stage codegen.
 MAX_LITERAL_KEYWORDS = 64
-# Largest keyword dictionary shipped to the matchers (a broadcast of a few
-# tens of MB); a dictionary DataFrame is size-checked against it before collecting.
-MAX_BROADCAST_KEYWORDS = 1_000_000
+# Characters of a gram, and into how many parts each gram's texts are dealt.
+GRAM = 3
+GRAM_SALTS = 16
+# One text in so many tells how rare a gram is (which texts are read for that changes the cost, never a link).
+GRAM_SAMPLE = 32
 
 
 def keyword_pairs(keywords) -> list[tuple[str, str]]:
-    """(keyword, symbol) pairs of a pair list or of a DataFrame page; empty ones mean nothing and are left out."""
-    if isinstance(keywords, DataFrame):
-        pdf = keywords.toPandas()  # Arrow batches, bounded by the caller
-        keywords = zip(pdf["keyword"], pdf["symbol"])
+    """(keyword, symbol) pairs of a list; empty ones mean nothing and are left out."""
     return [(k, s) for k, s in keywords if k and s]
 
 
-def _keyword_pages(keywords: DataFrame) -> list[DataFrame]:
-    """The dictionary in pages of about MAX_BROADCAST_KEYWORDS entries, each small enough to broadcast."""
-    kw = keywords.select(F.col("keyword").cast("string"), F.col("symbol").cast("string")).distinct()
-    pages = max(1, -(-kw.count() // MAX_BROADCAST_KEYWORDS))
-    return [kw if pages == 1 else kw.where(F.pmod(F.xxhash64("keyword"), F.lit(pages)) == i) for i in range(pages)]
-
-
-_SHARED: dict = {}
-
-
-def _shared(spark, kind: str, content: tuple, build):
-    """The broadcast of a dictionary, made once per session and content; the one it replaces is released when the
-    dictionary has changed (a live query asks again with every micro-batch)."""
-    at = (spark.sparkContext.applicationId, kind)
-    held = _SHARED.get(at)
-    if held is None or held[0] != content:
-        if held is not None:
-            held[1].unpersist()
-        held = _SHARED[at] = (content, spark.sparkContext.broadcast(build(content)))
-    return held[1]
-
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(bc):
-    """One automaton per Python worker and dictionary (keyed by the token the
-    dictionary was broadcast with)."""
-    token, pairs = bc.value
-    a = _AUTOMATA.get(token)
-    if a is None:
-        import ahocorasick
-
-        syms: dict[str, set] = {}
-        for k, s in pairs:
-            syms.setdefault(k, set()).add(s)
-        a = ahocorasick.Automaton()
-        for k, ss in syms.items():
-            a.add_word(k, tuple(sorted(ss)))
-        a.make_automaton()
-        if len(_AUTOMATA) >= 4:
-            _AUTOMATA.clear()
-        _AUTOMATA[token] = a
-    return a
-
-
-def keyword_hits_automaton(lower_text: Column, keywords) -> Column:
-    """Large-dictionary form of ``keyword_hits``: an Arrow-batched pandas UDF that
-    runs one Aho-Corasick automaton (all keywords at once, overlapping matches
-    included) over each whole lower-cased text. Only the text column crosses to
-    Python; the rest of the row stays in the JVM. A dictionary too large for one broadcast is taken in pages."""
-    import hashlib
-
-    import pandas as pd
-    from pyspark.sql import SparkSession
-    from pyspark.sql.functions import pandas_udf
-
-    if isinstance(keywords, DataFrame):
-        pages = _keyword_pages(keywords)
-        if len(pages) > 1:
-            return F.flatten(F.array(*[keyword_hits_automaton(lower_text, keyword_pairs(p)) for p in pages]))
-        keywords = pages[0]
-    pairs = sorted(set(keyword_pairs(keywords)))
-    if not pairs:
-        return F.array().cast("array<string>")
-    token = hashlib.md5(repr(pairs).encode()).hexdigest()
-    bc = _shared(SparkSession.getActiveSession(), f"keywords {token}", tuple(pairs), lambda c: (token, list(c)))
-
-    def hits(texts):
-        a = _automaton(bc)
-        out = []
-        for t in texts:
-            found: set = set()
-            if t:
-                for _, ss in a.iter(t):
-                    found.update(ss)
-            out.append(sorted(found))
-        return pd.Series(out)
-
-    hits.__annotations__ = {"texts": pd.Series, "return": pd.Series}  # real types, not postponed strings
-    return pandas_udf(hits, "array<string>")(lower_text)
-
-
 def keyword_hits(lower_text: Column, keywords=KEYWORDS) -> Column:
     """Symbols whose keyword occurs as a substring of the lower-cased text.
     One CASE per keyword inside array(), NULLs removed with array_except (not
     array_compact, which is a lambda filter): no lambda, so the expression
-    stays inside whole-stage codegen. A dictionary DataFrame, or more than
-    MAX_LITERAL_KEYWORDS pairs, takes the automaton path."""
-    if isinstance(keywords, DataFrame) or len(keywords) > MAX_LITERAL_KEYWORDS:
-        return keyword_hits_automaton(lower_text, keywords)
+    stays inside whole-stage codegen. For a few keywords; ``keyword_links`` takes dictionaries of any size."""
     keywords = keyword_pairs(keywords)
     if not keywords:
         return F.array().cast("array<string>")
@@ -202,6 +138,66 @@ def keyword_hits(lower_text: Column, keywords=KEYWORDS) -> Column:
     return F.array_except(hits, F.array(F.lit(None).cast("string")))
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, found in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(" + "." * size + "))"), F.lit(1)))
+
+
+def _gram_rows(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    grams = _grams(F.col("__lt"), sizes[0])
+    for n in sizes[1:]:
+        grams = F.concat(grams, _grams(F.col("__lt"), n))
+    return texts.select("__t1", "__t2", F.explode(grams).alias("__gram"))
+
+
+def keyword_links(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(__t1, __t2, symbols) of distinct lower-cased texts (__t1, __t2, __lt) that hold keywords (keyword, symbol) as
+    substrings: a shuffle join on rare grams, for dictionaries and texts of any size.
+
+    Each keyword is keyed by its rarest run of three characters (a shorter one by itself); texts explode their distinct
+    runs, meet the keywords on them, and longer keywords are verified with ``contains``. A run that very many texts hold is
+    dealt into ``GRAM_SALTS`` parts on the texts' side, and few keywords have none that is rarer. Nothing is collected but
+    which lengths under three occur."""
+    kw = (keywords.select(F.col("keyword").cast("string"), F.col("symbol").cast("string"))
+          .where((F.length("keyword") > 0) & (F.length("symbol") > 0)).distinct())
+    short = [r[0] for r in kw.where(F.length("keyword") < GRAM).select(F.length("keyword").alias("n")).distinct().orderBy("n").collect()]
+    own = kw.select("keyword", F.explode(F.when(F.length("keyword") < GRAM, F.array("keyword"))
+                                         .otherwise(_grams(F.col("keyword"), GRAM))).alias("__gram")).distinct()
+    sampled = texts.where(F.pmod("__t1", F.lit(GRAM_SAMPLE)) == 0)
+    common = _gram_rows(sampled, [GRAM]).groupBy("__gram").agg(F.count(F.lit(1)).alias("__texts"))
+    keyed = (own.join(common, "__gram", "left").groupBy("keyword")
+             .agg(F.min(F.struct(F.coalesce("__texts", F.lit(0)), "__gram"))["__gram"].alias("__gram")))
+    keyed = keyed.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(GRAM_SALTS - 1))))
+    rows = _gram_rows(texts, [GRAM, *short]).withColumn("__salt", F.pmod("__t2", F.lit(GRAM_SALTS)).cast("int"))
+    pairs = rows.join(keyed, ["__gram", "__salt"]).select("__t1", "__t2", "keyword")
+    whole = pairs.where(F.length("keyword") <= GRAM)        # the gram is the keyword
+    longer = (pairs.where(F.length("keyword") > GRAM).join(texts, ["__t1", "__t2"])
+              .where(F.contains("__lt", "keyword")).select("__t1", "__t2", "keyword"))
+    return (whole.unionByName(longer).join(kw, "keyword").groupBy("__t1", "__t2")
+            .agg(F.collect_set("symbol").alias("symbols")))
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("__t1"), F.xxhash64(F.lit(1), text).alias("__t2")]
+
+
+def with_keyword_symbols(df: DataFrame, text_col: str, keywords, out: str) -> DataFrame:
+    """Adds ``out``: the symbols whose keyword the lower-cased text holds (unordered). A short list of pairs is tested in
+    the row; a longer one, or a dictionary DataFrame, is joined: each distinct text once, its symbols coming back by its
+    128-bit hash, so no id is needed and copies are one text."""
+    lt = F.lower(F.col(text_col))
+    if not isinstance(keywords, DataFrame):
+        pairs = keyword_pairs(keywords)
+        if len(pairs) <= MAX_LITERAL_KEYWORDS:
+            return df.withColumn(out, keyword_hits(lt, pairs))
+        keywords = df.sparkSession.createDataFrame(pairs, "keyword string, symbol string")
+    texts = (df.where(F.length(text_col) > 0).select(*_text_key(lt), lt.alias("__lt"))
+             .groupBy("__t1", "__t2").agg(F.first("__lt").alias("__lt")))
+    links = keyword_links(texts, keywords).withColumnRenamed("symbols", out)
+    joined = df.drop(out).withColumns(dict(zip(("__t1", "__t2"), _text_key(lt)))).join(links, ["__t1", "__t2"], "left")
+    return joined.withColumn(out, F.coalesce(out, F.array().cast("array<string>"))).drop("__t1", "__t2")
+
+
 def finish(symbols: Column, max_symbols: int = MAX_SYMBOLS) -> Column:
     """Deterministic truncation: the first `max_symbols` of the sorted distinct set."""
     return F.slice(F.sort_array(F.array_distinct(symbols)), 1, max_symbols)
@@ -218,13 +214,11 @@ def extract_symbols(df: DataFrame, text_col: str = "text", whitelist=None, stopl
             return extract_symbols_join(df, text_col, whitelist, stoplist, keywords, max_symbols, out, id_col)
         whitelist = wl
     t = F.col(text_col)
-    lt = f"__lower_{out}"
-    staged = df.withColumn(lt, F.lower(t))
+    staged = with_keyword_symbols(df, text_col, keywords, f"__kw_{out}")
     wl_hits = whitelist_hits(candidate_symbols(t), whitelist or {}, stoplist)
-    kw_hits = keyword_hits(F.col(lt), keywords)
     linked = F.when(t.isNull() | (F.length(t) == 0), F.array().cast("array<string>")).otherwise(
-        finish(F.concat(wl_hits, kw_hits), max_symbols))
-    return staged.withColumn(out, linked).drop(lt)
+        finish(F.concat(wl_hits, F.col(f"__kw_{out}")), max_symbols))
+    return staged.withColumn(out, linked).drop(f"__kw_{out}")
 
 
 def extract_symbols_join(df: DataFrame, text_col: str, tickers: DataFrame, stoplist=STOPLIST,
@@ -234,11 +228,11 @@ def extract_symbols_join(df: DataFrame, text_col: str, tickers: DataFrame, stopl
     joined to the key map (Spark chooses broadcast or shuffle join from statistics), and the links return to the rows by
     the text's 128-bit hash. No unique or non-NULL id is needed, and copies of one text are one text."""
     t = F.col(text_col)
-    key = [F.xxhash64(t).alias("__t1"), F.xxhash64(F.lit(1), t).alias("__t2")]
+    key = _text_key(t)
     keys = symbol_keys(tickers).where(~F.col("key").isin(list(stoplist)))
     toks = (df.where(t.isNotNull()).select(*key, F.explode(F.array_distinct(candidate_symbols(text_col))).alias("key"))
             .distinct().join(keys, "key").groupBy("__t1", "__t2").agg(F.collect_set("symbol").alias(out + "__wl")))
-    base = df.withColumn(out + "__kw", keyword_hits(F.lower(t), keywords)).withColumn("__t1", key[0]).withColumn("__t2", key[1])
+    base = with_keyword_symbols(df, text_col, keywords, out + "__kw").withColumn("__t1", key[0]).withColumn("__t2", key[1])
     joined = base.join(toks, ["__t1", "__t2"], "left")
     wl = F.coalesce(F.col(out + "__wl"), F.array().cast("array<string>"))
     linked = F.when(t.isNull() | (F.length(t) == 0), F.array().cast("array<string>")).otherwise(

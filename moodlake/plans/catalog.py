@@ -187,12 +187,10 @@ def q_extract_large(spark, sf_dir):
 
 @register("keyword_symbols_large")
 def q_keywords_large(spark, sf_dir):
-    """Keyword linking with a dictionary too large for in-row CASE tests: one
-    Aho-Corasick pass per whole text against a size-checked broadcast dictionary."""
-    d = O.load(spark, sf_dir, "documents")
+    """Keyword linking with a dictionary too large for in-row CASE tests: a join on the keywords' rarest grams."""
+    d = O.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     kw = O.benchmark_keywords(O.load(spark, sf_dir, "benchmark"))
-    return d.select(F.col("doc_id").alias("id"),
-                    SY.finish(SY.keyword_hits(F.lower("text"), kw), 5).alias("tickers"))
+    return SY.with_keyword_symbols(d, "text", kw, "found").select("id", SY.finish(F.col("found"), 5).alias("tickers"))
 
 
 @register("symbol_fanout")
@@ -386,6 +384,7 @@ from moodlake.operators import similarity as SIM  # noqa: E402
 
 QUERY_POST = 7
 BATCH_K = 5
+TORN_K = 10
 
 
 def _vec_posts(spark, sf_dir):
@@ -425,7 +424,7 @@ def q_similar_all_cells(spark, sf_dir):
 def q_similar_batch_torn(spark, sf_dir):
     """Vectors that are missing or lost a dimension come last, in the batch form too."""
     p = O.torn_vectors(O.load(spark, sf_dir, "embeddings"))
-    return SIM.similar_posts_batch(p.where(F.col("id") < 40), p.where(F.col("id") < 40), k=39)
+    return SIM.similar_posts_batch(p, p, k=TORN_K)
 
 
 @register("similar_posts_batch_torn_all")

@@ -233,7 +233,7 @@ SQL["replay_job"] = f"""WITH {O3},
 
 # --- similarity and scoring -------------------------------------------------
 
-from moodlake.plans.catalog import BATCH_K, QUERY_POST, WRITEBACK_AS_OF  # noqa: E402
+from moodlake.plans.catalog import BATCH_K, QUERY_POST, TORN_K, WRITEBACK_AS_OF  # noqa: E402
 
 L2 = "list_distance({a}::DOUBLE[], {b}::DOUBLE[])"
 COS = "(1 - list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]))"
@@ -299,12 +299,6 @@ from moodlake.plans.catalog import EMBED_DIM  # noqa: E402
 
 SQL.update({
     "similar_posts_approx_all_cells": SQL["similar_posts_batch"],
-    "similar_posts_batch_torn": f"""WITH v AS (
-        SELECT vec_id AS id, CASE WHEN vec_id % 13 = 12 THEN NULL WHEN vec_id % 9 = 8 THEN embedding[1:len(embedding) - 1]
-                                  ELSE embedding END AS e FROM embeddings WHERE vec_id < 40),
-      pairs AS (SELECT q.id AS qid, c.id, CASE WHEN len(q.e) = len(c.e) THEN {L2.format(a='c.e', b='q.e')} END AS distance
-                FROM v q JOIN v c ON q.id <> c.id WHERE q.e IS NOT NULL)
-      SELECT qid, id, round(distance, 9) AS distance, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, id) AS rank FROM pairs""",
     "similar_posts_batch_torn_all": f"""WITH v AS (
         SELECT vec_id AS id, CASE WHEN vec_id % 13 = 12 THEN NULL WHEN vec_id % 9 = 8 THEN embedding[1:len(embedding) - 1]
                                   ELSE embedding END AS e FROM embeddings),
@@ -337,5 +331,6 @@ SQL["stream_late_posts"] = SQL["symbol_fanout"].replace("to_minutes(doc_id) AS c
            + to_days(CASE WHEN doc_id % 500 = 7 THEN 3650 WHEN doc_id % 15 = 4 THEN -21 WHEN doc_id % 10 = 3 THEN -3 ELSE 0 END) AS created_at""")
 SQL["feed_dates"] = f"""WITH {O3} SELECT id, CASE WHEN id % 10 = 9 THEN NULL WHEN id % 10 = 8 THEN date_trunc('day', created_at)
     ELSE created_at END AS created_at FROM pt"""
+SQL["similar_posts_batch_torn"] = SQL["similar_posts_batch_torn_all"].replace(f"rank <= {BATCH_K}", f"rank <= {TORN_K}")
 SQL["view_repair"] = SQL["sentiment_buckets_10s"]
 SQL["sentiment_rollup_1h"] = SQL["sentiment_buckets_1h"]

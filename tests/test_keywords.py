@@ -1,4 +1,4 @@
-"""Large-dictionary keyword linking (Aho-Corasick) equals the in-row CASE form
+"""Large-dictionary keyword linking (a join on rare grams) equals the in-row CASE form
 and a brute-force substring test, overlapping keywords included."""
 
 from pyspark.sql import functions as F
@@ -13,41 +13,64 @@ def _docs(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
 
 
-def test_automaton_equals_case_form(spark):
-    docs = _docs(spark, SF01).withColumn("lt", F.lower("text"))
+def _links(df, keywords, col="text"):
+    return {r.id: sorted(r.k) for r in SY.with_keyword_symbols(df, col, keywords, "k").select("id", "k").collect()}
+
+
+def test_join_equals_case_form(spark):
+    docs = _docs(spark, SF01)
     pairs = list(KEYWORDS) + list(O.O6_KEYWORDS)
-    a = docs.select("id", SY.keyword_hits(F.col("lt"), pairs).alias("k"))
-    b = docs.select("id", SY.keyword_hits_automaton(F.col("lt"), pairs).alias("k"))
-    norm = lambda df: sorted((r.id, tuple(sorted(r.k))) for r in df.collect())
-    assert norm(a) == norm(b)
-    assert any(k for _, k in norm(b))
+    case = _links(docs, pairs)
+    joined = _links(docs, spark.createDataFrame(pairs, "keyword string, symbol string"))
+    assert case == joined and any(joined.values())
 
 
-def test_automaton_equals_brute_force_on_derived_dictionary(spark):
+def test_join_equals_brute_force_on_derived_dictionary(spark):
     kw = O.benchmark_keywords(spark.read.parquet(f"{SF001}/benchmark.parquet"))
     pairs = [(r.keyword, r.symbol) for r in kw.collect()]
-    assert len(pairs) > SY.MAX_LITERAL_KEYWORDS  # the size switch picks the automaton
-    docs = _docs(spark, SF001).withColumn("lt", F.lower("text"))
-    got = {r.id: r.k for r in docs.select("id", SY.keyword_hits(F.col("lt"), kw).alias("k")).collect()}
-    for r in docs.select("id", "lt").collect():
-        expect = sorted({s for k, s in pairs if k in (r.lt or "")})
-        assert got[r.id] == expect
-
-
-def test_overlapping_and_nested_keywords(spark):
-    df = spark.createDataFrame([("a pineapple pie",), ("",), (None,), ("applesauce",)], "t string")
-    pairs = [("apple", "AAPL"), ("pineapple", "PINE"), ("app", "APP"), ("pie", "PIE"), ("sauce", "SAUCE")]
-    got = [r.k for r in df.select(SY.keyword_hits_automaton(F.lower("t"), pairs).alias("k")).collect()]
-    assert got == [["AAPL", "APP", "PIE", "PINE"], [], [], ["AAPL", "APP", "SAUCE"]]
+    assert len(pairs) > SY.MAX_LITERAL_KEYWORDS  # the size switch picks the join
+    docs = _docs(spark, SF001)
+    got = _links(docs, kw)
+    assert got == _links(docs, pairs)
+    for r in docs.collect():
+        assert got[r.id] == sorted({s for k, s in pairs if k in (r.text or "").lower()})
+
+
+def test_overlapping_nested_and_odd_keywords(spark, monkeypatch):
+    """Every sampled text, or none, tells the grams' rarity: the links are the same."""
+    rows = [(0, "A pineapple pie"), (1, ""), (2, None), (3, "applesauce"), (4, "xéé日本 a%b_c.d\nnew\nline"), (5, "a pineapple pie"), (6, "aa")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    pairs = [("apple", "AAPL"), ("pineapple", "PINE"), ("app", "APP"), ("pie", "PIE"), ("sauce", "SAUCE"), ("p", "P"), ("éé", "E"), ("日本 a%", "J"),
+             ("_c.d\nn", "NL"), ("e\n", "NO"), ("aaa", "AAA"), ("", "ALL"), (None, "X"), ("an", None), ("apple", "SECOND")]
+    want = {i: sorted({s for k, s in pairs if k and s and k in (t or "").lower()}) for i, t in rows}
+    table = spark.createDataFrame(pairs, "keyword string, symbol string")
+    for sample in (1, 1 << 40):
+        monkeypatch.setattr(SY, "GRAM_SAMPLE", sample)
+        assert _links(df, table) == want
+    assert _links(df, table.limit(0)) == {i: [] for i, _ in rows}
+    assert _links(df.limit(0), table) == {}
+
+
+def test_a_gram_in_every_text_is_dealt_out(spark):
+    """Texts that share a run of characters meet its keyword in many parts, and no text or dictionary is collected."""
+    df = spark.range(4000).select("id", F.concat(F.lit("the common words "), F.hex(F.xxhash64("id"))).alias("text"))
+    kw = spark.createDataFrame([("the", "THE"), ("common w", "CW"), ("zzzz", "Z")], "keyword string, symbol string")
+    texts = df.select(*SY._text_key(F.col("text")), F.col("text").alias("__lt"))
+    rows = SY._gram_rows(texts, [3]).where("__gram = 'the'").withColumn("s", F.pmod("__t2", F.lit(SY.GRAM_SALTS)))
+    sizes = [r["count"] for r in rows.groupBy("s").count().collect()]
+    assert len(sizes) == SY.GRAM_SALTS and max(sizes) < 2 * 4000 / SY.GRAM_SALTS
+    assert set(map(tuple, _links(df, kw).values())) == {("CW", "THE")}
+    plan = SY.with_keyword_symbols(df, "text", kw, "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_extract_symbols_switches_by_dictionary_size(spark):
     docs = _docs(spark, SF001)
     big = [(f"zzq{i}", f"S{i}") for i in range(SY.MAX_LITERAL_KEYWORDS)] + [("the", "THE")]
     out = SY.extract_symbols(docs, "text", {}, (), big)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "ArrowEvalPython" in plan
     small = SY.extract_symbols(docs, "text", {}, (), [("the", "THE")])
+    assert "Join" in out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
     norm = lambda df: sorted((r.id, tuple(r.tickers)) for r in df.select("id", "tickers").collect())
     assert norm(out) == norm(small)
 
@@ -74,15 +97,12 @@ def test_whitelist_tiers_agree(spark, monkeypatch):
     assert sum(1 for _, t in links(broadcast) if t) > 0
 
 
-def test_empty_keyword_matches_nothing_in_every_form_and_pages_agree(spark, monkeypatch):
-    df = spark.createDataFrame([("an apple",), ("pie",)], "t string")
-    pairs = [("", "ALL"), ("apple", "AAPL"), ("pie", "PIE"), (None, "X"), ("an", None)]
-    case = [r.k for r in df.select(SY.keyword_hits(F.lower("t"), pairs).alias("k")).collect()]
-    auto = [r.k for r in df.select(SY.keyword_hits_automaton(F.lower("t"), pairs).alias("k")).collect()]
-    table = spark.createDataFrame(pairs + [("p", "P")], "keyword string, symbol string")
-    monkeypatch.setattr(SY, "MAX_BROADCAST_KEYWORDS", 2)
-    paged = [sorted(r.k) for r in df.select(SY.keyword_hits(F.lower("t"), table).alias("k")).collect()]
-    assert case == auto == [["AAPL"], ["PIE"]] and paged == [["AAPL", "P"], ["P", "PIE"]]
+def test_whitelist_is_collected_when_it_changes(spark, monkeypatch):
+    dim = spark.createDataFrame([("AAA",), ("BBB",)], "symbol string")
+    first = SY.whitelist_from(dim)
+    assert SY.whitelist_from(spark.createDataFrame([("BBB",), ("AAA",)], "symbol string")) is first
+    assert SY.whitelist_from(dim.limit(1)) is not first
+    assert SY.whitelist_from(dim, 1) is None
 
 
 def test_join_tier_needs_no_id_and_runs_in_the_live_path(spark, monkeypatch):
