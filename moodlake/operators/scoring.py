@@ -81,26 +81,70 @@ def batch_logits_udf(make_predict_fn, n_classes: int = 3, batch_size: int = BATC
                              batch_size=batch_size)
 
 
-#: Words of the hashed models: runs of characters other than ASCII spaces, in lower case.
-HASHED_WORD = r"[^\x20\x09-\x0D]+"
+class HashedWords:
+    """Vectors of words (runs of characters other than ASCII spaces, in lower case): component d of a word is byte d % 16
+    of md5(word + "#" + d // 16), scaled to -0.5..0.5. Words that were met stay known, up to ``most`` of them."""
 
+    def __init__(self, dims: int, most: int = 500_000):
+        import numpy as np
 
-def hashed_mean(texts, dims: int):
-    """Mean of the words' hashed vectors for each text (numpy, n x dims; zeros for a text without words). Component
-    d of a word is byte d % 16 of md5(word + "#" + d // 16), scaled to -0.5..0.5."""
-    import hashlib
-    import re
+        self.dims, self.most, self.rows, self.table = dims, most, {}, np.zeros((1024, dims))
+
+    def numbers(self, words: list[bytes]):
+        """The words' row numbers in ``table``."""
+        import hashlib
+
+        import numpy as np
+
+        if len(self.rows) > self.most:
+            self.rows.clear()
+        rows = self.rows
+        for w in set(words) - rows.keys():
+            k = rows[w] = len(rows)
+            if k == len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            raw = b"".join(hashlib.md5(w + b"#%d" % i).digest() for i in range(-(-self.dims // 16)))
+            self.table[k] = np.frombuffer(raw, np.uint8)[:self.dims] / 255.0 - 0.5
+        return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
+
+
+_HASHED: dict[int, HashedWords] = {}
+#: Numbers that are gathered at once.
+_GATHER = 1 << 22
 
+
+def hashed_mean(texts, dims: int):
+    """Mean of the words' hashed vectors for each text (numpy, n x dims; zeros for a text without words). The words of many
+    texts are summed at once; their vectors are kept from batch to batch."""
     import numpy as np
 
-    word, out, known = re.compile(HASHED_WORD), np.zeros((len(texts), dims)), {}
+    known, out = _HASHED.setdefault(dims, HashedWords(dims)), np.zeros((len(texts), dims))
+    words, counts, first = [], [], 0
+
+    def flush(behind: int) -> None:
+        n = np.array(counts, np.int64)
+        some = np.flatnonzero(n)
+        if len(some):
+            numbers, ends = known.numbers(words), np.cumsum(n[some])
+            step = max(1, _GATHER // dims)
+            sums = np.zeros((len(some), dims))
+            for lo in range(0, len(numbers), step):     # a long text goes in several steps
+                hi = min(lo + step, len(numbers))
+                a, b = np.searchsorted(ends, [lo, hi - 1], side="right")
+                starts = np.maximum(np.concatenate(([0], ends[:-1]))[a:b + 1], lo) - lo
+                sums[a:b + 1] += np.add.reduceat(known.table[numbers[lo:hi]], starts, axis=0)
+            out[first + some] = sums / n[some][:, None]
+        words.clear()
+        counts.clear()
+
     for i, text in enumerate(texts):
-        found = word.findall(text.lower()) if isinstance(text, str) else []
-        for w in set(found) - known.keys():
-            raw = b"".join(hashlib.md5(f"{w}#{k}".encode()).digest() for k in range(-(-dims // 16)))
-            known[w] = np.frombuffer(raw, np.uint8)[:dims] / 255.0 - 0.5
-        if found:
-            out[i] = np.mean([known[w] for w in found], axis=0)
+        own = text.lower().encode().split() if isinstance(text, str) else []      # bytes are split at ASCII spaces
+        words += own
+        counts.append(len(own))
+        if len(words) > _GATHER // 4:
+            flush(i + 1)
+            first = i + 1
+    flush(len(texts))
     return out
 
 
@@ -112,6 +156,61 @@ def hashed_scorer(scale: float = 40.0, n_classes: int = 3):
     return make
 
 
+def batch_embed_udf(make_encode_fn, batch_size: int = BATCH_SIZE, element: str = "float"):
+    """Wrap an external encoder: ``make_encode_fn()`` (called once per Python worker) returns ``encode(texts) -> (states,
+    mask)``, the states of every token (n x t x d, special tokens included) and which tokens are no padding (n x t). Texts
+    are encoded in batches of ``batch_size`` of similar length, so little is padded, and pooled under the mask: a text's
+    vector is the mean of its own tokens, whatever it was batched with. A null text is encoded as empty."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def embed(batches):
+        import numpy as np
+
+        encode = make_encode_fn()
+        for texts in batches:
+            own = [t if isinstance(t, str) else "" for t in texts.tolist()]
+            order, out = sorted(range(len(own)), key=lambda i: len(own[i])), [None] * len(own)
+            for lo in range(0, len(order), batch_size):
+                some = order[lo:lo + batch_size]
+                states, mask = encode([own[i] for i in some])
+                for i, v in zip(some, masked_mean(states, mask)):
+                    out[i] = v.astype({"float": np.float32}.get(element, np.float64))
+            yield pd.Series(out)
+
+    from collections.abc import Iterator
+    embed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(embed, f"array<{element}>")
+
+
+def masked_mean(states, mask):
+    """Mean of each text's token states where the mask is set (n x t x d and n x t -> n x d; zeros without any)."""
+    import numpy as np
+
+    mask = np.asarray(mask, np.float64)
+    return np.einsum("ntd,nt->nd", np.asarray(states, np.float64), mask) / np.maximum(mask.sum(1), 1)[:, None]
+
+
+def hashed_encoder(dims: int, special: tuple[str, ...] = ("[cls]", "[sep]")):
+    """A ``make_encode_fn`` with fixed token vectors: a text's words between two special tokens."""
+    def make():
+        import numpy as np
+
+        known = HashedWords(dims)
+        first, last = (w.encode() for w in special)
+
+        def encode(texts):
+            tokens = [[first, *t.lower().encode().split(), last] for t in texts]
+            n, width = len(tokens), max(map(len, tokens), default=0)
+            mask = np.arange(width) < np.array([len(x) for x in tokens]).reshape(n, 1)
+            states = np.full((n, width, dims), np.nan)          # what stands on padding must not matter
+            states[mask] = known.numbers([w for x in tokens for w in x])[:, None]
+            states[mask] = known.table[states[mask][:, 0].astype(np.int64)]
+            return np.nan_to_num(states, nan=1e3), mask
+        return encode
+    return make
+
+
 def score_with_udf(posts: DataFrame, logits_udf, text_col: str = "text", class_order=CLASS_ORDER,
                    model_ver: str = MODEL_VER) -> DataFrame:
     """Score with a batched model: its logits, then the native decode. A NULL text is scored as empty."""

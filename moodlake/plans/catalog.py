@@ -112,6 +112,22 @@ def q_metrics(spark, sf_dir):
     return V.pipeline_metrics(_meta(spark, sf_dir), as_of=METRICS_AS_OF)
 
 
+@register("pipeline_latency_sketch")
+def q_p95_sketch(spark, sf_dir):
+    """p95 from the stored minutes' sketches: of the last ten minutes, and of all, whose rank must be right to 1 %."""
+    posts, path = _meta(spark, sf_dir), scratch_dir(spark, "latency_sketches")
+    V.latency_sketches(posts).write.parquet(path)
+    sketches = spark.read.parquet(path)
+    recent = V.latency_from_sketches(sketches, minutes=10, as_of=METRICS_AS_OF)
+    whole = V.latency_from_sketches(sketches, minutes=None).select(F.col("n").alias("n_all"), F.col("p95_latency_sec").alias("__p"))
+    lat = V.seconds_between("ingested_at", "classified_at")
+    kept = posts.where(lat.isNotNull() & ~F.coalesce(F.col("is_backfill"), F.lit(False))).crossJoin(F.broadcast(whole))
+    ranks = kept.groupBy("n_all").agg((F.count_if(lat < F.col("__p")) / F.count(F.lit(1))).alias("lo"),
+                                      (F.count_if(lat <= F.col("__p")) / F.count(F.lit(1))).alias("hi"))
+    near = (F.col("lo") - 0.01 <= 0.95) & (F.col("hi") + 0.01 >= 0.95)
+    return recent.crossJoin(ranks.select("n_all", near.alias("rank_within_1pct")))
+
+
 @register("unscored_queue")
 def q_queue(spark, sf_dir):
     return V.unscored_queue(_meta(spark, sf_dir), as_of=METRICS_AS_OF).select(
@@ -153,6 +169,17 @@ def q_dup_groups(spark, sf_dir):
     return TO.exact_duplicate_groups(TO.with_text_hash(_posts_text(spark, sf_dir)))
 
 
+@register("duplicate_groups_inserted")
+def q_dup_inserted(spark, sf_dir):
+    """Groups over two inserts into the bucketed index: those of the first, updated by what the second adds."""
+    hashed = TO.with_text_hash(_posts_text(spark, sf_dir))
+    path, second = scratch_dir(spark, "duplicate_index"), F.col("id") % 2 == 1
+    index = TO.DuplicateIndex(spark, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index.insert(hashed.where(~second))
+    known, grown = index.groups(), index.groups_with(hashed.where(second))
+    return known.join(grown, "txt_hash", "left_anti").unionByName(grown)
+
+
 @register("per_source_cap")
 def q_cap(spark, sf_dir):
     return TO.per_source_cap(_posts_text(spark, sf_dir), "source", "id", 50).select("id", "source", "rank")
@@ -496,7 +523,46 @@ def q_score_1(spark, sf_dir):
 
 @register("embed_posts")
 def q_embed(spark, sf_dir):
-    return SCR.embed_hashed(_doc_posts(spark, sf_dir), EMBED_DIM, element="double").select("id", F.posexplode("embedding").alias("dim", "value"))
+    return _components(SCR.embed_hashed(_doc_posts(spark, sf_dir), EMBED_DIM, element="double"))
+
+
+def _components(embedded):
+    """id, dim, value. An outer explode and a filter on what it makes: from a plain one Catalyst infers a filter on the
+    array's size, below which the vectors would be computed a second time."""
+    return embedded.select("id", F.posexplode_outer("embedding").alias("dim", "value")).where(F.col("dim").isNotNull())
+
+
+ENCODER_DIM = 8
+
+
+@register("embed_encoder")
+def q_embed_encoder(spark, sf_dir):
+    """An external encoder's token states, pooled under its mask in batches of 32 texts of similar length."""
+    udf = SCR.batch_embed_udf(SCR.hashed_encoder(ENCODER_DIM), element="double")
+    return _components(_doc_posts(spark, sf_dir).select("id", udf("text").alias("embedding")))
+
+
+@register("score_store")
+def q_score_store(spark, sf_dir):
+    """Every distinct text scored once: half of the posts in a first pass, then all of them."""
+    from moodlake.plans import jobs as J
+
+    posts, path = _doc_posts(spark, sf_dir), scratch_dir(spark, "score_store")
+    udf = SCR.batch_logits_udf(SCR.hashed_scorer())
+    score = lambda rows: SCR.score_with_udf(rows, udf)
+    J.score_by_content(posts.where(F.col("id") % 2 == 0), path, score, SCR.MODEL_VER)
+    done = J.score_by_content(posts, path, score, SCR.MODEL_VER)
+    return done.select("id", "stance", "probs.neg", "probs.neu", "probs.pos")
+
+
+@register("score_posts_trained")
+def q_score_trained(spark, sf_dir):
+    """The default scorer trained on the labelled documents, saved, loaded and applied to every document."""
+    labels = SCR.three_class_label(O.load(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "id")
+    posts, path = _doc_posts(spark, sf_dir), scratch_dir(spark, "trained_scorer")
+    SCR.save_model(SCR.train_default_scorer(posts.join(labels, "id"), max_iter=10), path)
+    scored = SCR.score_with_model(SCR.load_model(path), posts.withColumn("text", F.coalesce("text", F.lit(""))))
+    return scored.select("id", "stance", "probs.neg", "probs.neu", "probs.pos")
 
 
 @register("fanout_writeback")

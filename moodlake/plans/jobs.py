@@ -102,6 +102,41 @@ def score_pass(posts: DataFrame, scores_path: str, model, as_of=None, horizon_ho
     return scored
 
 
+def content_key(text_col: str = "text"):
+    """What a text's scores are stored under: the text as it is (``txt_hash`` folds case and spaces, a model may not)."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def stored_scores(spark, path: str, model_ver: str) -> DataFrame | None:
+    """The content-addressed scores of a model (one per text, the earliest); None before the first pass."""
+    try:
+        found = spark.read.parquet(f"{path}/model_ver={model_ver}")
+    except Exception as e:  # noqa: BLE001 - no scores yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return (found.groupBy("content").agg(F.min_by(F.struct("stance", "probs"), F.struct("scored_at", "stance")).alias("s"))
+            .select("content", "s.*"))
+
+
+def score_by_content(posts: DataFrame, path: str, score_fn, model_ver: str, text_col: str = "text") -> DataFrame:
+    """``posts`` with stance and probs, every distinct text scored once per model: copies share a score, and a text that an
+    earlier pass has scored is not scored again. ``score_fn`` adds stance and probs to rows with ``text``; new scores are
+    appended under (model_ver, content), keyed by content, and return to the posts by it.
+
+    Copies are combined before texts are shuffled. Two passes side by side may both score a text; one score counts."""
+    spark = posts.sparkSession
+    keyed = posts.drop("stance", "probs").withColumn("__content", content_key(text_col))
+    texts = keyed.groupBy(F.col("__content").alias("content")).agg(F.first(F.coalesce(text_col, F.lit(""))).alias("text"))
+    known = stored_scores(spark, path, model_ver)
+    if known is not None:
+        texts = texts.join(known.select("content"), "content", "left_anti")
+    fresh = score_fn(texts).select("content", F.col("stance").cast("short").alias("stance"), "probs", F.current_timestamp().alias("scored_at"))
+    fresh.write.mode("append").parquet(f"{path}/model_ver={model_ver}")
+    scores = stored_scores(spark, path, model_ver)
+    return keyed.join(scores, keyed["__content"] == scores["content"], "left").drop("__content", "content")
+
+
 def earliest_scores(scores: DataFrame) -> DataFrame:
     """One score per post: the first one written (a pass that ran twice side by side may have left two)."""
     rest = [c for c in scores.columns if c != "id"]

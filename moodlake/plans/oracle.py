@@ -334,3 +334,22 @@ SQL["feed_dates"] = f"""WITH {O3} SELECT id, CASE WHEN id % 10 = 9 THEN NULL WHE
 SQL["similar_posts_batch_torn"] = SQL["similar_posts_batch_torn_all"].replace(f"rank <= {BATCH_K}", f"rank <= {TORN_K}")
 SQL["view_repair"] = SQL["sentiment_buckets_10s"]
 SQL["sentiment_rollup_1h"] = SQL["sentiment_buckets_1h"]
+
+# --- bucketed duplicates, stored scores, masked pooling, sketches ---------------
+
+from moodlake.plans.catalog import ENCODER_DIM  # noqa: E402
+
+SQL["duplicate_groups_inserted"] = SQL["exact_duplicate_groups"]
+SQL["score_store"] = SQL["score_posts"]
+SQL["embed_encoder"] = f"""WITH wd AS (
+      SELECT doc_id AS id, unnest(list_concat(['[cls]', '[sep]'], regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+'))) AS w FROM documents),
+    tf AS (SELECT id, w, count(*) AS n FROM wd GROUP BY id, w),
+    vec AS (SELECT w, d, CAST('0x' || substr(md5(w || '#0'), CAST(2 * d + 1 AS INT), 2) AS INT) / 255.0 - 0.5 AS v
+            FROM (SELECT DISTINCT w FROM tf), range({ENCODER_DIM}) r(d))
+    SELECT id, CAST(d AS INT) AS dim, round(sum(n * v) / sum(n), 9) AS value FROM tf JOIN vec USING (w) GROUP BY id, d"""
+SQL["pipeline_latency_sketch"] = f"""WITH {O2}, l AS (
+      SELECT ingested_at, classified_at, epoch_us(classified_at - ingested_at) / 1e6 AS lat FROM pm
+      WHERE classified_at IS NOT NULL AND NOT coalesce(is_backfill, false)),
+    recent AS (SELECT lat FROM l WHERE least(ingested_at, classified_at) > {_ts(METRICS_AS_OF)} - INTERVAL 10 MINUTE)
+    SELECT (SELECT count(*) FROM recent) AS n, (SELECT quantile_disc(lat, 0.95) FROM recent) AS p95_latency_sec,
+           (SELECT count(*) FROM l) AS n_all, true AS rank_within_1pct"""

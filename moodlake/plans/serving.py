@@ -136,6 +136,29 @@ def pipeline_latency_p95(posts: DataFrame, minutes: int = 10, as_of=None, exact:
     return posts.where(_latency_window(as_of, minutes)).agg(p.alias("p")).select(_rounded_seconds(F.col("p")))
 
 
+def latency_sketches(posts: DataFrame, k: int = 800) -> DataFrame:
+    """A quantile sketch (KLL) of the latencies of each minute, stored beside the view: minute, n, sketch. A post belongs to
+    the minute that the earlier of its two stamps ends in, as windows have a strict lower bound. ``k`` sets the sketches'
+    size; ranks from merged ones are within about 2.3 / k ** 0.9 of the truth (a rank error of 0.6 % at 800)."""
+    first = F.least("ingested_at", "classified_at")
+    # the minute's end: (m - 1 min, m]
+    minute = F.timestamp_seconds(F.ceil(F.unix_micros(first.cast("timestamp")) / F.lit(60_000_000)) * 60)
+    rows = posts.where(F.col("classified_at").isNotNull() & F.col("ingested_at").isNotNull() & ~F.coalesce(F.col("is_backfill"), F.lit(False)))
+    lat = seconds_between("ingested_at", "classified_at")
+    return (rows.groupBy(minute.alias("minute"))
+            .agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(lat.cast("double"), F.lit(k)).alias("sketch")))
+
+
+def latency_from_sketches(sketches: DataFrame, p: float = 0.95, minutes: int | None = 10, as_of=None) -> DataFrame:
+    """One row: n and p95_latency_sec (the item of that rank; null without rows) of the stored minutes after
+    ``as_of - minutes`` (its minute begun counts as a whole; None: of all minutes). No post is read."""
+    own = sketches
+    if minutes is not None:
+        own = own.where(F.col("minute") > F.date_trunc("minute", minutes_before(as_of, minutes)))
+    merged = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.kll_merge_agg_double("sketch").alias("s"))
+    return merged.select("n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", F.lit(p))).alias("p95_latency_sec"))
+
+
 def pipeline_metrics(posts: DataFrame, as_of=None, batch_size: int = BATCH_SIZE,
                      count_minutes: int = 5, latency_minutes: int = 10) -> DataFrame:
     """One row: p95_latency_sec, last_5m_count, batched_avg_size.

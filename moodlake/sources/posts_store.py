@@ -23,6 +23,19 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COL, F.to_date("created_at"))
 
 
+#: Distinct keys that a row group's filter is sized for (about ten bits each).
+BLOOM_KEYS = 200_000
+BLOOM_COLUMNS = ("id", "external_id")
+
+
+def with_blooms(writer, columns=BLOOM_COLUMNS, keys: int = BLOOM_KEYS):
+    """A Parquet writer whose files hold a Bloom filter of each of ``columns`` per row group: ids are hashes, so their
+    min/max skip nothing, but a point lookup reads only the row groups that may hold the id."""
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", str(keys))
+    return writer
+
+
 class PostsStore:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
         self.spark, self.path = spark, path
@@ -51,7 +64,7 @@ class PostsStore:
         reject = F.coalesce("__reject", F.lit(False)) if "__reject" in new.columns else F.lit(False)
         staged = new.select(*names, reject.alias("__reject")).checkpoint(eager=True)
         kept = staged.where(~F.col("__reject")).select(*names)
-        _sorted_by_time(kept).write.mode("append").partitionBy(PARTITION_COL).parquet(self.path)
+        with_blooms(_sorted_by_time(kept).write.mode("append")).partitionBy(PARTITION_COL).parquet(self.path)
         self._reject(staged.where("__reject").drop(PARTITION_COL, "__reject"))
         self._reject(split_null_keys(batch, key)[1])
         return kept.drop(PARTITION_COL)
@@ -94,7 +107,7 @@ def _sorted_by_time(df: DataFrame) -> DataFrame:
 
 def write_partitioned(df: DataFrame, path: str) -> None:
     """Time-partitioned storage of a fact table (layout of ``_sorted_by_time``)."""
-    _sorted_by_time(with_partition(df)).write.mode("overwrite").partitionBy(PARTITION_COL).parquet(path)
+    with_blooms(_sorted_by_time(with_partition(df)).write.mode("overwrite")).partitionBy(PARTITION_COL).parquet(path)
 
 
 def read_dates(spark: SparkSession, path: str, dates: list, schema: T.StructType) -> DataFrame | None:
@@ -140,7 +153,7 @@ def compact_closed_dates(spark: SparkSession, path: str, before, key=POST_KEY) -
     stage = scratch_dir(spark, "compacted")
     (merged.withColumn("batch_id", F.col("__newest").cast("long")).drop("__newest")
      .repartition(PARTITION_COL).write.partitionBy(PARTITION_COL).parquet(stage))
-    (spark.read.parquet(stage).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (with_blooms(spark.read.parquet(stage).write.mode("overwrite")).option("partitionOverwriteMode", "dynamic")
      .partitionBy(PARTITION_COL, "batch_id").parquet(path))
     for d, own in batches.items():
         for b in own[:-1]:

@@ -27,7 +27,7 @@ from moodlake.operators.ingest import (ARRIVAL, POST_KEY, first_write, prune_val
                                        valid_vector, with_arrival, with_arrival_rows, with_post_defaults, with_post_id)
 from moodlake.operators.sentiment import STATE, finish_state, state_aggregates
 from moodlake.session import keep_state_in_rocksdb, ship_package
-from moodlake.sources.posts_store import PARTITION_COL, read_dates, store_dates, with_partition
+from moodlake.sources.posts_store import PARTITION_COL, read_dates, store_dates, with_blooms, with_partition
 from moodlake.sources.views import commit, current_view
 
 WATERMARK = "1 day"
@@ -229,8 +229,7 @@ def store_insert_writer(out_root: str, link_fn, score_fn=None, key=POST_KEY, ord
     posts_dir, key = f"{out_root}/posts", list(key)
 
     def by_date(rows: DataFrame, name: str, batch_id: int) -> None:
-        (with_partition(rows).withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (with_blooms(with_partition(rows).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")).option("partitionOverwriteMode", "dynamic")
          .partitionBy(PARTITION_COL, "batch_id").parquet(f"{out_root}/{name}"))
 
     def by_batch(rows: DataFrame, name: str, batch_id: int) -> None:
