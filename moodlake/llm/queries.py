@@ -166,6 +166,71 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversations, conversation_repair.damage(conversations))
 
 
+SQL["op11_conversation_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') AS conv,
+         string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS chars
+  FROM conversations
+), lots AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN chars]), lambda c, b:
+      list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS lot
+  FROM keyed
+), damaged AS (
+  SELECT conv, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+         CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) FROM lots WHERE lot <> 0)
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i,
+         trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN solid = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         left(role, 1) AS f, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS before FROM ordered
+), facts AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+         count(*) FILTER (i > 1 AND before || f NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM judged GROUP BY conv
+), walk AS (
+  SELECT conv, 0::BIGINT AS i, {c: 0, a: '', o: NULL::VARCHAR} AS s0, NULL::STRUCT(c INT, a VARCHAR, o VARCHAR) AS s1,
+         NULL::STRUCT(c INT, a VARCHAR, o VARCHAR) AS s2, NULL::STRUCT(c INT, a VARCHAR, o VARCHAR) AS s3 FROM facts
+  UNION ALL
+  SELECT conv, i, d0,
+         list_min([d1, CASE WHEN keep AND f = 's' AND s0 IS NOT NULL THEN {c: s0.c + e, a: s0.a || 'K', o: concat_ws(nl, s0.o, own)} END]),
+         list_min([d2,
+           CASE WHEN keep AND s0 IS NOT NULL THEN {c: s0.c + uc, a: s0.a || ue, o: concat_ws(nl, s0.o, ul)} END,
+           CASE WHEN keep AND s1 IS NOT NULL THEN {c: s1.c + uc, a: s1.a || ue, o: concat_ws(nl, s1.o, ul)} END,
+           CASE WHEN keep AND s3 IS NOT NULL THEN {c: s3.c + uc, a: s3.a || ue, o: concat_ws(nl, s3.o, ul)} END,
+           CASE WHEN keep AND s2 IS NOT NULL THEN {c: s2.c + 5 + uc, a: s2.a || 'I' || ue, o: concat_ws(nl, s2.o, 'assistant:', ul)} END]),
+         list_min([d3,
+           CASE WHEN keep AND s2 IS NOT NULL THEN {c: s2.c + ac, a: s2.a || ae, o: concat_ws(nl, s2.o, al)} END,
+           CASE WHEN keep AND s0 IS NOT NULL THEN {c: s0.c + 5 + ac, a: s0.a || 'I' || ae, o: concat_ws(nl, s0.o, 'user:', al)} END,
+           CASE WHEN keep AND s1 IS NOT NULL THEN {c: s1.c + 5 + ac, a: s1.a || 'I' || ae, o: concat_ws(nl, s1.o, 'user:', al)} END,
+           CASE WHEN keep AND s3 IS NOT NULL THEN {c: s3.c + 5 + ac, a: s3.a || 'I' || ae, o: concat_ws(nl, s3.o, 'user:', al)} END])
+  FROM (
+    SELECT w.conv, j.i, w.s0, w.s1, w.s2, w.s3, chr(10) AS nl, j.fault NOT IN ('b', 'd') AS keep, j.f, j.role || ':' || j.text AS own,
+           CASE WHEN j.fault = 't' THEN 5 ELSE 0 END AS e,
+           e + CASE WHEN j.f = 'u' THEN 0 ELSE 1 END AS uc, CASE WHEN j.f = 'u' THEN 'K' ELSE 'R' END AS ue,
+           CASE WHEN j.f = 'u' THEN own ELSE 'user:' || j.text END AS ul,
+           e + CASE WHEN j.f = 'a' THEN 0 ELSE 1 END AS ac, CASE WHEN j.f = 'a' THEN 'K' ELSE 'R' END AS ae,
+           CASE WHEN j.f = 'a' THEN own ELSE 'assistant:' || j.text END AS al,
+           CASE WHEN w.s0 IS NOT NULL THEN {c: w.s0.c + 2, a: w.s0.a || 'D', o: w.s0.o} END AS d0,
+           CASE WHEN w.s1 IS NOT NULL THEN {c: w.s1.c + 2, a: w.s1.a || 'D', o: w.s1.o} END AS d1,
+           CASE WHEN w.s2 IS NOT NULL THEN {c: w.s2.c + 2, a: w.s2.a || 'D', o: w.s2.o} END AS d2,
+           CASE WHEN w.s3 IS NOT NULL THEN {c: w.s3.c + 2, a: w.s3.a || 'D', o: w.s3.o} END AS d3
+    FROM walk w JOIN judged j ON j.conv = w.conv AND j.i = w.i + 1)
+), best AS (
+  SELECT w.conv, list_min([s0, s3,
+      CASE WHEN s2 IS NOT NULL THEN {c: s2.c + 5, a: s2.a || 'I', o: concat_ws(chr(10), s2.o, 'assistant:')} END,
+      CASE WHEN s1 IS NOT NULL THEN {c: s1.c + 10, a: s1.a || 'II', o: concat_ws(chr(10), s1.o, 'user:', 'assistant:')} END]) AS r
+  FROM walk w JOIN facts f ON f.conv = w.conv AND f.n = w.i
+)
+SELECT k.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate,
+       coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal, CAST(coalesce(b.r.c, 0) AS BIGINT) AS cost,
+       coalesce(b.r.a, '') AS audit, sha256(coalesce(b.r.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM keyed) k LEFT JOIN facts f ON f.conv = k.conv LEFT JOIN best b ON b.conv = k.conv"""
+
+
 @register
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the eight components of largest variance, scaled to unit variance."""
