@@ -1,17 +1,18 @@
 """Nearest-neighbour search over post embeddings.
 
-* ``similar_posts`` — one query post: its vector is a scalar subquery (computed
-  once, inlined into every task), the corpus is scanned in place and a
-  per-partition top-k (TakeOrderedAndProject) keeps k rows per task. No join,
-  no shuffle of the corpus.
-* ``similar_posts_batch`` — many query posts. A size-checked small query set
-  is broadcast and every corpus partition computes distances with numpy inside
-  an Arrow-batched ``mapInPandas``, keeping only its k best per query; a large
-  query set takes a blocked ``cogroup`` plan instead and never passes the
-  driver. Either way pairs are never materialised as rows, and one small
-  shuffle on the query id picks the global k.
+* ``similar_posts`` — one query post: its vector is looked up, the corpus is scanned
+  in place, distances are computed on whole Arrow batches, and a per-partition top-k
+  (TakeOrderedAndProject) keeps k rows per task. No join, no shuffle of the corpus.
+* ``similar_posts_batch`` — many query posts. Blocks of queries of a checked size
+  are broadcast and every corpus partition computes distances with numpy inside
+  an Arrow-batched ``mapInPandas``, keeping only its k best per query. Pairs are never
+  materialised as rows, the corpus never moves, and one small shuffle on the query
+  id picks the global k.
 * ``similar_posts_approx`` — ivfflat-style: k-means cells; each query scans only
-  its nearest cells, through the same blocked plan (hot cells are split).
+  its nearest cells, through a blocked cogroup plan (hot cells are split).
+* ``write_cells`` / ``similar_posts_cells`` — the cells stored, with their radii: each
+  query searches its nearest cell, and then the cells that may still hold a nearer
+  post by the triangle inequality. Exact, and few cells where vectors are clustered.
 """
 
 from __future__ import annotations
@@ -40,19 +41,49 @@ def _distance(metric: str):
 
 def similar_posts(posts: DataFrame, post_id: int, k: int = 10, metric: str = "l2",
                   id_col: str = "id", vec_col: str = "embedding", keep_distance: bool = False) -> DataFrame:
-    """k posts nearest to post ``post_id`` (excluding itself); NULL distances sort
-    last, ties by id. An unknown id yields no rows."""
-    qv = posts.where(F.col(id_col) == F.lit(post_id)).select(vec_col).limit(1).scalar()
-    dist = _distance(metric)(F.col(vec_col), F.col("__qv"))
-    out = (posts.where(F.col(id_col) != F.lit(post_id))
-           .withColumn("__qv", qv)
-           .where(F.col("__qv").isNotNull())
-           .withColumn("distance", dist).drop("__qv")
-           .orderBy(F.col("distance").asc_nulls_last(), F.col(id_col).asc())
-           .limit(k))
+    """k posts nearest to post ``post_id`` (excluding itself); NULL distances (a missing or torn vector, a zero one under
+    cosine) sort last, ties by id. An unknown id, or one without a vector, yields no rows. The query's vector is looked up
+    when this is called."""
+    found = posts.where(F.col(id_col) == F.lit(post_id)).select(vec_col).limit(1).collect()     # one row
+    out = posts.where(F.col(id_col) != F.lit(post_id))
+    if not found or found[0][0] is None:
+        out = out.limit(0).withColumn("distance", F.lit(None).cast("double"))
+    else:
+        out = (out.withColumn("distance", _distances_to(found[0][0], metric)(F.col(vec_col)))
+               .orderBy(F.col("distance").asc_nulls_last(), F.col(id_col).asc())
+               .limit(k))
     return out if keep_distance else out.drop("distance")
 
 
+def _distances_to(vector: list, metric: str):
+    """An Arrow UDF: the distance of every vector of a batch to one, in float64 at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from pyspark.sql.functions import arrow_udf
+
+    _distance(metric)                                   # a known one
+    q = np.array([np.nan if x is None else x for x in vector], np.float64)
+    norm = float(np.sqrt(q @ q))
+
+    def distances(column):
+        fits = pc.fill_null(pc.equal(pc.list_value_length(column), len(q)), False)
+        own = column.filter(fits)
+        values = own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+        if metric == "l2":
+            some = np.sqrt(((values - q) ** 2).sum(1))
+        else:
+            size = np.sqrt((values * values).sum(1)) * norm
+            with np.errstate(divide="ignore", invalid="ignore"):
+                some = np.where(size > 0, 1.0 - values @ q / size, np.nan)
+        at = fits.to_numpy(zero_copy_only=False)
+        out = np.full(len(column), np.nan)
+        out[at] = some
+        return pa.array(out, pa.float64(), mask=np.isnan(out))
+
+    distances.__annotations__ = {"column": pa.Array, "return": pa.Array}      # real types, not postponed strings
+    return arrow_udf(distances, "double")
+
+
 # Bounds on temporaries: query chunk x corpus chunk x dims for the difference
 # tensor, and queries x corpus chunk for one distance block.
 _CHUNK_ELEMS = 8_000_000
@@ -264,17 +295,23 @@ def similar_posts_batch(posts: DataFrame, queries: DataFrame, k: int = 10, metri
     """(qid, id, distance, rank) — the exact k nearest posts for every query row.
 
     Rows without a distance to a query (NULL or torn vectors) come last, by id, as in
-    ``similar_posts``. A query set of at most MAX_QUERY_BLOCK rows and MAX_QUERY_BYTES (checked) is broadcast and the
-    corpus scanned in place; a larger one never passes the driver: it takes the
-    blocked cogroup plan (every query block meets every corpus block once)."""
+    ``similar_posts``. Queries go in blocks of at most MAX_QUERY_BLOCK rows and MAX_QUERY_BYTES (checked): a block is
+    broadcast and the corpus scanned in place, so neither side is copied or shuffled. One block stays lazy; of several,
+    each one's result is written before the next is sent, and a block is all that the driver ever holds."""
+    from moodlake.session import scratch_dir
+
+    spark = posts.sparkSession
     q = queries.select(F.col(id_col).alias("qid"), F.col(vec_col).alias("qv")).where(F.col("qv").isNotNull())
-    size = q.limit(MAX_QUERY_BLOCK + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qv")).alias("floats")).first()
-    if size["n"] <= MAX_QUERY_BLOCK and 4 * (size["floats"] or 0) <= MAX_QUERY_BYTES:
-        cand = _broadcast_topk(posts, q, k, metric, id_col, vec_col, exclude_self)
-    else:
-        corpus = posts.select(id_col, vec_col).withColumn("cell", F.lit(0))
-        cand = _blocked_topk(corpus, q.withColumn("cell", F.lit(0)), k, metric, id_col, vec_col, exclude_self)
-    return _final_topk(cand, k, id_col)
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("qv")).alias("floats")).first()
+    blocks = max(-(-size["n"] // MAX_QUERY_BLOCK), -(-4 * (size["floats"] or 0) // MAX_QUERY_BYTES), 1)
+    if blocks == 1:
+        return _final_topk(_broadcast_topk(posts, q, k, metric, id_col, vec_col, exclude_self), k, id_col)
+    path = scratch_dir(spark, "knn-blocks")
+    dealt = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    for i in range(blocks):
+        cand = _broadcast_topk(posts, q.where(dealt == i), k, metric, id_col, vec_col, exclude_self)
+        _final_topk(cand, k, id_col).write.parquet(f"{path}/block={i}")
+    return spark.read.schema(f"qid long, {id_col} long, distance double, rank long").parquet(path)
 
 
 def similar_posts_approx(posts: DataFrame, queries: DataFrame, k: int = 10, n_cells: int | None = None,
@@ -322,6 +359,100 @@ def similar_posts_approx(posts: DataFrame, queries: DataFrame, k: int = 10, n_ce
     return _final_topk(cand, k, id_col)
 
 
+def write_cells(posts: DataFrame, path: str, n_cells: int | None = None, id_col: str = "id", vec_col: str = "embedding",
+                seed: int = 7, max_iter: int = 20) -> None:
+    """Stores the posts' vectors by k-means cell (``vectors/cell=C``, default: the root of the row count cells) and each
+    cell's centre, radius and rows (``cells``). Rows without a vector, or of another length than the first centre, go to
+    the cell -1, which every search reads."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    spark = posts.sparkSession
+    rows = posts.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    sizes = rows.where(F.size("vec") > 0).groupBy(F.size("vec").alias("d")).count()
+    width = sizes.agg(F.max_by("d", F.struct("count", "d"))).first()[0]
+    whole = F.coalesce(F.size("vec") == F.lit(width or 0), F.lit(False)) & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x))
+    centres = np.zeros((0, width or 0))
+    if width:
+        feats = rows.where(whole).select(array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+        k = n_cells or max(1, round(rows.count() ** 0.5))
+        centres = np.array(KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats).clusterCenters())
+    bc = spark.sparkContext.broadcast(centres)          # cells x dimensions
+
+    def assign(batches):
+        own = bc.value
+        for pdf in batches:
+            fit = pdf["whole"].to_numpy(bool)
+            cell, dist = np.full(len(pdf), -1, np.int32), np.zeros(len(pdf))
+            if fit.any():
+                m = np.stack(pdf["vec"].to_numpy()[fit]).astype(np.float64)
+                near = ((m * m).sum(1)[:, None] + (own * own).sum(1)[None] - 2 * m @ own.T).argmin(1)
+                cell[fit], dist[fit] = near, np.sqrt(((m - own[near]) ** 2).sum(1))
+            yield pdf[["id", "vec"]].assign(cell=cell, dist=dist)
+
+    dealt = rows.withColumn("whole", whole).mapInPandas(assign, "id long, vec array<float>, cell int, dist double")
+    dealt.write.partitionBy("cell").parquet(f"{path}/vectors")
+    stored = spark.read.schema("id long, vec array<float>, dist double, cell int").parquet(f"{path}/vectors")
+    facts = {r["cell"]: r for r in stored.groupBy("cell").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n")).collect()}
+    cells = [(i, [float(x) for x in c], facts[i]["radius"], facts[i]["n"]) for i, c in enumerate(centres) if i in facts]
+    cells += [(-1, [], 0.0, facts[-1]["n"])] if -1 in facts else []
+    spark.createDataFrame(cells, "cell int, centre array<double>, radius double, n long").coalesce(1).write.parquet(f"{path}/cells")
+
+
+def similar_posts_cells(spark, path: str, queries: DataFrame, k: int = 10, id_col: str = "id", vec_col: str = "embedding",
+                        exclude_self: bool = True) -> DataFrame:
+    """(qid, id, distance, rank): the exact k nearest stored posts (L2) of every query, from the cells that may hold one.
+
+    Each query searches its nearest cell first; with the kth distance found there it goes on to the cells whose centre
+    is not farther than that distance plus their radius. Queries of another length than the cells', or with fewer than
+    k posts in their first cell, visit every cell. NULL distances come last, by id, as in ``similar_posts``."""
+    from moodlake.session import scratch_dir
+
+    cells = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()       # cells x dimensions
+    stored = spark.read.schema("id long, vec array<float>, cell int").parquet(f"{path}/vectors")
+    own = [c for c in cells if c["cell"] >= 0]
+    names = np.array([c["cell"] for c in own], np.int64)
+    bc = spark.sparkContext.broadcast((names, np.array([c["centre"] for c in own]), np.array([c["radius"] for c in own]),
+                                       [c["cell"] for c in cells if c["cell"] < 0]))
+    q = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).cast("array<float>").alias("qv")).where(F.col("qv").isNotNull())
+
+    def visits(first: bool):
+        def run(batches):
+            name, centre, radius, odd = bc.value
+            for pdf in batches:
+                qid, cell = [], []
+                for i, (one, v) in enumerate(zip(pdf["qid"], pdf["qv"])):
+                    v = np.asarray(v, np.float64)
+                    if not len(name) or len(v) != centre.shape[1]:
+                        some = [] if first else [*name.tolist()]
+                    else:
+                        d = np.sqrt(((centre - v) ** 2).sum(1))
+                        near = int(d.argmin())
+                        kth = np.inf if first else pdf["kth"].iloc[i]
+                        some = [near] if first else np.flatnonzero(
+                            (d - radius <= kth + 1e-9 * (1 + kth)) & (np.arange(len(d)) != near)).tolist()
+                        some = name[some].tolist()
+                    some += [] if first else odd
+                    qid += [i] * len(some)
+                    cell += some
+                yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[qid], "qv": pdf["qv"].to_numpy()[qid], "cell": np.array(cell, np.int64)})
+        return run
+
+    def search(visited: DataFrame) -> DataFrame:
+        corpus = stored.select("id", F.col("vec").alias("embedding"), F.col("cell").cast("long").alias("cell"))
+        return _blocked_topk(corpus.join(visited.select("cell").distinct(), "cell", "left_semi"), visited, k, "l2", "id", "embedding", exclude_self)
+
+    shape = "qid long, qv array<float>, cell long"
+    where = scratch_dir(spark, "cells-first")
+    search(q.mapInPandas(visits(True), shape)).write.parquet(where)
+    first = spark.read.schema("qid long, id long, distance double").parquet(where)
+    kth = (_final_topk(first, k, "id").groupBy("qid")
+           .agg(F.when(F.count("distance") >= k, F.max("distance")).otherwise(F.lit(float("inf"))).alias("kth")))
+    todo = q.join(kth, "qid", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+    rest = search(todo.mapInPandas(visits(False), shape))
+    return _final_topk(first.unionByName(rest), k, "id").withColumnRenamed("id", id_col)
+
+
 def recall_at_k(approx: DataFrame, exact: DataFrame, id_col: str = "id") -> DataFrame:
     """Share of exact neighbours that the approximate search returned (one row)."""
     found = approx.select("qid", id_col).withColumn("hit", F.lit(1.0))

@@ -447,6 +447,14 @@ def q_similar_all_cells(spark, sf_dir):
     return SIM.similar_posts_approx(p, p, k=BATCH_K, n_cells=8, n_probe=8)
 
 
+@register("similar_posts_cells")
+def q_similar_cells(spark, sf_dir):
+    """Stored cells with an exact stop: every post against all others."""
+    p, path = _vec_posts(spark, sf_dir), scratch_dir(spark, "cells")
+    SIM.write_cells(p, path, max_iter=5)
+    return SIM.similar_posts_cells(spark, path, p, k=BATCH_K)
+
+
 @register("similar_posts_batch_torn")
 def q_similar_batch_torn(spark, sf_dir):
     """Vectors that are missing or lost a dimension come last, in the batch form too."""

@@ -353,3 +353,4 @@ SQL["pipeline_latency_sketch"] = f"""WITH {O2}, l AS (
     recent AS (SELECT lat FROM l WHERE least(ingested_at, classified_at) > {_ts(METRICS_AS_OF)} - INTERVAL 10 MINUTE)
     SELECT (SELECT count(*) FROM recent) AS n, (SELECT quantile_disc(lat, 0.95) FROM recent) AS p95_latency_sec,
            (SELECT count(*) FROM l) AS n_all, true AS rank_within_1pct"""
+SQL["similar_posts_cells"] = SQL["similar_posts_batch"]
