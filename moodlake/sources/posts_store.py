@@ -9,6 +9,8 @@ re-runs tasks of a job whose output commit is atomic.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,8 @@ def with_partition(df: DataFrame) -> DataFrame:
     return df.withColumn(PARTITION_COL, F.to_date("created_at"))
 
 
+#: Bytes of a merged file.
+FILE_BYTES = 256 << 20
 #: Distinct keys that a row group's filter is sized for (about ten bits each).
 BLOOM_KEYS = 200_000
 BLOOM_COLUMNS = ("id", "external_id")
@@ -132,7 +136,8 @@ def compact_closed_dates(spark: SparkSession, path: str, before, key=POST_KEY) -
     """Merge the batch folders of every date before ``before`` (of the live store, ``created_date=D/batch_id=N``) into the
     folder of the date's newest batch; returns how many dates were merged.
 
-    Run it for dates that no running batch still writes to. The merged rows are staged first, then put in place, then the
+    Run it for dates that no running batch still writes to. A date gets a file per FILE_BYTES of its folders, so a hot day is
+    merged by many tasks. The merged rows are staged first, then put in place, then the
     older folders go; a run that died in between is repeated, as copies of a post (the same key) are merged into one."""
     from moodlake.operators.ingest import first_write
     from moodlake.session import scratch_dir
@@ -147,12 +152,15 @@ def compact_closed_dates(spark: SparkSession, path: str, before, key=POST_KEY) -
     batches = {d: b for d, b in batches.items() if len(b) > 1}
     if not batches:
         return 0
+    n_files = {d: 1 + fs.getContentSummary(files(f"{path}/{PARTITION_COL}={d}")).getLength() // FILE_BYTES for d in batches}
+    sizes = spark.createDataFrame([(dt.date.fromisoformat(d), n) for d, n in n_files.items()], f"{PARTITION_COL} date, __files long")
     rows = spark.read.option("basePath", path).parquet(*[f"{path}/{PARTITION_COL}={d}" for d in batches])
     newest = rows.groupBy(PARTITION_COL).agg(F.max("batch_id").alias("__newest"))
-    merged = first_write(rows, [*key, PARTITION_COL], ("batch_id",)).join(newest, PARTITION_COL)
+    merged = first_write(rows, [*key, PARTITION_COL], ("batch_id",)).join(newest.join(sizes, PARTITION_COL), PARTITION_COL)
     stage = scratch_dir(spark, "compacted")
-    (merged.withColumn("batch_id", F.col("__newest").cast("long")).drop("__newest")
-     .repartition(PARTITION_COL).write.partitionBy(PARTITION_COL).parquet(stage))
+    (merged.withColumn("batch_id", F.col("__newest").cast("long")).withColumn("__file", F.pmod(F.xxhash64(*key), F.col("__files")))
+     .repartition(sum(n_files.values()), PARTITION_COL, "__file").drop("__newest", "__files", "__file")
+     .write.partitionBy(PARTITION_COL).parquet(stage))
     (with_blooms(spark.read.parquet(stage).write.mode("overwrite")).option("partitionOverwriteMode", "dynamic")
      .partitionBy(PARTITION_COL, "batch_id").parquet(path))
     for d, own in batches.items():

@@ -224,7 +224,7 @@ def test_live_posts_carry_text_hash(spark):
     assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
 
 
-def test_store_stays_flat_over_many_batches(spark):
+def test_store_stays_flat_over_many_batches(spark, monkeypatch):
     """Closed dates are merged to one folder each; a later batch lists only the folders of its own dates, and
     still inserts nothing twice."""
     import os
@@ -245,7 +245,10 @@ def test_store_stays_flat_over_many_batches(spark):
     stored = spark.read.parquet(f"{root}/posts")
     rows = sorted(tuple(r) for r in stored.drop("batch_id").collect())
     dates = [d for d in sorted(os.listdir(f"{root}/posts".removeprefix("file:"))) if "=" in d]
+    monkeypatch.setattr("moodlake.sources.posts_store.FILE_BYTES", 20_000)      # a day of several files
     merged = compact_closed_dates(spark, f"{root}/posts", dates[-1].split("=")[1])
+    assert any(len([f for f in os.listdir(f"{root}/posts/{d}/{b}".removeprefix("file:")) if f.endswith(".parquet")]) > 1
+               for d in dates[:-1] for b in os.listdir(f"{root}/posts/{d}".removeprefix("file:")) if "=" in b)
     assert merged == len(dates) - 1
     folders = {d: [x for x in os.listdir(f"{root}/posts/{d}".removeprefix("file:")) if "=" in x] for d in dates}
     assert all(len(folders[d]) == 1 for d in dates[:-1]) and len(folders[dates[-1]]) > 1
