@@ -1,11 +1,12 @@
 """Exact top-k inner-product search with a ball tree per shard.
 
-Vectors become integers, are dealt by a hash of their id to shards of about ``SHARD_VECTORS``, and each shard's
-tree (points, centres, radii) is one row of an index table in the shared folder. A query walks a tree best first:
-nodes wait in a heap ordered by their upper bound q.centre + |q| radius, and the walk ends at the first bound below
-the current kth score. Each query first searches one shard; the kth score found there is shared with all other
-shards, whose walks start from it. Queries travel in blocks, and each pair of block and shard is joined on the
-shard, so neither the queries nor the index ever sit whole in one place.
+Vectors become integers and are dealt by ball: to the nearest of some centres, a large ball to several shards of about
+``SHARD_VECTORS``. Each shard's tree (points, centres, radii) is one row of an index table in the shared folder. A query
+walks a tree best first: nodes wait in a heap ordered by their upper bound q.centre + |q| radius, and the walk ends at the
+first bound below the current kth score. Each query first searches the ball of the largest bound; the kth score found there
+is shared with the others: a ball whose bound is below it is not visited, and the walks in the rest start from it. Queries
+travel in blocks, and each pair of block and shard is joined on the shard, so neither the queries nor the index ever sit
+whole in one place.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import decimal
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,10 @@ SCALE = 1024
 SHARD_VECTORS = 16_384
 LEAF = 64
 QUERY_BLOCK = 256
+#: Most balls, vectors of a sample for each of them, and numbers of the whole sample.
+MOST_BALLS = 2048
+BALL_SAMPLE = 32
+SAMPLE_NUMBERS = 1 << 23
 
 
 def build_tree(points: np.ndarray) -> dict[str, np.ndarray]:
@@ -174,6 +180,105 @@ def _usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < bound))
 
 
+@dataclass(frozen=True)
+class Balls:
+    """Where vectors are: centre, radius and shards [first, first + count) of each ball; ``others`` shards (-1, -2, ...)
+    hold the vectors of other lengths than ``width``."""
+    width: int
+    centre: np.ndarray
+    radius: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    others: int
+
+    @property
+    def shards(self) -> int:
+        return int(self.count.sum()) + self.others
+
+
+def _centres(sample: np.ndarray, n: int, rounds: int = 5) -> np.ndarray:
+    """A few rounds of k-means over a sample."""
+    centre = sample[:n].copy()
+    for _ in range(rounds):
+        near = ((centre * centre).sum(1)[None] - 2 * sample @ centre.T).argmin(1)
+        size = np.bincount(near, minlength=len(centre))
+        total = np.zeros_like(centre)
+        np.add.at(total, near, sample)
+        centre[size > 0] = total[size > 0] / size[size > 0][:, None]
+    return centre
+
+
+def _deal(vectors: DataFrame) -> tuple[DataFrame, Balls]:
+    """The vectors with their shard, stored once. Those of the commonest length go to the nearest of at most
+    ``MOST_BALLS`` centres (fitted to a sample of ``BALL_SAMPLE`` vectors each, at most ``SAMPLE_NUMBERS`` numbers), a large ball to several shards by a hash of
+    the id; which centres only decides what can be skipped, never a result."""
+    spark = vectors.sparkSession
+    sizes = {r["width"]: r["n"] for r in vectors.groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "width").limit(2).collect()}
+    total = vectors.count()
+    width = max(sizes, key=lambda w: (sizes[w], -w), default=0)
+    n = min(MOST_BALLS, max(1, -(-sizes.get(width, 0) // SHARD_VECTORS)))
+    others = -(-(total - sizes.get(width, 0)) // SHARD_VECTORS)
+    sample = (vectors.filter(F.col("width") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(n * BALL_SAMPLE, SAMPLE_NUMBERS // max(width, 1) + 1))
+              .select("vector").toPandas()["vector"])            # at most SAMPLE_NUMBERS numbers
+    centre = _centres(np.stack(sample).astype(np.float64), n) if len(sample) else np.zeros((0, width))
+    sent = spark.sparkContext.broadcast(centre)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            fits = batch.column("width").to_numpy() == own.shape[1]
+            ball, far = np.full(len(fits), -1, np.int32), np.zeros(len(fits))
+            if fits.any() and len(own):
+                m = batch.column("vector").filter(pa.array(fits)).flatten().to_numpy().astype(np.float64).reshape(-1, own.shape[1])
+                near = ((own * own).sum(1)[None] - 2 * m @ own.T).argmin(1)
+                ball[fits], far[fits] = near, np.sqrt(((m - own[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball), pa.array(far)],
+                                             names=[*batch.schema.names, "ball", "far"])
+
+    dealt = materialized(vectors.mapInArrow(assign, "vec_id long, vector array<long>, asked boolean, width int, ball int, far double"), "dealt")
+    facts = {r["ball"]: r for r in dealt.filter("ball >= 0").groupBy("ball").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()}
+    some = sorted(facts)
+    count = np.array([-(-facts[b]["n"] // SHARD_VECTORS) for b in some], np.int64)
+    first = np.cumsum(count) - count
+    balls = Balls(width, centre[some] if some else centre[:0], np.array([facts[b]["far"] for b in some]), first, count, others)
+    where = spark.createDataFrame(list(zip(some, first.tolist(), count.tolist())), "ball int, first long, count long")   # at most MOST_BALLS rows
+    hashed = F.xxhash64("vec_id")
+    shard = F.when(F.col("ball") < 0, -1 - F.pmod(hashed, F.lit(max(others, 1)))).otherwise(F.col("first") + F.pmod(hashed, F.col("count")))
+    return (dealt.join(F.broadcast(where), "ball", "left")
+            .select("vec_id", "vector", "asked", "width", shard.cast("int").alias("shard")), balls)
+
+
+_VISITS_DDL = "query_id long, vector array<long>, width int, floor decimal(38,0), shard int"
+
+
+def _visits(balls: Balls, first: bool):
+    """Queries -> a row for each shard to be searched: those of the ball with the largest bound first (for other lengths all
+    of theirs), then those of the balls whose bound q.centre + |q| radius reaches the query's kth score."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, shards = [], []
+            for i, (v, floor) in enumerate(zip(batch.column("vector").to_pylist(), batch.column("floor").to_pylist())):
+                if len(v) != balls.width:
+                    some = range(-balls.others, 0) if first else ()
+                else:
+                    q = np.array(v, np.float64)
+                    norm = np.sqrt(q @ q)
+                    bound = balls.centre @ q + norm * balls.radius
+                    bound += 1e-9 * (norm * (np.sqrt((balls.centre ** 2).sum(1)) + balls.radius) + 1)   # rounding hides nothing
+                    best = int(bound.argmax())
+                    keep = np.arange(len(bound)) == best
+                    if not first:
+                        keep = ~keep & (bound >= (-np.inf if floor is None else float(floor)))
+                    some = [x for b in np.flatnonzero(keep) for x in range(balls.first[b], balls.first[b] + balls.count[b])]
+                at += [i] * len(some)
+                shards += some
+            if at:
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shards, pa.int32())], names=[*rows.schema.names, "shard"])
+    return run
+
+
 def top_k(embeddings: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: for every row that ``queries`` selects, the k largest inner products with all
     rows of another vec_id, of vectors scaled to integers by floor(1024 x); ties go to the smaller vec_id. Scores are
@@ -188,22 +293,19 @@ def top_k(embeddings: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     parts = shuffle_partitions(spark)
     vectors = (embeddings.filter(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
                .select(F.col("vec_id").cast("long").alias("vec_id"), _integers(F.col("embedding")).alias("vector"),
-                       queries.alias("asked")))
-    shards = max(1, -(-vectors.count() // SHARD_VECTORS))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    vectors = vectors.withColumn("shard", home).withColumn("width", F.size("vector"))
-    index = materialized(vectors.drop("asked").repartition(max(parts, min(shards, 10 * parts)), "shard", "width")
+                       queries.alias("asked"))
+               .withColumn("width", F.size("vector")))
+    dealt, balls = _deal(vectors)
+    index = materialized(dealt.drop("asked").repartition(max(parts, min(balls.shards, 10 * parts)), "shard", "width")
                          .sortWithinPartitions("shard", "width").mapInArrow(_index, _INDEX_DDL), "index")
 
-    asked = vectors.filter("asked").dropDuplicates(["vec_id", "width"]).withColumnRenamed("vec_id", "query_id").drop("asked")
-    found = _matched(index, asked.withColumn("floor", F.lit(None).cast("decimal(38,0)")), k)
-    found = materialized(found, "home")
-    if shards > 1:
-        kth = (found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n"))
-               .select("query_id", F.when(F.col("n") >= k, F.col("floor")).alias("floor")))
-        away = (asked.join(kth, "query_id", "left").withColumnRenamed("shard", "home")
-                .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home").drop("home"))
-        found = found.unionByName(_matched(index, away, k))
+    asked = (dealt.filter("asked").dropDuplicates(["vec_id", "width"]).withColumnRenamed("vec_id", "query_id")
+             .select("query_id", "vector", "width", F.lit(None).cast("decimal(38,0)").alias("floor")))
+    found = materialized(_matched(index, asked.mapInArrow(_visits(balls, True), _VISITS_DDL), k), "home")
+    if balls.shards > 1:
+        kth = (found.groupBy("query_id").agg(F.get(F.array_sort(F.collect_list("score")), F.count("score").cast("int") - k).alias("floor")))
+        away = asked.drop("floor").join(kth, "query_id", "left").select("query_id", "vector", "width", "floor")
+        found = found.unionByName(_matched(index, away.mapInArrow(_visits(balls, False), _VISITS_DDL), k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").try_cast("long").alias("score")))

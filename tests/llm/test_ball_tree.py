@@ -43,6 +43,24 @@ def test_large_components_are_scored_exactly(spark, monkeypatch):
         assert size < 1e6 or any(x[3] is None for x in got)
 
 
+def test_balls_out_of_reach_are_not_visited(spark, monkeypatch):
+    """Clustered vectors: a query is sent to few shards, and the result is exact; a ball of several shards is searched whole."""
+    monkeypatch.setattr(ball_tree, "SHARD_VECTORS", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 8)) * 4
+    rows = [(i, [float(np.float32(x)) for x in centres[0 if i % 3 == 0 else i % 12] + rng.normal(size=8) * 0.1]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    sent, plain = [], ball_tree._matched
+
+    def watched(index, asked, k):
+        sent.append((asked.count(), index.count()))
+        return plain(index, asked, k)
+    monkeypatch.setattr(ball_tree, "_matched", watched)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ball_tree.top_k(df, F.col("vec_id") % 10 == 0, 5).collect())
+    assert got == brute(rows, 5)
+    assert len(sent) == 2 and sum(n for n, _ in sent) < 0.7 * 90 * sent[0][1]
+
+
 def test_tree_holds_every_point_in_its_balls():
     points = np.random.default_rng(2).normal(size=(1000, 8))
     t = ball_tree.build_tree(points)
