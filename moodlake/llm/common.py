@@ -122,12 +122,12 @@ def with_text_columns(docs: DataFrame, kernel: Callable[[pa.Array], Iterator[pa.
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, max_docs: int) -> DataFrame:
-    """doc_id, text and label of at most ``max_docs`` labelled documents, stored once. Documents are chosen by a hash of
+    """doc_id, text and label of at most ``max_docs`` labelled documents. Documents are chosen by a hash of
     their id among labels of 0 or 1 (of repeated labels the greatest counts for ``toxic``, the least for others); of rows
     that share an id the least text counts, so an id that very many rows have is one row all the same."""
     of = (F.max if label == "toxic" else F.min)(label)
     sample = F.broadcast(                               # at most max_docs rows of 12 bytes
         labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(of.alias(label))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs))
-    return materialized(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
-                        .groupBy("doc_id").agg(F.min("text").alias("text"), F.first(label).alias(label)), "labelled")
+    return (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(sample, "doc_id")
+            .groupBy("doc_id").agg(F.min("text").alias("text"), F.first(label).alias(label)))

@@ -294,9 +294,10 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> D
     overlap or touch."""
     spark = texts.sparkSession
     parts = shuffle_partitions(spark)
-    runs = materialized(texts.mapInArrow(_runs(length, k), _ddl(_RUNS)), "anchors")
+    # scanned twice: anchors take more room than a scan takes time
+    runs = texts.mapInArrow(_runs(length, k), _ddl(_RUNS))
     # unique keys as a table of their own: the joins then shuffle both sides, and a hot key's rows can be split
-    twice = materialized(runs.groupBy("h").agg(F.sum(F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0))).alias("seen"))
+    twice = materialized(texts.mapInArrow(_runs(length, k), _ddl(_RUNS)).groupBy("h").agg(F.sum(F.lit(1) + F.coalesce(F.octet_length("more"), F.lit(0))).alias("seen"))
                          .filter("seen > 1").select("h"), "twice")
     by_text = (runs.join(twice, "h").groupBy("c1", "c2")
                .agg(F.collect_list(F.struct("h", "start", "n", "more")).alias("runs")))

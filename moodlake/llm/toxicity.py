@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moodlake.llm.common import as_batch, byte_chunks, labelled, prepare, text_buffer, with_text_columns
+from moodlake.llm.common import as_batch, byte_chunks, labelled, materialized, prepare, text_buffer, with_text_columns
 
 WORD = re.compile(r"\w+")
 #: Weights of the field's hashed features.
@@ -318,7 +318,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, max_window
     """Learns from labelled documents that are not held out. Without toxic and clean ones among
     them, the field scores every text with the share of toxic labels (0 without labels)."""
     prepare(docs.sparkSession)
-    known = labelled(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", max_docs)
+    # read again and again: stored once
+    known = materialized(labelled(docs, labels.filter(~held_out(F.col("doc_id"))), "toxic", max_docs), "labelled")
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
