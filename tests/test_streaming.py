@@ -395,3 +395,75 @@ def test_arrival_through_raw_lines(spark):
     q.awaitTermination(600)
     assert q.exception() is None
     assert {r["title"] for r in spark.read.parquet(paths["posts"]).collect()} == {"the copy 0"}
+
+
+def test_a_batch_writes_few_files_and_small_filters(spark):
+    """Files of a batch follow its rows and dates, not dates times shuffle tasks, and a file of few posts has small filters."""
+    import os
+
+    root = scratch_dir(spark, "few_files")
+    posts = spark.range(4000).select(
+        "id", F.lit("s").alias("source"), F.col("id").cast("string").alias("external_id"), F.lit("the").alias("text"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("id").cast("int") % 960)).alias("created_at"))
+    write = ST.store_insert_writer(root, lambda df: df.withColumn("tickers", F.array(F.lit("THE"))), order=("id",))
+    write(posts.repartition(4), 0)
+    for name, most in (("posts", 20_000), ("ticker_posts", 5_000)):
+        sizes = [os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(f"{root}/{name}") for f in fs if f.endswith(".parquet")]
+        assert 40 <= len(sizes) <= 41 and max(sizes) < most, (name, len(sizes), max(sizes))
+    assert spark.read.parquet(f"{root}/posts").select("id").distinct().count() == 4000
+
+
+def test_new_keys_need_no_second_shuffle_of_the_posts(spark, monkeypatch):
+    """The posts' rows are grouped and met with the stream's new keys under one partitioning."""
+    plans = []
+    batch = spark.createDataFrame([(1, "s", "a", "2024-01-01 00:00:00", "the"), (2, "s", "b", "2024-01-01 00:00:00", "the")],
+                                  "id long, source string, external_id string, created_at string, text string")
+    batch = batch.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    key = F.struct("source", "external_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    records = batch.withColumn(ST.NEW_KEY, F.lit(None).cast(key_type(batch, key)))
+    keys = batch.where("id = 1").select(key.alias(ST.NEW_KEY))
+
+    class Before(ST.Progress):
+        def read(self, batch_id):
+            return {"newest": 0, "clock": 0, "floor": None}
+
+    def link(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.withColumn("tickers", F.array(F.lit("THE")))
+    monkeypatch.setattr(ST, "with_arrival_rows", lambda df: df)
+    root = scratch_dir(spark, "one_shuffle")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write = ST.store_insert_writer(root, link, order=("id",), progress=Before(spark, f"{root}/progress"))
+        write(records.unionByName(keys, allowMissingColumns=True), 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plans[0].count("Exchange hashpartitioning") == 2, plans[0]
+    assert [r.id for r in spark.read.parquet(f"{root}/posts").collect()] == [1]
+
+
+def key_type(df, column):
+    return df.select(column.alias("k")).schema["k"].dataType
+
+
+def test_feed_files_follow_the_table(spark, monkeypatch):
+    """A larger table lands in more files, so none of them is read whole by one task that grows with it."""
+    from moodlake.plans import catalog as C
+
+    from tests.conftest import SF001
+    few = C.QUERIES["stream_feed_items"](spark, SF001)
+    assert C._feed_files(spark, SF001) == 4
+    import os
+    monkeypatch.setattr(C, "FEED_FILE_BYTES", os.path.getsize(f"{SF001}/documents.parquet") // 6 + 1)
+    assert C._feed_files(spark, SF001) == 6
+    landed = []
+    plain = C.FS.stream_feed_items
+
+    def watched(spark, path, **options):
+        landed.append(len([f for f in os.listdir(path) if f.startswith("part-")]))
+        return plain(spark, path, **options)
+    monkeypatch.setattr(C.FS, "stream_feed_items", watched)
+    many = C.QUERIES["stream_feed_items"](spark, SF001)
+    assert landed == [6]
+    assert few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
