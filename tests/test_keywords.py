@@ -130,3 +130,23 @@ def test_join_tier_needs_no_id_and_runs_in_the_live_path(spark, monkeypatch):
         assert q.exception() is None
         stored[tier] = sorted((r.id, tuple(r.tickers)) for r in spark.read.parquet(paths["posts"]).collect())
     assert stored["join"] == stored["broadcast"] == [x for x in expect if x[1]]
+
+
+def test_broadcast_dictionary_moves_no_grams(spark, monkeypatch):
+    """With a dictionary of a checked size, texts are shuffled once and their runs and candidates not at all; a larger one
+    is shuffled, and links the same."""
+    docs = _docs(spark, SF001)
+    kw = O.benchmark_keywords(spark.read.parquet(f"{SF001}/benchmark.parquet"))
+
+    def links():
+        texts = docs.where(F.length("text") > 0).select(*SY._text_key(F.lower("text")), F.lower("text").alias("__lt"))
+        texts = texts.groupBy("__t1", "__t2").agg(F.first("__lt").alias("__lt"))
+        out = SY.keyword_links(texts, kw)
+        return out._jdf.queryExecution().executedPlan().toString(), {(r[0], r[1]): sorted(r[2]) for r in out.collect()}
+    plan, found = links()
+    assert "BroadcastHashJoin" in plan and "__salt" not in plan
+    top = plan.index("BroadcastHashJoin")
+    assert "Exchange hashpartitioning" not in plan[:top]
+    monkeypatch.setattr(SY, "MAX_BROADCAST_CHARS", 10)
+    plan, same = links()
+    assert "__salt" in plan and found == same and any(found.values())
