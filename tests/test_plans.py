@@ -166,3 +166,19 @@ def test_unset_checkpoint_folder_is_an_error_on_a_cluster():
     sc = N(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_root(N(sparkContext=sc, conf=N(get=lambda k, d=None: d)))
+
+
+def test_insert_shuffles_the_batch_once(spark):
+    """First write and the anti join with the stored keys share one partitioning of the batch."""
+    from moodlake.operators.ingest import insert_new
+    from moodlake.sources.posts_store import with_partition
+    rows = spark.range(50).select(F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.col("id").cast("string").alias("external_id"),
+                                  F.timestamp_seconds(F.col("id") * 9000).cast("timestamp_ntz").alias("created_at"), F.col("id").alias("k"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = insert_new(with_partition(rows.where("k < 20")), with_partition(rows.unionByName(rows)), prune_col="created_date")
+        assert plan(new).count("Exchange hashpartitioning") == 2
+        assert sorted(r.k for r in new.collect()) == list(range(20, 50))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
