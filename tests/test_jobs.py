@@ -113,3 +113,23 @@ def test_poll_links_each_new_post_once_and_sets_null_keys_aside(spark):
     assert new.count() == stored.count() and fan.count() >= new.count()
     again, _ = J.ingest_poll(store, batch, _link, embed_fn=embed, vector_size=4)
     assert again.count() == 0
+
+
+def test_replay_lands_compressed_and_reads_the_same(spark, monkeypatch):
+    """The replay's feed and listing files are compressed; they hold the records that plain files do."""
+    import os
+
+    from moodlake.plans import catalog as C
+    from moodlake.plans import overlays as O
+    from tests.conftest import SF001
+    landed = {}
+    for name in ("read_feed_items", "read_listings"):
+        def watched(spark, path, plain=getattr(C.FS, name), name=name):
+            landed[name] = path
+            return plain(spark, path)
+        monkeypatch.setattr(C.FS, name, watched)
+    C.QUERIES["replay_job"](spark, SF001)
+    assert all(f.endswith(".gz") for p in landed.values() for f in os.listdir(p) if f.startswith("part-")) and len(landed) == 2
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    assert spark.read.text(landed["read_listings"]).count() == O.listing_json_lines(docs).count()
+    assert C.FS.read_feed_items(spark, landed["read_feed_items"]).count() == docs.count()
