@@ -1,5 +1,8 @@
 """Live pipeline: two chained streaming queries equal the batch composition."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from moodlake.functions.text import post_text
@@ -467,3 +470,70 @@ def test_feed_files_follow_the_table(spark, monkeypatch):
     many = C.QUERIES["stream_feed_items"](spark, SF001)
     assert landed == [6]
     assert few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
+
+
+class _Watched:
+    """A live query whose ``awaitTermination`` is another one."""
+
+    def __init__(self, q, wait):
+        self.q, self.wait = q, wait
+
+    def awaitTermination(self, timeout=None):  # noqa: N802
+        return self.wait(self.q, timeout)
+
+    def __getattr__(self, name):
+        return getattr(self.q, name)
+
+
+def _watch(monkeypatch, wait):
+    from moodlake.plans import catalog as C
+
+    plain = ST.start_live_pipeline
+
+    def start(*args, **options):
+        q, paths = plain(*args, **options)
+        return _Watched(q, wait), paths
+    monkeypatch.setattr(C.ST, "start_live_pipeline", start)
+    return C
+
+
+def test_a_live_query_that_outlasts_a_time_limit_is_waited_for(spark, monkeypatch):
+    """However long the live query takes, its result is that of every landed row, not of those read so far."""
+    def wait(q, timeout):
+        if timeout is not None:                         # a limit that the query does not keep
+            while not q.recentProgress and q.isActive:
+                time.sleep(0.05)
+            return False
+        return q.awaitTermination()
+    C = _watch(monkeypatch, wait)
+    posts = _minutes(spark, 0, 6 * 480, 20).drop("text").withColumn("title", F.lit("the post")).withColumn("body", F.lit("x"))
+    got = C._live_fanout(spark, posts)
+    assert sorted(r.post_id for r in got.where("ticker = 'THE'").collect()) == list(range(0, 6 * 480, 20))
+
+
+def test_a_live_query_that_others_stop_gives_no_result(spark, monkeypatch):
+    def wait(q, timeout):
+        while not q.recentProgress and q.isActive:
+            time.sleep(0.05)
+        q.stop()
+        return True
+    C = _watch(monkeypatch, wait)
+    posts = _minutes(spark, 0, 6 * 480, 20).drop("text").withColumn("title", F.lit("the post")).withColumn("body", F.lit("x"))
+    with pytest.raises(RuntimeError, match="landed rows"):
+        C._live_fanout(spark, posts).collect()
+
+
+def test_late_posts_are_waited_for(spark, monkeypatch, tmp_path):
+    """stream_late_posts over a table of its own, under a limit that the live query does not keep: every post is fanned out."""
+    def wait(q, timeout):
+        if timeout is not None:
+            while not q.recentProgress and q.isActive:
+                time.sleep(0.05)
+            return False
+        return q.awaitTermination()
+    C = _watch(monkeypatch, wait)
+    docs = spark.range(0, 6 * 480, 20).select(F.col("id").alias("doc_id"), F.lit("the post\nx").alias("text"), F.lit("en").alias("lang"),
+                                              F.lit("s").alias("source"), F.lit(10).cast("long").alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = C.QUERIES["stream_late_posts"](spark, str(tmp_path))
+    assert sorted(r.post_id for r in got.where("ticker = 'THE'").collect()) == list(range(0, 6 * 480, 20))
