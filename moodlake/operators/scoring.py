@@ -73,12 +73,36 @@ def score_with_model(model, posts: DataFrame, text_col: str = "text", class_orde
 def batch_logits_udf(make_predict_fn, n_classes: int = 3, batch_size: int = BATCH_SIZE):
     """Wrap an external batched model: ``make_predict_fn()`` returns
     ``predict(texts: np.ndarray[str]) -> np.ndarray[float, (n, n_classes)]``; it
-    is called once per Python worker and fed Arrow batches of ``batch_size``."""
-    from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, DoubleType
+    is called once per Python worker and fed batches of ``batch_size``. The logits go back by the Arrow batch that the
+    texts came in, so a small ``batch_size`` costs calls of the model and no more."""
+    import uuid
 
-    return predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()),
-                             batch_size=batch_size)
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    model = uuid.uuid4()    # of this call: a worker keeps the model for it from task to task
+
+    def logits(batches):
+        import numpy as np
+        from pyspark.ml.model_cache import ModelCache
+
+        predict = ModelCache.get(model)
+        if not predict:
+            predict = make_predict_fn()
+            ModelCache.add(model, predict)
+        for texts in batches:
+            own, out = texts.to_numpy(), []
+            for lo in range(0, len(own), batch_size):
+                some = own[lo:lo + batch_size]
+                got = predict(some)
+                if not isinstance(got, np.ndarray) or got.ndim != 2 or len(got) != len(some):
+                    raise ValueError("a model returns a two-dimensional array, a row per text")
+                out += list(got)
+            yield pd.Series(out, dtype=object)
+
+    from collections.abc import Iterator
+    logits.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(logits, "array<double>")
 
 
 class HashedWords:
@@ -88,7 +112,8 @@ class HashedWords:
     def __init__(self, dims: int, most: int = 500_000):
         import numpy as np
 
-        self.dims, self.most, self.rows, self.table = dims, most, {}, np.zeros((1024, dims))
+        self.dims, self.most, self.rows = dims, most, {}
+        self.raw, self.table = np.zeros((1024, dims), np.uint8), np.zeros((1024, dims))     # the bytes, and scaled
 
     def numbers(self, words: list[bytes]):
         """The words' row numbers in ``table``."""
@@ -99,12 +124,15 @@ class HashedWords:
         if len(self.rows) > self.most:
             self.rows.clear()
         rows = self.rows
-        for w in set(words) - rows.keys():
-            k = rows[w] = len(rows)
-            if k == len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-            raw = b"".join(hashlib.md5(w + b"#%d" % i).digest() for i in range(-(-self.dims // 16)))
-            self.table[k] = np.frombuffer(raw, np.uint8)[:self.dims] / 255.0 - 0.5
+        new = [w for w in set(words) if w not in rows]      # a look at the batch's words, not at all that are known
+        if new:
+            k, n, parts = len(rows), len(rows) + len(new), -(-self.dims // 16)
+            while n > len(self.raw):
+                self.raw, self.table = (np.concatenate((t, np.zeros_like(t))) for t in (self.raw, self.table))
+            hashes = b"".join([hashlib.md5(w + b"#%d" % i).digest() for w in new for i in range(parts)])
+            self.raw[k:n] = np.frombuffer(hashes, np.uint8).reshape(len(new), parts * 16)[:, :self.dims]
+            self.table[k:n] = self.raw[k:n] / 255.0 - 0.5
+            rows.update(zip(new, range(k, n)))
         return np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
 
 
@@ -115,7 +143,8 @@ _GATHER = 1 << 22
 
 def hashed_mean(texts, dims: int):
     """Mean of the words' hashed vectors for each text (numpy, n x dims; zeros for a text without words). The words of many
-    texts are summed at once; their vectors are kept from batch to batch."""
+    texts are summed at once; their vectors are kept from batch to batch. The sums are of whole numbers, so components that
+    tie are equal, whatever the order of the words and the batches."""
     import numpy as np
 
     known, out = _HASHED.setdefault(dims, HashedWords(dims)), np.zeros((len(texts), dims))
@@ -127,13 +156,13 @@ def hashed_mean(texts, dims: int):
         if len(some):
             numbers, ends = known.numbers(words), np.cumsum(n[some])
             step = max(1, _GATHER // dims)
-            sums = np.zeros((len(some), dims))
+            sums = np.zeros((len(some), dims), np.int64)
             for lo in range(0, len(numbers), step):     # a long text goes in several steps
                 hi = min(lo + step, len(numbers))
                 a, b = np.searchsorted(ends, [lo, hi - 1], side="right")
                 starts = np.maximum(np.concatenate(([0], ends[:-1]))[a:b + 1], lo) - lo
-                sums[a:b + 1] += np.add.reduceat(known.table[numbers[lo:hi]], starts, axis=0)
-            out[first + some] = sums / n[some][:, None]
+                sums[a:b + 1] += np.add.reduceat(known.raw[numbers[lo:hi]], starts, axis=0, dtype=np.int64)
+            out[first + some] = sums / (255.0 * n[some])[:, None] - 0.5
         words.clear()
         counts.clear()
 

@@ -40,6 +40,55 @@ def test_hashed_mean_equals_word_by_word(monkeypatch, gather):
         assert np.allclose(small.table[n], [plain_mean(f"x{k + j}", 3) for j in range(3)])
 
 
+class _Unlisted(dict):
+    def keys(self):
+        raise AssertionError("all known words were gone through")
+
+
+def test_a_batch_costs_its_own_words(monkeypatch):
+    """However many words are known, a batch looks up its own, and a batch of one text gives the scores of a large one."""
+    known = SCR.HashedWords(3)
+    known.numbers([b"w%d" % k for k in range(5000)])
+    known.rows = _Unlisted(known.rows)
+    n = known.numbers([b"w7", b"new", b"w7"])
+    assert list(n) == [known.rows[b"w7"], 5000, known.rows[b"w7"]]
+    assert np.allclose(known.table[n], [plain_mean(w, 3) for w in ("w7", "new", "w7")])
+
+
+def test_sums_do_not_depend_on_the_words_order(monkeypatch):
+    """Components that tie are equal, so the order of words and batches decides no stance."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{k}" for k in range(300)])
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(50)]
+    mixed = [" ".join(rng.permutation(t.split())) for t in texts]
+    one = np.concatenate([SCR.hashed_mean([t], 3) for t in mixed])
+    assert (SCR.hashed_mean(texts, 3) == one).all()
+    monkeypatch.setattr(SCR, "_GATHER", 64)
+    assert (SCR.hashed_mean(texts, 3) == one).all()
+
+
+@pytest.mark.parametrize("size", [1, 3, 32])
+def test_logits_go_back_by_the_arrow_batch(spark, size):
+    """The model is given batches of its size; what it returns goes back as one column per Arrow batch."""
+    import pandas as pd
+
+    seen = []
+
+    def make():
+        def predict(texts):
+            seen.append(len(texts))
+            return SCR.hashed_mean(texts, 3)
+        return predict
+    texts = ["one two", "", "three", "four five six", None, "w", "x y"]
+    out = list(SCR.batch_logits_udf(make, batch_size=size).func(iter([pd.Series(texts), pd.Series([], dtype=object), pd.Series(["z"])])))
+    assert [len(s) for s in out] == [7, 0, 1]
+    assert seen == [min(size, 7 - lo) for lo in range(0, 7, size)] + [1]
+    assert np.allclose([*out[0], *out[2]], [plain_mean(t, 3) for t in [*texts, "z"]])
+    wrong = SCR.batch_logits_udf(lambda: lambda texts: np.zeros((len(texts) + 1, 3)))
+    with pytest.raises(ValueError):
+        list(wrong.func(iter([pd.Series(["a"])])))
+
+
 def test_embedding_is_evaluated_once(spark):
     for key in ("embed_posts", "embed_encoder"):
         plan = QUERIES[key](spark, SF001)._jdf.queryExecution().executedPlan().toString()
