@@ -150,3 +150,28 @@ def test_broadcast_dictionary_moves_no_grams(spark, monkeypatch):
     monkeypatch.setattr(SY, "MAX_BROADCAST_CHARS", 10)
     plan, same = links()
     assert "__salt" in plan and found == same and any(found.values())
+
+
+def test_no_text_is_gone_through_once_per_keyword(spark, monkeypatch):
+    """Longer keywords are verified in tokens; only those with white space in whole texts. The links are those of a plain
+    substring test, whatever the keywords are made of."""
+    plans = []
+    plain = SY.keyword_links
+
+    def links(texts, keywords):
+        out = plain(texts, keywords)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(SY, "keyword_links", links)
+    texts = ["", None, "x", "ab", "abc", "pineapples, ananas", "the pine apple\nof apples", "naïve étions 日本語文字列 x", "a-b_c.d/e[f]^g\\h]i",
+             "tab\there  two", "𝒳𝒴𝒵𝒲 end", "applé apple", "日本語 文字列", "ends with pie", "e", "APPLES and ÉTION", "a\u00a0bcde"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    tight = ["apple", "pineapple", "ananas", "éti", "étion", "e", "ie", "pie", "日本", "日本語文", "c.d/e[f]", "^g\\h", "]i", "𝒴𝒵", "𝒳𝒴𝒵𝒲", "ab", "abc", "x", "a\u00a0bcd"]
+    spaced = ["pine apple", "apple\nof", "tab\there", "  two", "e t", "with pie", "語 文字"]
+    for keywords, whole in ((tight, False), (tight + spaced, True), (spaced, True), (["e", "ab"], False)):
+        table = spark.createDataFrame([(k, k.upper()) for k in keywords], "keyword string, symbol string")
+        want = {i: sorted({k.upper() for k in keywords if k in (t or "").lower()}) for i, t in enumerate(texts)}
+        for most in (512, 3):                           # tokens of the keywords' characters, or of anything but white space
+            monkeypatch.setattr(SY, "MAX_ALPHABET", most)
+            assert _links(df, table) == want
+            assert "Contains(__lt" not in plans[-1] and ("Contains(__unit" in plans[-1])
