@@ -537,3 +537,49 @@ def test_late_posts_are_waited_for(spark, monkeypatch, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = C.QUERIES["stream_late_posts"](spark, str(tmp_path))
     assert sorted(r.post_id for r in got.where("ticker = 'THE'").collect()) == list(range(0, 6 * 480, 20))
+
+
+def test_only_the_keys_of_a_batch_are_shuffled(spark, monkeypatch):
+    """The rows that are new are found by key and arrival, the texts stay where they were read; beyond the bound whole rows
+    are shuffled. Either way the first write wins, whole, also of copies that differ."""
+    root, plans, stored = scratch_dir(spark, "slim_land"), [], {}
+    for k in range(3):                                  # every post three times, in the order of the files
+        (_minutes(spark, 0, 40).withColumn("text", F.concat(F.lit(f"the copy {k} of "), F.col("id").cast("string")))
+         .withColumn("title", F.col("text")).coalesce(1).write.mode("append").json(root))
+
+    def link(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return _link_the(df)
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(ST, "MAX_ROWS_SENT", most)
+        out = scratch_dir(spark, "slim_out")
+        schema = _minutes(spark, 0, 1).withColumn("title", F.lit("")).schema
+        for again in range(2):                          # a second query over the same store adds nothing
+            q, paths = ST.start_live_pipeline(spark, root, schema, out, link, trigger={"availableNow": True})
+            q.awaitTermination()
+        stored[most] = sorted((r.id, r.title) for r in spark.read.parquet(paths["posts"]).collect())
+    grouped = [any("min_by" in line and "title#" in line for line in p.splitlines()) for p in plans]
+    assert grouped == [False, True] and "LeftSemi" in plans[0]
+    assert stored[0] == stored[2_000_000] == [(i, f"the copy 0 of {i}") for i in range(40)]
+
+
+def test_polls_are_landed_compressed_and_shuffled_once(spark, monkeypatch):
+    import os
+
+    posts = _minutes(spark, 0, 1000).withColumn("text", F.repeat(F.lit("the same words "), 20))
+    shuffled = []
+    plain = type(posts).repartition
+
+    def repartition(df, *cols):
+        shuffled.append(df.count())
+        return plain(df, *cols)
+    monkeypatch.setattr(type(posts), "repartition", repartition)
+    path = scratch_dir(spark, "polls")
+    assert O.land_all_polls(posts, path, "created_at", 6 * 3600, "2024-03-01 00:00:00") == 2000
+    assert shuffled == [1000]                           # and sent twice from where they are
+    files = [f"{d}/{f}" for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
+    assert sum(map(os.path.getsize, files)) < 1000 * 100
+    landed = spark.read.schema(posts.schema).option("recursiveFileLookup", "true").json(path)
+    assert landed.exceptAll(posts.unionByName(posts)).count() == posts.unionByName(posts).exceptAll(landed).count() == 0
+    folders = {d.rsplit("=")[-1]: spark.read.schema(posts.schema).json(f"{path}/{d}").count() for d in os.listdir(path) if "=" in d}
+    assert folders == {"0": 360, "1": 720, "2": 640, "3": 280}
