@@ -168,10 +168,20 @@ def test_no_text_is_gone_through_once_per_keyword(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     tight = ["apple", "pineapple", "ananas", "éti", "étion", "e", "ie", "pie", "日本", "日本語文", "c.d/e[f]", "^g\\h", "]i", "𝒴𝒵", "𝒳𝒴𝒵𝒲", "ab", "abc", "x", "a\u00a0bcd"]
     spaced = ["pine apple", "apple\nof", "tab\there", "  two", "e t", "with pie", "語 文字"]
-    for keywords, whole in ((tight, False), (tight + spaced, True), (spaced, True), (["e", "ab"], False)):
+    for keywords in (tight, tight + spaced, spaced, ["e", "ab"], ["e", "apple", "日本語文"], ["ab", "e\n", "apple"], ["s o", "d"], ["pie", "éti"]):
         table = spark.createDataFrame([(k, k.upper()) for k in keywords], "keyword string, symbol string")
         want = {i: sorted({k.upper() for k in keywords if k in (t or "").lower()}) for i, t in enumerate(texts)}
         for most in (512, 3):                           # tokens of the keywords' characters, or of anything but white space
             monkeypatch.setattr(SY, "MAX_ALPHABET", most)
             assert _links(df, table) == want
-            assert "Contains(__lt" not in plans[-1] and ("Contains(__unit" in plans[-1])
+            assert "Contains(__lt" not in plans[-1] and "Contains(__unit" in plans[-1]
+
+
+def test_short_runs_are_those_of_the_tokens(spark):
+    """A text's short runs are made of its distinct tokens: a word that it repeats is gone through once."""
+    df = spark.createDataFrame([(0, "ab abc abcd ab 12 zzz abcd"), (1, "1 b"), (2, "__"), (3, "bc")], "id long, text string")
+    texts = df.select(*SY._text_key(F.col("text")), F.col("id"), F.col("text").alias("__lt"))
+    has = {"short_tight": True, "short_spaced": False, "long_tight": False, "long_spaced": False}
+    rows = SY._unit_rows(texts, [1, 2], "[a-d]+", has).join(texts, ["__t1", "__t2"]).where("__unit <> ''")
+    got = {i: sorted(r["__unit"] for r in rows.where(F.col("id") == i).collect()) for i in range(4)}
+    assert got == {0: ["a", "ab", "abc", "b", "bc", "bcd", "c", "cd", "d"], 1: ["b"], 2: [], 3: ["b", "bc", "c"]}
